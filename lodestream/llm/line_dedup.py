@@ -15,7 +15,6 @@ exact table is a plain equi-join whose skewed partitions Spark may split.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

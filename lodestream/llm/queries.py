@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestream.llm import line_dedup
+from lodestream.llm import decontaminate, line_dedup, near_dedup
 
 QUERIES = {
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
