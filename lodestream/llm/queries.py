@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontaminate, line_dedup, near_dedup, pieces, token_files
+from lodestream.llm import decontaminate, language, line_dedup, near_dedup, pieces, token_files
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_language_id": language.op8_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
