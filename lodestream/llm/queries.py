@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontaminate, language, line_dedup, near_dedup, pieces, token_files
+from lodestream.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, token_files
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_near_dedup": near_dedup.op5_near_dedup,
