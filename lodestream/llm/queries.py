@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, token_files
+from lodestream.llm import decontaminate, embedding_dedup, html_text, language, line_dedup, near_dedup, pieces, token_files
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language_id": language.op8_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
