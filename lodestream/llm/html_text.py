@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodestream.llm import kernel
+from lodestream.llm.url_filter import host_of
 from lodestream.scratch import materialize
 
 #: Tokens of a window, a power of two; block ends count as tokens.
@@ -146,14 +147,6 @@ def blocks_of(page: str | None) -> list[str]:
     return [x for rank, x in found if rank == best]
 
 
-def host_of(url: Column) -> Column:
-    """Between the first :// and the next /, ? or #; A-Z lower-cased; empty without ://."""
-    rest = F.substring_index(url, "://", 1)
-    after = F.substr(url, F.length(rest) + 4)
-    host = F.regexp_extract(after, r"^[^/?#]*", 0)
-    return F.when(F.contains(url, F.lit("://")), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
-
-
 def _parse(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontaminate, embedding_dedup, html_text, language, line_dedup, near_dedup, pieces, token_files
+from lodestream.llm import decontaminate, embedding_dedup, html_text, language, line_dedup, near_dedup, pieces, secret_scan, token_files, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_sentencepiece": pieces.op4_sentencepiece,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_language_id": language.op8_language_id,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
