@@ -1,15 +1,60 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokens."""
+"""The corpus pipeline over ``documents``: which ones stay, what is left of them, and their tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; its result is
+written as Parquet and read again as the next one's docs. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestream.llm import decontaminate, language, line_dedup, near_dedup, pieces
+from lodestream.scratch import materialize
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told, as they have no letter, go."""
+    found = language.identify(docs, language.fit_labelled(docs))
+    return found.where(F.col("__lang") != language.UNKNOWN).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; n_chars is counted anew."""
+    kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share four fifths of their five-word shingles, the first of each group stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in windows of benchmark items go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text that is left."""
+    return pieces.digest(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: Mixture inference and merge-type encoding have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-').lower()}")
+    return STAGES[-1][1](spark, docs, sf_dir)
