@@ -132,13 +132,24 @@ class SpanHash:
         total = np.empty(n + 1, _U)
         total[0] = 0
         with np.errstate(over="ignore"):
-            np.multiply(data, self.powers[:n], out=total[1:], dtype=_U, casting="unsafe")
-            total[1:] += self.powers[:n] * _U(257)
+            np.add(data, _U(257), out=total[1:], dtype=_U)
+            total[1:] *= self.powers[:n]
             np.cumsum(total, out=total)
             value = (total[ends] - total[starts]) * self.inverses[starts]
             return mix(value + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, the number of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive word hashes, rows ignored; entry i covers words i to i + k - 1."""
     n = len(words) - k + 1
@@ -164,6 +175,105 @@ class Words:
         return self.hash(data, starts, ends), first
 
 
+class SpaceUnits:
+    """Texts cut before each space, as hashes: what lies between two spaces is a unit.
+
+    A text is ``plain`` if it has no space at its ends or next to another one; only of plain texts
+    do the units and single spaces make up the text.
+    """
+
+    def __init__(self):
+        self.one, self.two, self.inside = SpanHash(0), SpanHash(1), ~byte_class(0x20)
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray):
+        """(data, starts, ends, first, h1, h2, plain) of the rows of one pass."""
+        data, at = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        starts, ends, first = spans(data, at, self.inside)
+        spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
+        n_spaces = spaces[at[1:]] - spaces[at[:-1]]
+        plain = np.diff(first) == n_spaces + 1
+        return data, starts, ends, first, self.one(data, starts, ends), self.two(data, starts, ends), plain
+
+
+class WordTable:
+    """Records of values by 128-bit key, some thirty bytes a word and the values: a bounded cache.
+
+    ``lookup`` takes keys with repeats and asks ``make`` for the records of distinct keys it has not
+    met; beyond ``most`` words it starts anew. New keys go to a small sorted list, which joins the
+    large one when it has grown to a part of it.
+    """
+
+    def __init__(self, dtype, most: int):
+        self.dtype, self.most = np.dtype(dtype), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.lists = [self._none(), self._none()]
+        self.starts, self.lengths, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 16, self.dtype), 0
+        self.words = 0
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    @staticmethod
+    def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(array):
+            return array
+        return np.concatenate([array[:used], np.zeros(max(more, len(array)), array.dtype)])
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """File the records, which follow each other in ``flat``; their numbers."""
+        n = len(keys)
+        self.pool = self._room(self.pool, self.used, len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts, self.lengths = self._room(self.starts, self.words, n), self._room(self.lengths, self.words, n)
+        self.starts[self.words : self.words + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.words : self.words + n] = lengths
+        numbers = self.words + np.arange(n)
+        self.words, self.used = self.words + n, self.used + len(flat)
+        order = np.argsort(keys)
+        self.lists[1] = self._merged(self.lists[1], (keys[order], checks[order], numbers[order]))
+        if len(self.lists[1][0]) > max(1 << 14, len(self.lists[0][0]) // 8):
+            self.lists = [self._merged(*self.lists), self._none()]
+        return numbers
+
+    def lookup(self, keys: np.ndarray, checks: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """(values, ends): the records of all keys one after another, and where each one ends.
+
+        ``make`` gets places in ``keys`` and returns them in an order of its own, with the records'
+        values one after another in that order, and their lengths.
+        """
+        if not len(keys):
+            return self.pool[:0], np.zeros(0, np.int64)
+        distinct, index, inverse = distinct_of(keys)
+        if (checks != checks[index][inverse]).any():
+            raise ArithmeticError("two words of a pass have one 64-bit hash")
+        if self.words + len(distinct) > self.most:
+            self._clear()
+        number = np.full(len(distinct), -1)
+        for sorted_keys, sorted_checks, numbers in self.lists:
+            if len(sorted_keys):
+                at = np.minimum(np.searchsorted(sorted_keys, distinct), len(sorted_keys) - 1)
+                hit = (sorted_keys[at] == distinct) & (sorted_checks[at] == checks[index])
+                number[hit] = numbers[at[hit]]
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            place, flat, lengths = make(index[missing])
+            number[inverse[place]] = self._add(keys[place], checks[place], flat, lengths)
+        each = number[inverse]
+        lengths = self.lengths[each]
+        ends = np.cumsum(lengths)
+        take = np.repeat(self.starts[each] - ends + lengths, lengths)
+        take += np.arange(len(take))
+        return self.pool[take], ends
+
+
 def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of ``schema`` from arrays or lists by column name."""
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)

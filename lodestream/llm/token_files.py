@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lodestream.llm import rans
+from lodestream.llm import kernel, rans
 from lodestream.scratch import drop_table, materialize, shared_dir, write_table
 
 #: Symbols from which a block is closed.
 BLOCK = 1 << 18
-#: Pieces that one worker process keeps; two generations of this many at most.
-CACHE_PIECES = 200_000
-#: Documents encoded at a time.
-_ROWS = 256
+#: Pieces that one worker process keeps at most, at about thirty bytes each.
+CACHE_PIECES = 4_000_000
+#: New pieces in one call's text, and documents counted at a time.
+_TOGETHER, _ROWS = 200, 256
+#: First bytes of white space characters but the space.
+_BLANK_LEAD = kernel.byte_class(*range(9, 14), *range(28, 32), 0xC2, 0xE1, 0xE2, 0xE3)
 
 
 def default_tokenizer() -> str:
@@ -48,55 +50,58 @@ class ByteEncoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        # the pieces' first byte is the space exactly where a piece starts
-        spaced = [self.library.id_to_token(i) or "" for i in range(self.size)]
-        self.opens = np.array([t.startswith("Ġ") for t in spaced])
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of ' ' + piece for each piece, from one call."""
-        fresh = []
-        for p in pieces:
-            if (known := self.old.get(p)) is None:
-                fresh.append(p)
-            else:
-                self.cache[p] = known
-        if not fresh:
-            return
-        ids = np.array(self.library.encode(" " + " ".join(fresh), add_special_tokens=False).ids)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(fresh):
-            self.cache.update((p, self._bytes(e.ids)) for p, e in zip(fresh, self.library.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False), strict=True))
-            return
-        width, blob = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
-        cuts = (np.append(starts, len(ids)) * width).tolist()
-        self.cache.update(zip(fresh, (blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        cut, heads, whole = [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if text[0] == " " or text[-1] == " " or "  " in text:
-                whole.append(i)
-            else:
-                head, *rest = text.split(" ")
-                heads.append(head)
-                cut.append((i, rest))
-        if len(self.cache) >= CACHE_PIECES:
-            self.old, self.cache = self.cache, {}
-        missing = set().union(*(rest for _, rest in cut)).difference(self.cache)
-        self._learn(list(missing))
-        ids_of = self.cache.__getitem__
-        for (i, rest), head in zip(cut, self.library.encode_batch_fast(heads, add_special_tokens=False) if heads else (), strict=True):
-            out[i] = b"".join([self._bytes(head.ids), *map(ids_of, rest)])
-        for i in whole:
-            out[i] = self._bytes(self.library.encode(texts[i], add_special_tokens=False).ids)
+        # an id's string starts with the mark of a space exactly where a piece starts
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.size)])
+        self.units, self.table = kernel.SpaceUnits(), kernel.WordTable(self.dtype, CACHE_PIECES)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ' ' + piece for all pieces one after another, and their lengths; some hundred pieces a text."""
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        found = self._ids([" " + " ".join(g) for g in groups])
+        flat = np.concatenate(found) if found else np.zeros(0, self.dtype)
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) == len(pieces):
+            return flat, np.diff(np.append(starts, len(flat)))
+        found = self._ids([" " + p for p in pieces])
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    @staticmethod
+    def _space_before_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows in which another white space character follows a space: they are cut elsewhere, too."""
+        after = np.flatnonzero(data[:-1] == 0x20) + 1 if len(data) else np.zeros(0, np.int64)
+        lead = after[_BLANK_LEAD[data[after]]]
+        text = data.tobytes()
+        found = [i for i in lead.tolist() if text[i : i + 3].decode("utf-8", "ignore")[:1].isspace()]
+        rows = np.zeros(len(at) - 1, bool)
+        rows[np.searchsorted(at, found, side="right") - 1] = True
+        return rows
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of the texts of one pass."""
+        data, starts, ends, first, one, two, plain = self.units(raw, offsets)
+        plain &= ~self._space_before_blank(data, offsets - offsets[0])
+        heads = np.zeros(len(starts), bool)
+        heads[first[:-1][plain]] = True
+        one = np.where(heads, one ^ np.uint64(0x5CA1AB1E), one)
+
+        def make(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            text = data.tobytes()
+            spaced, alone = at[~heads[at]], at[heads[at]]
+            pieces = [text[a:b].decode() for a, b in zip(starts[spaced].tolist(), ends[spaced].tolist(), strict=True)]
+            flat, lengths = self._spaced(pieces)
+            found = self._ids([text[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])
+            return np.concatenate([spaced, alone]), np.concatenate([flat, *found]), np.concatenate([lengths, [len(x) for x in found]]).astype(np.int64)
+
+        values, stops = self.table.lookup(one, two, make)
+        cuts = np.concatenate([[0], stops])[first].tolist()
+        out = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(~plain & (np.diff(offsets) > 0)).tolist():
+            out[i] = self._ids([raw[offsets[i] : offsets[i + 1]].tobytes().decode()])[0].tobytes()
+        for i in np.flatnonzero(np.diff(offsets) == 0).tolist():
+            out[i] = b""
         return out
 
 
@@ -112,10 +117,10 @@ def _encode_rows(file: str, bounds: np.ndarray, end_id: int):
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             shard = np.searchsorted(bounds, b.column(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            for i in range(0, b.num_rows, _ROWS):
-                part = b.slice(i, _ROWS)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + _ROWS]), part.column(0), pa.array(ids, pa.binary())], names=["shard", "doc", "ids"])
+            raw, offsets = kernel.buffers(b.column(1))
+            for i, j in kernel.passes(offsets):
+                ids = [x + end for x in enc.encode(raw, offsets[i : j + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), b.column(0).slice(i, j - i), kernel.binaries(ids)], names=["shard", "doc", "ids"])
 
     return run
 
