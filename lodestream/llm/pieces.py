@@ -16,14 +16,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Words that one worker process keeps; two generations of this many at most.
-CACHE_WORDS = 150_000
+from lodestream.llm import kernel
+
+#: Words that one worker process keeps at most, at about forty bytes each, and pairs of tokens.
+CACHE_WORDS = 3_000_000
 _PAIRS = 1_000_000
 _MARK = "▁"
+_MARK_BYTES = _MARK.encode()
 
 
 def default_model() -> str:
@@ -32,15 +37,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class PieceEncoder(dict):
-    """Word -> decimal ids joined by spaces; missing words are encoded."""
+class PieceEncoder:
+    """Encodes texts and passes of texts with one model."""
 
     def __init__(self, model_file: str):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        super().__init__()
         with open(model_file, "rb") as f:
             blob = f.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
@@ -70,8 +74,9 @@ class PieceEncoder(dict):
         automaton.make_automaton()
         self.automaton = automaton
         self.compatible: dict[int, bool] = {}
-        self.old: dict[str, str] = {}
-        self.breaks = "\n" not in self.known
+        self.units, self.table = kernel.SpaceUnits(), kernel.WordTable(np.int32, CACHE_WORDS)
+        width = len(str(len(model.pieces))) + 1
+        self.decimals = np.array([f"{i} ".encode() for i in range(len(model.pieces))], f"S{width}").view(np.uint8).reshape(-1, width)
 
     def _merges_to_itself(self, piece: str, i: int) -> bool:
         """Merge the characters of a piece by rank; notes the two parts of its last merge."""
@@ -151,38 +156,38 @@ class PieceEncoder(dict):
                 start = i + 1
         return ids + (self._run(word[start:]) if start < len(word) else [])
 
-    def __missing__(self, word: str) -> str:
-        out = self.old.get(word)
-        if out is None:
-            out = " ".join(map(str, self.word_ids(word)))
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = out
-        return out
+    _words = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 
-    _units = re.compile(f"{_MARK}+[^{_MARK}\n]*|[^{_MARK}\n]+|\n")
-
-    def words(self, text: str) -> list[str]:
-        """The strings that a text is cut into before encoding; together they are the marked text."""
-        marked = _MARK + text.replace(" ", _MARK)
-        if not self.breaks:
-            return re.findall(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+", marked)
-        if _MARK * 2 in marked:
-            return self._units.findall(marked)
-        cut = marked.replace(_MARK, " " + _MARK)
-        if "\n" in cut:
-            return [x for x in cut.replace("\n", " \n ").split(" ") if x]
-        return cut[1:].split(" ")
-
-    def decimal_ids(self, text: str | None) -> str:
-        """All ids of a text and the end id, in decimal, joined by spaces."""
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a whole text, word by word, and the end id."""
         if not text:
-            return str(self.end_id)
-        return f"{' '.join(map(self.__getitem__, self.words(text)))} {self.end_id}"
+            return [self.end_id]
+        words = self._words.findall(_MARK + text.replace(" ", _MARK))
+        return [i for w in words for i in self.word_ids(w)] + [self.end_id]
+
+    def encode_pass(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts of one pass, without end ids; new words are encoded once."""
+        data, starts, ends, first, one, two, plain = self.units(raw, offsets)
+        text = data.tobytes()
+        if _MARK_BYTES in text:
+            marked = [m.start() for m in re.finditer(_MARK_BYTES, text)]
+            plain[np.searchsorted(offsets - offsets[0], marked, side="right") - 1] = False
+
+        def make(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found = [self.word_ids(_MARK + text[a:b].decode()) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            return at, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+        values, stops = self.table.lookup(one, two, make)
+        cuts = np.concatenate([[0], stops])[first].tolist()
+        out = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = np.array(self.encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode())[:-1], np.int32)
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(map(int, self.decimal_ids(text).split(" ")))
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """Each id in decimal and a space."""
+        out = self.decimals[ids].ravel()
+        return out[out != 0].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -208,7 +213,9 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         for b in batches:
-            ids = [enc.encode(x) for x in b.column(at).to_pylist()]
+            raw, offsets = kernel.buffers(b.column(at))
+            end = np.array([enc.end_id], np.int32)
+            ids = [np.concatenate([x, end]) for i, j in kernel.passes(offsets) for x in enc.encode_pass(raw, offsets[i : j + 1])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, ids_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -230,22 +237,21 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
 
 
 def digest(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from one encoding and decoding.
-
-    The ids stay in decimal, as the encoder's cache keeps them, so that the hash needs no list.
-    """
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from one encoding and decoding."""
     model_file = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         for b in batches:
-            n, hashes, decoded = [], [], []
-            for text in b.column(1):
-                ids = enc.decimal_ids(text.as_py())
-                n.append(ids.count(" ") + 1)
-                hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(list(map(int, ids.split(" ")))).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            raw, offsets = kernel.buffers(b.column(1))
+            end = str(enc.end_id).encode()
+            for i, j in kernel.passes(offsets):
+                n, hashes, decoded = [], [], []
+                for ids in enc.encode_pass(raw, offsets[i : j + 1]):
+                    n.append(len(ids) + 1)
+                    hashes.append(hashlib.sha256(enc.decimal(ids) + end).hexdigest())
+                    decoded.append(hashlib.sha256(enc.decode([*ids.tolist(), enc.end_id]).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
