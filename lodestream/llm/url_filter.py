@@ -69,12 +69,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def _grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, each marked with the part it is from."""
 
-    def of(text: Column, mark: str) -> Column:
+    def of(text: Column, mark: str, n: int) -> Column:
         padded = F.concat(F.lit("^"), text, F.lit("$"))
-        lists = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n)))) for n in LENGTHS]
-        return F.concat(*lists)
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n))))
 
-    return F.concat(of(host, "h:"), of(path, "p:"))
+    return F.concat(*(of(text, mark, n) for text, mark in ((host, "h:"), (path, "p:")) for n in LENGTHS))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, labelled: DataFrame | None = None) -> DataFrame:
