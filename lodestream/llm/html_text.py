@@ -8,7 +8,7 @@ of ``WINDOW`` tokens or more that pages repeat; those on most of the host's page
 Tokens that they cover are removed and the unique runs stay. A passage that a few pages quote from
 each other, or an article that is on a host many times, is not on most of its distinct pages.
 
-Pages are laid out by range over (host, text), so a large host spreads over many partitions and
+Pages are laid out by range over (host, hash of the text), so a large host spreads over many partitions and
 copies of a page lie together. A suffix array takes ``CHUNK`` distinct pages of one host at most; it
 gives the windows on a tenth of them, and the counts of all chunks of a host add up.
 """
@@ -156,25 +156,31 @@ def _parse(at: int):
     return run
 
 
-class TokenStreams:
-    """Token hashes of texts; the space between two blocks is a token of its own."""
+#: Everything but the space.
+_WORD = ~kernel.byte_class(0x20)
 
-    _END = np.uint64(0x0DDB1A5E5BAD5EED)
+
+class TokenStreams:
+    """Texts as streams of 16-bit token hashes, of which a window has 128 bits; the end of a block is a token."""
 
     def __init__(self):
         self.hash = kernel.SpanHash()
 
     def __call__(self, text: str) -> tuple[np.ndarray, list[str]]:
+        """The stream, and the words it stands for."""
         words: list[str] = []
         for i, block in enumerate(text.split("\n\n")):
             words += ["\n"] * (i > 0) + block.split(" ")
         data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        starts, ends, _ = kernel.spans(data, np.array([0, len(data)]), data_is_word)
-        return self.hash(data, starts, ends), words
+        starts, ends, _ = kernel.spans(data, np.array([0, len(data)]), _WORD)
+        return (self.hash(data, starts, ends) >> np.uint64(48)).astype("<u2"), words
 
 
-#: Everything but the space.
-data_is_word = ~kernel.byte_class(0x20)
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, sig, stream) from (host, sig, text)."""
+    make = TokenStreams()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), kernel.binaries([make(t)[0].tobytes() for t in b.column(2).to_pylist()])], names=["host", "sig", "stream"])
 
 
 def suffix_windows(streams: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +191,7 @@ def suffix_windows(streams: list[np.ndarray], window: int = WINDOW) -> tuple[np.
     """
     sizes = np.array([len(s) for s in streams])
     owner = np.repeat(np.arange(len(streams)), sizes + 1)
-    joined = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([i], np.uint64))]) if streams else np.zeros(0, np.uint64)
+    joined = np.concatenate([x for s in streams for x in (s, np.zeros(1, s.dtype))]).astype(np.uint64) if streams else np.zeros(0, np.uint64)
     _, rank = np.unique(joined, return_inverse=True)
     ends = np.cumsum(sizes + 1) - 1
     rank[ends] = rank.max(initial=0) + 1 + np.arange(len(streams))
@@ -208,8 +214,7 @@ def suffix_windows(streams: list[np.ndarray], window: int = WINDOW) -> tuple[np.
 
 
 def _chunk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, window, pages) and, under a null window, (host, distinct pages) of sorted (host, text) rows."""
-    make = TokenStreams()
+    """(host, window, pages) and, under a null window, (host, distinct pages) of sorted (host, sig, stream) rows."""
     host, last, streams = None, None, []
 
     def flush() -> pa.RecordBatch:
@@ -219,13 +224,13 @@ def _chunk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array([host] * (len(windows) + 1), pa.string()), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(windows)]), pa.array(np.append(len(streams), pages).astype(np.int64))], names=["host", "window", "pages"])
 
     for b in batches:
-        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for h, sig, stream in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if streams and (h != host or len(streams) >= CHUNK):
                 yield flush()
                 streams = []
-            if h != host or text != last:
-                streams.append(make(text)[0])
-            host, last = h, text
+            if h != host or sig != last:
+                streams.append(np.frombuffer(stream, "<u2"))
+            host, last = h, sig
     if streams:
         yield flush()
 
@@ -237,7 +242,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, windows = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1)
         for i in np.flatnonzero(windows.is_valid().to_numpy(zero_copy_only=False)):
             tokens, words = make(texts[i])
-            hits = np.isin(kernel.grams(tokens, WINDOW), np.array(windows[int(i)].as_py(), np.int64).view(np.uint64))
+            hits = np.isin(kernel.grams(tokens.astype(np.uint64), WINDOW), np.array(windows[int(i)].as_py(), np.int64).view(np.uint64))
             if hits.any():
                 covered = np.zeros(len(tokens) + 1, np.int64)
                 at = np.flatnonzero(hits)
@@ -263,7 +268,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     kept = [f for f in pages.schema.fields if f.name != html_col]
     parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__text", T.StringType())]))
     parsed = materialize(parsed.withColumn("__host", host_of(F.col(url_col))), "html-parsed")
-    laid = parsed.where("__text <> ''").select("__host", "__text").repartitionByRange("__host", "__text").sortWithinPartitions("__host", "__text")
+    streams = parsed.where("__text <> ''").select("__host", F.xxhash64("__text"), "__text").mapInArrow(_streams, "host string, sig bigint, stream binary")
+    laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
     counted = materialize(laid.mapInArrow(_chunk_windows, "host string, window bigint, pages bigint"), "html-windows")
     sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES)
     shared = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all"))
