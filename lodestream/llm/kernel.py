@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that one pass of the kernels works on; a longer text is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))

@@ -27,7 +27,7 @@ from lodestream.scratch import drop_table, materialize, shared_dir, write_table
 #: Symbols from which a block is closed.
 BLOCK = 1 << 18
 #: Pieces that one worker process keeps at most, at about thirty bytes each.
-CACHE_PIECES = 4_000_000
+CACHE_PIECES = 2_000_000
 #: New pieces in one call's text, and documents counted at a time.
 _TOGETHER, _ROWS = 200, 256
 #: First bytes of white space characters but the space.
