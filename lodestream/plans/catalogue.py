@@ -1,7 +1,670 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine and their DuckDB SQL.
+
+Both sides round doubles alike and break ties by id on the rounded values.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestream.functions import text, vector
+from lodestream.operators import chunking, codegraph, docgraph, evaluate, policy, retrieval
+from lodestream.plans import tables
+from lodestream.sources import files, store
+from lodestream.streaming import watch
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
+_TOKENS = "list_filter(" + _WORDS + f", lambda t: t NOT IN ({_STOP}))"
+_L2 = "round(list_sum(list_transform(list_zip({0}, {1}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 9)"
+_QUERY = "q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+# Dense retrieval.
+
+_DENSE = f"WITH {_QUERY}, d AS (SELECT vec_id AS chunk_id, label, {_L2.format('embedding', 'qv')} AS distance FROM embeddings, q {{where}} ORDER BY distance, chunk_id LIMIT {{k}}) SELECT chunk_id, label, distance, round(1 / (1 + distance), 9) AS score FROM d {{having}}"
+
+
+def _dense(spark, sf_dir, k, where=None) -> DataFrame:
+    found = retrieval.dense_topk(tables.vectors(spark, sf_dir), tables.query_vector(spark, sf_dir), k, where)
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(_DENSE.format(where="", k=10, having=""))
+def dense_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, 10)
+
+
+@query(_DENSE.format(where="WHERE label = 2", k=10, having=""))
+def dense_topk_filtered(spark, sf_dir):
+    return _dense(spark, sf_dir, 10, {"label": 2})
+
+
+@query(_DENSE.format(where="", k=50, having="WHERE score >= 0.36"))
+def dense_threshold(spark, sf_dir):
+    return _dense(spark, sf_dir, 50).where(F.col("score") >= policy.scaled_threshold(0.36, False))
+
+
+@query(_DENSE.format(where="WHERE label IN (1, 2, 3) AND (vec_id > 20 OR label = 1)", k=10, having=""))
+def dense_where_operators(spark, sf_dir):
+    where = {"$and": [{"label": {"$in": [1, 2, 3]}}, {"$or": [{"chunk_id": {"$gt": 20}}, {"label": {"$eq": 1}}]}]}
+    return _dense(spark, sf_dir, 10, where)
+
+
+_BATCH = f"ranked AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_L2.format('b.embedding', 'a.embedding')} AS distance FROM (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 40) a, embeddings b))"
+
+
+def _batch(spark, sf_dir, k) -> DataFrame:
+    vectors = tables.vectors(spark, sf_dir)
+    queries = vectors.orderBy("chunk_id").limit(40).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.dense_batch_topk(vectors, queries, k)
+
+
+@query(f"WITH {_BATCH} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, distance FROM ranked WHERE rank <= 5")
+def dense_batch_topk(spark, sf_dir):
+    """The first 40 vectors as queries, each against all vectors."""
+    return _batch(spark, sf_dir, 5)
+
+
+# Sparse retrieval.
+
+_CORPUS = f"t AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t), e AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM e GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
+_WEIGHT = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"
+
+
+@query(f"SELECT doc_id, CAST(len(a) AS INTEGER) AS n_tokens, CAST(len(list_distinct(a)) AS INTEGER) AS n_terms FROM (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents)")
+def tokenize_counts(spark, sf_dir):
+    t = text.tokens(F.col("text"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query(f"SELECT lang, round(1 - sum(len({_TOKENS.format('text')})) / sum(len({_WORDS.format('text')})), 9) AS share FROM documents GROUP BY lang")
+def stopword_share(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("lang", F.size(text.tokens(F.col("text"))).alias("t"), F.size(text.words(F.col("text"))).alias("w"))
+    return docs.groupBy("lang").agg(F.round(1 - F.sum("t") / F.sum("w"), 9).alias("share"))
+
+
+@query(f"WITH {_CORPUS} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 9) AS avgdl FROM st")
+def bm25_stats(spark, sf_dir):
+    return retrieval.corpus_statistics(tables.chunks(spark, sf_dir)).select("n", F.round("avgdl", 9).alias("avgdl"))
+
+
+@query(f"WITH {_CORPUS} SELECT term, CAST(df AS BIGINT) AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM df, st")
+def bm25_terms(spark, sf_dir):
+    return retrieval.term_statistics(tables.chunks(spark, sf_dir))
+
+
+@query(f"WITH {_CORPUS} SELECT term, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(max(tf) AS BIGINT) AS most FROM tf GROUP BY term")
+def bm25_postings(spark, sf_dir):
+    return retrieval.postings(tables.chunks(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
+
+
+_ONE_QUERY = f"qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)) GROUP BY term)"
+_BM25 = f"{_CORPUS}, {_ONE_QUERY}, sp AS (SELECT doc_id AS chunk_id, round(sum(qtf * {_WEIGHT}), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY doc_id)"
+
+
+@query(f"WITH {_BM25} SELECT chunk_id, score FROM sp WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 10")
+def bm25_topk(spark, sf_dir):
+    found = retrieval.bm25_topk(tables.chunks(spark, sf_dir), tables.query_text(spark, sf_dir), 10)
+    return found.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_CORPUS}, qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+    sc AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * {_WEIGHT}), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL)
+    SELECT query_id, count(*) AS n, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 5 GROUP BY query_id"""
+)
+def bm25_batch(spark, sf_dir):
+    """All benchmark items as queries; per query the number of its best five and the best score."""
+    queries = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    found = retrieval.bm25_batch(tables.chunks(spark, sf_dir), queries, 5)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("best"))
+
+
+# Fusion and search.
+
+_HYBRID = f"""{_QUERY}, {_BM25},
+dn AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS dense_rank FROM (SELECT doc_id AS chunk_id, {_L2.format("embedding", "qv")} AS distance FROM documents JOIN embeddings ON doc_id = vec_id, q {{dense_where}} ORDER BY distance, chunk_id LIMIT 50)),
+sr AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS sparse_rank FROM (SELECT chunk_id, score FROM sp {{sparse_join}} WHERE score > 0 {{sparse_where}} ORDER BY score DESC, chunk_id LIMIT 50)),
+fu AS (SELECT chunk_id, dense_rank, sparse_rank, round(coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + sparse_rank), 0), 12) AS fused_score FROM dn FULL OUTER JOIN sr USING (chunk_id)),
+fr AS (SELECT *, row_number() OVER (ORDER BY fused_score DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST) AS fused_rank FROM fu)"""
+
+
+def _hybrid_sql(dense_where: str = "", sparse_join: str = "", sparse_where: str = "") -> str:
+    return _HYBRID.replace("{dense_where}", dense_where).replace("{sparse_join}", sparse_join).replace("{sparse_where}", sparse_where)
+
+
+_OPEN = _hybrid_sql()
+
+
+def _hybrid(spark, sf_dir, where=None, sparse_where=None) -> DataFrame:
+    rows = tables.embedded_chunks(spark, sf_dir)
+    return retrieval.hybrid(rows, tables.query_text(spark, sf_dir), tables.query_vector(spark, sf_dir), 50, where, sparse_where)
+
+
+def _ranks(found: DataFrame) -> DataFrame:
+    """A rank of 0 means that the list doesn't have the chunk."""
+    return found.select("chunk_id", F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), F.coalesce("sparse_rank", F.lit(0)).alias("sparse_rank"), "fused_rank")
+
+
+@query(f"WITH {_OPEN} SELECT chunk_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM fr WHERE fused_rank <= 50")
+def hybrid_diagnostics(spark, sf_dir):
+    return _ranks(_hybrid(spark, sf_dir))
+
+
+@query(f"WITH {_OPEN} SELECT chunk_id, source AS file_path, lang AS category, fused_score FROM fr JOIN documents ON chunk_id = doc_id WHERE fused_rank <= 20")
+def hybrid_search(spark, sf_dir):
+    """The flagship: dense and sparse lists of 50, fused by reciprocal rank, the best 20."""
+    return _hybrid(spark, sf_dir).where("fused_rank <= 20").select("chunk_id", "file_path", "category", "fused_score")
+
+
+@query("WITH " + _hybrid_sql(dense_where="WHERE lang = 'en'", sparse_join="JOIN documents ON chunk_id = doc_id", sparse_where="AND lang = 'en'") + " SELECT chunk_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM fr WHERE fused_rank <= 50")
+def hybrid_filtered_both(spark, sf_dir):
+    """Statistics of the sparse side stay those of the whole corpus: the filter follows the scores."""
+    rows = tables.embedded_chunks(spark, sf_dir)
+    dense = retrieval.ranked(retrieval.dense_topk(rows.where("embedding is not null"), tables.query_vector(spark, sf_dir), 50, {"category": "en"}), ["distance", "chunk_id"], "dense_rank")
+    scores = retrieval.bm25_scores(tables.chunks(spark, sf_dir), tables.query_text(spark, sf_dir))
+    kept = tables.chunks(spark, sf_dir).where(retrieval.where_column({"category": "en"}))
+    scored = kept.join(scores, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(50)
+    sparse = retrieval.ranked(scored, [F.desc("score"), "chunk_id"], "sparse_rank")
+    return _ranks(retrieval.fuse(dense, sparse).where("fused_rank <= 50"))
+
+
+@query("WITH " + _hybrid_sql(dense_where="WHERE lang = 'en'", sparse_join="", sparse_where="") + " SELECT chunk_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM fr WHERE fused_rank <= 50")
+def hybrid_filtered_compat(spark, sf_dir):
+    """Only the dense list is filtered."""
+    return _ranks(_hybrid(spark, sf_dir, {"category": "en"}, None))
+
+
+@query(f"WITH {_OPEN} SELECT chunk_id, fused_score, CASE WHEN dense_rank IS NULL THEN 'sparse' WHEN sparse_rank IS NULL THEN 'dense' ELSE 'both' END AS origin FROM fr WHERE fused_rank <= 50")
+def rrf_fusion(spark, sf_dir):
+    origin = F.when(F.col("dense_rank").isNull(), "sparse").when(F.col("sparse_rank").isNull(), "dense").otherwise("both")
+    return _hybrid(spark, sf_dir).select("chunk_id", "fused_score", origin.alias("origin"))
+
+
+@query(
+    f"""WITH {_QUERY}, d AS (SELECT doc_id AS chunk_id, n_chars, {_L2.format("embedding", "qv")} AS distance FROM documents JOIN embeddings ON doc_id = vec_id, q ORDER BY distance, chunk_id LIMIT 100),
+    s AS (SELECT chunk_id, round(1 / (1 + exp(-((n_chars - 1500) / 1000))), 9) AS score FROM d) SELECT chunk_id, score FROM s WHERE score >= 0.3 / 30 ORDER BY score DESC, chunk_id LIMIT 10"""
+)
+def rerank_sigmoid(spark, sf_dir):
+    """Pool of 100, a linear scorer's sigmoid, scaled threshold, the best ten."""
+    settings = policy.SearchSettings(top_k=10, threshold=0.3, rerank=True)
+    found = retrieval.search(tables.embedded_chunks(spark, sf_dir).where("embedding is not null"), "", tables.query_vector(spark, sf_dir), settings, scorer=lambda rows: (F.col("n_chars") - 1500) / 1000.0, diagnostics=True)
+    return found.select("chunk_id", F.round("score", 9).alias("score"))
+
+
+# Policy.
+
+_TECHNICAL = " OR ".join([
+    "t LIKE '%`%'", "(t LIKE '%/%' AND length(t) > 1)", r"regexp_matches(t, '[a-zA-Z_]\.[a-zA-Z_]')", "regexp_matches(t, '[a-z][A-Z]')", "regexp_matches(t, '[a-z]_[a-z]')",
+    "(regexp_matches(t, '[A-Z]{2,}') AND contains(t, '_'))", "regexp_matches(t, '(?i)exception|error|err|exc')", r"regexp_matches(t, '[0-9]\.[0-9]')",
+    "trim(lower(t), '.,:;()[]{}') IN (" + ", ".join(f"'{w}'" for w in text.TECHNICAL_WORDS) + ")",
+])
+_FRACTION = f"(SELECT conv_id, turn, len(list_filter(p, lambda t: {_TECHNICAL})) / len(p) AS f FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> '') AS p FROM conversations) WHERE len(p) > 0 UNION ALL SELECT conv_id, turn, 0 FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '')"
+
+
+@query(f"SELECT conv_id, turn, round(f, 9) AS fraction FROM {_FRACTION}")
+def query_technical_fraction(spark, sf_dir):
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(text.technical_fraction(F.col("text")), 9).alias("fraction"))
+
+
+@query(f"SELECT f < 0.3 AS rerank, count(*) AS n FROM {_FRACTION} GROUP BY 1")
+def rerank_policy(spark, sf_dir):
+    decided = text.technical_fraction(F.col("text")) < policy.TECHNICAL_CUTOFF
+    return tables.table(spark, sf_dir, "conversations").groupBy(decided.alias("rerank")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, r AS rerank, CAST(n AS INTEGER) AS n, CAST(greatest(1, least(CASE WHEN r THEN greatest(100, 3 * k) ELSE k END, n)) AS INTEGER) AS pool FROM (SELECT unnest([1, 5, 10, 50]) AS k), (SELECT unnest([true, false]) AS r), (SELECT unnest([0, 3, 60, 1000]) AS n)")
+def fetch_k_grid(spark, sf_dir):
+    grid = [(k, r, n, policy.fetch_pool(k, r, n)) for k in (1, 5, 10, 50) for r in (True, False) for n in (0, 3, 60, 1000)]
+    return spark.createDataFrame(grid, "k int, rerank boolean, n int, pool int")
+
+
+# Collections.
+
+
+@query("SELECT coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS chunks FROM documents GROUP BY 1")
+def list_documents(spark, sf_dir):
+    return store.list_sources(tables.chunks(spark, sf_dir))
+
+
+@query("SELECT lang AS collection, count(*) AS chunks, count(DISTINCT coalesce(nullif(source, ''), 'unknown')) AS sources FROM documents GROUP BY 1")
+def list_collections(spark, sf_dir):
+    return store.collection_statistics(tables.chunks(spark, sf_dir).withColumn("collection", F.col("category")))
+
+
+@query("SELECT CAST(count(vec_id) AS BIGINT) AS covered, count(*) AS total, count(vec_id) > 0 AND count(vec_id) < count(*) AS partial FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def sparse_coverage(spark, sf_dir):
+    return store.sparse_coverage(tables.embedded_chunks(spark, sf_dir).withColumn("has_sparse_vector", F.col("embedding").isNotNull()))
+
+
+@query("SELECT source AS file_path, count(*) AS would_remove FROM documents GROUP BY 1")
+def preview_delete(spark, sf_dir):
+    return tables.chunks(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("would_remove"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE source <> 'src3'")
+def delete_by_source(spark, sf_dir):
+    rows = tables.chunks(spark, sf_dir)
+    return rows.where(~F.coalesce(retrieval.where_column({"file_path": "src3"}), F.lit(False))).select("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE NOT (lang IN ('de', 'fr') AND n_chars >= 1000)")
+def delete_by_filter(spark, sf_dir):
+    condition = retrieval.where_column({"category": {"$in": ["de", "fr"]}, "n_chars": {"$gte": 1000}})
+    return tables.chunks(spark, sf_dir).where(~F.coalesce(condition, F.lit(False))).select("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id, source AS file_path, length(text) AS size FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT -doc_id - 1, source, length(upper(text)) FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
+def upsert_replace(spark, sf_dir):
+    """Two sources come again with their English chunks only: all their old chunks go."""
+    old = tables.chunks(spark, sf_dir).select("chunk_id", "file_path", F.char_length("text").cast("bigint").alias("size"))
+    new = tables.chunks(spark, sf_dir).where("file_path in ('src1', 'src2') and category = 'en'").select((-F.col("chunk_id") - 1).alias("chunk_id"), "file_path", F.char_length(F.upper("text")).cast("bigint").alias("size"))
+    return store.replace_sources(old, new)
+
+
+_PATH = "regexp_extract(url, '^[^:]*://([^?#]*)', 1)"
+_SUFFIX = f"lower(regexp_extract(regexp_extract({_PATH}, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1))"
+
+
+def _page_files(spark, sf_dir) -> DataFrame:
+    return tables.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^:]*://([^?#]*)", 1).alias("path"))
+
+
+@query(f"SELECT page_id, 'unsupported extension ' || {_SUFFIX} AS reason FROM pages WHERE {_SUFFIX} NOT IN ('.pdf', '.docx', '.txt', '.pptx', '.html', '.md', '.csv')")
+def skipped_files(spark, sf_dir):
+    pages = _page_files(spark, sf_dir)
+    skipped = files.split_supported(pages)[1]
+    return pages.join(skipped.select("path", "reason").distinct(), "path").select("page_id", "reason")
+
+
+@query(f"SELECT CAST(count(*) FILTER (WHERE {_SUFFIX} = '.html') AS BIGINT) AS indexed, CAST(count(*) FILTER (WHERE {_SUFFIX} <> '.html') AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed FROM pages")
+def report_summary(spark, sf_dir):
+    pages = _page_files(spark, sf_dir)
+    return files.report_counts(pages.select(F.when(files.suffix(F.col("path")).isin(*files.SUPPORTED), "indexed").otherwise("skipped").alias("status")))
+
+
+@query(f"SELECT CASE WHEN {_SUFFIX} = '.html' THEN 'code/html' ELSE 'unknown/unknown' END AS content_type, count(*) AS n FROM pages GROUP BY 1")
+def type_counts(spark, sf_dir):
+    return files.inventory(_page_files(spark, sf_dir))[0]
+
+
+# Document graph.
+
+_NODES = r"g AS (SELECT doc_id AS id, lang || '/' || source AS category, list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 16))), 1, 3) AS keywords, CASE WHEN n_chars < 300 THEN lang WHEN n_chars < 900 THEN lang || '/' || source ELSE lang || '/' || source || '/' || doc_id END AS header_path, 'docs/' || source || '/' || lang || '.md' AS file_path FROM documents)"
+_CAT = "SELECT a.id AS src, b.id AS dst, 'category' AS relation, CAST(1 AS DOUBLE) AS weight FROM g a JOIN g b ON a.category = b.category AND a.id < b.id"
+_KEY = "SELECT src, dst, 'keyword' AS relation, CAST(0.5 AS DOUBLE) AS weight, array_to_string(list_sort(list(term)), ',') AS shared FROM (SELECT a.id AS src, b.id AS dst, a.term FROM (SELECT id, unnest(keywords) AS term FROM g) a JOIN (SELECT id, unnest(keywords) AS term FROM g) b ON a.term = b.term AND a.id < b.id) GROUP BY src, dst"
+_HEAD = "SELECT DISTINCT a.id AS src, b.id AS dst, 'heading_child' AS relation, CAST(1 AS DOUBLE) AS weight FROM g a JOIN g b ON starts_with(b.header_path, a.header_path || '/') AND a.id <> b.id WHERE a.header_path <> ''"
+_SIM = "SELECT a.vec_id AS src, b.vec_id AS dst, 'similar' AS relation, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {0}"
+
+
+@query(_SIM.format(0.35))
+def similarity_edges(spark, sf_dir):
+    return docgraph.similarity_edges(tables.vectors(spark, sf_dir), 0.35)
+
+
+@query(f"WITH {_NODES} {_CAT}")
+def category_edges(spark, sf_dir):
+    return docgraph.category_edges(tables.graph_chunks(spark, sf_dir))
+
+
+@query(f"WITH {_NODES} {_KEY}")
+def keyword_edges(spark, sf_dir):
+    return docgraph.keyword_edges(tables.graph_chunks(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
+
+
+@query(f"WITH {_NODES} {_HEAD}")
+def heading_edges(spark, sf_dir):
+    return docgraph.heading_edges(tables.graph_chunks(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_NODES}, e AS (SELECT src, dst, relation, weight, 0 AS kind FROM ({_SIM.format(0.35)}) UNION ALL SELECT *, 1 FROM ({_CAT}) UNION ALL SELECT src, dst, relation, weight, 2 FROM ({_KEY}) UNION ALL SELECT *, 3 FROM ({_HEAD})),
+    l AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max_by(struct_pack(relation, weight), kind) AS x FROM e GROUP BY ALL)
+    SELECT x.relation AS relation, count(*) AS edges, round(sum(x.weight), 6) AS weight FROM l GROUP BY 1"""
+)
+def doc_graph_edges(spark, sf_dir):
+    """Edges by relation after later kinds replaced earlier ones."""
+    nodes = tables.graph_chunks(spark, sf_dir).join(tables.vectors(spark, sf_dir), "chunk_id", "left")
+    return docgraph.build(nodes, 0.35).groupBy("relation").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+_CODE = [("src/en/reader.py", ["Reader", "src1"]), ("lib/src3/index.ts", ["src7"]), ("top.py", ["unused"]), ("src/de/writer.py", ["src1", "de.md"]), ("docs/src2/fr.md", [])]
+
+
+@query(
+    "WITH " + _NODES + ", c AS (SELECT * FROM (VALUES ('src/en/reader.py', ['Reader', 'src1'], 'reader', 'en'), ('lib/src3/index.ts', ['src7'], 'index', 'src3'), ('top.py', ['unused'], 'top', ''), ('src/de/writer.py', ['src1', 'de.md'], 'writer', 'de'), ('docs/src2/fr.md', CAST([] AS VARCHAR[]), 'fr', 'src2')) v(path, exports, stem, dir)), "
+    "l AS (SELECT path AS code, id AS doc, 'filename_match' AS relation FROM c, g WHERE contains(path, '/') AND (contains(file_path, path) OR contains(path, file_path) OR contains(file_path, stem)) "
+    "UNION SELECT path, id, 'symbol_match' FROM (SELECT path, unnest(exports) AS s FROM c), g WHERE contains(file_path, s) "
+    "UNION SELECT path, id, 'keyword_overlap' FROM c JOIN g ON dir <> '' AND (lower(dir) = lower(split_part(category, '/', 1)) OR list_contains(list_transform(keywords, lambda k: lower(k)), lower(dir)))) SELECT * FROM l"
+)
+def cross_links(spark, sf_dir):
+    code = spark.createDataFrame(_CODE, "path string, exports array<string>")
+    docs = tables.graph_chunks(spark, sf_dir).withColumn("category", F.split_part("category", F.lit("/"), F.lit(1)))
+    return docgraph.cross_links(code, docs)
+
+
+# Code graph.
+
+_SOURCES = [
+    ("app/main.py", "python", "import app.util\nfrom app.models import User\nfrom .local import x\nclass Main(Base, Mixin[int]):\n    def run(self):\n        pass\n"),
+    ("app/util.py", "python", "import os\nasync def helper():\n    pass\nclass Base:\n    pass\n"),
+    ("app/models.py", "python", "from app.util import helper\nclass User(Base):\n    pass\n"),
+    ("app/local.py", "python", "import app.models\nx = 1\n"),
+    ("web/index.ts", "typescript", "import {a} from './lib'\nimport './style'\nconst b = require('../web/other')\nexport class View extends Panel {}\nexport const go = (x) => x\n"),
+    ("web/lib/index.ts", "typescript", "export function a() {}\nclass Panel {}\n"),
+    ("web/other.js", "javascript", "import {View} from './index'\nfunction plain() {}\nclass Sub extends View {}\n"),
+    ("srv/Main.java", "java", "import srv.Helper;\npublic class Main extends Helper {\n}\n"),
+    ("srv/Helper.java", "java", "public class Helper {\n}\n"),
+]
+
+
+def _sources(spark) -> DataFrame:
+    return spark.createDataFrame(_SOURCES, "path string, language string, source string")
+
+
+@query()
+def code_symbols(spark, sf_dir):
+    return codegraph.extract(_sources(spark)).drop("source")
+
+
+@query()
+def import_edges(spark, sf_dir):
+    return codegraph.import_edges(codegraph.extract(_sources(spark)))
+
+
+@query()
+def inheritance_edges(spark, sf_dir):
+    extracted = codegraph.extract(_sources(spark))
+    return codegraph.inheritance_edges(extracted, codegraph.import_edges(extracted))
+
+
+_EDGES = "ed AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
+
+
+@query(
+    f"""WITH {_EDGES}, dg AS (SELECT p_partkey AS node, count(src) AS in_degree FROM part LEFT JOIN ed ON p_partkey = dst GROUP BY 1),
+    o AS (SELECT in_degree, row_number() OVER (ORDER BY in_degree DESC) AS r, count(*) OVER () AS n FROM dg), cut AS (SELECT least(5, max(in_degree) FILTER (WHERE r = greatest(1, n // 10))) AS c, max(in_degree) AS m FROM o)
+    SELECT node, in_degree FROM dg, cut WHERE m > 0 AND in_degree >= c"""
+)
+def hubs(spark, sf_dir):
+    """Parts that many suppliers point to."""
+    edges = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    nodes = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    return codegraph.hubs(codegraph.in_degrees(nodes, edges))
+
+
+def _graphs(spark, sf_dir) -> DataFrame:
+    """One graph a nation: its suppliers, linked if they supply parts of one brand to many orders."""
+    supplied = tables.table(spark, sf_dir, "lineitem").join(tables.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n")).where("n >= 28")
+    home = supplied.join(tables.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("graph"), F.col("l_suppkey").alias("src"), "p_brand")
+    linked = home.join(home.withColumnRenamed("src", "dst"), ["graph", "p_brand"]).where("src < dst").select("graph", "src", "dst").distinct()
+    return linked.unionByName(home.select("graph", "src", F.lit(None).cast("bigint").alias("dst")).distinct())
+
+
+@query()
+def communities(spark, sf_dir):
+    return codegraph.communities(_graphs(spark, sf_dir))
+
+
+@query()
+def bridges(spark, sf_dir):
+    graphs = _graphs(spark, sf_dir)
+    return codegraph.bridges(graphs, codegraph.communities(graphs))
+
+
+# Metadata.
+
+_HITS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '(?i){p}'))" for p, _ in text.KEYWORD_RULES)
+
+
+@query(f"SELECT doc_id, CASE WHEN list_max(h) = 0 THEN 'uncategorised' ELSE [{', '.join(repr(c) for _, c in text.KEYWORD_RULES)}][list_position(h, list_max(h))] END AS category FROM (SELECT doc_id, [{_HITS}] AS h FROM documents)")
+def keyword_category(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", text.keyword_category(F.col("text")).alias("category"))
+
+
+_RAW = ["AI", "  \"Machine Learning\" ", "a b c d", "", "### Notes", "`fetch`", "4._[x]", "Deep-Learning!", "über", "'quoted'", "one two three", "data_science_101"]
+_NORM = r"trim(regexp_replace(lower(trim(trim(trim(raw, ' ' || chr(9) || chr(10)), '\"'), '''')), '\s+', '_', 'g'), '_-#`.,;:!?')".replace('\\"', '"')
+
+
+@query(
+    "SELECT raw, CASE WHEN len(string_split(t, '_')) <= 3 AND regexp_full_match(t, '[a-z][a-z0-9_-]*') THEN t ELSE 'uncategorised' END AS category FROM (SELECT raw, "
+    + _NORM + " AS t FROM (SELECT source || ' ' || lang AS raw FROM documents UNION SELECT unnest([" + ", ".join("'" + r.replace("'", "''") + "'" for r in _RAW) + "])))"
+)
+def category_normalise(spark, sf_dir):
+    literal = spark.createDataFrame([(r,) for r in _RAW], "raw string")
+    raw = tables.table(spark, sf_dir, "documents").select(F.concat_ws(" ", "source", "lang").alias("raw")).distinct().unionByName(literal)
+    return raw.select("raw", text.normalise_category(F.col("raw")).alias("category"))
+
+
+@query()
+def llm_response_parse(spark, sf_dir):
+    raw = [('{"category": "Deep Learning", "keywords": [" A ", "b", ""], "summary": " s "}',), ('```json\n{"category": "x", "keywords": "no"}\n```',), ("plain text",), ("[1, 2]",), ("",)]
+    return spark.createDataFrame(raw, "raw string").select("raw", text.parse_response(F.col("raw")).alias("p")).select("raw", "p.*")
+
+
+@query("SELECT DISTINCT lower(lang) AS category FROM documents WHERE lang IS NOT NULL")
+def taxonomy(spark, sf_dir):
+    """Distinct valid categories of all collections."""
+    labels = tables.table(spark, sf_dir, "documents").select(text.normalise_category(F.col("lang")).alias("category")).distinct()
+    return labels.where(F.col("category") != text.UNCATEGORISED)
+
+
+@query("SELECT conv_id, min_by(text, turn) FILTER (WHERE coalesce(text, '') <> '' AND role = 'user') AS title FROM conversations GROUP BY conv_id")
+def first_nonempty(spark, sf_dir):
+    """The first text of each conversation's user: first-met values by position."""
+    valid = (F.coalesce("text", F.lit("")) != "") & (F.col("role") == "user")
+    return tables.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.when(valid, F.col("text")), F.when(valid, F.col("turn"))).alias("title"))
+
+
+# Chunks.
+
+
+@query("SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_chars, round(quantile_cont(length(text), 0.95), 6) AS p95_chars, CAST(max(length(text)) AS INTEGER) AS max_chars, CAST(count(*) FILTER (WHERE length(text) > 2048) AS BIGINT) AS over_limit, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END), 6) AS heading_rate FROM documents")
+def chunk_stats(spark, sf_dir):
+    return evaluate.chunk_statistics(tables.chunks(spark, sf_dir).withColumn("header", F.when(F.col("category") == "en", "en")), "text", 2048, "header")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE length(text) >= 1024")
+def min_chunk_filter(spark, sf_dir):
+    return chunking.drop_small(tables.chunks(spark, sf_dir), 1024, 0.25, "text").select("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id, '[' || source || '] ' || text AS chunk FROM documents")
+def heading_prepend(spark, sf_dir):
+    once = chunking.prepend_heading(F.col("text"), F.col("file_path"))
+    rows = tables.chunks(spark, sf_dir).withColumn("text", once)
+    return rows.select("chunk_id", chunking.prepend_heading(F.col("text"), F.col("file_path")).alias("chunk"))
+
+
+@query()
+def chunk_sentences(spark, sf_dir):
+    return chunking.sentence(tables.chunks(spark, sf_dir).select("chunk_id", "text")).select("chunk_id", "chunk_index", "chunk")
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    rows = tables.chunks(spark, sf_dir).select("chunk_id", F.concat(F.lit("# "), "file_path", F.lit("\n\n## "), "category", F.lit("\n"), "text").alias("text"))
+    return chunking.markdown(rows).select("chunk_id", "chunk_index", "header_path", "chunk")
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 2")
+def content_hash_dedup(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "sha256", "copies")
+
+
+@query(
+    """WITH r AS (SELECT n_regionkey AS table_id, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation),
+    l AS (SELECT table_id, row // 3 AS row_group, row, '| ' || n_name || ' | ' || n_nationkey || ' |' AS line FROM r)
+    SELECT CAST(table_id AS BIGINT) AS table_id, CAST(row_group AS INTEGER) AS row_group, min_by(line, row) || chr(10) || '| --- | --- |' || coalesce(string_agg(chr(10) || line, '' ORDER BY row) FILTER (WHERE row % 3 > 0), '') AS markdown FROM l GROUP BY 1, 2"""
+)
+def table_to_markdown(spark, sf_dir):
+    from pyspark.sql import Window
+
+    nation = tables.table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    cell = lambda c, v: nation.select(F.col("n_regionkey").cast("bigint").alias("table_id"), "row", F.lit(c).alias("column"), F.col(v).cast("string").alias("value"))
+    return chunking.table_to_markdown(cell(0, "n_name").unionByName(cell(1, "n_nationkey")), 3)
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS page, (l_linenumber * 1000000 + l_partkey) * 100 + l_quantity AS position, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 100 AS w FROM lineitem),
+    a AS (SELECT page, max(x + w) * 0.45 AS mid, min_by(x, position) AS f, min(x) AS lo, max(x) AS hi FROM p GROUP BY page)
+    SELECT page, CASE WHEN lo < mid AND hi >= mid THEN CASE WHEN f < mid THEN 'left' ELSE 'right' END ELSE 'single' END AS "column" FROM a"""
+)
+def pdf_column_label(spark, sf_dir):
+    items = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_quantity")).alias("position"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 100).alias("width"))
+    return chunking.column_label(items)
+
+
+# Evaluation: vectors of the same label are relevant to each other.
+
+_RANKED = f"WITH {_BATCH}, rk AS (SELECT query_id, chunk_id AS doc, rank FROM ranked WHERE rank <= 50), lb AS (SELECT vec_id, label FROM embeddings), rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc, q.label FROM (SELECT * FROM lb ORDER BY vec_id LIMIT 40) q JOIN lb d ON q.label = d.label AND q.vec_id <> d.vec_id)"
+
+
+def _ranking(spark, sf_dir) -> DataFrame:
+    return _batch(spark, sf_dir, 50).select("query_id", "rank", F.col("chunk_id").alias("doc"))
+
+
+def _relevant(spark, sf_dir) -> DataFrame:
+    docs = tables.vectors(spark, sf_dir).select(F.col("chunk_id").alias("doc"), "label")
+    queries = tables.vectors(spark, sf_dir).orderBy("chunk_id").limit(40).select(F.col("chunk_id").alias("query_id"), "label")
+    return queries.join(docs, "label").where("query_id <> doc").select("query_id", "doc", "label")
+
+
+_HIT = "SELECT r.query_id, count(*) FILTER (WHERE k.rank <= 10) AS n, min(k.rank) FILTER (WHERE k.rank <= 10) AS first, count(*) AS total FROM rel r LEFT JOIN rk k ON r.query_id = k.query_id AND r.doc = k.doc GROUP BY 1"
+_METRICS = f"SELECT query_id, CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS hit, round(coalesce(1 / first, 0), 9) AS mrr, round(n / total, 9) AS recall FROM ({_HIT})"
+
+
+@query(f"{_RANKED} {_METRICS}")
+def eval_hit_mrr_recall(spark, sf_dir):
+    return evaluate.hit_mrr_recall(_ranking(spark, sf_dir), _relevant(spark, sf_dir), 10)
+
+
+@query(
+    f"{_RANKED}, m AS ({_METRICS}), x AS (SELECT m.*, CAST(label AS VARCHAR) AS label FROM m JOIN lb ON query_id = vec_id) "
+    "SELECT label, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall, count(*) AS n FROM x GROUP BY label UNION ALL SELECT 'all', round(avg(hit), 6), round(avg(mrr), 6), round(avg(recall), 6), count(*) FROM x"
+)
+def eval_means(spark, sf_dir):
+    metrics = evaluate.hit_mrr_recall(_ranking(spark, sf_dir), _relevant(spark, sf_dir), 10)
+    labels = tables.vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), "label")
+    return evaluate.grouped_means(metrics.join(labels, "query_id"), "label", ["hit", "mrr", "recall"])
+
+
+_NUG = "nug AS (SELECT query_id, doc, (doc % 7) AS nugget_id FROM rel)"
+
+
+def _nuggets(spark, sf_dir) -> DataFrame:
+    """Relevant documents support one of seven nuggets of their query."""
+    return _relevant(spark, sf_dir).select("query_id", "doc", (F.col("doc") % 7).alias("nugget_id"))
+
+
+@query(f"{_RANKED}, {_NUG}, met AS (SELECT DISTINCT n.query_id, n.nugget_id FROM nug n JOIN rk k ON n.query_id = k.query_id AND n.doc = k.doc AND k.rank <= 20) SELECT t.query_id, round(coalesce(c.n, 0) / t.total, 9) AS coverage FROM (SELECT query_id, count(DISTINCT nugget_id) AS total FROM nug GROUP BY 1) t LEFT JOIN (SELECT query_id, count(*) AS n FROM met GROUP BY 1) c ON t.query_id = c.query_id")
+def eval_coverage(spark, sf_dir):
+    return evaluate.coverage(_ranking(spark, sf_dir), _nuggets(spark, sf_dir), 20)
+
+
+@query(f"{_RANKED}, {_NUG}, s AS (SELECT n.query_id, k.rank, count(*) OVER (PARTITION BY n.query_id, nugget_id ORDER BY k.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM nug n JOIN rk k ON n.query_id = k.query_id AND n.doc = k.doc AND k.rank <= 10) SELECT t.query_id, round(coalesce(v, 0), 9) AS alpha_dcg FROM (SELECT DISTINCT query_id FROM nug) t LEFT JOIN (SELECT query_id, sum(pow(0.5, seen) / log2(rank + 1)) AS v FROM s GROUP BY 1) x ON t.query_id = x.query_id")
+def eval_alpha_ndcg(spark, sf_dir):
+    return evaluate.alpha_dcg(_ranking(spark, sf_dir), _nuggets(spark, sf_dir), 10)
+
+
+@query()
+def eval_alpha_ideal(spark, sf_dir):
+    return evaluate.ideal_alpha_dcg(_nuggets(spark, sf_dir), 10)
+
+
+_GRADES = "gr AS (SELECT query_id, doc, CASE WHEN doc % 2 = 0 THEN 2 ELSE 1 END AS grade FROM rel)"
+
+
+@query(f"{_RANKED}, {_GRADES}, d AS (SELECT g.query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM gr g JOIN rk k ON g.query_id = k.query_id AND g.doc = k.doc AND rank <= 10 GROUP BY 1), i AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc) AS r FROM gr) WHERE r <= 10 GROUP BY 1) SELECT i.query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END, 9) AS ndcg FROM i LEFT JOIN d ON i.query_id = d.query_id")
+def eval_ndcg(spark, sf_dir):
+    grades = _relevant(spark, sf_dir).select("query_id", "doc", F.when(F.col("doc") % 2 == 0, 2).otherwise(1).alias("grade"))
+    return evaluate.ndcg(_ranking(spark, sf_dir), grades, 10)
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1")
+def eval_p95(spark, sf_dir):
+    return evaluate.latency(tables.table(spark, sf_dir, "events"), "value", "event_type")
+
+
+@query(f"{_RANKED}, rv AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM rk), a AS (SELECT k.query_id, k.doc FROM rk k JOIN rel r ON k.query_id = r.query_id AND k.doc = r.doc WHERE rank <= 10), b AS (SELECT k.query_id, k.doc FROM rv k JOIN rel r ON k.query_id = r.query_id AND k.doc = r.doc WHERE rank <= 10) SELECT query_id, CAST(count(*) FILTER (WHERE x IS NULL) AS BIGINT) AS gained, CAST(count(*) FILTER (WHERE y IS NULL) AS BIGINT) AS lost FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.doc AS x, b.doc AS y FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc = b.doc) GROUP BY 1")
+def bm25_contribution(spark, sf_dir):
+    """Relevant documents that a second ranking adds to the first ten and those it loses."""
+    from pyspark.sql import Window
+
+    ranking = _ranking(spark, sf_dir)
+    other = ranking.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"))))
+    return evaluate.contribution(ranking, other, _relevant(spark, sf_dir), 10)
+
+
+@query()
+def eval_bootstrap(spark, sf_dir):
+    return evaluate.bootstrap_mean(evaluate.hit_mrr_recall(_ranking(spark, sf_dir), _relevant(spark, sf_dir), 10), "mrr")
+
+
+@query()
+def stratified_sample(spark, sf_dir):
+    return evaluate.stratified_sample(tables.table(spark, sf_dir, "labels"), F.col("quality") == 1, 60, 0.5, "doc_id").select("doc_id", "quality")
+
+
+# Streaming, here over a batch of events: a user stands for a file.
+
+_ISLANDS = "b AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM b)"
+
+
+def _file_events(spark, sf_dir) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events")
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("kind"), F.col("event_type").alias("sha256"))
+
+
+@query(f"WITH {_ISLANDS} SELECT CAST(user_id AS VARCHAR) AS path, CAST(epoch_us(min(ts)) AS BIGINT) AS started_us, CAST(epoch_us(max(ts)) AS BIGINT) AS ended_us, count(*) AS n_events FROM i GROUP BY user_id, burst")
+def watch_debounce(spark, sf_dir):
+    out = watch.debounced(_file_events(spark, sf_dir), "10 minutes")
+    return out.select("path", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"), "n_events")
+
+
+@query(
+    f"""WITH {_ISLANDS}, s AS (SELECT user_id, burst, min(ts) AS started, max_by(event_type, ts) AS h FROM i GROUP BY ALL), l AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY started) AS was FROM s)
+    SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS changes FROM l WHERE h IS DISTINCT FROM was GROUP BY 1"""
+)
+def watch_dedup(spark, sf_dir):
+    """Bursts whose content, here the event type, differs from the burst before."""
+    bursts = watch.debounced(_file_events(spark, sf_dir), "10 minutes").withColumn("kind", F.lit("modified"))
+    return watch.content_changes(bursts).groupBy("path").agg(F.count("*").alias("changes"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE source NOT IN (SELECT 'src' || (user_id % 20) FROM events WHERE event_type = (SELECT min(event_type) FROM events))")
+def watch_deletes(spark, sf_dir):
+    """Chunks left after the files that events of the first kind name were deleted."""
+    events = tables.table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_type").alias("event_type"))
+    gone = events.join(F.broadcast(first), "event_type").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("file_path")).distinct()
+    return tables.chunks(spark, sf_dir).join(gone, "file_path", "left_anti").select("chunk_id")
+
+
+@query("SELECT doc_id, regexp_replace(source, '[0-9]+$', '') AS stem FROM documents")
+def path_parts(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(docgraph.stem(F.col("source")), "[0-9]+$", "").alias("stem"))
+
+
+@query("SELECT vec_id AS chunk_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 9) AS cosine FROM embeddings, (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1)")
+def cosine_scores(spark, sf_dir):
+    q = vector.literal(tables.query_vector(spark, sf_dir))
+    return tables.vectors(spark, sf_dir).select("chunk_id", F.round(vector.cosine(F.col("embedding"), q), 9).alias("cosine"))
