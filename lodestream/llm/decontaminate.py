@@ -193,9 +193,9 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     Words are runs outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F after A-Z are lower-cased. Defined
     results: null and empty texts have no words and no hits; an item without words, or with a null
     id, has no window; items that repeat each count under their own id; several hits may overlap;
-    without items there are no hits; other columns pass through whatever their names.
+    without items there are no hits; columns of the two new names are replaced, others pass through.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("__n_words", "__hits")
     n = len(docs.columns)
     out_schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__hits", _HITS)])
     text_at = docs.columns.index(text_col)

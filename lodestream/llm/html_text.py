@@ -151,7 +151,7 @@ def _parse(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = ["\n\n".join(blocks_of(x.as_py())) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for i, n in enumerate(b.schema.names) if i != at), "__text"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for i, n in enumerate(b.schema.names) if i != at), "__lodestream_text"])
 
     return run
 
@@ -236,7 +236,7 @@ def _chunk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered tokens go from __text where __windows is set; the last two columns are these."""
+    """Covered tokens go from the text where windows is set; the last two columns are these."""
     make = TokenStreams()
     for b in batches:
         texts, windows = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1)
@@ -266,19 +266,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
         pages = pages.drop(text_col)
     at = pages.columns.index(html_col)
     kept = [f for f in pages.schema.fields if f.name != html_col]
-    parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__text", T.StringType())]))
-    parsed = materialize(parsed.withColumn("__host", host_of(F.col(url_col))), "html-parsed")
-    streams = parsed.where("__text <> ''").select("__host", F.xxhash64("__text"), "__text").mapInArrow(_streams, "host string, sig bigint, stream binary")
+    parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__lodestream_text", T.StringType())]))
+    parsed = materialize(parsed.withColumn("__lodestream_host", host_of(F.col(url_col))), "html-parsed")
+    streams = parsed.where("__lodestream_text <> ''").select("__lodestream_host", F.xxhash64("__lodestream_text"), "__lodestream_text").mapInArrow(_streams, "host string, sig bigint, stream binary")
     laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
     counted = materialize(laid.mapInArrow(_chunk_windows, "host string, window bigint, pages bigint"), "html-windows")
     sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES)
     shared = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all"))
     # windows on most pages: no more of them for a host than its pages' mean length over SHARE
-    boilerplate = materialize(shared.groupBy(F.col("host").alias("__at")).agg(F.collect_list("window").alias("__windows")), "html-boilerplate")
-    joined = parsed.join(boilerplate, F.col("__host") == F.col("__at"), "left").drop("__at", "__host")
-    columns = [*[f.name for f in kept], "__text", "__windows"]
-    out = joined.select(*columns).mapInArrow(_remove, T.StructType([*kept, T.StructField("__text", T.StringType())]))
-    return out.withColumnRenamed("__text", text_col)
+    boilerplate = materialize(shared.groupBy(F.col("host").alias("__lodestream_at")).agg(F.collect_list("window").alias("__lodestream_windows")), "html-boilerplate")
+    joined = parsed.join(boilerplate, F.col("__lodestream_host") == F.col("__lodestream_at"), "left").drop("__lodestream_at", "__lodestream_host")
+    columns = [*[f.name for f in kept], "__lodestream_text", "__lodestream_windows"]
+    out = joined.select(*columns).mapInArrow(_remove, T.StructType([*kept, T.StructField("__lodestream_text", T.StringType())]))
+    return out.withColumnRenamed("__lodestream_text", text_col)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,8 +177,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     Only the text is read. Defined results: null texts, texts without a letter and a model that has
     learnt nothing give ``und`` with 0; equal proportions give the first name in order; whole
-    texts count however long; other columns pass through; an empty table gives an empty one.
+    texts count however long; columns of the two new names are replaced, others pass through; an empty table gives an empty one.
     """
+    docs = docs.drop("__lang", "__score")
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(_predict(model, docs.columns.index(text_col)), schema)
 

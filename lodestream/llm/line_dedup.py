@@ -287,11 +287,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more hold lose all their lines, but for those in the smallest document id. Defined results: a
     null or empty text is one empty line, and a null text stays null; a document that loses all
     its lines gets an empty text; repeated rows of one id count as one document; rows with a null
-    id keep their lines and hold none against others; other columns pass through, whatever their
-    names; an empty table gives an empty one.
+    id keep their lines and hold none against others; columns of the two new names are replaced, all
+    others pass through; an empty table gives an empty one.
     """
-    lost = LineIndex.build(docs, id_col, text_col, min_chars).drops().withColumnsRenamed({"doc": "__doc", "keys": "__keys"})
-    joined = docs.join(lost, F.col(id_col).cast("bigint") == F.col("__doc"), "left").drop("__doc")
+    docs = docs.drop("__n_lines", "__n_dropped")
+    lost = LineIndex.build(docs, id_col, text_col, min_chars).drops().withColumnsRenamed({"doc": "__lodestream_doc", "keys": "__lodestream_keys"})
+    joined = docs.join(lost, F.col(id_col).cast("bigint") == F.col("__lodestream_doc"), "left").drop("__lodestream_doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
     return joined.mapInArrow(_rebuild(docs.columns.index(text_col)), schema)
 

@@ -16,8 +16,9 @@ LENGTHS = (3, 4, 5)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 # Parts of the labelled addresses: fixed values, invented here.
-_BAD = "casino-win casino-royal poker-online bets-live free-bets betting-tips slots-bonus jackpot-spins cheap-pills pills-online viagra-shop pharma-discount adult-x adult-cams xxx-videos porn-tube hot-singles escort-ads spam-farm spam-links link-farm seo-links ads-track ad-tracker track-clicks click-ads popunder-ads adserver-banner warez-crack torrent-free keygen-crack replica-watches payday-loans quick-loans fake-rolex crypto-doubler win-prize free-iphone malware-update phish-login".split()
-_GOOD = "library museum weather gardening cooking recipes astronomy history physics chemistry biology university school city-council newsroom daily-herald travel-notes mountain-hiking cycling chess-club open-docs python-guide linux-wiki health-advice hospital parliament courts statistics census maps-archive poetry novels theatre orchestra railways bakery carpentry village-news football rowing therston tionard enthal blemont ingerton thoratin estable ationel thenware thatcher".split()
+_BAD = "casino poker bets betting slots jackpot pills viagra pharma adult xxx porn escort singles spam links seo ads track clicks popunder warez torrent keygen replica payday loans crypto prize malware phish".split()
+_GOOD = "library museum weather gardening cooking recipes astronomy history physics chemistry biology university school council newsroom herald travel hiking cycling chess docs guide wiki health hospital parliament courts statistics census maps poetry novels theatre orchestra railways bakery carpentry village football rowing".split()
+_AROUND = ["best-{}", "{}-online", "free-{}", "{}-win", "{}-farm", "my-{}", "{}-tube"]
 _HOSTS = ["{}.example.com", "www.{}.example.net", "blog.{}.example.org", "m.{}.example.com", "{}.example.org"]
 _PATHS = ["/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/en/{}.html", "/fr/{}"]
 
@@ -31,9 +32,10 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     rows = []
     syllables = ["th", "er", "an", "re", "in", "on", "ti", "st", "al", "ou", "ed", "ha", "sh", "ing", "tion", "ble", "wh", "es"]
     made = [syllables[i % 18] + syllables[(7 * i + 3) % 18] + (syllables[(5 * i + 1) % 18] if i % 2 else "") for i in range(54)]
-    for label, names in ((1.0, _BAD), (0.0, _GOOD + made)):
+    around = lambda words: [_AROUND[(i + k) % len(_AROUND)].format(w) for i, w in enumerate(words) for k in (0, 2, 5)]
+    for label, names in ((1.0, _BAD + around(_BAD)), (0.0, _GOOD + around(_GOOD) + made)):
         for i, name in enumerate(names):
-            rows += [(_HOSTS[(i + k) % len(_HOSTS)].format(name), _PATHS[(5 * i + k) % len(_PATHS)].format((i * 7919 + k * 104729) % 50000), label) for k in range(5)]
+            rows += [(_HOSTS[(i + k) % len(_HOSTS)].format(name), _PATHS[(5 * i + k) % len(_PATHS)].format((i * 7919 + k * 104729) % 50000), label) for k in range(3)]
     values = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, label)")
 
@@ -67,14 +69,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def _grams(host: Column, path: Column) -> Column:
-    """Character n-grams of host and path, each marked with the part it is from."""
+    """Character n-grams of host and path, each marked with the part it is from; numbers in paths are all one."""
 
     def of(text: Column, mark: str, n: int) -> Column:
         padded = F.concat(F.lit("^"), text, F.lit("$"))
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1))
         return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n))))
 
-    return F.concat(*(of(text, mark, n) for text, mark in ((host, "h:"), (path, "p:")) for n in LENGTHS))
+    return F.concat(*(of(text, mark, n) for text, mark in ((host, "h:"), (F.regexp_replace(path, "[0-9]+", "0"), "p:")) for n in LENGTHS))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, labelled: DataFrame | None = None) -> DataFrame:
@@ -89,15 +91,15 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, s
     from pyspark.ml.feature import HashingTF
 
     spark = pages.sparkSession
-    hashing = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__grams", outputCol="__features")
+    hashing = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__lodestream_grams", outputCol="__lodestream_features")
     table = labelled if labelled is not None else labelled_urls(spark)
-    train = hashing.transform(table.select(F.col("label").alias("__label"), _grams(F.col("host"), F.col("path")).alias("__grams")).coalesce(1))
-    model = LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__block", probabilityCol="__probability", rawPredictionCol="__raw", regParam=0.02, maxIter=40).fit(train)
+    train = hashing.transform(table.select(F.col("label").alias("__lodestream_label"), _grams(F.col("host"), F.col("path")).alias("__lodestream_grams")).coalesce(1))
+    model = LogisticRegression(featuresCol="__lodestream_features", labelCol="__lodestream_label", predictionCol="__lodestream_block", probabilityCol="__lodestream_probability", rawPredictionCol="__lodestream_raw", regParam=0.005, maxIter=40).fit(train)
     rows = pages.withColumn("__host", host_of(F.col(url_col))).withColumn("__path", path_of(F.col(url_col)))
-    scored = model.transform(hashing.transform(rows.withColumn("__grams", _grams(F.col("__host"), F.col("__path")))))
+    scored = model.transform(hashing.transform(rows.withColumn("__lodestream_grams", _grams(F.col("__host"), F.col("__path")))))
     name, verdict = rule_of(F.col("__host"), F.col("__path"), RULES if rules is None else rules)
-    judged = F.coalesce(verdict, F.when(F.col("__block") == 1, "block").otherwise("allow"))
-    return scored.withColumn("__rule", name).withColumn("__verdict", judged).drop("__grams", "__features", "__raw", "__probability", "__block")
+    judged = F.coalesce(verdict, F.when(F.col("__lodestream_block") == 1, "block").otherwise("allow"))
+    return scored.withColumn("__rule", name).withColumn("__verdict", judged).drop("__lodestream_grams", "__lodestream_features", "__lodestream_raw", "__lodestream_probability", "__lodestream_block")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
