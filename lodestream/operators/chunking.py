@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 CHUNK_SIZE, CHUNK_OVERLAP, MARKDOWN_SIZE = 512, 100, 1024
 _CHARS_PER_TOKEN = 4
-_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n+|$)\s*|[.!?\n]+\s*")
+_WORD = re.compile(r"(\S+)(\s*)")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _PIECE = T.ArrayType(T.StructType([T.StructField("chunk", T.StringType()), T.StructField("header_path", T.StringType())]))
 
@@ -21,14 +21,18 @@ _PIECE = T.ArrayType(T.StructType([T.StructField("chunk", T.StringType()), T.Str
 def split_sentences(text: str, size: int, overlap: int) -> list[str]:
     """Chunks of whole sentences of ``size`` words at most; each begins with up to ``overlap`` words of the one before.
 
-    A sentence longer than a chunk is cut at words, and a word longer than four characters for each
-    word of a chunk at characters.
+    Sentences end with a full stop, question or exclamation mark, or a line. A sentence longer than a
+    chunk is cut at words, and a word of more than eight characters for each word of a chunk at
+    characters.
     """
     most = size * _CHARS_PER_TOKEN * 2
-    units: list[list[str]] = []
-    for sentence in _SENTENCE.findall(text):
-        words = [w[i : i + most] for w in sentence.split() for i in range(0, len(w), most)]
-        units += [words[i : i + size] for i in range(0, len(words), size)]
+    units, sentence = [], []
+    for word, space in _WORD.findall(text):
+        sentence += [word[i : i + most] for i in range(0, len(word), most)]
+        if word[-1] in ".!?" or "\n" in space:
+            units += [sentence[i : i + size] for i in range(0, len(sentence), size)]
+            sentence = []
+    units += [sentence[i : i + size] for i in range(0, len(sentence), size)]
     chunks, current, carried = [], [], 0
     for unit in units:
         if current and len(current) + len(unit) > size:

@@ -43,7 +43,7 @@ def ignored(path: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, size, content) of all files below ``root``; content is read only if used."""
+    """(path, modified, size, content) of the files below ``root`` but hidden ones; content is read only if used."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 

@@ -44,7 +44,10 @@ class WatchSink:
         self.errors = 0
 
     def _state(self, before: int) -> DataFrame:
-        known = [b for b in range(before - 1, max(-1, before - 50), -1) if self._exists(b)]
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        written = [int(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
+        known = [b for b in sorted(written, reverse=True) if b < before and self._exists(b)][:1]
         return self.spark.read.parquet(f"{self.path}/{known[0]:010d}") if known else self.spark.createDataFrame([], "path string, sha256 string")
 
     def _exists(self, batch: int) -> bool:
