@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lodestream.llm import kernel
 
 #: Words that one worker process keeps at most, at about forty bytes each, and pairs of tokens.
-CACHE_WORDS = 2_000_000
-_PAIRS = 1_000_000
+CACHE_WORDS = 1_000_000
+_PAIRS = 400_000
 _MARK = "▁"
 _MARK_BYTES = _MARK.encode()
 
