@@ -335,7 +335,7 @@ def heading_edges(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NODES}, e AS (SELECT src, dst, relation, weight, 0 AS kind FROM ({_SIM.format(0.35)}) UNION ALL SELECT *, 1 FROM ({_CAT}) UNION ALL SELECT src, dst, relation, weight, 2 FROM ({_KEY}) UNION ALL SELECT *, 3 FROM ({_HEAD})),
+    f"""WITH {_NODES}, e AS (SELECT src, dst, relation, weight, 0 AS kind FROM ({_SIM.format(0.35)}) WHERE src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g) UNION ALL SELECT *, 1 FROM ({_CAT}) UNION ALL SELECT src, dst, relation, weight, 2 FROM ({_KEY}) UNION ALL SELECT *, 3 FROM ({_HEAD})),
     l AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max_by(struct_pack(relation, weight), kind) AS x FROM e GROUP BY ALL)
     SELECT x.relation AS relation, count(*) AS edges, round(sum(x.weight), 6) AS weight FROM l GROUP BY 1"""
 )
