@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_html_text": html_text.OP2_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
