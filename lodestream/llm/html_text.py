@@ -31,8 +31,9 @@ from lodestream.scratch import materialize
 WINDOW = 8
 #: Distinct pages that one suffix array takes in.
 CHUNK = 512
-#: Windows on this share of a host's distinct pages are boilerplate, from MIN_PAGES such pages on.
-SHARE, MIN_PAGES = 0.6, 20
+#: Windows on this share of a host's distinct pages are boilerplate, from so many such pages on:
+#: for pages that mark their article, and for those that don't.
+MARKED, UNMARKED = (0.6, 20), (0.5, 4)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -92,10 +93,10 @@ def _judge(name: str, attrs: str, in_core: bool) -> tuple[bool, int]:
     return False, rank
 
 
-def blocks_of(page: str | None) -> list[str]:
-    r"""The text blocks of a page's article, white space collapsed, in page order."""
+def article_of(page: str | None) -> tuple[list[str], bool]:
+    r"""The text blocks of a page's article, white space collapsed, in page order; whether markup names it."""
     if not page:
-        return []
+        return [], False
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, int]] = []  # name, away or within such, rank of the container around
     text: list[str] = []
@@ -144,14 +145,19 @@ def blocks_of(page: str | None) -> list[str]:
         stack.append((name, away, rank))
     close_block()
     best = max((rank for rank, _ in found), default=0)
-    return [x for rank, x in found if rank == best]
+    return [x for rank, x in found if rank == best], best > 0
+
+
+def blocks_of(page: str | None) -> list[str]:
+    return article_of(page)[0]
 
 
 def _parse(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["\n\n".join(blocks_of(x.as_py())) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for i, n in enumerate(b.schema.names) if i != at), "__lodestream_text"])
+            found = [article_of(x.as_py()) for x in b.column(at)]
+            columns = [*(c for i, c in enumerate(b.columns) if i != at), pa.array(["\n\n".join(x) for x, _ in found], pa.string()), pa.array([m for _, m in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(n for i, n in enumerate(b.schema.names) if i != at), "__lodestream_text", "__lodestream_marked"])
 
     return run
 
@@ -236,13 +242,16 @@ def _chunk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered tokens go from the text where windows is set; the last two columns are these."""
+    """Covered tokens go from the text where windows are set; the last four columns are text, marked, strict and loose windows."""
     make = TokenStreams()
     for b in batches:
-        texts, windows = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1)
-        for i in np.flatnonzero(windows.is_valid().to_numpy(zero_copy_only=False)):
+        texts, (marked, strict, loose) = b.column(b.num_columns - 4).to_pylist(), b.columns[-3:]
+        for i in np.flatnonzero(loose.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            windows = (strict if marked[i].as_py() else loose)[i].as_py()
+            if not windows:
+                continue
             tokens, words = make(texts[i])
-            hits = np.isin(kernel.grams(tokens.astype(np.uint64), WINDOW), np.array(windows[int(i)].as_py(), np.int64).view(np.uint64))
+            hits = np.isin(kernel.grams(tokens.astype(np.uint64), WINDOW), np.array(windows, np.int64).view(np.uint64))
             if hits.any():
                 covered = np.zeros(len(tokens) + 1, np.int64)
                 at = np.flatnonzero(hits)
@@ -251,7 +260,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = np.cumsum(covered[:-1]) > 0
                 left = " ".join(w for w, g in zip(words, gone, strict=True) if not g or w == "\n")
                 texts[i] = "\n\n".join(x for part in left.split("\n") if (x := part.strip(" ")))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], names=b.schema.names[:-1])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(texts, pa.string())], names=b.schema.names[:-3])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -266,17 +275,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
         pages = pages.drop(text_col)
     at = pages.columns.index(html_col)
     kept = [f for f in pages.schema.fields if f.name != html_col]
-    parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__lodestream_text", T.StringType())]))
+    parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__lodestream_text", T.StringType()), T.StructField("__lodestream_marked", T.BooleanType())]))
     parsed = materialize(parsed.withColumn("__lodestream_host", host_of(F.col(url_col))), "html-parsed")
     streams = parsed.where("__lodestream_text <> ''").select("__lodestream_host", F.xxhash64("__lodestream_text"), "__lodestream_text").mapInArrow(_streams, "host string, sig bigint, stream binary")
     laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
     counted = materialize(laid.mapInArrow(_chunk_windows, "host string, window bigint, pages bigint"), "html-windows")
-    sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES)
-    shared = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all"))
-    # windows on most pages: no more of them for a host than its pages' mean length over SHARE
-    boilerplate = materialize(shared.groupBy(F.col("host").alias("__lodestream_at")).agg(F.collect_list("window").alias("__lodestream_windows")), "html-boilerplate")
-    joined = parsed.join(boilerplate, F.col("__lodestream_host") == F.col("__lodestream_at"), "left").drop("__lodestream_at", "__lodestream_host")
-    columns = [*[f.name for f in kept], "__lodestream_text", "__lodestream_windows"]
+    sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= UNMARKED[1])
+    shared = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host").where(F.col("pages") >= UNMARKED[0] * F.col("all"))
+    strict = F.when((F.col("all") >= MARKED[1]) & (F.col("pages") >= MARKED[0] * F.col("all")), F.col("window"))
+    # windows on half of the pages: no more of them for a host than twice its pages' mean length
+    found = shared.groupBy(F.col("host").alias("__lodestream_at")).agg(F.collect_list(strict).alias("__lodestream_strict"), F.collect_list("window").alias("__lodestream_loose"))
+    boilerplate = materialize(found, "html-boilerplate")
+    joined = parsed.join(boilerplate, F.col("__lodestream_host") == F.col("__lodestream_at"), "left")
+    columns = [*[f.name for f in kept], "__lodestream_text", "__lodestream_marked", "__lodestream_strict", "__lodestream_loose"]
     out = joined.select(*columns).mapInArrow(_remove, T.StructType([*kept, T.StructField("__lodestream_text", T.StringType())]))
     return out.withColumnRenamed("__lodestream_text", text_col)
 

@@ -369,6 +369,9 @@ def test_extraction_over_a_table(spark):
     rows = [(i, f"http://A.example.com/{i}", f"<article><h1>T{i}</h1><p>{' '.join(random.choices(words, k=80))}</p><p>{share}</p></article>") for i in range(60)]
     quoted = " ".join(random.choices(words, k=60))
     rows += [(i, f"http://b.example.com/{i}", f"<p>{quoted if i % 3 == 0 else ''} {' '.join(random.choices(words, k=80))}</p>") for i in range(60, 100)]
+    menu = "our own long menu of things that every page has on top"
+    rows += [(i, f"http://c.example.com/{i}", f"<div class=x1>{menu}</div><div class=x2><p>{' '.join(random.choices(words, k=50))}</p></div>") for i in range(200, 206)]
+    rows += [(i, f"http://d.example.com/{i}", f"<article><p>{quoted}</p><p>own {i}</p></article>") for i in range(210, 216)]
     rows += [(100, None, PAGE), (101, "no scheme", None), (102, "http://a.example.com/x", ""), (103, "http://b.example.com/y", rows[70][2]), (103, "http://b.example.com/y", rows[70][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "__at", "text", "sig")})
     out = html_text.extract(pages)
@@ -376,6 +379,8 @@ def test_extraction_over_a_table(spark):
     got = {r.page_id: r.text for r in out.collect()}
     assert not any(share in got[i] for i in range(60)) and all(got[i].startswith(f"T{i}\n\n") for i in range(60))
     assert all(quoted in got[i] for i in range(60, 100) if i % 3 == 0)
+    assert not any("menu" in got[i] for i in range(200, 206)) and all(len(got[i].split()) == 50 for i in range(200, 206))
+    assert all(got[i] == f"{quoted}\n\nown {i}" for i in range(210, 216))  # marked, and too few pages to tell
     assert got[100] == "Title é\n\nOne twothree four five\n\na\n\nb" and got[101] == got[102] == "" and out.count() == len(rows)
     assert html_text.extract(pages.limit(0)).count() == 0
 
