@@ -85,3 +85,15 @@ def rerank_decision(query: str, explicit: bool | None = None, profile: Profile |
         return False, "semantic reranking off"
     fraction = technical_fraction(query)
     return (False, f"technical query ({fraction:.2f})") if fraction >= cutoff else (True, f"semantic query ({fraction:.2f})")
+
+
+def model_files(model: str, machine: str) -> list[str]:
+    """Files of a scoring model to try, best first: quantised ones where they run on this machine."""
+    name = model.lower()
+    if "modernbert" in name or "gte-reranker" in name:
+        kinds = ["_quantized", "_int8", "_fp16", ""]
+    elif machine.lower() in ("arm64", "aarch64"):
+        kinds = ["_qint8_arm64", ""]
+    else:
+        kinds = [""]
+    return [f"onnx/model{k}.onnx" for k in kinds]

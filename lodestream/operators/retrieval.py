@@ -85,10 +85,12 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     return chunks.select(id_col, F.explode(text.tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(term, df, idf): documents that hold a term, and ln(1 + (N - df + 0.5) / (df + 0.5))."""
+def term_statistics(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", floored: bool = False) -> DataFrame:
+    """(term, df, idf): documents that hold a term, and ln(1 + (N - df + 0.5) / (df + 0.5)), or the floored form."""
     n = chunks.select(F.count("*").alias("n"))
     df = chunks.select(F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if floored:
+        return idf_floored(df.crossJoin(F.broadcast(n))).select("term", "df", F.round("idf", DIGITS).alias("idf"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), DIGITS).alias("idf"))
 
 
@@ -101,6 +103,15 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
+def idf_floored(stats: DataFrame) -> DataFrame:
+    """The other common form, for (term, df, n): ln(n - df + 0.5) - ln(df + 0.5), where negative values
+    become a quarter of the mean over all terms."""
+    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    rows = stats.withColumn("idf", raw)
+    mean = rows.agg(F.avg("idf").alias("mean"))
+    return rows.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean")).otherwise(F.col("idf"))).drop("mean")
+
+
 def term_weight(idf_: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     length = F.when(avgdl == 0, 1.0).otherwise(avgdl)
     return idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / length))

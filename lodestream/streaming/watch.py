@@ -6,11 +6,19 @@ follow each other within the debounce gap are one change, settled by its last ev
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 DEBOUNCE = "2 seconds"
+#: Files whose last hash is kept, the ones changed longest ago going first.
+MAX_FILES = 50_000
+#: Connection errors in a row from which on the log says that the model server may be gone.
+MAX_ERRORS = 5
+SHUTDOWN_SECONDS = 30
+
+log = logging.getLogger(__name__)
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
@@ -39,16 +47,17 @@ class WatchSink:
     batch that is delivered again finds its changes done and leaves everything as it is.
     """
 
-    def __init__(self, spark: SparkSession, state_path: str, upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None]):
+    def __init__(self, spark: SparkSession, state_path: str, upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None], most: int = MAX_FILES):
         self.spark, self.path, self.upsert, self.delete = spark, state_path.rstrip("/"), upsert, delete
         self.errors = 0
+        self.most = most
 
     def _state(self, before: int) -> DataFrame:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         written = [int(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
         known = [b for b in sorted(written, reverse=True) if b < before and self._exists(b)][:1]
-        return self.spark.read.parquet(f"{self.path}/{known[0]:010d}") if known else self.spark.createDataFrame([], "path string, sha256 string")
+        return self.spark.read.parquet(f"{self.path}/{known[0]:010d}") if known else self.spark.createDataFrame([], "path string, sha256 string, changed bigint")
 
     def _exists(self, batch: int) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch:010d}/_SUCCESS")
@@ -67,9 +76,14 @@ class WatchSink:
             self.errors = 0
         except ConnectionError:
             self.errors += 1
+            log.log(logging.CRITICAL if self.errors >= MAX_ERRORS else logging.WARNING, "%d connection errors in a row", self.errors)
+            raise
+        except Exception:
+            self.errors = 0
             raise
         changed = latest.select("path")
-        kept = known.join(changed, "path", "left_anti").unionByName(latest.where("kind <> 'deleted'").select("path", "sha256"))
+        now = latest.where("kind <> 'deleted'").select("path", "sha256", F.lit(batch).cast("bigint").alias("changed"))
+        kept = known.join(changed, "path", "left_anti").unionByName(now).orderBy(F.desc("changed"), "path").limit(self.most)
         kept.write.mode("overwrite").parquet(f"{self.path}/{batch:010d}")
 
 
@@ -80,6 +94,12 @@ def watch(events: DataFrame, sink: WatchSink, checkpoint: str, gap: str = DEBOUN
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def shut_down(query, seconds: int = SHUTDOWN_SECONDS) -> bool:
+    """Stop a running loop: the batch in flight may end within the time; whether it did."""
+    query.stop()
+    return query.awaitTermination(seconds) is not False
+
+
 def listing_events(before: DataFrame, after: DataFrame) -> DataFrame:
     """Events from two listings (path, ts, sha256): the file source never reports deletions."""
     a, b = before.select("path", F.col("ts").alias("ts_a"), F.col("sha256").alias("sha_a")), after.select("path", F.col("ts").alias("ts_b"), F.col("sha256").alias("sha_b"))

@@ -89,6 +89,12 @@ def test_rerank_decisions():
     assert {x["lever"] for x in policy.profile_change(policy.PROFILES["documents"], policy.PROFILES["codebase"]) if x["reindex"]} == {"chunk_fallback", "taxonomy"}
 
 
+def test_model_files():
+    assert policy.model_files("x/gte-reranker-modernbert-base", "x86_64")[0] == "onnx/model_quantized.onnx"
+    assert policy.model_files("ms-marco", "ARM64") == ["onnx/model_qint8_arm64.onnx", "onnx/model.onnx"]
+    assert policy.model_files("ms-marco", "x86_64") == ["onnx/model.onnx"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aZ_./`1 E", max_size=20))
 def test_fraction_is_a_share(query):

@@ -71,6 +71,16 @@ def test_bm25_equals_its_formula(spark, chunks):
         assert retrieval.bm25_topk(chunks, query, k).count() == 0
 
 
+def test_floored_idf(spark, chunks):
+    got = {r.term: r.idf for r in retrieval.term_statistics(chunks, floored=True).collect()}
+    raw = {t: math.log(5 - n + 0.5) - math.log(n + 0.5) for t, n in {"sorting": 2, "roses": 2, **dict.fromkeys(["python", "code", "about", "lists", "gardening", "colour"], 1)}.items()}
+    assert got == pytest.approx(raw, abs=1e-8) and min(raw.values()) > 0
+    common = spark.createDataFrame([("a", 9, 10), ("b", 1, 10)], "term string, df long, n long")
+    low = math.log(1.5) - math.log(9.5)
+    high = math.log(9.5) - math.log(1.5)
+    assert {r.term: r.idf for r in retrieval.idf_floored(common).collect()} == pytest.approx({"a": 0.25 * (low + high) / 2, "b": high})
+
+
 def test_fusion_of_two_lists(spark):
     dense = spark.createDataFrame([(i, r, f"d{i}") for r, i in enumerate([5, 6, 1, 7, 8], 1)], "chunk_id long, dense_rank int, text string")
     sparse = spark.createDataFrame([(i, r, f"s{i}") for r, i in enumerate([2, 9, 3, 4, 1], 1)], "chunk_id long, sparse_rank int, text string")
@@ -322,6 +332,19 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert len(applied) == len(last) and gone == [("q",)]  # known content isn't applied again
     sink(watch.debounced(events(spark, [(9100, "a", "modified", "new")])), 99)
     assert len(applied) == len(last)  # a batch that comes again is done already
+    assert watch.shut_down(query)
+
+    def fails(_):
+        raise ConnectionError
+
+    sink.upsert, sink.most = fails, 1
+    for n in (1, 2):
+        with pytest.raises(ConnectionError):
+            sink(watch.debounced(events(spark, [(9200, "b", "modified", "new")])), 100)
+        assert sink.errors == n
+    sink.upsert = lambda df: None
+    sink(watch.debounced(events(spark, [(9200, "b", "modified", "new")])), 100)
+    assert sink.errors == 0 and [r.path for r in sink._state(101).collect()] == ["b"]
 
 
 def test_listing_differences(spark):
