@@ -16,7 +16,7 @@ search; hits of several blocks meet in an aggregation by document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,8 @@ def find_hits(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
     run = items.window - GRAM + 1
     if len(items.prints) and len(words) >= items.window:
         grams, inside = _row_grams(words, first, GRAM)
-        for at in _lookup(grams, items.prints):
+        done: dict[int, int] = {}  # offset between a row's words and the items' -> end of the run extended last
+        for at in _lookup(grams, items.prints).tolist():
             if not inside[at]:
                 continue
             # of the grams known from items, only those that winnowing keeps in some run here
@@ -135,8 +136,11 @@ def find_hits(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
                 continue
             lower = np.searchsorted(items.prints, grams[at], side="left")
             upper = np.searchsorted(items.prints, grams[at], side="right")
-            for place in items.places[lower:upper]:
-                a, b = _extend(words, lo, hi, int(at), items, int(place))
+            for place in items.places[lower:upper].tolist():
+                if done.get(at - place, -1) > at:
+                    continue
+                a, b = _extend(words, lo, hi, at, items, place)
+                done[at - place] = b
                 if b - a >= items.window:
                     yield row, a - lo, b - lo, int(items.item_of[place])
     for m, (keys, numbers) in items.short.items():
@@ -151,6 +155,20 @@ def find_hits(words: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tu
                         yield row, int(at - first[row]), int(at - first[row] + m), int(i)
 
 
+def merged(hits: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, first word, end word, item number) with each row's and item's overlapping ranges made one."""
+    last = None
+    for row, item, s, e in sorted({(row, item, s, e) for row, s, e, item in hits}):
+        if last is not None and last[:2] == (row, item) and s <= last[3]:
+            last = (row, item, last[2], max(last[3], e))
+            continue
+        if last is not None:
+            yield last[0], last[2], last[3], last[1]
+        last = (row, item, s, e)
+    if last is not None:
+        yield last[0], last[2], last[3], last[1]
+
+
 _HITS = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("item", T.StringType())]))
 
 
@@ -165,7 +183,7 @@ def _search(items: Items, text_at: int):
             for i, j in kernel.passes(offsets):
                 words, first = make(raw, offsets[i : j + 1])
                 n_words[i:j] = np.diff(first)
-                for row, s, e, item in set(find_hits(words, first, items)):
+                for row, s, e, item in merged(find_hits(words, first, items)):
                     hits[i + row].append({"s": s, "e": e, "item": items.ids[item]})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_words), pa.array(hits, hits_type)], names=[*b.schema.names, "__n_words", "__hits"])
 
@@ -188,7 +206,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list
 
 
 def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
-    """``docs`` with ``__n_words`` and ``__hits``: word ranges [s, e) that occurrences of windows cover, with the item.
+    """``docs`` with ``__n_words`` and ``__hits``: word ranges [s, e) that occurrences of an item's windows cover, with the item.
 
     Words are runs outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F after A-Z are lower-cased. Defined
     results: null and empty texts have no words and no hits; an item without words, or with a null

@@ -222,7 +222,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         s = random.randint(0, len(w))
         parts += [" ".join(w[s : s + random.randint(8, 30)]).upper(), " - ".join(random.choices(words, k=20))]
         texts.append(". ".join(parts))
-    texts.append("a " * 50)
+    texts += ["a " * 50, "a " * 5000]
     df, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
     brute = contamination_brute([(r.doc_id, r.text) for r in df.collect()], items)
     check = lambda: {r[0]: tuple(r)[1:] for r in decontaminate.judge(decontaminate.mark_contamination(df, bench)).collect()}
