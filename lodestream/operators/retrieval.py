@@ -7,8 +7,11 @@ shuffles them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestream.functions import text, vector
@@ -64,20 +67,49 @@ def dense_topk(chunks: DataFrame, query: list[float], k: int, where: dict | None
     return found.withColumn("score", vector.score_of(F.col("distance"))).drop(vector_col)
 
 
+def _batch_best(ids: list, queries: np.ndarray, k: int):
+    """(query_id, id, distance): of each Arrow batch, the k nearest rows of every query.
+
+    A matrix product ranks the rows; the distances of those that are near enough are then summed
+    up from differences, as for a single query.
+    """
+    lengths = (queries * queries).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            valid = b.filter(b.column(1).is_valid())
+            if not valid.num_rows:
+                continue
+            rows = np.array(valid.column(1).to_pylist(), float)
+            quick = (rows * rows).sum(axis=1)[:, None] + lengths - 2 * rows @ queries.T
+            limit = np.partition(quick, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1] + 1e-7 * (1 + lengths)
+            row, query = np.nonzero(quick <= limit)
+            for s in range(0, len(row), 65_536):
+                r, q = row[s : s + 65_536], query[s : s + 65_536]
+                distance = np.round(((rows[r] - queries[q]) ** 2).sum(axis=1), DIGITS)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), valid.column(0).take(pa.array(r)), pa.array(distance)], names=["query_id", "id", "distance"])
+
+    return run
+
+
 def dense_batch_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, distance) for each of ``queries`` (query_id, query_vector).
 
-    Queries are taken in blocks, whose size bounds what is sent to the tasks.
+    Queries, a stated set, come to the driver in blocks of ``QUERY_BLOCK`` and go to the tasks from
+    there. Each batch of chunks gives out its k nearest rows only, so what is shuffled doesn't grow
+    with the vectors but with the batches. The vectors have one length.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    best = Window.partitionBy("query_id").orderBy("distance", id_col)
-    out = None
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        scored = chunks.select(id_col, vector_col).crossJoin(F.broadcast(block)).select("query_id", id_col, F.round(vector.squared_l2(F.col(vector_col), F.col("query_vector")), DIGITS).alias("distance"))
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out.select("query_id", "rank", id_col, "distance")
+    kinds = dict(chunks.dtypes) | dict(queries.dtypes)
+    best, out, block = Window.partitionBy("query_id").orderBy("distance", "id"), None, []
+    rows = queries.where(F.col("query_vector").isNotNull()).select("query_id", "query_vector").toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        near = _batch_best([r["query_id"] for r in block], np.array([r["query_vector"] for r in block], float), k)
+        found = chunks.select(id_col, vector_col).mapInArrow(near, f"query_id {kinds['query_id']}, id {kinds[id_col]}, distance double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, rank int, {id_col} {kinds[id_col]}, distance double")
+    ranked_ = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked_.select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
