@@ -81,13 +81,19 @@ def _batch_best(ids: list, queries: np.ndarray, k: int):
             if not valid.num_rows:
                 continue
             rows = np.array(valid.column(1).to_pylist(), float)
-            quick = (rows * rows).sum(axis=1)[:, None] + lengths - 2 * rows @ queries.T
-            limit = np.partition(quick, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1] + 1e-7 * (1 + lengths)
-            row, query = np.nonzero(quick <= limit)
-            for s in range(0, len(row), 65_536):
-                r, q = row[s : s + 65_536], query[s : s + 65_536]
-                distance = np.round(((rows[r] - queries[q]) ** 2).sum(axis=1), DIGITS)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), valid.column(0).take(pa.array(r)), pa.array(distance)], names=["query_id", "id", "distance"])
+            keys, squares, most = valid.column(0).to_numpy(zero_copy_only=False), (rows * rows).sum(axis=1)[:, None], min(k, len(rows))
+            for s in range(0, len(queries), 64):
+                part = queries[s : s + 64]
+                quick = squares + lengths[s : s + 64] - 2 * rows @ part.T
+                limit = np.partition(quick, most - 1, axis=0)[most - 1] + 1e-7 * (1 + lengths[s : s + 64])
+                row, query = np.nonzero(quick <= limit)
+                distance = np.round(((rows[row] - part[query]) ** 2).sum(axis=1), DIGITS)
+                order = np.lexsort((keys[row], distance, query))
+                row, query, distance = row[order], query[order], distance[order]
+                first = np.searchsorted(query, np.arange(len(part)))
+                kept = np.arange(len(query)) - first[query] < k
+                names = [ids[s + i] for i in query[kept].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names), valid.column(0).take(pa.array(row[kept])), pa.array(distance[kept])], names=["query_id", "id", "distance"])
 
     return run
 
