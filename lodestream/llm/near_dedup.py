@@ -13,10 +13,10 @@
 3. The union of two sketches estimates the Jaccard similarity and filters the pairs.
 4. Full sets decide. First each text meets its best partner; then, of the remaining pairs, only
    those whose ends are not yet connected, as no other link can change a component.
-5. Between these two steps stragglers are searched for: texts in long lists for the most part that
-   are not in a large component yet. They meet all members of some of their long lists, in parts of
-   ``BLOCK`` by ``BLOCK``, and the sketches filter these pairs, too. Texts whose lists are short for
-   the most part have met their partners in those.
+5. Between these two steps the long lists are searched in whole: all their members that are not yet
+   connected with each other meet, in parts of ``BLOCK`` by ``BLOCK``, and the sketches filter these
+   pairs, too. Two texts in several common lists count only in the one with the smallest key; where
+   that one is short, they have met in it. So do lists whose rows lie in several partitions.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ THIN_FROM = 128
 SHORT_LIST = 32
 #: Members of a long list that meet in one task, on each side.
 BLOCK = 2048
-#: Long lists of a text that its stragglers' search goes through, and the share of its lists that are long from which it does.
-ANCHORS, DENSE = 6, 0.4
+#: Values, and pairs of texts, that a part is compared by at once.
+VALUES, PAIRS = 4096, 16384
 #: Standard deviations of the estimate that the filter stays below the threshold.
 SLACK = 4
 
@@ -121,15 +121,15 @@ def _pairs_of_lists(percent: int):
         return 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows; a list that goes on in the next batch or partition is tied by its first members."""
-        head: tuple[int, int, int] | None = None  # first member of the list that the last batch ended in
+        """Sorted rows; a long list that goes on in the next batch is tied by its first member, a short one is carried over in whole. First members tie the parts of a list in several partitions."""
+        head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # of the list that the last batch ended in
         opened = False
         for b in batches:
             if not b.num_rows:
                 continue
             key, rep, n = (c.to_numpy() for c in b.columns)
-            if head is not None and head[0] == key[0]:
-                key, rep, n = np.concatenate([[head[0]], key]), np.concatenate([[head[1]], rep]), np.concatenate([[head[2]], n])
+            if head is not None and head[0][0] == key[0]:
+                key, rep, n = (np.concatenate(x) for x in zip(head, (key, rep, n), strict=True))
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
             size = ends - starts
@@ -156,10 +156,10 @@ def _pairs_of_lists(percent: int):
             if not opened:
                 yield kernel.batch({"key": key[:1], "a": rep[:1], "b": n[:1]}, schema)
                 opened = True
-            last = int(starts[-1])
-            head = (int(key[last]), int(rep[last]), int(n[last]))
+            last = slice(int(starts[-1]), None if size[-1] <= SHORT_LIST else int(starts[-1]) + 1)
+            head = (key[last], rep[last], n[last])
         if head is not None:
-            yield kernel.batch({"key": [head[0]], "a": [head[1]], "b": [head[2]]}, schema)
+            yield kernel.batch({"key": head[0][:1], "a": head[1][:1], "b": head[2][:1]}, schema)
 
     return run
 
@@ -215,13 +215,13 @@ def _least(percent: int) -> float:
     return share - SLACK * (share * (1 - share) / SKETCH) ** 0.5
 
 
-def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, estimate) of the pairs that lists and sketches leave; rows is the lists, reps has rep and sketch."""
+def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, estimate) of the pairs that lists and sketches leave, and the keys of lists in several partitions; rows is the lists, reps has rep and sketch."""
     laid = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
     found = materialize(laid.mapInArrow(_pairs_of_lists(percent), "key bigint, a bigint, b bigint"), "nd-found")
     # the first members of the parts of a list that lies in several partitions meet the very first
     parts = found.where("key is not null").select("key", F.col("a").alias("b"), F.col("b").alias("n")).distinct()
-    firsts = parts.groupBy("key").agg(F.min("b").alias("a"))
+    firsts = materialize(parts.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("parts")).where("parts > 1"), "nd-split")
     tied = parts.join(firsts, "key").where("a <> b").select("a", "b")
     pairs = materialize(found.where("key is null").select("a", "b").unionByName(tied).distinct(), "nd-pairs")
     drop_table(reps.sparkSession, found)
@@ -231,69 +231,107 @@ def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     out = materialize(joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= _least(percent)), "nd-candidates")
     drop_table(reps.sparkSession, used)
     drop_table(reps.sparkSession, pairs)
+    return out, firsts.select("key")
+
+
+def _rows_of(values: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(values), max(map(len, values), default=0)), _PAD)
+    for row, x in zip(out, values, strict=True):
+        row[: len(x)] = x
+    return out
+
+
+def common_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each row of ``a`` has in common with each row of ``b``; rows padded with the largest value."""
+    shared = np.intersect1d(a, b)
+    shared = shared[shared != _PAD]
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def holds(rows: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(some, rows), len(some) - 1)
+        row, column = np.nonzero(some[at] == rows)
+        made = np.zeros((len(rows), len(some)), np.float32)
+        made[row, at[row, column]] = 1
+        return made
+
+    for i in range(0, len(shared), VALUES):
+        some = shared[i : i + VALUES]
+        left = holds(a, some)
+        out += left @ (left if b is a else holds(b, some)).T
     return out
 
 
 def _search_part(percent: int):
     least = _least(percent)
-
-    def pairs(strays: list[tuple], members: list[tuple]) -> pa.RecordBatch:
-        ids, labels, n = (np.array([m[i] for m in members]) for i in range(3))
-        sketches = _padded(kernel.binaries([m[3] for m in members]))
-        out: tuple[list, list, list] = ([], [], [])
-        for x, label, size, sketch in strays:
-            near = np.flatnonzero((labels != label) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
-            own = _padded(kernel.binaries([sketch]))
-            near = near[np.isin(sketches[near], own[own != _PAD]).sum(axis=1) >= 0.25 * min(size, SKETCH)]
-            estimate = jaccard_estimates(np.repeat(own, len(near), axis=0), sketches[near]) if len(near) else np.zeros(0)
-            for y, e in zip(ids[near[estimate >= least]].tolist(), estimate[estimate >= least].tolist(), strict=True):
-                for column, value in zip(out, (min(x, y), max(x, y), e), strict=True):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "estimate"])
+    names = ["a", "b", "estimate"]
+
+    def columns(key: int, rows: list[tuple]) -> tuple:
+        ids, labels, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        values = [np.frombuffer(r[3], _U) for r in rows]
+        keys = [list_keys(x, int(m)) for x, m in zip(values, n, strict=True)]
+        return ids, labels, n, _rows_of(values), _rows_of([np.unique(k[k.view(np.int64) < key]) for k in keys])
+
+    def pairs(key: int, low: list[tuple], high: list[tuple] | None) -> Iterator[pa.RecordBatch]:
+        """The pairs of the two sides, or of one, whose first common list this is."""
+        ids, labels, n, sketches, keys = one = columns(key, low)
+        ids_b, labels_b, n_b, sketches_b, keys_b = one if high is None else columns(key, high)
+        near = (labels[:, None] != labels_b) & (100 * np.minimum(n[:, None], n_b) >= percent * np.maximum(n[:, None], n_b))
+        if high is None:
+            near &= np.tri(len(ids), k=-1, dtype=bool)
+        if not near.any():
+            return
+        # an estimate has the common values above and at least the larger sketch below
+        near &= common_counts(sketches, sketches_b) >= least * np.minimum(np.maximum(n[:, None], n_b), SKETCH) - 1e-3
+        if near.any():
+            near &= common_counts(keys, keys_b) == 0
+        first, second = np.nonzero(near)
+        for i in range(0, len(first), PAIRS):
+            x, y = first[i : i + PAIRS], second[i : i + PAIRS]
+            estimate = jaccard_estimates(sketches[x], sketches_b[y])
+            keep = estimate >= least
+            x, y = ids[x[keep]], ids_b[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(estimate[keep])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, low, high, stray, rep, label, n, sketch) sorted by the first three."""
-        at, strays, members = None, [], []
+        """Rows (key, low, high, lower, rep, label, n, sketch) sorted by the first three; lower tells the side."""
+        at, sides = None, {True: [], False: []}
+
+        def part() -> Iterator[pa.RecordBatch]:
+            if at is not None and (at[1] == at[2] or sides[False]) and sides[True]:
+                yield from pairs(at[0], sides[True], None if at[1] == at[2] else sides[False])
+
         for b in batches:
-            for key, low, high, stray, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, low, high, lower, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, low, high) != at:
-                    if strays and members:
-                        yield pairs(strays, members)
-                    at, strays, members = (key, low, high), [], []
-                (strays if stray else members).append(tuple(row))
-        if strays and members:
-            yield pairs(strays, members)
+                    yield from part()
+                    at, sides = (key, low, high), {True: [], False: []}
+                sides[lower].append(tuple(row))
+        yield from part()
 
     return run
 
 
-def dense_reps(rows: DataFrame) -> DataFrame:
-    """(rep, anchors): the texts most of whose lists are long, and some of these lists."""
-    long_keys = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST), "nd-long")
-    in_long = materialize(rows.select("key", "rep").join(long_keys.select("key"), "key"), "nd-in-long")
-    of_rep = in_long.groupBy("rep").agg(F.count("*").alias("n_long"), F.slice(F.sort_array(F.collect_list("key")), 1, ANCHORS).alias("anchors"))
-    total = rows.groupBy("rep").agg(F.count("*").alias("n_lists"))
-    return materialize(of_rep.join(total, "rep").where(F.col("n_long") >= DENSE * F.col("n_lists")).select("rep", "anchors"), "nd-dense")
-
-
-def straggler_pairs(dense: DataFrame, reps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b, estimate) of stragglers and the members of their long lists that aren't connected with them."""
-    large = done.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST).select("component", F.lit(True).alias("large"))
-    label = done.join(large, "component", "left").select(F.col("node").alias("rep"), "component", "large")
-    known = dense.join(reps.select("rep", "n", "sketch"), "rep").join(label, "rep", "left")
-    known = known.select("rep", "n", "sketch", F.coalesce("component", "rep").alias("label"), F.col("large").isNull().alias("stray"), F.explode("anchors").alias("key"))
-    known = materialize(known, "nd-known")
-    sizes = known.groupBy("key").agg(F.count("*").alias("members"), F.count_if("stray").alias("strays")).where(F.col("strays") > 0)
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = materialize(sizes.select("key", blocks("members").alias("of_members"), blocks("strays").alias("of_strays")), "nd-sizes")
-    dealt = known.join(sizes, "key")
-    place = lambda c: F.pmod(F.xxhash64("rep", "key"), F.col(c)).cast("int")
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["key", "low", "high", "stray", "rep", "label", "n", "sketch"]
-    members = dealt.withColumn("low", place("of_members")).withColumn("high", all_of("of_strays")).withColumn("stray", F.lit(False)).select(*columns)
-    strays = dealt.where("stray").withColumn("low", all_of("of_members")).withColumn("high", place("of_strays")).select(*columns)
-    laid = members.unionByName(strays).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return materialize(laid.mapInArrow(_search_part(percent), "a bigint, b bigint, estimate double").distinct(), "nd-stray-pairs")
+def long_lists(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """(key, rep) of the lists that don't give all their pairs: those of more than SHORT_LIST, and those in several partitions."""
+    long_keys = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST).select("key")
+    return materialize(rows.select("key", "rep").join(materialize(long_keys.unionByName(split).distinct(), "nd-long"), "key"), "nd-in-long")
+
+
+def unmet_pairs(in_long: DataFrame, reps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """(a, b, estimate) of all members of a long list that aren't connected with each other, each pair once."""
+    label = done.select(F.col("node").alias("rep"), "component")
+    known = materialize(in_long.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "nd-labels")
+    sizes = known.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    sizes = materialize(sizes.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "nd-sizes")
+    dealt = known.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    with_sketch = materialize(dealt.join(reps.select("rep", "n", "sketch"), "rep"), "nd-dealt", "lz4")
+    met = with_sketch.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("lower"), "rep", "label", "n", "sketch")
+    laid = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    out = materialize(laid.mapInArrow(_search_part(percent), "a bigint, b bigint, estimate double"), "nd-unmet")
+    for made in (known, sizes, with_sketch):
+        drop_table(reps.sparkSession, made)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -313,16 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketched.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc", "sketch")).alias("first"), F.max("doc").alias("last"))
     reps = materialize(classes.select("fp1", "fp2", "n", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch"), (F.col("last") != F.col("first.doc")).alias("copied")), "nd-reps", "lz4")
     rows = materialize(reps.select("rep", "n", "sketch").mapInArrow(_list_rows, "key bigint, rep bigint, n bigint"), "nd-lists")
-    pairs, dense = candidate_pairs(rows, reps, percent), dense_reps(rows)
+    pairs, split = candidate_pairs(rows, reps, percent)
+    in_long = long_lists(rows, split)
     drop_table(spark, rows)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(dense.select(F.col("rep").alias("id"))).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_long.select(F.col("rep").alias("id"))).distinct()
     # a merge join whatever the size of ids: the cost stays in proportion to the texts
     texts = materialize(plain.where("doc is not null").withColumnRenamed("doc", "id").join(ids.hint("merge"), "id", "left_semi"), "nd-texts")
     # the best partner of each text, then what is not connected yet
     best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
     links = materialize(_confirmed(best, texts, shingle, percent), "nd-links")
     done = connected_components(links)
-    pairs = pairs.unionByName(straggler_pairs(dense, reps, done, percent)).select("a", "b").distinct()
+    pairs = pairs.unionByName(unmet_pairs(in_long, reps, done, percent)).select("a", "b").distinct()
     comp_a = done.select(F.col("node").alias("a"), F.col("component").alias("comp_a"))
     comp_b = done.select(F.col("node").alias("b"), F.col("component").alias("comp_b"))
     rest = pairs.join(comp_a, "a", "left").join(comp_b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")

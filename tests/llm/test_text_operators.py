@@ -177,6 +177,43 @@ def test_near_dedup_equals_brute_force(spark, k):
     assert near_dedup.near_duplicates(empty(spark), shingle=k).count() == 0
 
 
+def changed(words, places, tag):
+    out = list(words)
+    for i in places:
+        out[i] = f"{tag}_{i}"
+    return out
+
+
+def test_one_link_between_two_large_groups(spark):
+    random.seed(3)
+    base = [f"w{i}" for i in range(400)]
+    # the two ends differ in 21 of 400 places, just above the threshold; all other pairs across are below it
+    ends = changed(base, range(0, 40, 4), "a"), changed(base, range(42, 86, 4), "b")
+    groups = [[changed(end, random.sample(range(100, 398, 3), 6), f"{g}{i}") for i in range(70)] for g, end in enumerate(ends)]
+    texts = [" ".join(x) for x in (*groups[0], *groups[1], *ends)]
+    random.shuffle(texts)
+    df = frame(spark, texts)
+    brute = near_brute([(r.doc_id, r.text) for r in df.collect()], 2)
+    assert len({c for _, c in brute.values()}) == 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, shingle=2).collect() if r.doc_id is not None} == brute
+
+
+def test_sides_of_a_long_list_meet_once(spark, monkeypatch):
+    random.seed(4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(changed(base, random.sample(range(100), 3), f"x{i}")) for i in range(50)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string").coalesce(1).mapInArrow(near_dedup._sketches(2), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary").withColumnRenamed("doc", "rep").cache()
+    lists = made.select("rep", "n", "sketch").mapInArrow(near_dedup._list_rows, "key bigint, rep bigint, n bigint").cache()
+    nobody = spark.createDataFrame([], "node bigint, component bigint")
+    split = spark.createDataFrame([], "key bigint")
+    got = [(r.a, r.b) for r in near_dedup.unmet_pairs(near_dedup.long_lists(lists, split), made, nobody, 80).collect()]
+    met = [(r.a, r.b) for r in near_dedup.candidate_pairs(lists, made, 80)[0].collect()]
+    sets = [shingles(x, 2) for x in texts]
+    linked = {(i, j) for j in range(50) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(got) == len(set(got)) and linked <= {*got, *met}
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     both = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
