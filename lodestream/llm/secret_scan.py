@@ -16,9 +16,10 @@ LABELLED = 3000
 #: Characters before a candidate that count as its neighbourhood.
 NEAR = 48
 
-_NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
-_ASSIGNED = rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
-_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
+# Words of telling names; what follows in the same identifier starts with a separator, a digit or a capital.
+_NAMES = r"passwords?|passwd|pwd|passphrase|pass|secrets?|tokens?|keys?|auth|credentials?"
+_ASSIGNED = rf"(?i:{_NAMES})(?:[A-Z0-9_-][\w-]*+)?[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|{_ASSIGNED}[^\s\"'<>]{{6,}}+|{_RUN}"
 
 # Words that speak for and against a secret, and words that make up plain names.
