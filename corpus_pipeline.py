@@ -15,7 +15,10 @@ from lodestream.scratch import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told, as they have no letter, go."""
-    found = language.identify(docs, language.fit_labelled(docs))
+    model = language.fit_labelled(docs)
+    if not model.names:  # nothing learnt, so und says nothing about a text
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    found = language.identify(docs, model)
     return found.where(F.col("__lang") != language.UNKNOWN).select(*docs.columns)
 
 

@@ -199,6 +199,13 @@ def test_stages_keep_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "keys"]
 
 
+def test_texts_stay_where_no_language_is_learnt(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = ["some words here", "слова", "123 ...", "", None]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {0, 1}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
