@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestream.scratch import drop_table, materialize
+from lodestream.scratch import Workspace, materialize
 
 #: Links that one local forest takes in before it is given out.
 _CHUNK = 1 << 19
@@ -62,35 +62,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the smallest node reachable.
 
-    Nulls and self-links are left out. The result is a written table.
+    Nulls and self-links are left out. The result is a written table; the tables of the rounds go.
     """
-    pairs = links.where("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    edges = materialize(pairs.mapInArrow(_forest, "a bigint, b bigint").where("a <> b").distinct(), "cc-edges")
-    labels = None
-    while True:
-        parents = materialize(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "cc-parents")
+    with Workspace(links.sparkSession) as made:
+        pairs = links.where("a <> b").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+        edges = made.table(pairs.mapInArrow(_forest, "a bigint, b bigint").where("a <> b").distinct(), "cc-edges")
+        labels = None
         while True:
-            up = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
-            jumped = materialize(parents.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")), "cc-parents")
-            moved = jumped.where("moved").limit(1).count()
-            drop_table(parents.sparkSession, parents)
-            parents = jumped.drop("moved")
-            if not moved:
+            parents = above = made.table(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "cc-parents")
+            while True:
+                up = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
+                jumped = made.table(parents.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")), "cc-parents")
+                moved = jumped.where("moved").limit(1).count()
+                made.drop(above)
+                parents, above = jumped.drop("moved"), jumped
+                if not moved:
+                    break
+            if labels is None:
+                labels = parents
+            else:
+                up = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
+                moved_up = labels.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+                labels = made.table(moved_up.unionByName(parents.join(labels, "node", "left_anti")), "cc-labels")
+            root_a = parents.select(F.col("node").alias("a"), F.col("component").alias("root_a"))
+            root_b = parents.select(F.col("node").alias("b"), F.col("component").alias("root_b"))
+            met = edges.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            contracted = made.table(met, "cc-edges")
+            made.drop(edges)
+            edges = contracted
+            if edges.limit(1).count() == 0:
                 break
-        if labels is None:
-            labels = parents
-        else:
-            up = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
-            moved_up = labels.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-            labels = materialize(moved_up.unionByName(parents.join(labels, "node", "left_anti")), "cc-labels")
-        root_a = parents.select(F.col("node").alias("a"), F.col("component").alias("root_a"))
-        root_b = parents.select(F.col("node").alias("b"), F.col("component").alias("root_b"))
-        met = edges.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        contracted = materialize(met, "cc-edges")
-        drop_table(edges.sparkSession, edges)
-        edges = contracted
-        if edges.limit(1).count() == 0:
-            break
-    roots = labels.select(F.col("component").alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return materialize(labels.unionByName(roots), "cc-done")
+        roots = labels.select(F.col("component").alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+        return materialize(labels.unionByName(roots), "cc-done")

@@ -13,10 +13,12 @@
 3. The union of two sketches estimates the Jaccard similarity and filters the pairs.
 4. Full sets decide. First each text meets its best partner; then, of the remaining pairs, only
    those whose ends are not yet connected, as no other link can change a component.
-5. Between these two steps the long lists are searched in whole: all their members that are not yet
-   connected with each other meet, in parts of ``BLOCK`` by ``BLOCK``, and the sketches filter these
-   pairs, too. Two texts in several common lists count only in the one with the smallest key; where
-   that one is short, they have met in it. So do lists whose rows lie in several partitions.
+5. Then the long lists are searched in whole, and so are lists whose rows lie in several partitions:
+   all their members that are not connected with each other meet, in parts of two blocks. Two texts
+   in several common lists meet only in the one with the smallest key. The sketches tell which members
+   of a part may link at all; only these get their texts, and the part compares their full sets where
+   they lie and gives out a spanning forest of the links it finds. So rows stay in proportion to the
+   members, whatever the number of pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.llm import kernel
 from lodestream.llm.components import connected_components
-from lodestream.scratch import drop_table, materialize
+from lodestream.scratch import Workspace, drop_table
 
 SKETCH = 64
 #: Sets up to this size are listed under single values, sets from ``PAIR_FROM`` under pairs. The
@@ -38,10 +40,12 @@ SINGLE_UP_TO, PAIR_FROM = 32, 20
 #: From this size on, half of the neighbouring pairs do, chosen by hash.
 THIN_FROM = 128
 SHORT_LIST = 32
-#: Members of a long list that meet in one task, on each side.
-BLOCK = 2048
+#: Members of a long list that meet in one task, on each side, and the values of all their sets.
+BLOCK, BLOCK_VALUES = 2048, 1 << 21
 #: Values, and pairs of texts, that a part is compared by at once.
 VALUES, PAIRS = 4096, 16384
+#: Seconds that comparing two sets takes, for each pair and for each value; and a multiplication and addition in a matrix product.
+PAIR_COST, VALUE_COST, PRODUCT_COST = 2e-5, 3e-8, 1e-10
 #: Standard deviations of the estimate that the filter stays below the threshold.
 SLACK = 4
 
@@ -174,19 +178,22 @@ def jaccard_estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same & within).sum(axis=1) / np.maximum((new & within).sum(axis=1), 1)
 
 
-def _padded(column: pa.Array) -> np.ndarray:
-    out = np.full((len(column), SKETCH), _PAD)
-    for i, x in enumerate(column.to_pylist()):
-        values = np.frombuffer(x, _U)
-        out[i, : len(values)] = values
+def _padded(sketches: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(sketches), SKETCH), _PAD)
+    for row, x in zip(out, sketches, strict=True):
+        row[: len(x)] = x
     return out
 
 
+def _sketch_column(column: pa.Array) -> np.ndarray:
+    return _padded([np.frombuffer(x, _U) for x in column.to_pylist()])
+
+
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 4096):
             part = b.slice(i, 4096)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(jaccard_estimates(_padded(part.column("sketch_a")), _padded(part.column("sketch_b"))))], ["a", "b", "estimate"])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(jaccard_estimates(_sketch_column(part.column("sketch_a")), _sketch_column(part.column("sketch_b"))))], ["a", "b", "estimate"])
 
 
 def _verify(shingle: int, percent: int):
@@ -215,123 +222,224 @@ def _least(percent: int) -> float:
     return share - SLACK * (share * (1 - share) / SKETCH) ** 0.5
 
 
-def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int, made: Workspace) -> tuple[DataFrame, DataFrame]:
     """(a, b, estimate) of the pairs that lists and sketches leave, and the keys of lists in several partitions; rows is the lists, reps has rep and sketch."""
     laid = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
-    found = materialize(laid.mapInArrow(_pairs_of_lists(percent), "key bigint, a bigint, b bigint"), "nd-found")
+    found = made.table(laid.mapInArrow(_pairs_of_lists(percent), "key bigint, a bigint, b bigint"), "nd-found")
     # the first members of the parts of a list that lies in several partitions meet the very first
     parts = found.where("key is not null").select("key", F.col("a").alias("b"), F.col("b").alias("n")).distinct()
-    firsts = materialize(parts.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("parts")).where("parts > 1"), "nd-split")
+    firsts = made.table(parts.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("parts")).where("parts > 1"), "nd-split")
     tied = parts.join(firsts, "key").where("a <> b").select("a", "b")
-    pairs = materialize(found.where("key is null").select("a", "b").unionByName(tied).distinct(), "nd-pairs")
-    drop_table(reps.sparkSession, found)
+    pairs = made.table(found.where("key is null").select("a", "b").unionByName(tied).distinct(), "nd-pairs")
+    made.drop(found)
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    used = materialize(reps.select("rep", "sketch").join(ids, "rep", "left_semi"), "nd-used", "lz4")
+    used = made.table(reps.select("rep", "sketch").join(ids, "rep", "left_semi"), "nd-used", "lz4")
     joined = pairs.join(used.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(used.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    out = materialize(joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= _least(percent)), "nd-candidates")
-    drop_table(reps.sparkSession, used)
-    drop_table(reps.sparkSession, pairs)
+    out = made.table(joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= _least(percent)), "nd-candidates")
+    made.drop(used, pairs)
     return out, firsts.select("key")
 
 
-def _rows_of(values: list[np.ndarray]) -> np.ndarray:
-    out = np.full((len(values), max(map(len, values), default=0)), _PAD)
-    for row, x in zip(out, values, strict=True):
-        row[: len(x)] = x
-    return out
-
-
-def common_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values each row of ``a`` has in common with each row of ``b``; rows padded with the largest value."""
-    shared = np.intersect1d(a, b)
-    shared = shared[shared != _PAD]
-    out = np.zeros((len(a), len(b)), np.float32)
-
-    def holds(rows: np.ndarray, some: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(some, rows), len(some) - 1)
-        row, column = np.nonzero(some[at] == rows)
-        made = np.zeros((len(rows), len(some)), np.float32)
-        made[row, at[row, column]] = 1
-        return made
-
-    for i in range(0, len(shared), VALUES):
-        some = shared[i : i + VALUES]
-        left = holds(a, some)
-        out += left @ (left if b is a else holds(b, some)).T
+def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many values each set of ``a`` has in common with each set of ``b``, or of ``a``."""
+    sides = [a] if b is None else [a, b]
+    flat = np.concatenate([x for side in sides for x in side])
+    _, slot, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1)
+    slot = np.where(seen > 1, shared - 1, -1)[slot]
+    out = np.zeros((len(a), len(sides[-1])), np.float32)
+    entries, at = [], 0
+    for side in sides:
+        sizes = [len(x) for x in side]
+        row, mine = np.repeat(np.arange(len(side)), sizes), slot[at : at + sum(sizes)]
+        order = np.argsort(mine, kind="stable")
+        entries.append((len(side), row[order], mine[order]))
+        at += sum(sizes)
+    for i in range(0, int(shared[-1]) if len(shared) else 0, VALUES):
+        dense = []
+        for n, row, mine in entries:
+            s, e = np.searchsorted(mine, (i, i + VALUES))
+            some = np.zeros((n, VALUES), np.float32)
+            some[row[s:e], mine[s:e] - i] = 1
+            dense.append(some)
+        out += dense[0] @ dense[-1].T
     return out
 
 
-def _search_part(percent: int):
-    least = _least(percent)
-    names = ["a", "b", "estimate"]
+class Part:
+    """Two blocks of a list's members, or one with itself: ids, labels and sorted sets of each side."""
 
-    def columns(key: int, rows: list[tuple]) -> tuple:
-        ids, labels, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        values = [np.frombuffer(r[3], _U) for r in rows]
-        keys = [list_keys(x, int(m)) for x, m in zip(values, n, strict=True)]
-        return ids, labels, n, _rows_of(values), _rows_of([np.unique(k[k.view(np.int64) < key]) for k in keys])
+    def __init__(self, key: int, low: list[tuple], high: list[tuple] | None, percent: int):
+        """Rows are (id, label, size of the set, its smallest values or all of them)."""
+        self.key, self.one, self.percent = key, high is None, percent
+        self.sides = [low] if high is None else [low, high]
+        self.ids, self.labels, self.n = ([np.array([r[i] for r in side], np.int64) for side in self.sides] for i in range(3))
 
-    def pairs(key: int, low: list[tuple], high: list[tuple] | None) -> Iterator[pa.RecordBatch]:
-        """The pairs of the two sides, or of one, whose first common list this is."""
-        ids, labels, n, sketches, keys = one = columns(key, low)
-        ids_b, labels_b, n_b, sketches_b, keys_b = one if high is None else columns(key, high)
-        near = (labels[:, None] != labels_b) & (100 * np.minimum(n[:, None], n_b) >= percent * np.maximum(n[:, None], n_b))
-        if high is None:
-            near &= np.tri(len(ids), k=-1, dtype=bool)
+    def near(self) -> np.ndarray:
+        """Which pairs of the two sides sketches can't rule out and have this as their first common list."""
+        (n, m), (labels, others) = ((x[0], x[-1]) for x in (self.n, self.labels))
+        near = (labels[:, None] != others) & (100 * np.minimum(n[:, None], m) >= self.percent * np.maximum(n[:, None], m))
+        if self.one:
+            near &= np.tri(len(n), k=-1, dtype=bool)
         if not near.any():
-            return
+            return near
+        sketches = [[r[3][:SKETCH] for r in side] for side in self.sides]
         # an estimate has the common values above and at least the larger sketch below
-        near &= common_counts(sketches, sketches_b) >= least * np.minimum(np.maximum(n[:, None], n_b), SKETCH) - 1e-3
+        least = _least(self.percent)
+        near &= common_counts(*sketches) >= least * np.minimum(np.maximum(n[:, None], m), SKETCH) - 1e-3
         if near.any():
-            near &= common_counts(keys, keys_b) == 0
+            lists = [[np.unique(k[k.view(np.int64) < self.key]) for k in (list_keys(x, int(size)) for x, size in zip(some, sizes, strict=True))] for some, sizes in zip(sketches, self.n, strict=True)]
+            near &= common_counts(*lists) == 0
+        rows = [_padded(x) for x in sketches]
         first, second = np.nonzero(near)
         for i in range(0, len(first), PAIRS):
             x, y = first[i : i + PAIRS], second[i : i + PAIRS]
-            estimate = jaccard_estimates(sketches[x], sketches_b[y])
-            keep = estimate >= least
-            x, y = ids[x[keep]], ids_b[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(estimate[keep])], names)
+            near[x, y] = jaccard_estimates(rows[0][x], rows[-1][y]) >= least
+        return near
+
+    def linked(self, near: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Row by row, a test of which of the near members link."""
+        low, high = ([r[3] for r in side] for side in (self.sides[0], self.sides[-1]))
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        values = self.n[0][rows].sum() + self.n[-1][columns].sum()
+        pairs = int(near.sum())
+        common = None
+        if pairs * (PAIR_COST + VALUE_COST * values / (len(rows) + len(columns))) > PRODUCT_COST * len(rows) * len(columns) * values:
+            common = common_counts([low[i] for i in rows], [high[i] for i in columns])
+            place = np.searchsorted(columns, np.arange(len(high)))
+        for k, x in enumerate(rows.tolist()):
+
+            def test(some: np.ndarray, k=k, x=x) -> np.ndarray:
+                if common is None:
+                    met = np.array([len(np.intersect1d(low[x], high[y], assume_unique=True)) for y in some.tolist()], np.int64)
+                else:
+                    met = common[k, place[some]].astype(np.int64)
+                return (met > 0) & (100 * met >= self.percent * (self.n[0][x] + self.n[-1][some] - met))
+
+            yield x, test
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that connect what the part's links connect, beyond the labels."""
+        near = self.near()
+        if not near.any():
+            return []
+        _, tree = np.unique(np.concatenate(self.labels), return_inverse=True)
+        at = 0 if self.one else len(self.ids[0])
+        out = []
+        for x, test in self.linked(near):
+            left = np.flatnonzero(near[x])
+            while len(left := left[tree[at + left] != tree[x]]):
+                some = left[:64]
+                good = some[test(some)]
+                for y in good.tolist():
+                    if tree[at + y] != tree[x]:
+                        out.append((int(self.ids[0][x]), int(self.ids[-1][y])))
+                        tree[tree == tree[at + y]] = tree[x]
+                left = left[len(some) :]
+        return out
+
+
+def _parts(batches: Iterator[tuple], percent: int) -> Iterator[tuple[tuple, Part]]:
+    """Parts of batches of columns key, low, high, lower, and a member's rows, sorted by the first three; lower tells the side."""
+    at, sides = None, {True: [], False: []}
+
+    def part() -> Iterator[tuple[tuple, Part]]:
+        if at is not None and sides[True] and (at[1] == at[2] or sides[False]):
+            yield at, Part(at[0], sides[True], None if at[1] == at[2] else sides[False], percent)
+
+    for columns in batches:
+        for key, low, high, lower, *row in zip(*columns, strict=True):
+            if (key, low, high) != at:
+                yield from part()
+                at, sides = (key, low, high), {True: [], False: []}
+            sides[lower].append(row)
+    yield from part()
+
+
+def _suspects(percent: int):
+    names = ["key", "low", "high", "lower", "rep", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, low, high, lower, rep, label, n, sketch) sorted by the first three; lower tells the side."""
-        at, sides = None, {True: [], False: []}
+        """The members of each part that may link; rows (key, low, high, lower, rep, label, n, sketch)."""
+        columns = ([*(c.to_pylist() for c in b.columns[:7]), [np.frombuffer(x, _U) for x in b.column(7).to_pylist()]] for b in batches)
+        for (key, low, high), part in _parts(columns, percent):
+            near = part.near()
+            if near.any():
+                ends = [near.any(axis=1) | near.any(axis=0)] if part.one else [near.any(axis=1), near.any(axis=0)]
+                ids = np.concatenate([x[e] for x, e in zip(part.ids, ends, strict=True)])
+                labels = np.concatenate([x[e] for x, e in zip(part.labels, ends, strict=True)])
+                lower = np.repeat([True, False], [int(ends[0].sum()), len(ids) - int(ends[0].sum())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key, np.int64)), pa.array(np.full(len(ids), low, np.int32)), pa.array(np.full(len(ids), high, np.int32)), pa.array(lower), pa.array(ids), pa.array(labels)], names)
 
-        def part() -> Iterator[pa.RecordBatch]:
-            if at is not None and (at[1] == at[2] or sides[False]) and sides[True]:
-                yield from pairs(at[0], sides[True], None if at[1] == at[2] else sides[False])
+    return run
 
-        for b in batches:
-            for key, low, high, lower, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (key, low, high) != at:
-                    yield from part()
-                    at, sides = (key, low, high), {True: [], False: []}
-                sides[lower].append(tuple(row))
-        yield from part()
+
+def _forests(shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spanning forests of the links in each part; rows (key, low, high, lower, rep, label, text)."""
+
+        def columns() -> Iterator[list]:
+            for b in batches:
+                for i in range(0, b.num_rows, 1024):
+                    rows = b.slice(i, 1024)
+                    sets = sets_of(rows.column(6), shingle)
+                    yield [*(c.to_pylist() for c in rows.columns[:6]), [len(x) for x in sets], sets]
+
+        for _, part in _parts(columns(), percent):
+            links = part.forest()
+            if links:
+                a, b = (pa.array(x, pa.int64()) for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     return run
 
 
-def long_lists(rows: DataFrame, split: DataFrame) -> DataFrame:
-    """(key, rep) of the lists that don't give all their pairs: those of more than SHORT_LIST, and those in several partitions."""
+def long_lists(rows: DataFrame, split: DataFrame, made: Workspace) -> DataFrame:
+    """(key, rep, n) of the lists that don't give all their pairs: those of more than SHORT_LIST, and those in several partitions."""
     long_keys = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST).select("key")
-    return materialize(rows.select("key", "rep").join(materialize(long_keys.unionByName(split).distinct(), "nd-long"), "key"), "nd-in-long")
+    keys = made.table(long_keys.unionByName(split).distinct(), "nd-long")
+    return made.table(rows.join(keys, "key").select("key", "rep", "n"), "nd-in-long")
+
 
+def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, done: DataFrame, shingle: int, percent: int, made: Workspace) -> DataFrame:
+    """(a, b): links that, with those known, connect whatever links of members of a long list connect.
 
-def unmet_pairs(in_long: DataFrame, reps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b, estimate) of all members of a long list that aren't connected with each other, each pair once."""
+    ``done`` has the components known so far (node, component), ``texts`` (id, text) of all members.
+    """
     label = done.select(F.col("node").alias("rep"), "component")
-    known = materialize(in_long.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "nd-labels")
-    sizes = known.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-    sizes = materialize(sizes.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "nd-sizes")
+    known = made.table(in_long.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "nd-labels")
+    sizes = known.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")
+    sizes = made.table(sizes.select("key", blocks.alias("blocks")), "nd-sizes")
     dealt = known.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    with_sketch = materialize(dealt.join(reps.select("rep", "n", "sketch"), "rep"), "nd-dealt", "lz4")
+    with_sketch = made.table(dealt.join(reps.select("rep", "sketch"), "rep"), "nd-dealt", "lz4")
     met = with_sketch.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("lower"), "rep", "label", "n", "sketch")
     laid = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    out = materialize(laid.mapInArrow(_search_part(percent), "a bigint, b bigint, estimate double"), "nd-unmet")
-    for made in (known, sizes, with_sketch):
-        drop_table(reps.sparkSession, made)
-    return out
+    suspects = made.table(laid.mapInArrow(_suspects(percent), "key bigint, low int, high int, lower boolean, rep bigint, label bigint"), "nd-suspects")
+    made.drop(known, sizes, with_sketch)
+    compared = suspects.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "low", "high", "lower", "rep", "label", "text")
+    laid = compared.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return made.table(laid.mapInArrow(_forests(shingle, percent), "a bigint, b bigint"), "nd-forests")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, done: DataFrame | None, shingle: int, percent: int, made: Workspace) -> DataFrame:
+    """The links among those pairs whose ends ``done`` doesn't connect."""
+    if done is not None:
+        comp_a = done.select(F.col("node").alias("a"), F.col("component").alias("comp_a"))
+        comp_b = done.select(F.col("node").alias("b"), F.col("component").alias("comp_b"))
+        pairs = pairs.join(comp_a, "a", "left").join(comp_b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        pairs = made.table(pairs.select("a", "b"), "nd-rest")
+    return made.table(_confirmed(pairs, texts, shingle, percent), "nd-links")
+
+
+def _joined(done: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of those known and more links; the table of those known goes if there are any."""
+    if not links.limit(1).count():
+        return done
+    joined = connected_components(done.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
+    drop_table(done.sparkSession, done)
+    return joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -342,37 +450,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space, A-Z lower-cased. Defined results: fewer words than a shingle are one shingle; null,
     empty and blank texts have an empty set and link with nothing; rows that share an id are one
     document, linked by any of its texts; a row with a null id is a component of its own with a
-    null component_id, kept, and links with nothing; other columns play no part; an empty table
-    gives an empty one. The lists favour high similarities: ``percent`` is meant to be 70 or more.
+    null component_id, kept, and links with nothing; whole texts count however long, each one row of
+    a task; other columns play no part; an empty table gives an empty one. The lists favour high
+    similarities: ``percent`` is meant to be 70 or more.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    sketched = materialize(plain.mapInArrow(_sketches(shingle), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary"), "nd-sketches", "lz4")
-    classes = sketched.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc", "sketch")).alias("first"), F.max("doc").alias("last"))
-    reps = materialize(classes.select("fp1", "fp2", "n", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch"), (F.col("last") != F.col("first.doc")).alias("copied")), "nd-reps", "lz4")
-    rows = materialize(reps.select("rep", "n", "sketch").mapInArrow(_list_rows, "key bigint, rep bigint, n bigint"), "nd-lists")
-    pairs, split = candidate_pairs(rows, reps, percent)
-    in_long = long_lists(rows, split)
-    drop_table(spark, rows)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_long.select(F.col("rep").alias("id"))).distinct()
-    # a merge join whatever the size of ids: the cost stays in proportion to the texts
-    texts = materialize(plain.where("doc is not null").withColumnRenamed("doc", "id").join(ids.hint("merge"), "id", "left_semi"), "nd-texts")
-    # the best partner of each text, then what is not connected yet
-    best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
-    links = materialize(_confirmed(best, texts, shingle, percent), "nd-links")
-    done = connected_components(links)
-    pairs = pairs.unionByName(unmet_pairs(in_long, reps, done, percent)).select("a", "b").distinct()
-    comp_a = done.select(F.col("node").alias("a"), F.col("component").alias("comp_a"))
-    comp_b = done.select(F.col("node").alias("b"), F.col("component").alias("comp_b"))
-    rest = pairs.join(comp_a, "a", "left").join(comp_b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-    rest = materialize(rest.join(best, ["a", "b"], "left_anti"), "nd-rest")
-    more = materialize(_confirmed(rest, texts, shingle, percent), "nd-links")
-    if more.limit(1).count():
-        done = connected_components(done.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
-    drop_table(spark, texts)
-    known = reps.select("fp1", "fp2", "n", "rep", "copied").join(done, reps["rep"] == done["node"], "left")
-    known = materialize(known.where("copied or component is not null").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id")), "nd-known")
-    drop_table(spark, reps)
+    with Workspace(docs.sparkSession) as made:
+        plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
+        sketched = made.table(plain.mapInArrow(_sketches(shingle), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary"), "nd-sketches", "lz4")
+        classes = sketched.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc", "sketch")).alias("first"), F.max("doc").alias("last"))
+        reps = made.table(classes.select("fp1", "fp2", "n", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch"), (F.col("last") != F.col("first.doc")).alias("copied")), "nd-reps", "lz4")
+        rows = made.table(reps.select("rep", "n", "sketch").mapInArrow(_list_rows, "key bigint, rep bigint, n bigint"), "nd-lists")
+        pairs, split = candidate_pairs(rows, reps, percent, made)
+        in_long = long_lists(rows, split, made)
+        made.drop(rows)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_long.select(F.col("rep").alias("id"))).distinct()
+        # a merge join whatever the size of ids: the cost stays in proportion to the texts
+        texts = made.table(plain.where("doc is not null").withColumnRenamed("doc", "id").join(ids.hint("merge"), "id", "left_semi"), "nd-texts")
+        # the best partner of each text, then what is not connected yet, then the long lists
+        best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
+        done = connected_components(_verified(best, texts, None, shingle, percent, made))
+        done = _joined(done, _verified(pairs.join(best, ["a", "b"], "left_anti"), texts, done, shingle, percent, made))
+        done = _joined(done, search_long_lists(in_long, reps, texts, done, shingle, percent, made))
+        known = reps.select("fp1", "fp2", "n", "rep", "copied").join(done, reps["rep"] == done["node"], "left")
+        known = made.table(known.where("copied or component is not null").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id")), "nd-known")
+        drop_table(docs.sparkSession, done)
+        made.keep(sketched, known)
     out = sketched.select("doc", "n", "fp1", "fp2").join(known, ["fp1", "fp2", "n"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))

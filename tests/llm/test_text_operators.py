@@ -15,6 +15,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate, html_text, kernel, language, line_dedup, near_dedup, pieces, rans, token_files
+from lodestream.scratch import Workspace
 from lodestream.llm.cuckoo import CuckooFilter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -203,15 +204,64 @@ def test_sides_of_a_long_list_meet_once(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(changed(base, random.sample(range(100), 3), f"x{i}")) for i in range(50)]
-    made = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string").coalesce(1).mapInArrow(near_dedup._sketches(2), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary").withColumnRenamed("doc", "rep").cache()
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    made = docs.coalesce(1).mapInArrow(near_dedup._sketches(2), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary").withColumnRenamed("doc", "rep").cache()
     lists = made.select("rep", "n", "sketch").mapInArrow(near_dedup._list_rows, "key bigint, rep bigint, n bigint").cache()
     nobody = spark.createDataFrame([], "node bigint, component bigint")
     split = spark.createDataFrame([], "key bigint")
-    got = [(r.a, r.b) for r in near_dedup.unmet_pairs(near_dedup.long_lists(lists, split), made, nobody, 80).collect()]
-    met = [(r.a, r.b) for r in near_dedup.candidate_pairs(lists, made, 80)[0].collect()]
+    with Workspace(spark) as space:
+        found = near_dedup.search_long_lists(near_dedup.long_lists(lists, split, space), made, docs, nobody, 2, 80, space)
+        got = [(r.a, r.b) for r in found.collect()]
     sets = [shingles(x, 2) for x in texts]
     linked = {(i, j) for j in range(50) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    assert len(got) == len(set(got)) and linked <= {*got, *met}
+    assert {(min(p), max(p)) for p in got} <= linked and len(got) == len(set(got))
+    tree = list(range(50))
+    for i, j in got:
+        tree = [tree[i] if t == tree[j] else t for t in tree]
+    assert all(tree[i] == tree[j] for i, j in linked)
+
+
+def test_links_between_large_groups_of_distinct_texts(spark):
+    """Two groups whose members lie in long lists only, joined by one link between two outer members."""
+    random.seed(8)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(300)]
+        start = random.randrange(200)
+        own = lambda words, tag, k: " ".join([*words, *(f"{tag}{random.random()}" for _ in range(k))])  # noqa: E731, B023
+        b_words, near_a = changed(base, range(start, start + 54), f"b{g}"), changed(base, range(start, start + 24), f"b{g}")
+        texts += [own(base, "p", 6) for _ in range(60)] + [own(b_words, "q", 20) for _ in range(60)] + [" ".join(near_a), " ".join(b_words)]
+    random.shuffle(texts)
+    df = frame(spark, texts)
+    brute = near_brute([(r.doc_id, r.text) for r in df.collect()], 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, shingle=2).collect() if r.doc_id is not None} == brute
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_parts_give_spanning_forests(monkeypatch, sparse):
+    """A part's forest connects what its links connect, by single comparisons and by matrix products."""
+    monkeypatch.setattr(near_dedup, "PRODUCT_COST", 1.0 if sparse else 0.0)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    members = []
+    for i in range(60):
+        own = base.copy()
+        own[rng.choice(150, rng.integers(5, 40), replace=False)] = rng.integers(0, 1 << 63, 1)
+        own = np.unique(own)
+        members.append((i, i // 2, len(own), own))
+    part = near_dedup.Part(np.iinfo(np.int64).min, members[:40], members[40:], 80)  # no pair has a smaller list
+    near = part.near()
+    want = [(i, 40 + j) for i, j in zip(*np.nonzero(near), strict=True) if 5 * (c := len(np.intersect1d(members[i][3], members[40 + j][3]))) >= 4 * (members[i][2] + members[40 + j][2] - c)]
+    got = part.forest()
+    assert want and set(got) <= set(want) and len(got) < 30
+
+    def classes(links):
+        tree = [i // 2 for i in range(60)]
+        for i, j in links:
+            tree = [tree[i] if t == tree[j] else t for t in tree]
+        return [tree.index(t) for t in tree]
+
+    assert classes(got) == classes(want)
 
 
 def test_sketch_estimates():
