@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lodestream.sources.files import kind_of
+
 CHUNK_SIZE, CHUNK_OVERLAP, MARKDOWN_SIZE = 512, 100, 1024
 _CHARS_PER_TOKEN = 4
 _WORD = re.compile(r"(\S+)(\s*)")
@@ -89,27 +91,60 @@ def markdown(rows: DataFrame, size: int = MARKDOWN_SIZE, overlap: int = CHUNK_OV
     return _chunks(rows, lambda t: [(h, c) for h, s in split_headings(t) for c in split_sentences(s, size, overlap)], text_col)
 
 
-def _code_blocks(text: str, size: int) -> list[str]:
-    """Definitions at the outermost level together until the size is reached."""
-    blocks, current = [], []
+#: How a definition at the outermost level begins, by family of languages.
+_BEGINS = {
+    "python": r"(?:async\s+def|def|class)\b|@",
+    "script": r"(?:export\s+|default\s+|declare\s+|async\s+|abstract\s+)*(?:function|class|interface|enum|namespace|type|const|let)\b|@",
+    "managed": r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|data|case|override|partial|async|virtual)\s+)*(?:class|interface|enum|record|object|trait|struct|namespace|fun|def|func|function|extension|protocol)\b|@|\[",
+    "native": r"(?:template|struct|class|enum|union|namespace|typedef)\b|[A-Za-z_][\w\s*&:<>,~]*\([^;]*$",
+    "go": r"(?:func|type|var|const)\b",
+    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|impl|mod|macro_rules!)|#\[",
+    "ruby": r"(?:def|class|module)\b",
+    "shell": r"function\s+\w+|\w+\s*\(\)",
+}
+#: Languages that have a splitter, with its family; files of others are cut at sentences.
+LANGUAGES = {
+    "python": "python", "javascript": "script", "jsx": "script", "typescript": "script", "tsx": "script", "java": "managed", "csharp": "managed", "kotlin": "managed",
+    "scala": "managed", "swift": "managed", "php": "managed", "c": "native", "cpp": "native", "go": "go", "rust": "rust", "ruby": "ruby", "bash": "shell",
+}
+
+
+def _code_blocks(text: str, size: int, language: str = "python") -> list[str]:
+    """Definitions at the outermost level together until the size is reached; decorators stay with theirs."""
+    begins = re.compile(_BEGINS[LANGUAGES[language]])
+    blocks, current, held = [], [], False
     for line in text.split("\n"):
-        top = bool(line) and not line[0].isspace() and bool(re.match(r"(?:async |export |public |private |static )*(?:def|class|function|interface|struct|impl|fn|func)\b|@", line))
-        if top and current and len("\n".join(current)) >= size * _CHARS_PER_TOKEN // 2:
+        top = bool(line) and not line[0].isspace() and bool(begins.match(line))
+        if top and not held and current and len("\n".join(current)) >= size * _CHARS_PER_TOKEN // 2:
             blocks.append("\n".join(current))
             current = []
+        held = top and line[0] in "@[#"
         current.append(line)
     blocks.append("\n".join(current))
     return [b for b in blocks if b.strip()]
 
 
+def language_of(content_type: Column, file_path: Column) -> Column:
+    """A code file's language with a splitter: its type's label, or for a file without a type that of its ending; else null."""
+    label = F.when(content_type.isNull(), F.split_part(kind_of(file_path), F.lit("/"), F.lit(2))).when(F.startswith(content_type, F.lit("code/")), F.split_part(content_type, F.lit("/"), F.lit(2)))
+    return F.when(label.isin(*LANGUAGES), label)
+
+
 def code(rows: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text_col: str = "text") -> DataFrame:
-    """Blocks of definitions; a block beyond twice the size falls back to sentences."""
+    """Blocks of definitions by the file's language; a block beyond twice the size, or another language, falls back to sentences."""
 
-    def split(text: str) -> list[tuple[None, str]]:
+    def split(text: str, language: str | None) -> list[str]:
         most = 2 * size * _CHARS_PER_TOKEN
-        return [(None, c) for b in _code_blocks(text, size) for c in ([b] if len(b) <= most else split_sentences(b, size, overlap))]
+        if language not in LANGUAGES:
+            return split_sentences(text, size, overlap)
+        return [c for b in _code_blocks(text, size, language) for c in ([b] if len(b) <= most else split_sentences(b, size, overlap))]
 
-    return _chunks(rows, split, text_col)
+    @F.pandas_udf(_PIECE)
+    def pieces(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([[{"chunk": c, "header_path": None} for c in split(t or "", n)] for t, n in zip(texts, languages, strict=True)], dtype=object)
+
+    cut = rows.select("*", F.posexplode(pieces(F.col(text_col), language_of(F.col("content_type"), F.col("file_path")))).alias("chunk_index", "__piece"))
+    return cut.select(*rows.columns, "chunk_index", "__piece.chunk", "__piece.header_path")
 
 
 def config(rows: DataFrame, text_col: str = "text", **_) -> DataFrame:
@@ -123,11 +158,14 @@ STRATEGIES = {"sentence": sentence, "markdown": markdown, "code": code, "config"
 def dispatch(rows: DataFrame, fallback: str = "sentence", text_col: str = "text", **options) -> DataFrame:
     """Each file by its ``content_type`` (group/label): code, config, markdown, else sentences.
 
-    Files without a type go to ``fallback``.
+    Files without a type go by ``fallback``: ``code`` takes those whose ending is of a language with
+    a splitter. Markdown goes by headings whether its type or its ending tells.
     """
     kind = F.coalesce("content_type", F.lit(""))
-    group = F.split_part(kind, F.lit("/"), F.lit(1))
-    name = F.when(group.isin("code", "config"), group).when(kind == "document/markdown", "markdown").when(kind == "", fallback).otherwise("sentence")
+    known = language_of(F.col("content_type"), F.col("file_path")).isNotNull()
+    is_markdown = (kind == "document/markdown") | F.endswith(F.lower("file_path"), F.lit(".md"))
+    name = F.when(F.startswith(kind, F.lit("config/")), "config").when(F.startswith(kind, F.lit("code/")), F.when(known, "code").otherwise("sentence")).when(is_markdown, "markdown")
+    name = name.when(kind == "", F.when(known & (F.lit(fallback) == "code"), "code").otherwise("sentence" if fallback == "code" else fallback)).otherwise("sentence")
     marked = rows.withColumn("__strategy", name)
     out = None
     for strategy, run in STRATEGIES.items():

@@ -64,13 +64,9 @@ def fetch_pool(top_k: int, rerank: bool, count: int | None = None, override: int
 
 
 def technical_fraction(query: str) -> float:
-    """Share of identifier-like tokens of a query, by the rules of ``functions.text.is_technical``."""
-    import re
-
+    """Share of technical tokens of a query, by the rules of ``functions.text``."""
     parts = query.split()
-    rules = (r"`", r"(?s)(?=..).*/", r"[a-zA-Z_]\.[a-zA-Z_]", r"[a-z][A-Z]", r"[a-z]_[a-z]", r"(?s)(?=.*[A-Z]{2}).*_", r"(?i)exception|error|err|exc", r"[0-9]\.[0-9]")
-    hits = sum(any(re.search(r, t) for r in rules) or t.lower().strip(".,:;()[]{}") in text.TECHNICAL_WORDS for t in parts)
-    return hits / len(parts) if parts else 0.0
+    return sum(map(text.is_technical_token, parts)) / len(parts) if parts else 0.0
 
 
 def rerank_decision(query: str, explicit: bool | None = None, profile: Profile | None = None, everywhere: bool = False, semantic: bool = True, cutoff: float = TECHNICAL_CUTOFF) -> tuple[bool, str]:

@@ -1,4 +1,4 @@
-"""Files: discovery, type detection by suffix, and readers of text formats."""
+"""Files: discovery, type detection by ending or by a detector, and readers of text, office and PDF formats."""
 
 from __future__ import annotations
 
@@ -6,23 +6,43 @@ import csv
 import html
 import io
 import re
-from collections.abc import Iterator
+import subprocess
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lodestream.operators.registry import PDF
+from lodestream.sources import pdf
+
 # Endings that ingestion reads.
 SUPPORTED = [".pdf", ".docx", ".txt", ".pptx", ".html", ".md", ".csv"]
 # Folders that scans leave out.
 EXCLUDED_DIRS = [".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"]
-# Type group and label by ending.
+# Type label by ending, for each type group.
 TYPES = {
-    "code": ".py python .ts typescript .tsx tsx .js javascript .jsx jsx .mjs javascript .cjs javascript .java java .c c .cpp cpp .cc cpp .cxx cpp .h c .hpp cpp .cs csharp .go go .rs rust .rb ruby .php php .swift swift .kt kotlin .kts kotlin .scala scala .sh bash .bash bash .zsh bash .sql sql .html html .htm html .css css .scss css .less css",
-    "document": ".md markdown .markdown markdown .rst rst .txt text .pdf pdf .docx docx .doc doc .pptx pptx .csv csv",
-    "config": ".json json .yaml yaml .yml yaml .toml toml .ini ini .cfg ini .xml xml .env env",
+    "code": {
+        ".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx", ".mjs": "javascript", ".cjs": "javascript",
+        ".java": "java", ".c": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".go": "go",
+        ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".sh": "bash",
+        ".bash": "bash", ".zsh": "bash", ".sql": "sql", ".html": "html", ".htm": "html", ".css": "css", ".scss": "css", ".less": "css",
+    },
+    "document": {
+        ".md": "markdown", ".markdown": "markdown", ".rst": "rst", ".txt": "text", ".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".pptx": "pptx",
+        ".csv": "csv",
+    },
+    "config": {
+        ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".xml": "xml", ".env": "env",
+    },
 }
 # Endings of binary files.
-BINARY = ".png .jpg .jpeg .gif .bmp .ico .webp .svg .tiff .tif .heic .heif .zip .tar .gz .bz2 .7z .rar .xz .exe .dll .so .dylib .bin .o .a .mp3 .mp4 .avi .mov .wav .flv .mkv .woff .woff2 .ttf .otf .eot .pyc .pyo .class .jar".split()
+BINARY = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".svg", ".tiff", ".tif", ".heic", ".heif", ".zip", ".tar", ".gz", ".bz2", ".7z",
+    ".rar", ".xz", ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".flv", ".mkv", ".woff", ".woff2",
+    ".ttf", ".otf", ".eot", ".pyc", ".pyo", ".class", ".jar",
+]
 MAX_FILES, MAX_DEPTH = 5000, 10
 MAX_HASHED = 500 * 1024 * 1024
 
@@ -42,9 +62,27 @@ def ignored(path: Column) -> Column:
     return F.regexp_like(name, F.lit(r"^\.|^~\$|\.tmp$|\.part$")) | ~suffix(path).isin(*SUPPORTED)
 
 
+def qualified(spark: SparkSession, root: str) -> str | None:
+    """The full URI of a path as Spark's readers write it; None if there is no such file or folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(path).getPath().toString() if fs.exists(path) else None
+
+
+def is_folder(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, size, content) of the files below ``root`` but hidden ones; content is read only if used."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    """(path, relative, modified, size, content) of the files below ``root`` but hidden ones; content is read only if used.
+
+    ``relative`` is the path below ``root``; where ``root`` is a file, its name.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    full = (qualified(spark, root) or root).rstrip("/") + "/"
+    relative = F.when(F.startswith("path", F.lit(full)), F.substr("path", F.lit(len(full) + 1))).otherwise(file_name(F.col("path")))
+    return found.select("path", relative.alias("relative"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
 def split_supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,15 +92,28 @@ def split_supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(ok), skipped
 
 
-def detect_types(files: DataFrame) -> DataFrame:
-    """``files`` with group, label and is_text, of files no deeper than the limit and outside excluded folders."""
-    table = {e: (group, label) for group, text in TYPES.items() for e, label in zip(text.split()[::2], text.split()[1::2], strict=True)}
-    kinds = F.create_map(*(F.lit(x) for e, (g, n) in table.items() for x in (e, f"{g}/{n}")))
-    end = suffix(F.col("path"))
-    kind = F.when(end.isin(*BINARY), "binary/" + "unknown").otherwise(F.coalesce(F.element_at(kinds, end), F.lit("unknown/unknown")))
-    parts = F.split("path", "/")
-    kept = files.where((F.size(parts) <= MAX_DEPTH) & ~F.arrays_overlap(parts, F.array(*(F.lit(d) for d in EXCLUDED_DIRS))))
-    return kept.withColumn("content_type", kind).withColumn("is_text", ~F.startswith("content_type", F.lit("binary")))
+def kind_of(path: Column) -> Column:
+    """A path's content type (group/label) by its ending."""
+    kinds = F.create_map(*(F.lit(x) for group, labels in TYPES.items() for end, label in labels.items() for x in (end, f"{group}/{label}")))
+    end = suffix(path)
+    binary = F.concat(F.lit("binary/"), F.substr(end, F.lit(2)))
+    return F.when(end.isin(*BINARY), binary).otherwise(F.coalesce(F.element_at(kinds, end), F.lit("unknown/unknown")))
+
+
+def with_types(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """``files`` with content_type (group/label) and is_text by ending; no file goes."""
+    return files.withColumn("content_type", kind_of(F.col(path_col))).withColumn("is_text", ~F.startswith("content_type", F.lit("binary/")))
+
+
+def in_scope(relative: Column) -> Column:
+    """Whether a path below the scanned root is no deeper than the limit and outside excluded folders."""
+    folders = F.slice(F.split(relative, "/"), 1, F.greatest(F.size(F.split(relative, "/")) - 1, F.lit(0)))
+    return (F.size(folders) <= MAX_DEPTH) & ~F.arrays_overlap(folders, F.array(*(F.lit(d) for d in EXCLUDED_DIRS)))
+
+
+def detect_types(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """``with_types`` of the files in scope; ``path_col`` has paths below the scanned root."""
+    return with_types(files.where(in_scope(F.col(path_col))), path_col)
 
 
 def inventory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +122,21 @@ def inventory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.groupBy("content_type").agg(F.count("*").alias("n")), typed.orderBy("path").limit(MAX_FILES)
 
 
+def detected(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, content_type, is_text) by a detector's (path, group, label, is_text); by ending for the files it doesn't name."""
+    by_end = with_types(files).select("path", F.col("content_type").alias("by_end"), F.col("is_text").alias("text_by_end"))
+    joined = by_end.join(found.select("path", F.concat_ws("/", "group", "label").alias("found"), F.col("is_text").alias("text_found")), "path", "left")
+    return joined.select("path", F.coalesce("found", "by_end").alias("content_type"), F.coalesce("text_found", "text_by_end").alias("is_text"))
+
+
+def mismatches(types: DataFrame) -> DataFrame:
+    """(path, expected, found) of text files whose detected label isn't their ending's; endings without a label have none."""
+    known = {end: label for labels in TYPES.values() for end, label in labels.items()}
+    expected = F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), suffix(F.col("path")))
+    rows = types.where("is_text").select("path", expected.alias("expected"), F.element_at(F.split("content_type", "/"), -1).alias("found"))
+    return rows.where(F.col("expected") != F.col("found"))
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """``files`` with the SHA-256 of their content; none beyond the size limit."""
     return files.withColumn("sha256", F.when(F.octet_length("content") <= MAX_HASHED, F.sha2("content", 256)))
@@ -85,40 +151,93 @@ def _csv_text(text: str) -> str:
     return "\n".join(", ".join(row) for row in csv.reader(io.StringIO(text)))
 
 
-#: Readers by ending; formats whose parsers aren't installed give an error row.
-READERS = {".txt": str, ".md": str, ".html": strip_tags, ".csv": _csv_text}
+def _paragraphs(part: bytes, paragraph: str, run: str) -> list[str]:
+    """Texts of the elements named ``paragraph``, joined from those named ``run`` inside them, tabs and breaks kept."""
+    out = []
+    for p in ElementTree.fromstring(part).iter():
+        if p.tag.endswith("}" + paragraph):
+            text = "".join((e.text or "") if e.tag.endswith("}" + run) else "\t" if e.tag.endswith("}tab") else "\n" if e.tag.endswith("}br") else "" for e in p.iter())
+            if text.strip():
+                out.append(text)
+    return out
+
+
+def read_docx(content: bytes) -> list[tuple[str | None, str]]:
+    """One page: the document's paragraphs, a line each."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [(None, "\n".join(_paragraphs(z.read("word/document.xml"), "p", "t")))]
+
+
+def read_pptx(content: bytes) -> list[tuple[str | None, str]]:
+    """A page for each slide, in order, its paragraphs a line each."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        return [(str(i), "\n".join(_paragraphs(z.read(n), "p", "t"))) for i, n in slides]
+
+
+def read_pdf(content: bytes) -> list[tuple[str | None, str]]:
+    """The pages that the first installed PDF reader gives."""
+    return [(str(i), text) for i, text in PDF.get(pdf.choose())(content)]
+
+
+def _whole(read: Callable[[str], str]) -> Callable[[bytes], list[tuple[str | None, str]]]:
+    return lambda content: [(None, read(content.decode("utf-8")))]
+
+
+#: Readers by ending: from a file's bytes to (page label, text) pairs.
+READERS = {".txt": _whole(str), ".md": _whole(str), ".html": _whole(strip_tags), ".csv": _whole(_csv_text), ".docx": read_docx, ".pptx": read_pptx, ".pdf": read_pdf}
+_PAGES = "array<struct<label: string, text: string>>"
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """(path, text, error) of (path, content); a file that fails has an error and no text."""
+    """(path, text, pages, error) of (path, content); a file that fails has an error and neither text nor pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts, errors = [], []
+            out = []
             for path, content in zip(rows["path"], rows["content"], strict=True):
-                text, error = None, None
+                pages, error = None, None
                 try:
                     end = "." + path.rpartition(".")[2].lower()
                     if end not in READERS:
                         raise ValueError(f"no reader for {end}")
-                    text = READERS[end](bytes(content).decode("utf-8"))
+                    pages = READERS[end](bytes(content))
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
-                texts.append(text)
-                errors.append(error)
-            yield pd.DataFrame({"path": rows["path"], "text": texts, "error": errors})
+                text = None if pages is None else "\n".join(t for _, t in pages)
+                out.append((path, text, None if pages is None else [{"label": n, "text": t} for n, t in pages], error))
+            yield pd.DataFrame(out, columns=["path", "text", "pages", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    return files.select("path", "content").mapInPandas(run, f"path string, text string, pages {_PAGES}, error string")
 
 
-def read_type_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, group, label) from a type detector's JSON lines; lines that don't parse are left out."""
-    schema = "path string, result struct<value: struct<output: struct<`group`: string, label: string, is_text: boolean>>>"
-    rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    out = rows.where("r.path is not null").select("r.path", "r.result.value.output.group", "r.result.value.output.label", "r.result.value.output.is_text")
+def run_detector(spark: SparkSession, root: str, command: list[str], timeout: int = 30) -> DataFrame | None:
+    """(path, group, label, is_text) of the files below a local folder by a detector's command that writes JSON lines.
+
+    None if the command is missing, fails or takes too long: types then go by ending.
+    """
+    try:
+        done = subprocess.run([*command, root], capture_output=True, text=True, timeout=timeout, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    lines = spark.createDataFrame([(x,) for x in done.stdout.splitlines() if x.strip()], "value string")
+    return type_lines(lines)
+
+
+def type_lines(rows: DataFrame) -> DataFrame:
+    """(path, group, label, is_text) from a type detector's JSON lines; lines that don't parse are left out."""
+    output = "struct<`group`: string, label: string, is_text: boolean>"
+    parsed = rows.select(F.from_json("value", f"path string, output {output}, result struct<value: struct<output: {output}>>", {"mode": "PERMISSIVE"}).alias("r"))
+    found = parsed.where("r.path is not null").select("r.path", F.coalesce("r.output", "r.result.value.output").alias("o"))
+    out = found.select("path", F.coalesce("o.group", F.lit("unknown")).alias("group"), F.coalesce("o.label", F.lit("unknown")).alias("label"), F.coalesce("o.is_text", F.lit(True)).alias("is_text"))
     return out.where(~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(d) for d in EXCLUDED_DIRS))))
 
 
+def read_type_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``type_lines`` of stored files."""
+    return type_lines(spark.read.text(path))
+
+
 def report_counts(details: DataFrame) -> DataFrame:
     """One row: indexed, skipped and failed files of (path, status)."""
     return details.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("indexed", "skipped", "failed")))
