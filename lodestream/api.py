@@ -54,7 +54,7 @@ class Engine:
         decided, reason = rerank_decision(query, rerank, profile)
         settings = SearchSettings(top_k=profile.top_k if top_k is None else top_k, threshold=similarity_threshold, rerank=decided, hybrid=profile.hybrid if hybrid is None else hybrid)
         chunks = self.store.chunks(collection)
-        found = retrieval.search(chunks, query, self.embed_query(query), settings, metadata_filter, self.scorer, diagnostics=diagnostics)
+        found = retrieval.search(chunks, query, self.embed_query(query), settings, metadata_filter, self.scorer, diagnostics=diagnostics, index=self.store.index(collection) if settings.hybrid else None)
         return found.withColumn("rerank_reason", F.lit(reason)) if diagnostics else found
 
     @_guarded

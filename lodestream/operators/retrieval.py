@@ -8,20 +8,25 @@ shuffles them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestream.functions import text, vector
 from lodestream.operators.policy import SearchSettings, fetch_pool, scaled_threshold
+from lodestream.scratch import materialize
 
 DIGITS = 9
 #: Query vectors that are sent to the tasks at once.
 QUERY_BLOCK = 2048
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Texts that a scoring model sees at once.
+SCORE_BATCH = 32
 
 
 def where_column(where: dict | None) -> Column | None:
@@ -118,9 +123,61 @@ def dense_batch_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str
     return ranked_.select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id_col, term, tf) of all chunks."""
-    return chunks.select(id_col, F.explode(text.tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class SparseIndex:
+    """What BM25 needs of a collection: ``rows`` (term, id, tf, dl), and ``sizes`` with n and tokens, a row a part."""
+
+    rows: DataFrame
+    sizes: DataFrame
+
+    def statistics(self) -> DataFrame:
+        """One row: chunks and mean number of tokens."""
+        return self.sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+
+
+def _counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token list: sorted once, then cut where the term changes."""
+    order = F.array_sort(tokens)
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    cut = lambda s, at: F.transform(at, lambda x, i: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - x).cast("bigint").alias("tf")))
+    of_sorted = F.transform(F.array(order), lambda s: F.transform(F.array(starts(s)), lambda at: cut(s, at)))
+    return F.when(F.size(tokens) > 0, F.get(F.get(of_sorted, F.lit(0)), F.lit(0))).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", by: str | None = None) -> DataFrame:
+    """(id, term, tf, dl) of all chunks, and the column ``by``, without a shuffle."""
+    beside = [by] if by else []
+    listed = chunks.select(F.col(id_col).alias("id"), *beside, text.tokens(F.col(text_col)).alias("tokens"))
+    listed = listed.select("id", *beside, F.size("tokens").cast("bigint").alias("dl"), F.explode(_counted(F.col("tokens"))).alias("p"))
+    return listed.select("id", "p.term", "p.tf", "dl", *beside)
+
+
+def collection_sizes(chunks: DataFrame, text_col: str = "text", by: str | None = None) -> DataFrame:
+    """n and tokens: one row, or a row for each value of the column ``by``."""
+    grouped = chunks.groupBy(*([by] if by else []))
+    return grouped.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(text.tokens(F.col(text_col)))), F.lit(0)).alias("tokens"))
+
+
+def build_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", by: str | None = None) -> SparseIndex:
+    """Write the sparse index of ``chunks`` below ``path``: a query then reads only the row groups of its terms.
+
+    Postings are laid out by range over (term, id), so a term that a large part of the chunks holds
+    spreads over several files. A column ``by`` stays beside its postings and sizes.
+    """
+    spark = chunks.sparkSession
+    rows, sizes = postings(chunks, id_col, text_col, by), collection_sizes(chunks, text_col, by)
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    sizes.write.parquet(f"{path}/sizes")
+    return SparseIndex(spark.read.schema(rows.schema).parquet(f"{path}/postings"), spark.read.schema(sizes.schema).parquet(f"{path}/sizes"))
+
+
+def index_for(chunks: DataFrame, terms: list[str], id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
+    """The part of the index that some terms need, from one pass over the texts."""
+    listed = chunks.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("tokens"))
+    kept = listed.select("id", F.size("tokens").cast("bigint").alias("dl"), _counted(F.filter("tokens", lambda t: t.isin(*terms))).alias("p"))
+    kept = materialize(kept, "sparse-hits")
+    rows = kept.select("id", "dl", F.explode("p").alias("p")).select("id", "p.term", "p.tf", "dl")
+    return SparseIndex(rows, kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))
 
 
 def term_statistics(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", floored: bool = False) -> DataFrame:
@@ -155,50 +212,53 @@ def term_weight(idf_: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     return idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / length))
 
 
-def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(query_id, rank, id_col, score) for each of ``queries`` (query_id, query_text).
+def _weighted(index: SparseIndex, hits: DataFrame) -> DataFrame:
+    """``hits``, the postings of some terms, with each one's weight."""
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    both = hits.join(df, "term").crossJoin(F.broadcast(index.statistics()))
+    return both.withColumn("weight", term_weight(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl")))
+
 
-    Of the corpus, only tokens that some query holds are exploded; terms that a query repeats count
-    again. Scores above 0 only; equal ones by id.
+def bm25_batch(chunks: DataFrame | SparseIndex, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(query_id, rank, id_col, score) for each of ``queries`` (query_id, query_text) over chunks or their index.
+
+    Only terms that some query holds are joined; terms that a query repeats count again. Scores
+    above 0 only; equal ones by id.
     """
+    index = chunks if isinstance(chunks, SparseIndex) else SparseIndex(postings(chunks, id_col, text_col), collection_sizes(chunks, text_col))
     terms = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    corpus = chunks.select(id_col, text.tokens(F.col(text_col)).alias("tokens")).select(id_col, F.size("tokens").alias("dl"), "tokens")
-    stats = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = terms.select("term").distinct()
-    tf = corpus.select(id_col, "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("weight", term_weight(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl")))
-    scored = weighted.join(terms, "term").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-
-
-def bm25_scores(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    weighted = _weighted(index, index.rows.join(terms.select("term").distinct(), "term", "left_semi"))
+    scored = weighted.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def bm25_scores(chunks: DataFrame | SparseIndex, query: str, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) of the chunks that hold a term of the query, by the statistics of all of them.
 
-    Tokens that the query doesn't have go before anything is exploded or shuffled.
+    An index gives only its rows of the query's terms; without one, one pass over the texts does.
     """
     wanted = text.tokens_of(query)
-    terms = F.array(*(F.lit(t) for t in dict.fromkeys(wanted))).cast("array<string>")
-    corpus = chunks.select(id_col, text.tokens(F.col(text_col)).alias("tokens")).select(id_col, F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains(terms, t)).alias("hits"))
-    stats = corpus.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = corpus.where(F.size("hits") > 0).select(id_col, "dl", F.explode("hits").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    times = F.size(F.filter(F.array(*(F.lit(t) for t in wanted)).cast("array<string>"), lambda t: t == F.col("term")))
-    weight = times * term_weight(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("weight", weight)
-    return weighted.groupBy(id_col).agg(F.round(F.sum("weight"), DIGITS).alias("score")).where("score > 0")
-
-
-def bm25_topk(chunks: DataFrame, query: str, k: int, where: dict | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    terms = list(dict.fromkeys(wanted))
+    index = chunks if isinstance(chunks, SparseIndex) else index_for(chunks, terms, id_col, text_col)
+    weighted = _weighted(index, index.rows.where(F.col("term").isin(*terms)))
+    times = F.element_at(F.create_map(*(F.lit(x) for t in terms for x in (t, wanted.count(t)))), F.col("term"))
+    return weighted.groupBy(F.col("id").alias(id_col)).agg(F.round(F.sum(times * F.col("weight")), DIGITS).alias("score")).where("score > 0")
+
+
+def bm25_topk(chunks: DataFrame, query: str, k: int, where: dict | None = None, id_col: str = "chunk_id", text_col: str = "text", index: SparseIndex | None = None) -> DataFrame:
     """The k best chunks of one query by BM25: all columns and ``score``; equal scores by id.
 
-    Without tokens or with k below 1 there are no rows.
+    Statistics are those of all chunks; a filter follows the scores. Without tokens or with k below 1
+    there are no rows.
     """
     rows = filtered(chunks, where)
     if not text.tokens_of(query) or k < 1:
         return rows.where("false").withColumn("score", F.lit(0.0))
-    best = bm25_scores(rows, query, id_col, text_col).orderBy(F.desc("score"), id_col).limit(k)
+    scores = bm25_scores(index or chunks, query, id_col, text_col)
+    if where is not None:
+        scores = scores.join(rows.select(id_col), id_col, "left_semi")
+    best = scores.orderBy(F.desc("score"), id_col).limit(k)
     return rows.join(F.broadcast(best), id_col).select(*rows.columns, "score")  # k rows are sent
 
 
@@ -222,28 +282,49 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, id_col: str = "chu
     return ranked(fused, order, "fused_rank")
 
 
-def hybrid(chunks: DataFrame, query: str, query_vector: list[float], pool: int, where: dict | None = None, sparse_where: dict | None = None, id_col: str = "chunk_id", text_col: str = "text", vector_col: str = "embedding") -> DataFrame:
+def hybrid(chunks: DataFrame, query: str, query_vector: list[float], pool: int, where: dict | None = None, sparse_where: dict | None = None, id_col: str = "chunk_id", text_col: str = "text", vector_col: str = "embedding", index: SparseIndex | None = None) -> DataFrame:
     """Dense and sparse lists of ``pool`` rows each, fused, the best ``pool`` of them.
 
     ``where`` filters the dense list. The sparse one is filtered by ``sparse_where``: pass the same
-    to filter both, or None to leave the sparse side open.
+    to filter both, or None to leave the sparse side open. ``index`` is that of ``chunks``, if there is one.
     """
     has_vector = chunks.where(F.col(vector_col).isNotNull())
     dense = ranked(dense_topk(has_vector, query_vector, pool, where, id_col, vector_col), ["distance", id_col], "dense_rank")
-    sparse = bm25_topk(chunks.drop(vector_col), query, pool, sparse_where, id_col, text_col)
+    sparse = bm25_topk(chunks.drop(vector_col), query, pool, sparse_where, id_col, text_col, index)
     sparse = ranked(sparse, [F.desc("score"), id_col], "sparse_rank")
     return fuse(dense, sparse, id_col=id_col).where(F.col("fused_rank") <= pool)
 
 
+def scorer_of(score: Callable[[str, list[str]], Iterable[float]], query: str, text_col: str = "text", batch: int = SCORE_BATCH) -> Callable[[DataFrame], Column]:
+    """A scorer for ``rerank`` from a model: a function from a query and some texts to logits.
+
+    The model sees ``batch`` texts at a time; where it raises, the logits of that Arrow batch are null.
+    """
+
+    @F.pandas_udf("double")
+    def logits(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([float(x) for i in range(0, len(texts), batch) for x in score(query, texts.iloc[i : i + batch].fillna("").tolist())])
+        except Exception:
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    return lambda rows: logits(F.col(text_col))
+
+
 def rerank(rows: DataFrame, scorer: Callable[[DataFrame], Column], k: int) -> DataFrame:
-    """The k best rows by the sigmoid of a scorer's logit; a scorer that raises leaves order and rows as they are.
+    """The k best rows by the sigmoid of a scorer's logit; a scorer that fails leaves order and scores as they are.
 
-    ``rows`` is a bounded list; the scorer gets it and returns a column, built in or a pandas UDF.
+    ``rows`` is a bounded list with a ``score``; the scorer gets it and returns a column. It fails by
+    raising or by a logit that is null or not a number (see ``scorer_of`` for models).
     """
     try:
-        scored = rows.withColumn("score", F.round(vector.sigmoid(scorer(rows)), DIGITS)).withColumn("reranked", F.lit(True))
+        logit = scorer(rows)
     except Exception:
         return rows.withColumn("reranked", F.lit(False)).limit(k)
+    whole = Window.partitionBy()  # a bounded list
+    scored = rows.withColumn("__logit", logit.cast("double"))
+    scored = scored.withColumn("reranked", ~F.max(F.col("__logit").isNull() | F.isnan("__logit")).over(whole))
+    scored = scored.withColumn("score", F.when(F.col("reranked"), F.round(vector.sigmoid(F.col("__logit")), DIGITS)).otherwise(F.col("score"))).drop("__logit")
     return scored.orderBy(F.desc("score")).limit(k)
 
 
@@ -252,12 +333,12 @@ def public(rows: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return rows.drop(id_col, "fused_score", "dense_rank", "sparse_rank", "fused_rank", "distance")
 
 
-def search(chunks: DataFrame, query: str, query_vector: list[float], settings: SearchSettings, where: dict | None = None, scorer: Callable[[DataFrame], Column] | None = None, id_col: str = "chunk_id", diagnostics: bool = False) -> DataFrame:
+def search(chunks: DataFrame, query: str, query_vector: list[float], settings: SearchSettings, where: dict | None = None, scorer: Callable[[DataFrame], Column] | None = None, id_col: str = "chunk_id", diagnostics: bool = False, index: SparseIndex | None = None) -> DataFrame:
     """Pool, optional fusion and reranking, threshold, order and limit in one lazy plan."""
     use_rerank = settings.rerank and scorer is not None
     pool = fetch_pool(settings.top_k, use_rerank, None, settings.pool)
     if settings.hybrid:
-        found = hybrid(chunks, query, query_vector, pool, where, where, id_col).withColumn("score", F.col("fused_score"))
+        found = hybrid(chunks, query, query_vector, pool, where, where, id_col, index=index).withColumn("score", F.col("fused_score"))
     else:
         found = dense_topk(chunks, query_vector, pool, where, id_col)
     found = found.withColumn("reranked", F.lit(False))

@@ -67,18 +67,18 @@ def dense_where_operators(spark, sf_dir):
     return _dense(spark, sf_dir, 10, where)
 
 
-_BATCH = f"ranked AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_L2.format('b.embedding', 'a.embedding')} AS distance FROM (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 40) a, embeddings b))"
+_BATCH = f"ranked AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_L2.format('b.embedding', 'a.embedding')} AS distance FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b))"
 
 
 def _batch(spark, sf_dir, k) -> DataFrame:
     vectors = tables.vectors(spark, sf_dir)
-    queries = vectors.orderBy("chunk_id").limit(40).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.dense_batch_topk(vectors, queries, k)
 
 
 @query(f"WITH {_BATCH} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, distance FROM ranked WHERE rank <= 5")
 def dense_batch_topk(spark, sf_dir):
-    """The first 40 vectors as queries, each against all vectors."""
+    """Every vector whose id is divisible by 100 as a query, against all vectors."""
     return _batch(spark, sf_dir, 5)
 
 
@@ -121,7 +121,7 @@ _BM25 = f"{_CORPUS}, {_ONE_QUERY}, sp AS (SELECT doc_id AS chunk_id, round(sum(q
 
 @query(f"WITH {_BM25} SELECT chunk_id, score FROM sp WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    found = retrieval.bm25_topk(tables.chunks(spark, sf_dir), tables.query_text(spark, sf_dir), 10)
+    found = retrieval.bm25_topk(tables.chunks(spark, sf_dir), tables.query_text(spark, sf_dir), 10, index=tables.sparse_index(spark, sf_dir))
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -133,7 +133,7 @@ def bm25_topk(spark, sf_dir):
 def bm25_batch(spark, sf_dir):
     """All benchmark items as queries; per query the number of its best five and the best score."""
     queries = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = retrieval.bm25_batch(tables.chunks(spark, sf_dir), queries, 5)
+    found = retrieval.bm25_batch(tables.sparse_index(spark, sf_dir), queries, 5)
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("best"))
 
 
@@ -155,7 +155,7 @@ _OPEN = _hybrid_sql()
 
 def _hybrid(spark, sf_dir, where=None, sparse_where=None) -> DataFrame:
     rows = tables.embedded_chunks(spark, sf_dir)
-    return retrieval.hybrid(rows, tables.query_text(spark, sf_dir), tables.query_vector(spark, sf_dir), 50, where, sparse_where)
+    return retrieval.hybrid(rows, tables.query_text(spark, sf_dir), tables.query_vector(spark, sf_dir), 50, where, sparse_where, index=tables.sparse_index(spark, sf_dir))
 
 
 def _ranks(found: DataFrame) -> DataFrame:
@@ -177,13 +177,7 @@ def hybrid_search(spark, sf_dir):
 @query("WITH " + _hybrid_sql(dense_where="WHERE lang = 'en'", sparse_join="JOIN documents ON chunk_id = doc_id", sparse_where="AND lang = 'en'") + " SELECT chunk_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM fr WHERE fused_rank <= 50")
 def hybrid_filtered_both(spark, sf_dir):
     """Statistics of the sparse side stay those of the whole corpus: the filter follows the scores."""
-    rows = tables.embedded_chunks(spark, sf_dir)
-    dense = retrieval.ranked(retrieval.dense_topk(rows.where("embedding is not null"), tables.query_vector(spark, sf_dir), 50, {"category": "en"}), ["distance", "chunk_id"], "dense_rank")
-    scores = retrieval.bm25_scores(tables.chunks(spark, sf_dir), tables.query_text(spark, sf_dir))
-    kept = tables.chunks(spark, sf_dir).where(retrieval.where_column({"category": "en"}))
-    scored = kept.join(scores, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(50)
-    sparse = retrieval.ranked(scored, [F.desc("score"), "chunk_id"], "sparse_rank")
-    return _ranks(retrieval.fuse(dense, sparse).where("fused_rank <= 50"))
+    return _ranks(_hybrid(spark, sf_dir, {"category": "en"}, {"category": "en"}))
 
 
 @query("WITH " + _hybrid_sql(dense_where="WHERE lang = 'en'", sparse_join="", sparse_where="") + " SELECT chunk_id, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, CAST(fused_rank AS INTEGER) AS fused_rank FROM fr WHERE fused_rank <= 50")
@@ -307,7 +301,7 @@ def type_counts(spark, sf_dir):
 
 # Document graph.
 
-_NODES = r"g AS (SELECT doc_id AS id, lang || '/' || source AS category, list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 16))), 1, 3) AS keywords, CASE WHEN n_chars < 300 THEN lang WHEN n_chars < 900 THEN lang || '/' || source ELSE lang || '/' || source || '/' || doc_id END AS header_path, 'docs/' || source || '/' || lang || '.md' AS file_path FROM documents)"
+_NODES = r"g AS (SELECT doc_id AS id, lang || '/' || source AS category, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 16))) AS keywords, CASE WHEN n_chars < 300 THEN lang WHEN n_chars < 900 THEN lang || '/' || source ELSE lang || '/' || source || '/' || doc_id END AS header_path, 'docs/' || source || '/' || lang || '.md' AS file_path FROM documents)"
 _CAT = "SELECT a.id AS src, b.id AS dst, 'category' AS relation, CAST(1 AS DOUBLE) AS weight FROM g a JOIN g b ON a.category = b.category AND a.id < b.id"
 _KEY = "SELECT src, dst, 'keyword' AS relation, CAST(0.5 AS DOUBLE) AS weight, array_to_string(list_sort(list(term)), ',') AS shared FROM (SELECT a.id AS src, b.id AS dst, a.term FROM (SELECT id, unnest(keywords) AS term FROM g) a JOIN (SELECT id, unnest(keywords) AS term FROM g) b ON a.term = b.term AND a.id < b.id) GROUP BY src, dst"
 _HEAD = "SELECT DISTINCT a.id AS src, b.id AS dst, 'heading_child' AS relation, CAST(1 AS DOUBLE) AS weight FROM g a JOIN g b ON starts_with(b.header_path, a.header_path || '/') AND a.id <> b.id WHERE a.header_path <> ''"
@@ -535,7 +529,7 @@ def pdf_column_label(spark, sf_dir):
 
 # Evaluation: vectors of the same label are relevant to each other.
 
-_RANKED = f"WITH {_BATCH}, rk AS (SELECT query_id, chunk_id AS doc, rank FROM ranked WHERE rank <= 50), lb AS (SELECT vec_id, label FROM embeddings), rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc, q.label FROM (SELECT * FROM lb ORDER BY vec_id LIMIT 40) q JOIN lb d ON q.label = d.label AND q.vec_id <> d.vec_id)"
+_RANKED = f"WITH {_BATCH}, rk AS (SELECT query_id, chunk_id AS doc, rank FROM ranked WHERE rank <= 50), lb AS (SELECT vec_id, label FROM embeddings), rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc, q.label FROM (SELECT * FROM lb WHERE vec_id % 100 = 0) q JOIN lb d ON q.label = d.label AND q.vec_id <> d.vec_id)"
 
 
 def _ranking(spark, sf_dir) -> DataFrame:
@@ -544,7 +538,7 @@ def _ranking(spark, sf_dir) -> DataFrame:
 
 def _relevant(spark, sf_dir) -> DataFrame:
     docs = tables.vectors(spark, sf_dir).select(F.col("chunk_id").alias("doc"), "label")
-    queries = tables.vectors(spark, sf_dir).orderBy("chunk_id").limit(40).select(F.col("chunk_id").alias("query_id"), "label")
+    queries = tables.vectors(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "label")
     return queries.join(docs, "label").where("query_id <> doc").select("query_id", "doc", "label")
 
 

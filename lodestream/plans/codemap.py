@@ -85,8 +85,7 @@ def map_of(spark: SparkSession, path: str, root: str = ".", refresh: bool = Fals
         except (ValueError, KeyError):
             pass
     found = files.discover(spark, project.as_uri()).where(F.col("size") <= files.MAX_HASHED)
-    relative = F.substr("path", F.lit(len(f"file:{project}") + 2))
-    sources = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content").select(relative.alias("path"), F.decode(F.col("content"), "UTF-8").alias("source"))
+    sources = found.select(F.col("relative").alias("path"), F.decode(F.col("content"), "UTF-8").alias("source"))
     built = build(sources, documents)
     if commit:
         cache.parent.mkdir(exist_ok=True)

@@ -20,18 +20,26 @@ from lodestream.sources import files
 from lodestream.sources.store import Store
 
 
-def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embedder: Callable[[list[str]], np.ndarray] = embedding.hashing, **options) -> tuple[DataFrame, DataFrame]:
-    """Chunks in the store's columns, and (path, status, chunks, error) of every file."""
+def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embedder: Callable[[list[str]], np.ndarray] = embedding.hashing, types: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Chunks in the store's columns, and (path, status, chunks, error) of every file of ``found``.
+
+    ``types`` (path, group, label, is_text) are a detector's; files that it doesn't name, or all
+    without one, go by ending. Files outside the scan's scope have no type and are cut by the fallback.
+    """
     supported, skipped = files.split_supported(found)
-    texts = materialize(files.read_texts(files.detect_types(supported)), "ingest-texts")
-    typed = files.detect_types(texts.where("error is null")).withColumnRenamed("path", "file_path")
+    texts = materialize(files.read_texts(supported), "ingest-texts")
+    kinds = files.with_types(supported) if types is None else files.detected(supported, types).join(supported.select("path", "relative"), "path")
+    kinds = kinds.select("path", F.when(files.in_scope(F.col("relative")), F.col("content_type")).alias("content_type"))
+    typed = texts.where("error is null").join(kinds, "path", "left").withColumnRenamed("path", "file_path")
     known = METADATA.get(mode if mode in METADATA.available() else "keyword")(typed, text_col="text", **options)
     if profile.taxonomy == "file_type":
-        known = known.withColumn("category", F.split_part("content_type", F.lit("/"), F.lit(2)))
-    cut = chunking.dispatch(known, fallback=profile.chunk_fallback)
+        known = known.withColumn("category", F.coalesce(F.nullif(F.split_part("content_type", F.lit("/"), F.lit(2)), F.lit("")), F.col("category")))
+    pages = known.drop("text").withColumn("page", F.explode("pages")).withColumn("text", F.col("page.text")).withColumn("page_label", F.col("page.label"))
+    cut = chunking.dispatch(pages.drop("page", "pages"), fallback=profile.chunk_fallback)
+    number = F.concat_ws("-", F.sha2("file_path", 256), "page_label", F.col("chunk_index").cast("string"))
     named = cut.select(
-        F.concat(F.sha2("file_path", 256), F.lit("-"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("chunk").alias("text"),
-        "file_path", files.file_name(F.col("file_path")).alias("file_name"), "content_type", "category", "keywords", "header_path",
+        number.alias("chunk_id"), F.col("chunk").alias("text"),
+        "file_path", files.file_name(F.col("file_path")).alias("file_name"), "content_type", "category", "keywords", "header_path", "page_label",
     )
     chunks = materialize(embedding.embed(named.where(F.trim("text") != ""), "text", embedder=embedder), "ingest-chunks")
     sizes = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
@@ -40,8 +48,20 @@ def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embed
     return chunks, details.unionByName(skipped.select("path", "status", F.lit(0).cast("bigint").alias("chunks"), F.col("reason").alias("error")))
 
 
+def validate(spark: SparkSession, path: str) -> str | None:
+    """Why ``path`` can't be ingested: there is nothing, or it is a file of another kind."""
+    if files.qualified(spark, path) is None:
+        return f"Path not found: {path}"
+    end = "." + path.rpartition(".")[2].lower()
+    if not files.is_folder(spark, path) and end not in files.SUPPORTED:
+        return f"Unsupported file extension: {end}. Supported: {', '.join(sorted(files.SUPPORTED))}"
+    return None
+
+
 def ingest(spark: SparkSession, store: Store, path: str, collection: str = "documents", **options) -> dict:
     """Ingest the files below ``path`` into a collection and return the report, with details as a DataFrame."""
+    if (reason := validate(spark, path)) is not None:
+        return {"status": "error", "error_type": "file", "message": reason, "collection": collection, "chunks_removed": 0, "file_details": spark.createDataFrame([], "path string, status string, chunks bigint, error string")}
     tag = store.metadata(collection).get("profile") if store.exists(collection) else None
     found = files.discover(spark, path)
     chunks, details = chunk_files(found, resolve_profile(tag), **options)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.functions import text
+from lodestream.operators import retrieval
+from lodestream.scratch import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +40,22 @@ def query_text(spark: SparkSession, sf_dir: str) -> str:
     return table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()["text"]
 
 
+_INDEXES: dict[tuple, retrieval.SparseIndex] = {}
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> retrieval.SparseIndex:
+    """The sparse index of the documents; built once a session for the files as they are."""
+    docs = table(spark, sf_dir, "documents")
+    stamps = docs.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, stamps)))
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.build_index(chunks(spark, sf_dir), f"{shared_dir(spark)}/lodestream/sparse-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with the metadata that the document graph joins on: long words are the keywords."""
     docs = table(spark, sf_dir, "documents")
-    long_words = F.slice(F.sort_array(F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) >= 16))), 1, 3)
+    long_words = F.sort_array(F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) >= 16)))
     path = F.when(F.col("n_chars") < 300, F.col("lang")).when(F.col("n_chars") < 900, F.concat_ws("/", "lang", "source")).otherwise(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")))
     return docs.select(F.col("doc_id").alias("chunk_id"), F.lit("document/text").alias("content_type"), F.concat_ws("/", "lang", "source").alias("category"), long_words.alias("keywords"), path.alias("header_path"), F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit(".md")).alias("file_path"))

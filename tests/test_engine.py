@@ -55,6 +55,18 @@ def test_ingest_search_list_delete(spark, engine, folder):
     assert engine.delete_documents()["chunks_removed"] == 1 and engine.delete_documents()["status"] == "error"
 
 
+def test_no_file_goes_unreported(engine, tmp_path):
+    root = tmp_path / "build" / "/".join("abcdefghijkl")
+    for name in ("x.md", "node_modules/y.txt", "/".join("abcdefghijklmn") + "/z.txt", "w.exe"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("some words")
+    report = engine.ingest_documents(str(root))
+    assert (report["files_indexed"], report["files_skipped"], report["files_failed"]) == (3, 1, 0)
+    assert engine.ingest_documents(str(root / "none"))["error_type"] == "file"
+    assert "Unsupported file extension: .exe" in engine.ingest_documents(str(root / "w.exe"))["message"]
+    assert engine.ingest_documents(str(root / "x.md"))["files_indexed"] == 1
+
+
 def test_profiles(engine):
     engine.store.create("c")
     preview = engine.change_collection_profile("c", "codebase")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import zipfile
 import random
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import chunking, codegraph, docgraph, evaluate, retrieval
 from lodestream.operators.policy import SearchSettings
 from lodestream.sources import files
-from lodestream.sources.store import DimensionMismatch, MissingCollection, Store
+from lodestream.sources.store import ConcurrentWrite, DimensionMismatch, MissingCollection, Store
 from lodestream.streaming import watch
 
 CHUNKS = [(1, "python code about sorting lists", [1.0, 0.0], "a"), (2, "gardening with roses", [0.0, 1.0], "b"), (3, "sorting roses by colour", [0.9, 0.1], "a"), (4, "", [0.5, 0.5], "b"), (5, None, None, "a")]
@@ -102,6 +103,17 @@ def test_search_reranks_and_survives_a_failing_scorer(spark, chunks):
     def fails(rows):
         raise RuntimeError("no model")
 
+    def breaks(query, texts):
+        if any("roses" in t for t in texts):
+            raise RuntimeError("out of memory")
+        return [len(t) for t in texts]
+
+    pool = retrieval.dense_topk(chunks.where("embedding is not null"), [1.0, 0.0], 5)
+    for score, worked in ((breaks, False), (lambda q, texts: [float(len(t)) for t in texts], True)):
+        again = retrieval.rerank(pool, retrieval.scorer_of(score, "q"), 5).collect()
+        assert [r.reranked for r in again] == [worked] * len(again)
+        assert worked or [r.score for r in again] == [r.score for r in pool.collect()]
+
     plain = retrieval.search(chunks, "sorting", [1.0, 0.0], SearchSettings(top_k=3, rerank=True), scorer=fails, where={"category": "a"}, diagnostics=True).collect()
     assert not any(r.reranked for r in plain)
     assert retrieval.search(chunks.limit(0), "x", [1.0, 0.0], settings_).count() == 0
@@ -267,12 +279,81 @@ def test_files(spark, tmp_path):
     assert ids(seen.where(~files.ignored(F.col("path"))), "path") == ["a/d.md"]
     names = spark.createDataFrame([("src/a.PY",), ("x/logo.png",), ("README",), ("node_modules/a.js",), ("/".join("abcdefghijkl") + ".py",)], "path string")
     counts, entries = files.inventory(names)
-    assert {r.content_type: r.n for r in counts.collect()} == {"code/python": 1, "binary/unknown": 1, "unknown/unknown": 1} and entries.count() == 3
+    assert {r.content_type: r.n for r in counts.collect()} == {"code/python": 1, "binary/png": 1, "unknown/unknown": 1} and entries.count() == 3
     (tmp_path / "t.jsonl").write_text(json.dumps({"path": "a.py", "result": {"value": {"output": {"group": "code", "label": "python", "is_text": True}}}}) + "\nbroken\n")
     assert [tuple(r) for r in files.read_type_lines(spark, str(tmp_path / "t.jsonl")).collect()] == [("a.py", "code", "python", True)]
     assert len(files.content_hash(found).first().sha256) == 64
 
 
+def office_file(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+
+
+def test_office_files_and_pages(spark, tmp_path):
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    office_file(tmp_path / "a.docx", {"word/document.xml": f"<w:document {word}><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Three</w:t><w:tab/><w:t>x</w:t></w:r></w:p></w:body></w:document>"})
+    draw = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    office_file(tmp_path / "b.pptx", {f"ppt/slides/slide{i}.xml": f"<s {draw}><a:p><a:r><a:t>Slide {i}</a:t></a:r></a:p></s>" for i in (10, 2)})
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.read_texts(files.discover(spark, str(tmp_path))).collect()}
+    assert got["a.docx"].text == "One two\nThree\tx" and got["c.docx"].error
+    assert [(p.label, p.text) for p in got["b.pptx"].pages] == [("2", "Slide 2"), ("10", "Slide 10")]
+
+
+def test_types_are_judged_below_the_root(spark, tmp_path):
+    deep = tmp_path / "build" / "/".join("abcdefghijkl") / "in"
+    (deep / "node_modules").mkdir(parents=True)
+    for name in ("a.py", "node_modules/b.py"):
+        (deep / name).write_text("x")
+    found = files.discover(spark, str(deep))
+    assert sorted(ids(found, "relative")) == ["a.py", "node_modules/b.py"]
+    assert ids(files.detect_types(found, "relative"), "relative") == ["a.py"]
+    types = files.detected(found, spark.createDataFrame([(p, "document", "text", True) for p in ids(found.where("relative = 'a.py'"), "path")], "path string, group string, label string, is_text boolean"))
+    assert [(r.expected, r.found) for r in files.mismatches(types).collect()] == [("python", "text")]
+    assert files.run_detector(spark, str(deep), ["no-such-command"]) is None
+    lines = files.run_detector(spark, "", ["printf", '%s', '{"path": "q.py", "output": {"group": "code", "label": "python"}}'])
+    assert [tuple(r) for r in lines.collect()] == [("q.py", "code", "python", True)]
+
+
+def test_code_is_cut_by_language(spark):
+    rust = "use a;\n" * 3 + "#[test]\npub fn one() {\n    x\n}\nstruct Two;\n"
+    assert chunking._code_blocks(rust, 8, "rust") == ["use a;\nuse a;\nuse a;", "#[test]\npub fn one() {\n    x\n}", "struct Two;\n"]
+    rows = spark.createDataFrame([("a.go", None, "func a() {}"), ("b.xyz", None, "plain. text"), ("c.css", "code/css", "p {}"), ("d.md", None, "# T\nx")], "file_path string, content_type string, text string")
+    kinds = {r.file_path: r for r in chunking.dispatch(rows, fallback="code").collect()}
+    assert len(kinds) == 4 and kinds["d.md"].header_path == "T"
+    assert {r.file_path: r.language for r in rows.select("file_path", chunking.language_of(F.col("content_type"), F.col("file_path")).alias("language")).collect()} == {"a.go": "go", "b.xyz": None, "c.css": None, "d.md": None}
+
+
+def test_store_survives_broken_writes_and_sees_each_change(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.create("c", {"profile": "p0"}, buckets=4)
+    for i in (1, 2):
+        store.merge_metadata("c", {"profile": f"p{i}"})
+        assert store.metadata("c")["profile"] == f"p{i}"
+    rows = lambda *xs: spark.createDataFrame([(str(i), t, [1.0, 0.0], p) for i, t, p in xs], "chunk_id string, text string, embedding array<float>, file_path string")
+    store.upsert("c", rows(*((i, f"word{i} common", f"f{i}") for i in range(20))))
+    (tmp_path / "store/c/data/left-over").mkdir()
+    (tmp_path / "store/c/versions/000000000099").write_text("")  # a writer that broke off
+    before = store._latest("c")["parts"]
+    store.upsert("c", rows((100, "word3 new common", "f3")))
+    after = store._latest("c")["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.count("c") == 20
+    index = store.index("c")
+    assert {r.chunk_id for r in retrieval.bm25_scores(index, "word3 new").collect()} == {"100"} and index.statistics().first().n == 20
+    plain, indexed = ({r.chunk_id: r.score for r in retrieval.bm25_topk(store.chunks("c"), "common word5", 30, index=i).collect()} for i in (None, index))
+    assert plain == pytest.approx(indexed) and len(plain) == 20
+    state = store._begin("c")
+    store.merge_metadata("c", {"x": "1"})
+    with pytest.raises(ConcurrentWrite):
+        store._commit("c", state)
+    assert [len(ids(store.page("c", 7, o))) for o in (0, 7, 14, 21)] == [7, 7, 6, 0]
+    assert store.vacuum("c", versions=1, hours=0) >= 1 and store.count("c") == 20 and not (tmp_path / "store/c/data/left-over").exists()
+    store.delete("c", {"file_path": "f3"})
+    assert not retrieval.bm25_scores(store.index("c"), "word3").count()
+
+
 def test_store_contract(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     assert store.names() == [] and not store.exists("c") and store.count("c") == 0 and store.generation("c") == 0
