@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestream.functions import text, vector
 from lodestream.operators.policy import SearchSettings, fetch_pool, scaled_threshold
-from lodestream.scratch import materialize
+from lodestream.scratch import Workspace, materialize
 
 DIGITS = 9
 #: Query vectors that are sent to the tasks at once.
@@ -137,47 +137,53 @@ class SparseIndex:
 
 def _counted(tokens: Column) -> Column:
     """array<struct<term, tf>> of a token list: sorted once, then cut where the term changes."""
-    order = F.array_sort(tokens)
     starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     cut = lambda s, at: F.transform(at, lambda x, i: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - x).cast("bigint").alias("tf")))
-    of_sorted = F.transform(F.array(order), lambda s: F.transform(F.array(starts(s)), lambda at: cut(s, at)))
+    of_sorted = F.transform(F.array(F.sort_array(tokens)), lambda s: F.transform(F.array(starts(s)), lambda at: cut(s, at)))
     return F.when(F.size(tokens) > 0, F.get(F.get(of_sorted, F.lit(0)), F.lit(0))).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", by: str | None = None) -> DataFrame:
-    """(id, term, tf, dl) of all chunks, and the column ``by``, without a shuffle."""
+def _listed(chunks: DataFrame, id_col: str, text_col: str, by: str | None = None, terms: list[str] | None = None) -> DataFrame:
+    """(id, dl, p, by): each chunk's length and its terms, or those of ``terms``, with their counts."""
     beside = [by] if by else []
-    listed = chunks.select(F.col(id_col).alias("id"), *beside, text.tokens(F.col(text_col)).alias("tokens"))
-    listed = listed.select("id", *beside, F.size("tokens").cast("bigint").alias("dl"), F.explode(_counted(F.col("tokens"))).alias("p"))
-    return listed.select("id", "p.term", "p.tf", "dl", *beside)
+    tokens = chunks.select(F.col(id_col).alias("id"), *beside, text.tokens(F.col(text_col)).alias("tokens"))
+    asked = F.col("tokens") if terms is None else F.filter("tokens", lambda t: t.isin(*terms))
+    return tokens.select("id", F.size("tokens").cast("bigint").alias("dl"), _counted(asked).alias("p"), *beside)
 
 
-def collection_sizes(chunks: DataFrame, text_col: str = "text", by: str | None = None) -> DataFrame:
-    """n and tokens: one row, or a row for each value of the column ``by``."""
-    grouped = chunks.groupBy(*([by] if by else []))
-    return grouped.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(text.tokens(F.col(text_col)))), F.lit(0)).alias("tokens"))
+def _rows(listed: DataFrame, by: str | None = None) -> DataFrame:
+    beside = [by] if by else []
+    return listed.select("id", "dl", *beside, F.explode("p").alias("p")).select("id", "p.term", "p.tf", "dl", *beside)
+
+
+def _sizes(listed: DataFrame, by: str | None = None) -> DataFrame:
+    return listed.groupBy(*([by] if by else [])).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl) of all chunks, without a shuffle."""
+    return _rows(_listed(chunks, id_col, text_col))
 
 
 def build_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", by: str | None = None) -> SparseIndex:
     """Write the sparse index of ``chunks`` below ``path``: a query then reads only the row groups of its terms.
 
-    Postings are laid out by range over (term, id), so a term that a large part of the chunks holds
-    spreads over several files. A column ``by`` stays beside its postings and sizes.
+    Texts are read once. Postings are laid out by range over (term, id), so a term that a large part
+    of the chunks holds spreads over several files. A column ``by`` stays beside its postings and sizes.
     """
     spark = chunks.sparkSession
-    rows, sizes = postings(chunks, id_col, text_col, by), collection_sizes(chunks, text_col, by)
-    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    sizes.write.parquet(f"{path}/sizes")
+    with Workspace(spark) as made:
+        listed = made.table(_listed(chunks, id_col, text_col, by), "sparse-terms", "lz4")
+        rows, sizes = _rows(listed, by), _sizes(listed, by)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        sizes.write.parquet(f"{path}/sizes")
     return SparseIndex(spark.read.schema(rows.schema).parquet(f"{path}/postings"), spark.read.schema(sizes.schema).parquet(f"{path}/sizes"))
 
 
-def index_for(chunks: DataFrame, terms: list[str], id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
-    """The part of the index that some terms need, from one pass over the texts."""
-    listed = chunks.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("tokens"))
-    kept = listed.select("id", F.size("tokens").cast("bigint").alias("dl"), _counted(F.filter("tokens", lambda t: t.isin(*terms))).alias("p"))
-    kept = materialize(kept, "sparse-hits")
-    rows = kept.select("id", "dl", F.explode("p").alias("p")).select("id", "p.term", "p.tf", "dl")
-    return SparseIndex(rows, kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))
+def index_for(chunks: DataFrame, terms: list[str] | None = None, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
+    """The index of chunks that have none, or the part of it that some terms need, from one pass over the texts."""
+    listed = materialize(_listed(chunks, id_col, text_col, terms=terms), "sparse-hits", "lz4")
+    return SparseIndex(_rows(listed), _sizes(listed))
 
 
 def term_statistics(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", floored: bool = False) -> DataFrame:
@@ -225,7 +231,7 @@ def bm25_batch(chunks: DataFrame | SparseIndex, queries: DataFrame, k: int, id_c
     Only terms that some query holds are joined; terms that a query repeats count again. Scores
     above 0 only; equal ones by id.
     """
-    index = chunks if isinstance(chunks, SparseIndex) else SparseIndex(postings(chunks, id_col, text_col), collection_sizes(chunks, text_col))
+    index = chunks if isinstance(chunks, SparseIndex) else index_for(chunks, None, id_col, text_col)
     terms = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = _weighted(index, index.rows.join(terms.select("term").distinct(), "term", "left_semi"))
     scored = weighted.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score")).where("score > 0")
