@@ -4,7 +4,9 @@ A language is a distribution over hashed byte trigrams of words. A text is a mix
 words comes from one language, whose probability for the word is the product over its trigrams.
 Expectation-maximisation estimates the proportions of all languages; then languages are dropped,
 smallest proportion first, as long as the penalised likelihood (half the logarithm of the number
-of words for each free proportion) rises. The largest proportion names the text.
+of words for each free proportion) rises. The largest proportion names the text. For filters, a
+uniform distribution over trigrams can stand among the languages: what it explains better than all
+of them is in none.
 """
 
 from __future__ import annotations
@@ -142,7 +144,8 @@ def mixtures(logs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return share
 
 
-def _predict(model: LanguageModel, text_at: int):
+def _predict(model: LanguageModel, text_at: int, uniform: bool):
+    given = [*model.names, UNKNOWN] if uniform else model.names
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kernel.SpanHash()
         for b in batches:
@@ -159,29 +162,32 @@ def _predict(model: LanguageModel, text_at: int):
                 sums = np.concatenate([np.zeros((1, len(model.names))), np.cumsum(model.logs[bucket], axis=0, dtype=np.float64)])
                 stop = np.cumsum(length)
                 logs = (sums[stop] - sums[stop - length]).astype(np.float32)
+                if uniform:
+                    logs = np.column_stack([logs, length * np.float32(-np.log(BUCKETS))])
                 share = mixtures(logs[inverse], first)
                 ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
                 lettered = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
                 for r in np.flatnonzero(~lettered):
                     lettered[r] = any(c.isalpha() for c in texts[i + int(r)].as_py() or "")
                 best = share.argmax(axis=1)
-                names[i:j] = np.where(lettered, np.array(model.names, object)[best], UNKNOWN)
+                names[i:j] = np.where(lettered, np.array(given, object)[best], UNKNOWN)
                 scores[i:j] = np.where(lettered, np.clip(share[np.arange(j - i), best], 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lang", "__score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", uniform: bool = False) -> DataFrame:
     """``docs`` with ``__lang`` and ``__score``: the language of the largest proportion, and that.
 
-    Only the text is read. Defined results: null texts, texts without a letter and a model that has
+    Only the text is read. With ``uniform``, texts of which uniform trigrams explain the largest part
+    are ``und`` with that part as score. Defined results: null texts, texts without a letter and a model that has
     learnt nothing give ``und`` with 0; equal proportions give the first name in order; whole
     texts count however long; columns of the two new names are replaced, others pass through; an empty table gives an empty one.
     """
     docs = docs.drop("__lang", "__score")
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_predict(model, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(_predict(model, docs.columns.index(text_col), uniform), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -236,9 +236,11 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def digest(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from one encoding and decoding."""
+def digest(docs: DataFrame, model_file: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from one encoding and decoding; then the columns ``keep``."""
     model_file = model_file or default_model()
+    made = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([*made.fields, *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
@@ -251,10 +253,10 @@ def digest(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                     n.append(len(ids) + 1)
                     hashes.append(hashlib.sha256(enc.decimal(ids) + end).hexdigest())
                     decoded.append(hashlib.sha256(enc.decode([*ids.tolist(), enc.end_id]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                kept = [c.slice(i, j - i) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), *kept], names=schema.names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import embedding_dedup, pieces, queries, secret_scan, url_filter
 from lodestream.llm.components import connected_components
-from test_text_operators import contamination_brute, line_brute, near_brute
+from test_text_operators import contamination_brute, line_brute, mixture_brute, near_brute
 
 # Components.
 
@@ -158,37 +159,67 @@ def test_forest_on_held_out_findings(spark):
 # The pipeline and the registered queries.
 
 
+def language_brute(docs):
+    """(id, text, language) of (id, text, label) rows that a learnt language explains."""
+    labelled = [(lang, t) for i, t, lang in docs if lang and t and (i is None or zlib.crc32(str(i).encode()) % 3 != 1)]
+    out = []
+    for i, t, _ in docs:
+        if t and any(c.isalpha() for c in t):
+            share = mixture_brute(labelled, t, uniform=True)
+            best = max(share, key=share.get)
+            if best != "und":
+                out.append((i, t, best))
+    return out
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import sentencepiece
 
     random.seed(6)
-    words = [f"wort{i}" for i in range(400)]
-    item = " ".join(random.choices(words, k=40))
-    texts = [None, "", "123 ...", "Hello there"]
+    pools = {"de": "haus baum wiese morgen abend stadt leute zeitung fenster garten strasse kinder wasser berge".split(), "en": "house tree meadow morning evening town people paper window garden street children water hills".split()}
+    item = " ".join(random.choices(pools["en"], k=40))
+    texts = [(None, None), ("", None), ("123 ...", None), ("xqzvk wvxqj zzkqx qxvvw jkqzx vwxkz qqzxv", "en"), ("morgen ist ein abend im garten wasser berge", "en")]
     for i in range(60):
-        lines = [" ".join(random.choices(words, k=random.randint(5, 40))) for _ in range(random.randint(1, 4))]
+        lang = ("de", "en")[i % 2]
+        lines = [" ".join(random.choices(pools[lang], k=random.randint(8, 40))) for _ in range(random.randint(1, 4))]
         if i % 5 == 0:
-            lines.append("a line that many documents have in common")
+            lines.append("the people of the town have a line in common")
         if i % 7 == 0:
             lines.append(item[: random.randint(60, 200)])
-        texts.append("\n".join(lines))
-    texts += [texts[10], texts[12].replace(" ", "  "), texts[14] + " one more"]
-    docs = [(i, t, random.choice(["en", "de"]) if t else None, f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+        texts.append(("\n".join(lines), lang))
+    texts += [texts[10], (texts[12][0].replace(" ", "  "), "de"), (texts[14][0] + " garten", "en")]
+    docs = [(i, t, lang, f"src{i % 3}", len(t or "")) for i, (t, lang) in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    left = [(i, t) for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
-    left = [(i, x[2]) for i, x in line_brute(left).items()]
+    judged = language_brute([(i, t, lang) for i, t, lang, *_ in docs])
+    langs = {i: lang for i, _, lang in judged}
+    assert 3 not in langs and langs[4] == "de"  # letters alone don't make a language, nor does a wrong label
+    left = [(i, x[2]) for i, x in line_brute([(i, t) for i, t, _ in judged]).items()]
     comps = near_brute(left, 5)
     left = [(i, t) for i, t in left if comps[i][1] == i]
     bad = contamination_brute(left, [(1, item)])
     left = [(i, t) for i, t in left if not bad[i][4]]
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    assert set(got) == {i for i, _ in left} and len(left) < len(texts) - 4
+    assert set(got) == {i for i, _ in left} and len(left) < len(texts) - 5
     for i, t in left:
         ids = library.encode(t) + [library.eos_id()]
-        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got[i].n_tokens == len(ids) and got[i].lang == langs[i]
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "some plain words of one language that are said here again"
+    rows = [(None, text, "en", None, None), (None, None, None, None, None), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (3, "", "en", "s", 0), (5, "some plain words", None, "s", 1)]
+    for given, want in ((rows, {"language ID": 4, "line dedup": 6, "MinHash near-dedup": 6, "benchmark decontamination": 6, "SentencePiece encoding and decoding": 6}), ([], {})):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() == want.get(name, 0), name
+            assert out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]
 
 
 def test_stages_keep_columns(spark):

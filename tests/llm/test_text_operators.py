@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import html
+import itertools
+import math
 import random
 import re
 import zlib
@@ -428,6 +431,72 @@ def test_language_mixtures(spark):
     assert {r["__lang"] for r in language.identify(frame(spark), nothing).collect()} == {"und"}
 
 
+def lettered_words(text):
+    return re.findall(rb"[a-z\x80-\xff]+", (text or "").translate(LOWER).encode())
+
+
+def trigram_logs(labelled):
+    """Language, then the logarithm of a word's probability, from counts of whole trigrams."""
+    counts = {}
+    for lang, text in labelled:
+        for w in lettered_words(text):
+            padded = b" " + w + b" "
+            counts.setdefault(lang, collections.Counter()).update(padded[i : i + 3] for i in range(len(w)))
+    total = {lang: sum(c.values()) + 0.1 * language.BUCKETS for lang, c in counts.items()}
+
+    def logs(word, lang):
+        padded = b" " + word + b" "
+        return sum(math.log((counts[lang][padded[i : i + 3]] + 0.1) / total[lang]) for i in range(len(word)))
+
+    return sorted(counts), logs
+
+
+def mixture_brute(labelled, text, uniform=False):
+    """Proportions by expectation-maximisation to convergence over every set of languages, the best set by penalised likelihood."""
+    names, logs = trigram_logs(labelled)
+    words = collections.Counter(lettered_words(text))
+    like = {w: [logs(w, x) for x in names] + [-len(w) * math.log(language.BUCKETS)] * uniform for w in words}
+    names = [*names, "und"] if uniform else names
+    n, best = sum(words.values()), None
+    for size in range(1, len(names) + 1):
+        for some in itertools.combinations(range(len(names)), size):
+            share = dict.fromkeys(some, 1 / size)
+            for _ in range(200):
+                fresh = dict.fromkeys(some, 0.0)
+                for w, times in words.items():
+                    top = max(like[w][k] for k in some)
+                    parts = {k: share[k] * math.exp(like[w][k] - top) for k in some}
+                    total = sum(parts.values())
+                    for k in some:
+                        fresh[k] += times * parts[k] / total / n
+                share = fresh
+            fit = sum(times * (max(like[w]) + math.log(max(sum(share[k] * math.exp(like[w][k] - max(like[w])) for k in some), 1e-30))) for w, times in words.items())
+            fit -= 0.5 * (size - 1) * math.log(max(n, 2))
+            if best is None or fit > best[0]:
+                best = fit, {names[k]: v for k, v in share.items()}
+    return best[1]
+
+
+@pytest.mark.parametrize("uniform", [False, True])
+def test_mixtures_equal_brute_force(spark, uniform):
+    random.seed(12)
+    labelled = [(lang, " ".join(random.choices(text.split(), k=40))) for lang, text in _SAMPLES.items() for _ in range(8)]
+    rows = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(labelled)], "id long, lang string, text string")
+    model = language.LanguageModel.fit(rows)
+    junk = ["".join(random.choices("bcdfghjklmnpqrstvwxz", k=random.randint(4, 9))) for _ in range(40)]
+    pools = [*(t.split() for t in _SAMPLES.values()), *([junk] if uniform else [])]  # no language fits junk better than another
+    texts = []
+    for _ in range(30):
+        words = [w for pool in random.sample(pools, random.randint(1, 3)) for w in random.choices(pool, k=random.choice([3, 10, 40]))]
+        random.shuffle(words)
+        texts.append(" ".join(words))
+    found = rows_of(language.identify(frame(spark, texts), model, uniform=uniform))
+    for i, t in enumerate(texts):
+        want = mixture_brute(labelled, t, uniform)
+        close = max(want.values()) - want.get(found[i]["__lang"], 0)
+        assert close < 0.05 and abs(found[i]["__score"] - max(want.values())) < 0.1, (t, want, found[i])
+
+
 def test_held_out_rows_teach_nothing(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
     rows = spark.createDataFrame([(i, "xx", "strange words only") for i in ids] + [(i, "en", _SAMPLES["en"]) for i in range(200) if i not in ids], "doc_id long, lang string, text string")
