@@ -4,13 +4,22 @@ A page is cut into blocks of text by its markup; menus, headers, footers, sideba
 forms, scripts, styles and reader comments go by their elements and attribute words, and where a page
 marks its article, only that stays. What is left can still hold boilerplate that no markup names. So
 the token streams of a host's distinct pages are concatenated and a suffix array finds the substrings
-of ``WINDOW`` tokens or more that pages repeat; those on most of the host's pages are boilerplate.
-Tokens that they cover are removed and the unique runs stay. A passage that a few pages quote from
-each other, or an article that is on a host many times, is not on most of its distinct pages.
+of ``WINDOW`` tokens or more that pages repeat; tokens that boilerplate covers are removed and the
+unique runs stay. A substring of any such length that k pages hold is covered by its windows of
+``WINDOW`` tokens, each of which k pages or more hold, so the array is sorted by that many tokens and
+windows decide.
+
+How many of a host's pages have to hold a substring is a lower bound of its share of pages, which asks
+for more of few pages than of many. Of a page without a marked article, blocks that repeats of a tenth of the
+pages cover whole are removed, and any tokens that repeats of half of the pages cover; from a marked
+article go tokens only where far more than chance speaks for half of the pages, since articles quote
+and copy each other.
 
 Pages are laid out by range over (host, hash of the text), so a large host spreads over many partitions and
-copies of a page lie together. A suffix array takes ``CHUNK`` distinct pages of one host at most; it
-gives the windows on a tenth of them, and the counts of all chunks of a host add up.
+copies of a page lie together. A suffix array takes ``CHUNK`` distinct pages of one host at most. Of
+a host in several chunks, a substring on some share of all its pages is on that share of the pages of one chunk
+at least; these are candidates, and a second pass counts them exactly over the host's pages. So
+results don't depend on how the pages were cut.
 """
 
 from __future__ import annotations
@@ -25,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodestream.llm import kernel
 from lodestream.llm.url_filter import host_of
-from lodestream.scratch import materialize
+from lodestream.scratch import Workspace
 
 #: Tokens of a window, a power of two; block ends count as tokens.
 WINDOW = 8
 #: Distinct pages that one suffix array takes in.
 CHUNK = 512
-#: Windows on this share of a host's distinct pages are boilerplate, from so many such pages on:
-#: for pages that mark their article, and for those that don't.
-MARKED, UNMARKED = (0.6, 20), (0.5, 4)
+#: Levels of evidence, the weakest first: the share of a host's pages, and the standard deviations below
+#: the observed one at which it has to be reached still.
+SOME, MOST, SURE = (0.1, 1.0), (0.5, 1.0), (0.5, 3.0)
+LEVELS = (SOME, MOST, SURE)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,8 +57,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACE = frozenset("br td th option".split())
-_AWAY = frozenset("aside button datalist dialog fieldset footer form head menu nav".split())
-_AWAY_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+_AWAY = frozenset("aside button datalist dialog footer head label legend menu nav".split())
+_FORM = frozenset("form fieldset".split())
+_AWAY_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search status toolbar".split())
 #: Words of class and id values that name what isn't the article.
 _AWAY_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertisements advertising adslot breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus "
@@ -64,8 +75,10 @@ _CORE_WORDS = frozenset(["articlebody", "article-body", "article-content", "arti
 def _judge(name: str, attrs: str, in_core: bool) -> tuple[bool, int]:
     """Whether an element is away from the article, and the rank of container it is (0: none)."""
     rank = 3 if name == "article" else 2 if name == "main" else 0
-    if name in _AWAY:
+    if name in _AWAY or name in _FORM and in_core:
         return True, 0
+    if name in _FORM:  # the whole page may lie in one; its text counts if there is no other
+        return False, -1
     words, names = set(), set()
     for key, value in _ATTRIBUTE.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'").lower()
@@ -141,7 +154,7 @@ def article_of(page: str | None) -> tuple[list[str], bool]:
         if not away:
             nested = name == "article" and rank == 3  # an article in an article is a comment on it
             gone, own = _judge(name, m["attrs"], rank > 0)
-            away, rank = gone or nested, max(rank, own)
+            away, rank = gone or nested, own if own < 0 else max(rank, own) if own else rank
         stack.append((name, away, rank))
     close_block()
     best = max((rank for rank, _ in found), default=0)
@@ -189,11 +202,12 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), kernel.binaries([make(t)[0].tobytes() for t in b.column(2).to_pylist()])], names=["host", "sig", "stream"])
 
 
-def suffix_windows(streams: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that several streams hold: a hash for each, and the number of streams.
+def suffix_windows(streams: list[np.ndarray], window: int = WINDOW, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that ``least`` streams or more hold: a hash for each, and the number of streams.
 
-    Prefix doubling ranks all suffixes of the concatenation by their first ``window`` tokens; a
+    Prefix doubling sorts all suffixes of the concatenation by their first ``window`` tokens; a
     separator of its own ends each stream, so that no window that spans two of them occurs twice.
+    Neighbours in the array that share a rank have a common prefix of ``window`` tokens or more.
     """
     sizes = np.array([len(s) for s in streams])
     owner = np.repeat(np.arange(len(streams)), sizes + 1)
@@ -207,66 +221,165 @@ def suffix_windows(streams: list[np.ndarray], window: int = WINDOW) -> tuple[np.
         following[:-width] = rank[width:] + 1
         _, rank = np.unique(rank * (int(following.max(initial=0)) + 1) + following, return_inverse=True)
         width *= 2
-    order = np.argsort(rank, kind="stable")  # the suffix array; equal ranks share their first tokens
+    order = np.argsort(rank, kind="stable")  # the suffix array
     new_pair = np.ones(len(order), bool)
     new_pair[1:] = (rank[order][1:] != rank[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     pages = np.bincount(rank[order][new_pair], minlength=int(rank.max(initial=-1)) + 1)
     first = order[np.searchsorted(rank[order], np.arange(len(pages)))]
-    shared = np.flatnonzero(pages >= 2)
-    hashes = kernel.grams(joined, window)
-    at = first[shared]
-    ok = at < len(hashes)
-    return hashes[at[ok]], pages[shared[ok]]
+    inside = first + window <= ends[owner[first]] if len(first) else np.zeros(0, bool)  # the others end with a separator
+    shared = np.flatnonzero((pages >= least) & inside)
+    return kernel.grams(joined, window)[first[shared]], pages[shared]
+
+
+def level_of(pages: np.ndarray, of: np.ndarray | int) -> np.ndarray:
+    """The highest level, from 1 on, that ``pages`` of a host's ``of`` pages reach; 0 for none or a single page.
+
+    The bound is the lower end of a Wilson interval.
+    """
+    share, out = pages / of, np.zeros(np.shape(pages), np.int32)
+    for i, (wanted, z) in enumerate(LEVELS, 1):
+        lower = (share + z * z / (2 * of) - z * np.sqrt(share * (1 - share) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+        out[(lower >= wanted - 1e-12) & (pages > 1)] = i
+    return out
+
 
+_LAID = "host string, window bigint, level int, sig bigint, stream binary"
 
-def _chunk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, window, pages) and, under a null window, (host, distinct pages) of sorted (host, sig, stream) rows."""
-    host, last, streams = None, None, []
 
-    def flush() -> pa.RecordBatch:
-        windows, pages = suffix_windows(streams)
-        many = pages >= max(2, 0.1 * len(streams))
-        windows, pages = windows[many].view(np.int64), pages[many]
-        return pa.RecordBatch.from_arrays([pa.array([host] * (len(windows) + 1), pa.string()), pa.concat_arrays([pa.array([None], pa.int64()), pa.array(windows)]), pa.array(np.append(len(streams), pages).astype(np.int64))], names=["host", "window", "pages"])
+def _array(values, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.nulls(n, kind) if values is None else pa.array(values, kind)
 
+
+def _chunks(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From sorted (host, sig, stream) rows: windows with their level for hosts that are here in whole;
+        for others candidates, of level null, and the streams of their distinct pages.
+
+        The first and the last host may go on in other partitions.
+        """
+        host, last, streams, sigs, cut = None, None, [], [], True
+
+        def rows(window=None, level=None, sig=None, stream=None) -> pa.RecordBatch:
+            n = len(window if window is not None else sig)
+            columns = [(window, pa.int64()), (level, pa.int32()), (sig, pa.int64()), (stream, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), *(_array(v, t, n) for v, t in columns)], names=["host", "window", "level", "sig", "stream"])
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            if whole:
+                windows, pages = suffix_windows(streams)
+                level = level_of(pages, len(streams))
+                yield rows(windows[level > 0].view(np.int64), level[level > 0])
+            else:
+                windows, pages = suffix_windows(streams, least=1)
+                yield rows(windows[pages >= SOME[0] * len(streams)].view(np.int64))
+                yield rows(sig=sigs, stream=[x.tobytes() for x in streams])
+
+        for b in batches:
+            for h, sig, stream in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if h != host and host is not None:
+                    yield from flush(not cut)
+                    streams, sigs, cut = [], [], False
+                elif len(streams) >= most:
+                    yield from flush(False)
+                    streams, sigs, cut = [], [], True
+                if h != host or sig != last:
+                    streams.append(np.frombuffer(stream, "<u2"))
+                    sigs.append(sig)
+                host, last = h, sig
+        if streams:
+            yield from flush(False)
+
+    return run
+
+
+def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, window, pages) and, under a null window, (host, distinct pages) from (host, stream, windows) rows."""
+    counts: dict[tuple, int] = {}
     for b in batches:
-        for h, sig, stream in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if streams and (h != host or len(streams) >= CHUNK):
-                yield flush()
-                streams = []
-            if h != host or sig != last:
-                streams.append(np.frombuffer(stream, "<u2"))
-            host, last = h, sig
-    if streams:
-        yield flush()
+        for host, stream, windows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            grams = kernel.grams(np.frombuffer(stream, "<u2").astype(np.uint64), WINDOW)
+            met = np.intersect1d(grams.view(np.int64), np.array(windows or [], np.int64))
+            for w in (None, *met.tolist()):
+                counts[host, w] = counts.get((host, w), 0) + 1
+        if len(counts) > 1 << 18:
+            yield _counted(counts)
+            counts = {}
+    if counts:
+        yield _counted(counts)
+
+
+def _counted(counts: dict[tuple, int]) -> pa.RecordBatch:
+    hosts, windows = zip(*counts, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(windows, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "window", "pages"])
+
+
+def _leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, window, level) from (host, window, pages, all)."""
+    for b in batches:
+        level = level_of(b.column(2).to_numpy(), b.column(3).to_numpy())
+        keep = pa.array(level > 0)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(level)], names=["host", "window", "level"]).filter(keep)
+
+
+def _covered(hits: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens the windows that start at ``hits`` cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, hits, 1)
+    np.add.at(change, hits + WINDOW, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _remaining(words: list[str], grams: np.ndarray, windows: np.ndarray, levels: np.ndarray, marked: bool) -> str | None:
+    """The text without its boilerplate; None if it has none."""
+    found = np.isin(grams, windows[levels >= (3 if marked else 1)])
+    if not found.any():
+        return None
+    at = np.flatnonzero(found)
+    if marked:
+        gone = _covered(at, len(words))
+    else:
+        strong = np.isin(grams[at], windows[levels >= 2])
+        gone, weak = _covered(at[strong], len(words)), _covered(at, len(words))
+        block = np.cumsum([w == "\n" for w in words])
+        ends = np.array([w == "\n" for w in words])
+        inside = ~ends
+        whole = np.bincount(block[inside & weak], minlength=block[-1] + 1) == np.bincount(block[inside], minlength=block[-1] + 1)
+        gone |= whole[block] & inside
+    left = " ".join(w for w, g in zip(words, gone, strict=True) if not g or w == "\n")
+    return "\n\n".join(x for part in left.split("\n") if (x := part.strip(" ")))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered tokens go from the text where windows are set; the last four columns are text, marked, strict and loose windows."""
+    """Boilerplate goes from the text where windows are set; the last three columns are text, marked, and list<struct<window, level>>."""
     make = TokenStreams()
     for b in batches:
-        texts, (marked, strict, loose) = b.column(b.num_columns - 4).to_pylist(), b.columns[-3:]
-        for i in np.flatnonzero(loose.is_valid().to_numpy(zero_copy_only=False)).tolist():
-            windows = (strict if marked[i].as_py() else loose)[i].as_py()
-            if not windows:
-                continue
+        texts, (marked, listed) = b.column(b.num_columns - 3).to_pylist(), b.columns[-2:]
+        for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            entries = listed[i].values
             tokens, words = make(texts[i])
-            hits = np.isin(kernel.grams(tokens.astype(np.uint64), WINDOW), np.array(windows, np.int64).view(np.uint64))
-            if hits.any():
-                covered = np.zeros(len(tokens) + 1, np.int64)
-                at = np.flatnonzero(hits)
-                np.add.at(covered, at, 1)
-                np.add.at(covered, at + WINDOW, -1)
-                gone = np.cumsum(covered[:-1]) > 0
-                left = " ".join(w for w, g in zip(words, gone, strict=True) if not g or w == "\n")
-                texts[i] = "\n\n".join(x for part in left.split("\n") if (x := part.strip(" ")))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(texts, pa.string())], names=b.schema.names[:-3])
+            left = _remaining(words, kernel.grams(tokens.astype(np.uint64), WINDOW), entries.field("window").to_numpy().view(np.uint64), entries.field("level").to_numpy(), marked[i].as_py())
+            if left is not None:
+                texts[i] = left
+        yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string())], names=b.schema.names[:-2])
+
+
+def boilerplate(streams: DataFrame, made: Workspace) -> DataFrame:
+    """(host, window, level) from (host, sig, stream): the windows that enough of a host's distinct pages hold."""
+    laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
+    laid = made.table(laid.mapInArrow(_chunks(CHUNK), _LAID), "html-windows")
+    candidates = made.table(laid.where("window is not null and level is null").groupBy("host").agg(F.collect_set("window").alias("windows")), "html-candidates")
+    pages = laid.where("stream is not null").select("host", "stream")
+    counted = made.table(pages.join(candidates, "host").select("host", "stream", "windows").mapInArrow(_recount, "host string, window bigint, pages bigint"), "html-counts")
+    sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all"))
+    recounted = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host")
+    recounted = recounted.select("host", "window", "pages", "all").mapInArrow(_leveled, "host string, window bigint, level int")
+    return laid.where("level is not null").select("host", "window", "level").unionByName(recounted)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with ``html_col`` replaced by the article's text in ``text_col``, which comes last.
 
-    Defined results: null and empty pages, and pages without text, give an empty text; pages cut off
+    Defined results: whole pages count however long; null and empty pages, and pages without text, give an empty text; pages cut off
     inside a tag or character reference give what comes before; a null url or one without :// has
     the empty host; copies of a page are one page to the host's statistics; a column ``text_col`` is
     replaced, others pass through; an empty table gives an empty one.
@@ -275,19 +388,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
         pages = pages.drop(text_col)
     at = pages.columns.index(html_col)
     kept = [f for f in pages.schema.fields if f.name != html_col]
-    parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__lodestream_text", T.StringType()), T.StructField("__lodestream_marked", T.BooleanType())]))
-    parsed = materialize(parsed.withColumn("__lodestream_host", host_of(F.col(url_col))), "html-parsed")
-    streams = parsed.where("__lodestream_text <> ''").select("__lodestream_host", F.xxhash64("__lodestream_text"), "__lodestream_text").mapInArrow(_streams, "host string, sig bigint, stream binary")
-    laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
-    counted = materialize(laid.mapInArrow(_chunk_windows, "host string, window bigint, pages bigint"), "html-windows")
-    sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= UNMARKED[1])
-    shared = counted.where("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("pages")).join(sizes, "host").where(F.col("pages") >= UNMARKED[0] * F.col("all"))
-    strict = F.when((F.col("all") >= MARKED[1]) & (F.col("pages") >= MARKED[0] * F.col("all")), F.col("window"))
-    # windows on half of the pages: no more of them for a host than twice its pages' mean length
-    found = shared.groupBy(F.col("host").alias("__lodestream_at")).agg(F.collect_list(strict).alias("__lodestream_strict"), F.collect_list("window").alias("__lodestream_loose"))
-    boilerplate = materialize(found, "html-boilerplate")
-    joined = parsed.join(boilerplate, F.col("__lodestream_host") == F.col("__lodestream_at"), "left")
-    columns = [*[f.name for f in kept], "__lodestream_text", "__lodestream_marked", "__lodestream_strict", "__lodestream_loose"]
+    with Workspace(pages.sparkSession) as made:
+        parsed = pages.mapInArrow(_parse(at), T.StructType([*kept, T.StructField("__lodestream_text", T.StringType()), T.StructField("__lodestream_marked", T.BooleanType())]))
+        parsed = made.table(parsed.withColumn("__lodestream_host", host_of(F.col(url_col))), "html-parsed")
+        streams = parsed.where("__lodestream_text <> ''").select("__lodestream_host", F.xxhash64("__lodestream_text"), "__lodestream_text").mapInArrow(_streams, "host string, sig bigint, stream binary")
+        # no more windows for a host than some times its pages' mean length
+        found = boilerplate(streams, made).groupBy(F.col("host").alias("__lodestream_at")).agg(F.collect_list(F.struct("window", "level")).alias("__lodestream_windows"))
+        found = made.table(found, "html-boilerplate")
+        made.keep(parsed, found)
+    joined = parsed.join(found, F.col("__lodestream_host") == F.col("__lodestream_at"), "left")
+    columns = [*[f.name for f in kept], "__lodestream_text", "__lodestream_marked", "__lodestream_windows"]
     out = joined.select(*columns).mapInArrow(_remove, T.StructType([*kept, T.StructField("__lodestream_text", T.StringType())]))
     return out.withColumnRenamed("__lodestream_text", text_col)
 

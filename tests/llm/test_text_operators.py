@@ -541,6 +541,78 @@ def test_extraction_over_a_table(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def repeats_brute(streams, least):
+    """Tokens of each stream that a substring of WINDOW tokens or more covers that ``least`` streams hold: all lengths are tried."""
+    n = html_text.WINDOW
+    holders = {}
+    for k, s in enumerate(streams):
+        for length in range(n, len(s) + 1):
+            for i in range(len(s) - length + 1):
+                holders.setdefault(tuple(s[i : i + length]), set()).add(k)
+    out = []
+    for s in streams:
+        gone = [False] * len(s)
+        for length in range(n, len(s) + 1):
+            for i in range(len(s) - length + 1):
+                if len(holders[tuple(s[i : i + length])]) >= least:
+                    gone[i : i + length] = [True] * length
+        out.append(gone)
+    return out
+
+
+def test_windows_cover_what_repeated_substrings_of_any_length_cover():
+    rng = np.random.default_rng(3)
+    runs = [rng.integers(1, 200, k) for k in (5, 8, 9, 14, 20)]
+    streams = [np.concatenate([x for _ in range(3) for x in (rng.integers(1, 1000, rng.integers(0, 6)), runs[rng.integers(5)])]).astype(np.uint16) for _ in range(12)]
+    for least in (2, 3, 5):
+        windows, pages = html_text.suffix_windows(streams, least=least)
+        for s, want in zip(streams, repeats_brute(streams, least), strict=True):
+            hits = np.flatnonzero(np.isin(kernel.grams(s.astype(np.uint64), html_text.WINDOW), windows))
+            assert html_text._covered(hits, len(s)).tolist() == want
+        assert (pages >= least).all()
+
+
+def templates(rng):
+    """Pages of four hosts without marked articles: three templates on one, a common sentence, a tiny host, and a host of unique pages."""
+    words = lambda k: " ".join(rng.choices([f"w{i}" for i in range(5000)], k=k))
+    heads = [" ".join(f"t{k}head{i}" for i in range(12)) for k in range(3)]
+    common = "this sentence stands on many pages of the host and says nothing new"
+    out = [(f"three.example.com/{i}", [heads[i % 3], words(40), words(30)], [1, 2]) for i in range(60)]
+    out += [(f"common.example.com/{i}", [words(30), *([common] if i < 15 else [])], [0]) for i in range(24)]
+    out += [(f"tiny.example.com/{i}", [heads[0], words(20)], [1]) for i in range(3)]
+    out += [(f"own.example.com/{i}", [words(30), words(20)], [0, 1]) for i in range(30)]
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 24, 211])
+def test_boilerplate_goes_however_a_host_is_cut(spark, monkeypatch, partitions):
+    made = templates(random.Random(9))
+    rows = [(i, f"http://{url}", "".join(f"<div class=b{j}>{t}</div>" for j, t in enumerate(blocks))) for i, (url, blocks, _) in enumerate(made)]
+    monkeypatch.setattr(html_text, "CHUNK", 16 if partitions == 4 else 512)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for i, (_, blocks, left) in enumerate(made):
+        assert got[i] == "\n\n".join(blocks[j] for j in left), made[i][0]
+        assert len(left) == len(blocks) or got[i] != "\n\n".join(html_text.blocks_of(rows[i][2]))  # the suffix array has made the difference
+
+
+def test_levels_of_evidence():
+    assert html_text.level_of(np.array([1, 2, 3, 3, 6, 15, 60, 9]), np.array([1, 50, 3, 30, 6, 24, 60, 10])).tolist() == [0, 0, 2, 0, 2, 2, 3, 2]
+
+
+def test_forms_around_a_whole_page_count():
+    page = "<body><form id=f><div><label>Name</label><p>The article of the page.</p></div></form></body>"
+    assert html_text.blocks_of(page) == ["The article of the page."]
+    assert html_text.blocks_of("<p>Text.</p><form><p>Your mail</p></form>") == ["Text."]
+    assert html_text.blocks_of("<form><article><p>Text.</p><form><p>mail</p></form></article></form>") == ["Text."]
+
+
 def test_suffix_windows_count_streams():
     streams = [np.array(x, np.uint16) for x in ([1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 5, 7], [2, 3, 4, 5, 2, 3, 4, 5], [8])]
     windows, pages = html_text.suffix_windows(streams, 4)
