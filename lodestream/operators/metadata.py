@@ -56,6 +56,13 @@ def by_model(rows: DataFrame, text_col: str = "text", client: Callable[[str], st
     return parsed.withColumns({"category": F.col("__parsed.category"), "keywords": F.array_join("__parsed.keywords", ", "), "summary": F.col("__parsed.summary")}).drop("__answer", "__parsed")
 
 
+def first_nonempty(rows: DataFrame, group_col: str, position_col: str, columns: list[str]) -> DataFrame:
+    """For each group and column the first value in position order that isn't blank, trimmed; null if all are."""
+    value = lambda c: F.trim(F.col(c).cast("string"))
+    filled = lambda c: F.coalesce(value(c), F.lit("")) != ""
+    return rows.groupBy(group_col).agg(*(F.min_by(F.when(filled(c), value(c)), F.when(filled(c), F.col(position_col))).alias(c) for c in columns))
+
+
 def categories_of(*chunk_tables: DataFrame) -> list[str]:
     """Distinct valid categories of all tables, in order."""
     found: set[str] = set()

@@ -7,6 +7,7 @@ shuffles them.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -21,6 +22,7 @@ from lodestream.operators.policy import SearchSettings, fetch_pool, scaled_thres
 from lodestream.scratch import Workspace, materialize
 
 DIGITS = 9
+log = logging.getLogger(__name__)
 #: Query vectors that are sent to the tasks at once.
 QUERY_BLOCK = 2048
 K1, B = 1.5, 0.75
@@ -268,6 +270,17 @@ def bm25_topk(chunks: DataFrame, query: str, k: int, where: dict | None = None,
     return rows.join(F.broadcast(best), id_col).select(*rows.columns, "score")  # k rows are sent
 
 
+_warned: set[str] = set()
+
+
+def native_sparse(chunks: DataFrame, query: str, k: int, *args, **options) -> DataFrame:
+    """Sparse vectors of a store aren't built: a warning once, and BM25."""
+    if "native" not in _warned:
+        _warned.add("native")
+        log.warning("native sparse search isn't available; BM25 takes its place")
+    return bm25_topk(chunks, query, k, *args, **options)
+
+
 def ranked(rows: DataFrame, order: Iterable, name: str) -> DataFrame:
     """List positions from 1; for result lists, which a limit bounds."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -248,23 +248,6 @@ def sparse_coverage(spark, sf_dir):
     return store.sparse_coverage(tables.embedded_chunks(spark, sf_dir).withColumn("has_sparse_vector", F.col("embedding").isNotNull()))
 
 
-@query("SELECT source AS file_path, count(*) AS would_remove FROM documents GROUP BY 1")
-def preview_delete(spark, sf_dir):
-    return tables.chunks(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("would_remove"))
-
-
-@query("SELECT doc_id AS chunk_id FROM documents WHERE source <> 'src3'")
-def delete_by_source(spark, sf_dir):
-    rows = tables.chunks(spark, sf_dir)
-    return rows.where(~F.coalesce(retrieval.where_column({"file_path": "src3"}), F.lit(False))).select("chunk_id")
-
-
-@query("SELECT doc_id AS chunk_id FROM documents WHERE NOT (lang IN ('de', 'fr') AND n_chars >= 1000)")
-def delete_by_filter(spark, sf_dir):
-    condition = retrieval.where_column({"category": {"$in": ["de", "fr"]}, "n_chars": {"$gte": 1000}})
-    return tables.chunks(spark, sf_dir).where(~F.coalesce(condition, F.lit(False))).select("chunk_id")
-
-
 @query("SELECT doc_id AS chunk_id, source AS file_path, length(text) AS size FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT -doc_id - 1, source, length(upper(text)) FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
 def upsert_replace(spark, sf_dir):
     """Two sources come again with their English chunks only: all their old chunks go."""
@@ -356,39 +339,6 @@ def cross_links(spark, sf_dir):
 
 # Code graph.
 
-_SOURCES = [
-    ("app/main.py", "python", "import app.util\nfrom app.models import User\nfrom .local import x\nclass Main(Base, Mixin[int]):\n    def run(self):\n        pass\n"),
-    ("app/util.py", "python", "import os\nasync def helper():\n    pass\nclass Base:\n    pass\n"),
-    ("app/models.py", "python", "from app.util import helper\nclass User(Base):\n    pass\n"),
-    ("app/local.py", "python", "import app.models\nx = 1\n"),
-    ("web/index.ts", "typescript", "import {a} from './lib'\nimport './style'\nconst b = require('../web/other')\nexport class View extends Panel {}\nexport const go = (x) => x\n"),
-    ("web/lib/index.ts", "typescript", "export function a() {}\nclass Panel {}\n"),
-    ("web/other.js", "javascript", "import {View} from './index'\nfunction plain() {}\nclass Sub extends View {}\n"),
-    ("srv/Main.java", "java", "import srv.Helper;\npublic class Main extends Helper {\n}\n"),
-    ("srv/Helper.java", "java", "public class Helper {\n}\n"),
-]
-
-
-def _sources(spark) -> DataFrame:
-    return spark.createDataFrame(_SOURCES, "path string, language string, source string")
-
-
-@query()
-def code_symbols(spark, sf_dir):
-    return codegraph.extract(_sources(spark)).drop("source")
-
-
-@query()
-def import_edges(spark, sf_dir):
-    return codegraph.import_edges(codegraph.extract(_sources(spark)))
-
-
-@query()
-def inheritance_edges(spark, sf_dir):
-    extracted = codegraph.extract(_sources(spark))
-    return codegraph.inheritance_edges(extracted, codegraph.import_edges(extracted))
-
-
 _EDGES = "ed AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 
 
@@ -447,12 +397,6 @@ def category_normalise(spark, sf_dir):
     return raw.select("raw", text.normalise_category(F.col("raw")).alias("category"))
 
 
-@query()
-def llm_response_parse(spark, sf_dir):
-    raw = [('{"category": "Deep Learning", "keywords": [" A ", "b", ""], "summary": " s "}',), ('```json\n{"category": "x", "keywords": "no"}\n```',), ("plain text",), ("[1, 2]",), ("",)]
-    return spark.createDataFrame(raw, "raw string").select("raw", text.parse_response(F.col("raw")).alias("p")).select("raw", "p.*")
-
-
 @query("SELECT DISTINCT lower(lang) AS category FROM documents WHERE lang IS NOT NULL")
 def taxonomy(spark, sf_dir):
     """Distinct valid categories of all collections."""
@@ -498,12 +442,6 @@ def chunk_markdown(spark, sf_dir):
     return chunking.markdown(rows).select("chunk_id", "chunk_index", "header_path", "chunk")
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 2")
-def content_hash_dedup(spark, sf_dir):
-    docs = tables.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "sha256", "copies")
-
-
 @query(
     """WITH r AS (SELECT n_regionkey AS table_id, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation),
     l AS (SELECT table_id, row // 3 AS row_group, row, '| ' || n_name || ' | ' || n_nationkey || ' |' AS line FROM r)
@@ -644,15 +582,6 @@ def watch_dedup(spark, sf_dir):
     return watch.content_changes(bursts).groupBy("path").agg(F.count("*").alias("changes"))
 
 
-@query("SELECT doc_id AS chunk_id FROM documents WHERE source NOT IN (SELECT 'src' || (user_id % 20) FROM events WHERE event_type = (SELECT min(event_type) FROM events))")
-def watch_deletes(spark, sf_dir):
-    """Chunks left after the files that events of the first kind name were deleted."""
-    events = tables.table(spark, sf_dir, "events")
-    first = events.agg(F.min("event_type").alias("event_type"))
-    gone = events.join(F.broadcast(first), "event_type").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("file_path")).distinct()
-    return tables.chunks(spark, sf_dir).join(gone, "file_path", "left_anti").select("chunk_id")
-
-
 @query("SELECT doc_id, regexp_replace(source, '[0-9]+$', '') AS stem FROM documents")
 def path_parts(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(docgraph.stem(F.col("source")), "[0-9]+$", "").alias("stem"))
