@@ -16,6 +16,8 @@ search; hits of several blocks meet in an aggregation by document.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -211,35 +213,43 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     Words are runs outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F after A-Z are lower-cased. Defined
     results: null and empty texts have no words and no hits; an item without words, or with a null
     id, has no window; items that repeat each count under their own id; several hits may overlap;
-    without items there are no hits; columns of the two new names are replaced, others pass through.
+    without items there are no hits; whole texts count however long, each one row of a task; an empty
+    table gives an empty one; columns of the two new names are replaced, others pass through.
     """
     spark, docs = docs.sparkSession, docs.drop("__n_words", "__hits")
-    n = len(docs.columns)
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__hits", _HITS)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__hits", _HITS)])
     text_at = docs.columns.index(text_col)
-    out = None
-    for ids, texts in _blocks(items, item_id_col, item_text_col):
-        block = spark.sparkContext.broadcast((ids, texts))
-        source = docs if out is None else out
-        found = source.mapInArrow(_search_block(block, window, text_at, n), out_schema)
-        out = found if out is None else materialize(found, "dc-hits")
-    if out is None:
-        out = docs.mapInArrow(_search(Items([], [], window), text_at), out_schema)
-    return out
-
-
-def _search_block(block, window: int, text_at: int, n: int):
-    """The search for one block; hits of blocks before it are carried on."""
+    blocks = _blocks(items, item_id_col, item_text_col)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_search_block(spark.sparkContext.broadcast(first), window, text_at), schema)
+    # several blocks: texts are written once, and each block adds its hits only
+    rows = materialize(docs.withColumn("__lodestream_row", F.monotonically_increasing_id()), "dc-rows")
+    found_schema = T.StructType([T.StructField("__lodestream_row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("__n_words", T.LongType()), T.StructField("__hits", _HITS)])
+    keyed, hits = rows.select("__lodestream_row", F.col(text_col).alias("text")), None
+    for block in itertools.chain((first, second), blocks):
+        found = keyed.mapInArrow(_search_block(spark.sparkContext.broadcast(block), window, 1), found_schema)
+        found = materialize(found.where(F.size("__hits") > 0).select("__lodestream_row", "__hits"), "dc-hits")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("__lodestream_row").agg(F.flatten(F.collect_list("__hits")).alias("__lodestream_hits"))  # as many as items have in one text
+    joined = rows.join(hits, "__lodestream_row", "left").select(*docs.columns, "__lodestream_hits")
+    counted_schema = T.StructType([*joined.schema.fields, *schema.fields[-2:]])
+    counted = joined.mapInArrow(_search(Items([], [], window), text_at), counted_schema)
+    return counted.select(*docs.columns, "__n_words", F.coalesce("__lodestream_hits", "__hits").alias("__hits"))
+
+
+_ITEMS: dict[str, Items] = {}
+
+
+def _search_block(block, window: int, text_at: int):
+    """The search for one block of items, which a worker builds once for all its tasks."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _search(Items(*block.value, window), text_at)
-        for b in batches:
-            plain = pa.RecordBatch.from_arrays(b.columns[:n], names=b.schema.names[:n])
-            for found in search(iter([plain])):
-                if b.num_columns > n:
-                    merged = [(x or []) + (y or []) for x, y in zip(b.column(n + 1).to_pylist(), found.column(n + 1).to_pylist(), strict=True)]
-                    found = pa.RecordBatch.from_arrays([*found.columns[:-1], pa.array(merged, found.column(n + 1).type)], names=found.schema.names)
-                yield found
+        if name not in _ITEMS:
+            _ITEMS.clear()
+            _ITEMS[name] = Items(*block.value, window)
+        yield from _search(_ITEMS[name], text_at)(batches)
 
     return run
 

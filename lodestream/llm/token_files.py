@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestream.llm import kernel, rans
-from lodestream.scratch import drop_table, materialize, shared_dir, write_table
+from lodestream.scratch import drop_table, shared_dir, write_table
 
 #: Symbols from which a block is closed.
 BLOCK = 1 << 18
@@ -173,7 +173,8 @@ def _blocks(dtype: np.dtype, table: bytes):
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0) -> None:
     """Write the ids of all whole texts below ``path``: ``table`` (one row) and ``blocks``.
 
-    Each text is followed by ``end_id``. Defined results: a null or empty text is the end id alone;
+    Each text is followed by ``end_id``. The folders of ``blocks`` are ranges of ids in ascending order of
+    their number, and so are the blocks in a folder's files. Defined results: a null or empty text is the end id alone;
     rows that repeat an id are written one after another; rows with a null id come before all
     others; an empty table writes no blocks; other columns play no part.
     """
@@ -184,7 +185,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.percentile_approx("doc", [i / shards for i in range(1, shards)], 20 * shards).alias("q")).first()["q"] or []
     encoded = rows.mapInArrow(_encode_rows(file, np.unique(np.array(bounds, np.int64)), end_id), "shard int, doc bigint, ids binary")
-    kept = write_table(encoded.repartition("shard").sortWithinPartitions("shard", "doc"), "token-ids")
+    # shards are ranges of ids, and neighbouring ones lie in one partition
+    laid = encoded.repartitionById(-(-shards // 4), F.floor(F.col("shard") / 4).cast("int")).sortWithinPartitions("shard", "doc")
+    kept = write_table(laid, "token-ids")
     ids = spark.read.parquet(kept)
     counts = np.zeros(enc.size, np.int64)
     for id_, n in ids.select("ids").mapInArrow(_count_ids(enc.dtype, enc.size), "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect():
@@ -192,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     table = rans.FrequencyTable.of_counts(counts).to_bytes()
     spark.createDataFrame([(table, enc.dtype.str)], "freqs binary, dtype string").coalesce(1).write.parquet(f"{path}/table")
     # parts of a file keep its order, so each block holds consecutive documents of its shard
-    ids.mapInArrow(_blocks(enc.dtype, table), _BLOCK_COLUMNS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ids.mapInArrow(_blocks(enc.dtype, table), _BLOCK_COLUMNS).write.partitionBy("shard").option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_table(spark, kept)
 
 
@@ -219,7 +222,7 @@ def _read(spark: SparkSession, path: str, each, names: list[str], types: list[pa
     offsets = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("offset"))
     inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("first", "task", "number")) - F.col("n_tokens")
     index = blocks.select("task", "number", "shard", inside.alias("inside")).join(F.broadcast(offsets), "shard")
-    index = materialize(index.select("task", "number", (F.col("inside") + F.col("offset")).alias("before")), "token-index")
+    index = index.select("task", "number", (F.col("inside") + F.col("offset")).alias("before"))
     rows = blocks.join(index, ["task", "number"]).select("docs", "lengths", "block", "before")
     return rows.mapInArrow(_decode(table, each, names, types), f"doc_id bigint, start bigint, {schema}")
 

@@ -16,14 +16,22 @@ LENGTHS = (3, 4, 5)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 # Parts of the labelled addresses: fixed values, invented here.
-_BAD = "casino poker bets betting slots jackpot pills viagra pharma adult xxx porn escort singles spam links seo ads track clicks popunder warez torrent keygen replica payday loans crypto prize malware phish".split()
-_GOOD = "library museum weather gardening cooking recipes astronomy history physics chemistry biology university school council newsroom herald travel hiking cycling chess docs guide wiki health hospital parliament courts statistics census maps poetry novels theatre orchestra railways bakery carpentry village football rowing".split()
+_BAD = (
+    "casino casinos gambling gamble roulette blackjack baccarat poker bets betting bookmaker wager slots jackpot jackpots lottery bingo pills viagra cialis pharma pharmacy "
+    "drugstore steroids xanax adult xxx porn porno sex sexy nude erotic escort escorts hookup singles cams spam links seo backlinks ads adserver track clicks popunder popups "
+    "warez torrent torrents keygen cracks serials replica replicas fakewatches payday loans quickcash crypto airdrop giveaway prize winner malware phish phishing trojan botnet"
+).split()
+_GOOD = (
+    "library libraries museum museums weather gardening cooking recipes astronomy history physics chemistry biology geology university college school kindergarten council "
+    "newsroom herald gazette travel hiking cycling sailing chess docs manual guide wiki encyclopedia health hospital clinic parliament courts statistics census maps atlas poetry "
+    "novels theatre orchestra choir railways tramway bakery carpentry pottery village town football rowing swimming archive research journal software engineering"
+).split()
 _AROUND = ["best-{}", "{}-online", "free-{}", "{}-win", "{}-farm", "my-{}", "{}-tube"]
 _HOSTS = ["{}.example.com", "www.{}.example.net", "blog.{}.example.org", "m.{}.example.com", "{}.example.org"]
 _PATHS = ["/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/en/{}.html", "/fr/{}"]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled_urls(spark: SparkSession, bad: list[str] = _BAD, good: list[str] = _GOOD) -> DataFrame:
     """(host, path, label) with label 1 for addresses to block: several hundred rows, made by rule.
 
     Paths are drawn alike for both labels, so that numbers in them tell nothing; names made of
@@ -31,9 +39,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     """
     rows = []
     syllables = ["th", "er", "an", "re", "in", "on", "ti", "st", "al", "ou", "ed", "ha", "sh", "ing", "tion", "ble", "wh", "es"]
-    made = [syllables[i % 18] + syllables[(7 * i + 3) % 18] + (syllables[(5 * i + 1) % 18] if i % 2 else "") for i in range(54)]
+    made = [syllables[i % 18] + syllables[(7 * i + i // 18) % 18] + (syllables[(5 * i + i // 18) % 18] if i % 2 else "") for i in range(216)]
     around = lambda words: [_AROUND[(i + k) % len(_AROUND)].format(w) for i, w in enumerate(words) for k in (0, 2, 5)]
-    for label, names in ((1.0, _BAD + around(_BAD)), (0.0, _GOOD + around(_GOOD) + made)):
+    for label, names in ((1.0, bad + around(bad)), (0.0, good + around(good) + made)):
         for i, name in enumerate(names):
             rows += [(_HOSTS[(i + k) % len(_HOSTS)].format(name), _PATHS[(5 * i + k) % len(_PATHS)].format((i * 7919 + k * 104729) % 50000), label) for k in range(3)]
     values = ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in rows)
@@ -79,23 +87,27 @@ def _grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(text, mark, n) for text, mark in ((host, "h:"), (F.regexp_replace(path, "[0-9]+", "0"), "p:")) for n in LENGTHS))
 
 
+def fit(labelled: DataFrame):
+    """(HashingTF, logistic regression) of (host, path, label) rows, a table of bounded size."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+
+    hashing = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__lodestream_grams", outputCol="__lodestream_features")
+    train = hashing.transform(labelled.select(F.col("label").alias("__lodestream_label"), _grams(F.col("host"), F.col("path")).alias("__lodestream_grams")).coalesce(1))
+    regression = LogisticRegression(featuresCol="__lodestream_features", labelCol="__lodestream_label", predictionCol="__lodestream_block", probabilityCol="__lodestream_probability", rawPredictionCol="__lodestream_raw", regParam=0.005, maxIter=40)
+    return hashing, regression.fit(train)
+
+
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """``pages`` with ``__host``, ``__path``, ``__rule`` and ``__verdict`` (allow or block).
 
     Defined results: a null url and one without :// have an empty host and path, which no rule fits
     and the classifier judges like any other; of rules of one length that both fit, the first listed
-    wins; repeated rows are judged alike; other columns pass through; an empty table gives an empty
-    one.
+    wins; very long urls are judged by all their n-grams; repeated rows are judged alike; columns of
+    the four new names are replaced, others pass through; an empty table gives an empty one.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
-
-    spark = pages.sparkSession
-    hashing = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="__lodestream_grams", outputCol="__lodestream_features")
-    table = labelled if labelled is not None else labelled_urls(spark)
-    train = hashing.transform(table.select(F.col("label").alias("__lodestream_label"), _grams(F.col("host"), F.col("path")).alias("__lodestream_grams")).coalesce(1))
-    model = LogisticRegression(featuresCol="__lodestream_features", labelCol="__lodestream_label", predictionCol="__lodestream_block", probabilityCol="__lodestream_probability", rawPredictionCol="__lodestream_raw", regParam=0.005, maxIter=40).fit(train)
-    rows = pages.withColumn("__host", host_of(F.col(url_col))).withColumn("__path", path_of(F.col(url_col)))
+    hashing, model = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
+    rows = pages.drop("__rule", "__verdict").withColumn("__host", host_of(F.col(url_col))).withColumn("__path", path_of(F.col(url_col)))
     scored = model.transform(hashing.transform(rows.withColumn("__lodestream_grams", _grams(F.col("__host"), F.col("__path")))))
     name, verdict = rule_of(F.col("__host"), F.col("__path"), RULES if rules is None else rules)
     judged = F.coalesce(verdict, F.when(F.col("__lodestream_block") == 1, "block").otherwise("allow"))

@@ -64,7 +64,7 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
             rows.append((base + 0.12 * rng.standard_normal(64)).tolist())
     rows += [rows[0]] * 40 + [(3 * np.array(rows[0])).tolist()]
     rows += [None, [], [0.0] * 64, [None] + [1.0] * 63, [float("nan")] * 64, [float("inf")] + [0.0] * 63, [1.0, 0.0], [1.0, 0.01], [1e200] * 64, [1e200] * 63 + [1e199]]
-    table = [(i, r) for i, r in enumerate(rows)] + [(None, rows[0])]
+    table = [(i, r) for i, r in enumerate(rows)] + [(None, rows[0])] + [(i, rows[i]) for i in (0, 0, 3, 5)]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("label", "vec", "digest", "cell")})
     brute = vector_brute([(i, None if r is None else [x / 1e150 if x is not None and abs(x) > 1e150 and np.isfinite(x) else x for x in r]) for i, r in table])
     for r in embedding_dedup.near_vectors(df.repartition(5)).collect():
@@ -85,15 +85,31 @@ def test_lattice_points_and_recall():
     for r in roots:  # no neighbouring point is nearer
         assert (np.linalg.norm(2 * x - points - r, axis=1) >= distance - 1e-9).all()
     assert (((points % 2 == 0).all(axis=1)) | ((points % 2 == 1).all(axis=1))).all() and (points.sum(axis=1) % 4 == 0).all()
-    a = rng.standard_normal((1500, 64))
+    a = rng.standard_normal((1000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     side = rng.standard_normal(a.shape)
     side -= (side * a).sum(axis=1)[:, None] * a
     b = 0.95 * a + (1 - 0.95**2) ** 0.5 * side / np.linalg.norm(side, axis=1)[:, None]
-    lattice = embedding_dedup.Lattice(64, 0.95)
-    (own_a, near_a), (own_b, near_b) = lattice.cells(a), lattice.cells(b)
-    met = (own_a == own_b) | (near_b == own_a[:, :, None]).any(axis=2) | (near_a == own_b[:, :, None]).any(axis=2)
-    assert met.any(axis=1).mean() > 0.98
+    for shape in embedding_dedup.SHAPES.values():
+        lattice = embedding_dedup.Lattice(64, 0.95, shape)
+        (own_a, near_a), (own_b, near_b) = lattice.cells(a), lattice.cells(b)
+        met = (own_a == own_b) | (near_b == own_a[:, :, None]).any(axis=2) | (near_a == own_b[:, :, None]).any(axis=2)
+        assert met.any(axis=1).mean() > 0.98
+    assert embedding_dedup.shape_for(10**7).points == 2 < embedding_dedup.shape_for(10**7 + 1).points == 3 < embedding_dedup.shape_for(10**13).points
+
+
+def test_repeated_rows_are_one_vector(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((5, 64))
+    rows = [(i, (base[i % 5] + 0.01 * i * rng.standard_normal(64) / 8).tolist()) for i in range(20)]
+    spark.createDataFrame(rows + rows[:7] + rows[:3] + [(50, rows[0][1]), (50, rows[0][1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted({tuple(map(int, r)) for r in con.execute(embedding_dedup.OP6_SQL).fetchall()})
+    got = sorted({tuple(map(int, r)) for r in embedding_dedup.op6_embedding_dedup(spark, str(tmp_path)).collect()})
+    assert got == want and any(n for _, n, *_ in got)
 
 
 # Addresses.
@@ -125,6 +141,30 @@ def test_addresses_by_n_grams(spark):
 # Secrets.
 
 
+def test_verdicts_equal_a_sum_of_weights(spark):
+    """The classifier's verdict from its weights and n-grams made here; and how it does on words that it wasn't taught."""
+    hashing, model = url_filter.fit(url_filter.labelled_urls(spark))
+    urls = [None, "x", "http://casino-night.example.com/en/12?q", "https://www.village-museum.net/a/b9.html", "http://é.org/ü", "http://h" + "a" * 3000 + ".com/" + "b/" * 3000, "http://a", "ftp://free-pills.io/77"]
+    weights, bias = model.coefficients.toArray(), model.intercept
+    got = [r["__verdict"] for r in url_filter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").coalesce(1), rules=[]).orderBy("page_id").collect()]
+    for u, verdict in zip(urls, got, strict=True):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        parts = [("h:", m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), ("p:", re.sub("[0-9]+", "0", m[2]))] if m else [("h:", ""), ("p:", "")]
+        grams = {mark + f"^{t}$"[i : i + n] for mark, t in parts for n in url_filter.LENGTHS for i in range(max(1, len(t) + 3 - n))}
+        raw = bias + sum(weights[i] for i in {hashing.indexOf(g) for g in grams})
+        assert verdict == ("block" if raw > 0 else "allow"), u
+
+
+def test_addresses_of_words_that_were_not_taught(spark):
+    half = lambda words, k: words[k::2]
+    taught = url_filter.labelled_urls(spark, half(url_filter._BAD, 0), half(url_filter._GOOD, 0))
+    rows = [(f"http://{w}.example.com/en/{i}", v) for v, words in (("block", half(url_filter._BAD, 1)), ("allow", half(url_filter._GOOD, 1))) for i, w in enumerate(words)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "url string, want string"), rules=[], labelled=taught)
+    share = {r.want: r.share for r in out.groupBy("want").agg(F.avg((F.col("__verdict") == F.col("want")).cast("double")).alias("share")).collect()}
+    print("unseen words:", share)
+    assert share["allow"] > 0.6
+
+
 _NAME = re.compile(r"(?:passwords?|passwd|pwd|passphrase|pass|secrets?|tokens?|keys?|auth|credentials?)", re.I | re.A)
 _RUN_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _WORD_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
