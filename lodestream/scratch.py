@@ -25,13 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def write_table(df: DataFrame, tag: str, compression: str = "zstd") -> str:
-    """Write ``df`` as Parquet in the shared folder and return its path."""
+def write_table(df: DataFrame, tag: str, compression: str = "zstd", by: str | None = None) -> str:
+    """Write ``df`` as Parquet in the shared folder, in folders by a column if one is named, and return its path."""
     path = f"{shared_dir(df.sparkSession)}/lodestream/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return path
 
 
+def rows_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table in folders has any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any(f.isDirectory() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage of ``df``: write it once and read it back."""
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, compression))
