@@ -5,8 +5,9 @@ reference table* has one row for each key and document that holds it; from it co
 the number of references and the owner, which is the smallest document id. The *filters* hold the
 keys with two documents or more, one filter a shard. A line is looked up in its shard's filter
 first, and only what the filter lets through meets the exact table, so false positives cost a join
-row and never a line. Inserting or deleting documents changes the reference table by the rows of
-those documents, and the filters by the keys whose state changed.
+row and never a line. Once an index changes, its three tables are laid out in ``PARTS`` folders by key;
+inserting or deleting documents reads and writes only the folders that their keys lie in, and the
+filters change by the keys whose state changed.
 
 No step gathers a key's documents in one task: references are aggregated with map-side partials,
 lookups of a hot shard are dealt out over salts in proportion to its rows, and the join with the
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lodestream.llm import kernel
 from lodestream.llm.cuckoo import CuckooFilter, FilterFull
-from lodestream.scratch import materialize
+from lodestream.scratch import drop_table, materialize, rows_written, write_table
 
 #: Shards at least; enough of them that shuffle partitions fill evenly.
 MIN_SHARDS = 2048
@@ -33,6 +34,9 @@ SHARD_KEYS = 1 << 18
 #: Shards at most, so that the table of salts stays below a megabyte when it is broadcast.
 MAX_SHARDS = 1 << 16
 
+#: Folders that the tables of a changing index are laid out in; fewer than shards.
+PARTS = 1024
+
 _KEYS = "k1 bigint, k2 bigint"
 
 
@@ -159,14 +163,33 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["k1", "k2", "doc"]).filter(pa.array(keep))
 
 
+class Parts:
+    """A table in folders by part of its key, of which a change writes anew only those that it touches."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, folders: dict[int, str]):
+        self.spark, self.schema, self.folders = spark, schema, folders
+
+    def rows(self, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{folder}/part={p}" for p, folder in self.folders.items() if only is None or p in set(only)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def changed(self, rows: DataFrame, part: Column, touched: list[int] | None = None) -> Parts:
+        """``rows`` are all rows of the touched parts from now on, or of all parts."""
+        path = write_table(rows.withColumn("part", part).hint("rebalance", "part"), "line-parts", by="part")
+        held = {r["part"] for r in self.spark.read.parquet(path).select("part").distinct().collect()} if rows_written(self.spark, path) else set()
+        kept = {} if touched is None else {p: f for p, f in self.folders.items() if p not in set(touched)}
+        return Parts(self.spark, self.schema, kept | dict.fromkeys(held, path))
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """The state: the exact reference table, the shared keys and one filter a shard."""
+    """The state: the exact reference table, the shared keys and one filter a shard; ``laid`` has them in parts once they have changed."""
 
     refs: DataFrame
     shared: DataFrame
     filters: DataFrame
     shards: int
+    laid: tuple[Parts, Parts, Parts] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> LineIndex:
@@ -178,34 +201,55 @@ class LineIndex:
         shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-shared.count() // SHARD_KEYS)))
         return cls(refs, shared, materialize(_build_filters(shared, shards), "line-filters"), shards)
 
+    def _part(self, shard: Column | None = None) -> Column:
+        return F.pmod(_shard(self.shards) if shard is None else shard, F.lit(PARTS)).cast("int")
+
+    def _laid_out(self) -> tuple[Parts, Parts, Parts]:
+        if self.laid:
+            return self.laid
+        spark = self.refs.sparkSession
+        tables = ((self.refs.select("k1", "k2", "doc"), None), (self.shared, None), (self.filters.select("shard", "filter"), F.col("shard")))
+        return tuple(Parts(spark, t.schema, {}).changed(t, self._part(shard)) for t, shard in tables)
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> LineIndex:
         """The index with more documents; ids must be new to it."""
         new = materialize(references(docs, id_col, text_col, min_chars), "line-refs-new")
-        return self._changed(materialize(self.refs.unionByName(new), "line-refs"), new)
+        return self._changed(new, True)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """The index without the documents in the column ``doc`` of ``ids``."""
+        """The index without the documents in the column ``doc`` of ``ids``; their references are looked for in all parts."""
         ids = ids.select(F.col("doc").cast("bigint")).distinct()
-        gone = materialize(self.refs.join(ids, "doc", "left_semi").select("k1", "k2", "doc"), "line-refs-gone")
-        return self._changed(materialize(self.refs.join(ids, "doc", "left_anti").select("k1", "k2", "doc"), "line-refs"), gone)
-
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        """Counts anew the keys that ``touched`` names; the filters take over the difference."""
-        keys = materialize(touched.select("k1", "k2").distinct(), "line-touched")
-        now = materialize(_shared(refs.join(keys, ["k1", "k2"], "left_semi")), "line-now")
-        was = self.shared.join(keys, ["k1", "k2"], "left_semi")
-        added = now.join(self.shared, ["k1", "k2"], "left_anti").select(_shard(self.shards), "k1", F.lit(True).alias("add"))
+        return self._changed(materialize(self.refs.select("k1", "k2", "doc").join(ids, "doc", "left_semi").select("k1", "k2", "doc"), "line-refs-gone"), False)
+
+    def delete_documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> LineIndex:
+        """The index without these documents, whose texts tell the parts they are in."""
+        return self._changed(materialize(references(docs, id_col, text_col, min_chars), "line-refs-gone"), False)
+
+    def _changed(self, rows: DataFrame, came: bool) -> LineIndex:
+        """Counts anew the keys that the references ``rows``, which come or go, name; the filters take over the difference."""
+        refs, shared, filters = self._laid_out()
+        keys = materialize(rows.select("k1", "k2").distinct(), "line-touched")
+        touched = [r["part"] for r in keys.select(self._part().alias("part")).distinct().collect()]  # PARTS rows at most
+        old = refs.rows(touched)
+        refs = refs.changed(old.unionByName(rows.select("k1", "k2", "doc")) if came else old.join(rows, ["k1", "k2", "doc"], "left_anti"), self._part(), touched)
+        now = materialize(_shared(refs.rows(touched).join(keys, ["k1", "k2"], "left_semi")), "line-now")
+        before = shared.rows(touched)
+        was = before.join(keys, ["k1", "k2"], "left_semi")
+        added = now.join(before, ["k1", "k2"], "left_anti").select(_shard(self.shards), "k1", F.lit(True).alias("add"))
         removed = was.join(now, ["k1", "k2"], "left_anti").select(_shard(self.shards), "k1", F.lit(False).alias("add"))
-        shared = materialize(self.shared.join(keys, ["k1", "k2"], "left_anti").unionByName(now), "line-shared")
         changes = materialize(added.unionByName(removed), "line-changes")
-        blobs = self.filters.select("shard", F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("boolean").alias("add"), "filter")
-        rows = blobs.unionByName(changes.withColumn("filter", F.lit(None).cast("binary")))
-        updated = rows.repartition("shard").sortWithinPartitions("shard", F.col("k1").isNotNull(), "add").mapInArrow(_update_filters, "shard int, filter binary, full boolean")
+        shared = shared.changed(before.join(keys, ["k1", "k2"], "left_anti").unionByName(now), self._part(), touched)
+        blobs = filters.rows(touched).select("shard", F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("boolean").alias("add"), "filter")
+        laid = blobs.unionByName(changes.withColumn("filter", F.lit(None).cast("binary")))
+        updated = laid.repartition("shard").sortWithinPartitions("shard", F.col("k1").isNotNull(), "add").mapInArrow(_update_filters, "shard int, filter binary, full boolean")
         updated = materialize(updated, "line-filters")
-        filters = updated.where("not full").select("shard", "filter")
         full = updated.where("full").select("shard")
-        rebuilt = shared.join(F.broadcast(full), _shard(self.shards) == full["shard"], "left_semi")
-        return LineIndex(refs, shared, materialize(filters.unionByName(_build_filters(rebuilt, self.shards)), "line-filters"), self.shards)
+        rebuilt = shared.rows(touched).join(F.broadcast(full), _shard(self.shards) == full["shard"], "left_semi")
+        whole = updated.where("not full").select("shard", "filter").unionByName(_build_filters(rebuilt, self.shards))
+        filters = filters.changed(whole, self._part(F.col("shard")), touched)
+        for table in (keys, now, changes, updated, rows):
+            drop_table(rows.sparkSession, table)
+        return LineIndex(refs.rows(), shared.rows(), filters.rows(), self.shards, (refs, shared, filters))
 
     def lookups(self) -> DataFrame:
         """Reference rows that pass their shard's filter: every shared key, and few others."""
@@ -219,15 +263,23 @@ class LineIndex:
         rows = dealt.select("shard", "salt", "k1", "k2", "doc", "filter").unionByName(blobs)
         return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("k1").isNotNull()).mapInArrow(_probe, f"{_KEYS}, doc bigint")
 
+    def drop(self) -> None:
+        """Remove the tables of an index that hasn't changed."""
+        for table in (self.refs, self.shared, self.filters):
+            drop_table(self.refs.sparkSession, table)
+
     def drops(self) -> DataFrame:
         """(doc, keys): the keys that each document loses, as 16-byte strings one after another."""
         passed = materialize(self.lookups(), "line-lookups")
         lost = passed.join(self.shared.select("k1", "k2", "owner"), ["k1", "k2"]).where(F.col("doc") != F.col("owner"))
         key = F.struct("k1", "k2")
-        return lost.groupBy("doc").agg(F.collect_set(key).alias("keys"))
+        out = materialize(lost.groupBy("doc").agg(F.collect_set(key).alias("keys")), "line-lost")
+        drop_table(self.refs.sparkSession, passed)
+        return out
 
 
 def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, filter, full) from rows (shard, k1, add, filter) by shard, its filter first; keys change in one call a run."""
     schema = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("full", pa.bool_())])
     at, current, full = None, None, False
 
@@ -235,17 +287,18 @@ def _update_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return kernel.batch({"shard": [at], "filter": [current.to_bytes()], "full": [full]}, schema)
 
     for b in batches:
-        for shard, k1, add, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if shard != at:
+        shard, k1, add = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy().view(np.uint64), b.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+        blob = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+        for i, j in _runs(shard.astype(np.int64) * 4 + blob * 2 + add):
+            if shard[i] != at:
                 if at is not None:
                     yield flush()
-                at, current, full = shard, CuckooFilter(4), False
-            if blob is not None:
-                current = CuckooFilter.from_bytes(blob)
+                at, current, full = int(shard[i]), CuckooFilter(4), False
+            if blob[i]:
+                current = CuckooFilter.from_bytes(b.column(3)[i].as_py())
                 continue
-            key = np.array([k1], np.int64).view(np.uint64)
             try:
-                current.insert(key) if add else current.delete(key)
+                current.insert(k1[i:j]) if add[i] else current.delete(k1[i:j])
             except FilterFull:
                 full = True
     if at is not None:
@@ -285,13 +338,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what \n separates. Keys of at least ``min_chars`` code points that two documents or
     more hold lose all their lines, but for those in the smallest document id. Defined results: a
-    null or empty text is one empty line, and a null text stays null; a document that loses all
+    null or empty text is one empty line, and a null text stays null; whole texts count however
+    long, each one row of a task; a document that loses all
     its lines gets an empty text; repeated rows of one id count as one document; rows with a null
     id keep their lines and hold none against others; columns of the two new names are replaced, all
     others pass through; an empty table gives an empty one.
     """
     docs = docs.drop("__n_lines", "__n_dropped")
-    lost = LineIndex.build(docs, id_col, text_col, min_chars).drops().withColumnsRenamed({"doc": "__lodestream_doc", "keys": "__lodestream_keys"})
+    index = LineIndex.build(docs, id_col, text_col, min_chars)
+    lost = index.drops().withColumnsRenamed({"doc": "__lodestream_doc", "keys": "__lodestream_keys"})
+    index.drop()
     joined = docs.join(lost, F.col(id_col).cast("bigint") == F.col("__lodestream_doc"), "left").drop("__lodestream_doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
     return joined.mapInArrow(_rebuild(docs.columns.index(text_col)), schema)

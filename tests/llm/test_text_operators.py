@@ -118,6 +118,22 @@ def test_line_index_takes_insertions_and_deletions_back(spark):
     back = grown.delete(two.select(F.col("doc_id").alias("doc")))
     assert {tuple(r) for r in back.shared.collect()} == before and drops(back) == drops(index)
     assert {r.doc for r in grown.delete(spark.createDataFrame([(0,)], "doc long")).drops().collect()} == {10}
+    texts = grown.delete_documents(two)
+    assert {tuple(r) for r in texts.shared.collect()} == before and drops(texts) == drops(index)
+
+
+def test_a_change_writes_only_the_parts_of_its_keys(spark):
+    random.seed(13)
+    lines = [f"a line with the number {i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, "\n".join(random.choices(lines, k=6))) for i in range(200)], "doc_id long, text string")
+    index = line_dedup.LineIndex.build(docs).insert(spark.createDataFrame([(900, "one more line of text")], "doc_id long, text string"))
+    grown = index.insert(spark.createDataFrame([(901, f"{lines[0]}\n{lines[1]}\nanother new line")], "doc_id long, text string"))
+    for old, new in zip(index.laid, grown.laid, strict=True):
+        assert sum(old.folders.get(p) != f for p, f in new.folders.items()) <= 3 < len(new.folders)
+    whole = line_dedup.LineIndex.build(docs.unionByName(spark.createDataFrame([(900, "one more line of text"), (901, f"{lines[0]}\n{lines[1]}\nanother new line")], "doc_id long, text string")))
+    assert {tuple(r) for r in grown.shared.collect()} == {tuple(r) for r in whole.shared.collect()}
+    drops = lambda i: {(r.doc, tuple(sorted(map(tuple, r["keys"])))) for r in i.drops().collect()}
+    assert drops(grown) == drops(whole)
 
 
 # Near-dedup.
