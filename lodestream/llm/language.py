@@ -24,6 +24,9 @@ from lodestream.llm import kernel
 SAMPLE_PER_LANGUAGE = 5000
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+#: The part of a text that uniform trigrams explain from which on the text is in no language; short
+#: texts with a key or a number among their words stay below it.
+NO_LANGUAGE = 0.75
 
 _U = np.uint64
 #: a-z after lower-casing and every byte of a non-ASCII character.
@@ -169,7 +172,9 @@ def _predict(model: LanguageModel, text_at: int, uniform: bool):
                 lettered = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
                 for r in np.flatnonzero(~lettered):
                     lettered[r] = any(c.isalpha() for c in texts[i + int(r)].as_py() or "")
-                best = share.argmax(axis=1)
+                best = share[:, : len(model.names)].argmax(axis=1)
+                if uniform:
+                    best[share[:, -1] >= NO_LANGUAGE] = len(model.names)
                 names[i:j] = np.where(lettered, np.array(given, object)[best], UNKNOWN)
                 scores[i:j] = np.where(lettered, np.clip(share[np.arange(j - i), best], 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "__lang", "__score"])
@@ -180,8 +185,8 @@ def _predict(model: LanguageModel, text_at: int, uniform: bool):
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", uniform: bool = False) -> DataFrame:
     """``docs`` with ``__lang`` and ``__score``: the language of the largest proportion, and that.
 
-    Only the text is read. With ``uniform``, texts of which uniform trigrams explain the largest part
-    are ``und`` with that part as score. Defined results: null texts, texts without a letter and a model that has
+    Only the text is read. With ``uniform``, texts of which uniform trigrams explain ``NO_LANGUAGE``
+    or more are ``und`` with that part as score. Defined results: null texts, texts without a letter and a model that has
     learnt nothing give ``und`` with 0; equal proportions give the first name in order; whole
     texts count however long; columns of the two new names are replaced, others pass through; an empty table gives an empty one.
     """

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import embedding_dedup, pieces, queries, secret_scan, url_filter
+from lodestream.llm import embedding_dedup, language, pieces, queries, secret_scan, url_filter
 from lodestream.llm.components import connected_components
 from test_text_operators import contamination_brute, line_brute, mixture_brute, near_brute
 
@@ -310,9 +310,8 @@ def language_brute(docs):
     for i, t, _ in docs:
         if t and any(c.isalpha() for c in t):
             share = mixture_brute(labelled, t, uniform=True)
-            best = max(share, key=share.get)
-            if best != "und":
-                out.append((i, t, best))
+            if share.pop("und", 0) < language.NO_LANGUAGE:
+                out.append((i, t, max(share, key=share.get)))
     return out
 
 
