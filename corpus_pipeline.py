@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learnt language explains go; ``lang`` of the others becomes their own language.
 
     The mixture decides: uniform trigrams stand among the languages, and a document of which they
-    explain the largest part is in none of them. Null texts and texts without a letter go, too. Where
+    explain three quarters or more is in none of them. Null texts and texts without a letter go, too. Where
     nothing is labelled, so nothing is learnt, texts with a letter stay as they are. Repeated rows and
     ids, and null ids, are judged row by row; an empty table gives an empty one.
     """
