@@ -201,6 +201,27 @@ def table_to_markdown(cells: DataFrame, group_rows: int = 50) -> DataFrame:
     return ordered.select("table_id", "row_group", F.array_join(F.concat(F.slice(lines, 1, 1), F.array("rule"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n").alias("markdown"))
 
 
+def layout_documents(paragraphs: DataFrame, cells: DataFrame, contents: DataFrame | None = None, group_rows: int = 50) -> DataFrame:
+    """(file_path, content_type, header_path, table_index, row_group, text) of a layout analysis.
+
+    ``paragraphs`` (file_path, position, role, content) are a document each, their role its header
+    path; ``cells`` (file_path, table_id, row, column, value) become Markdown tables, long ones in row
+    groups. Files of ``contents`` (file_path, content) that have neither give their content.
+    """
+    none = F.lit(None).cast("int")
+    texts = paragraphs.where(F.coalesce("content", F.lit("")) != "").select("file_path", F.lit("document/layout").alias("content_type"), F.coalesce("role", F.lit("")).alias("header_path"), none.alias("table_index"), none.alias("row_group"), F.col("content").alias("text"))
+    keyed = cells.withColumn("__key", F.struct("file_path", "table_id"))
+    made = table_to_markdown(keyed.select(F.col("__key").alias("table_id"), "row", "column", "value"), group_rows)
+    height = cells.groupBy("file_path", "table_id").agg((F.max("row") + 1 > group_rows).alias("long"))
+    tables = made.select(F.col("table_id.file_path").alias("file_path"), F.col("table_id.table_id").alias("table_index"), "row_group", "markdown").join(height.withColumnRenamed("table_id", "table_index"), ["file_path", "table_index"])
+    tables = tables.select("file_path", F.lit("table").alias("content_type"), F.lit(None).cast("string").alias("header_path"), F.col("table_index").cast("int").alias("table_index"), F.when(F.col("long"), F.col("row_group")).alias("row_group"), F.col("markdown").alias("text"))
+    out = texts.unionByName(tables)
+    if contents is None:
+        return out
+    rest = contents.where(F.coalesce("content", F.lit("")) != "").join(out.select("file_path").distinct(), "file_path", "left_anti")
+    return out.unionByName(rest.select("file_path", F.lit("document/layout").alias("content_type"), F.lit(None).cast("string").alias("header_path"), none.alias("table_index"), none.alias("row_group"), F.col("content").alias("text")))
+
+
 def column_label(items: DataFrame) -> DataFrame:
     """(page, column) of ``items`` (page, position, x, width): left or right by the first item if text stands on both sides of 0.45 of the widest extent, else single."""
     per_page = items.groupBy("page").agg(F.max(F.col("x") + F.col("width")).alias("extent"), F.min_by("x", "position").alias("first"), F.min("x").alias("least"), F.max("x").alias("most"))

@@ -517,9 +517,9 @@ def eval_alpha_ndcg(spark, sf_dir):
     return evaluate.alpha_dcg(_ranking(spark, sf_dir), _nuggets(spark, sf_dir), 10)
 
 
-@query()
+@query(f"{_RANKED}, {_NUG}, i AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, nugget_id ORDER BY doc) - 1 AS seen FROM nug), g AS (SELECT query_id, seen, row_number() OVER (PARTITION BY query_id ORDER BY seen) AS r FROM i) SELECT query_id, round(sum(pow(0.5, seen) / log2(r + 1)), 9) AS ideal FROM g WHERE r <= 10 GROUP BY 1")
 def eval_alpha_ideal(spark, sf_dir):
-    return evaluate.ideal_alpha_dcg(_nuggets(spark, sf_dir), 10)
+    return evaluate.ideal_alpha_dcg(_nuggets(spark, sf_dir), 10).withColumn("ideal", F.round("ideal", 9))
 
 
 _GRADES = "gr AS (SELECT query_id, doc, CASE WHEN doc % 2 = 0 THEN 2 ELSE 1 END AS grade FROM rel)"

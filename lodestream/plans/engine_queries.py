@@ -293,6 +293,24 @@ def chunk_dispatch(spark, sf_dir):
     return chunking.dispatch(rows, fallback="code").select("chunk_id", "chunk_index", "header_path", "chunk")
 
 
+@query(
+    "WITH t AS (SELECT 'r' || n_regionkey AS file_path, '| ' || n_name || ' |' AS line, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) "
+    "SELECT 'c' || conv_id AS file_path, 'document/layout' AS content_type, coalesce(role, '') AS header_path, text FROM conversations WHERE coalesce(text, '') <> '' "
+    "UNION ALL SELECT file_path, 'table', NULL, min_by(line, r) || chr(10) || '| --- |' || string_agg(chr(10) || line, '' ORDER BY r) FILTER (WHERE r > 1) FROM t GROUP BY file_path "
+    "UNION ALL SELECT 'raw', 'document/layout', NULL, 'whole'"
+)
+def layout_documents(spark, sf_dir):
+    """Turns as paragraphs with roles, nations as one table a region, and a file that has only its content."""
+    from pyspark.sql import Window
+
+    turns = tables.table(spark, sf_dir, "conversations")
+    paragraphs = turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"), F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    cells = tables.table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("file_path"), F.lit(0).alias("table_id"), (F.row_number().over(order) - 1).alias("row"), F.lit(0).alias("column"), F.col("n_name").alias("value"))
+    contents = spark.createDataFrame([("raw", "whole"), ("r0", "no")], "file_path string, content string")
+    return chunking.layout_documents(paragraphs, cells, contents).select("file_path", "content_type", "header_path", "text")
+
+
 @query(f"SELECT doc_id, CAST(256 AS INTEGER) AS dimensions, CASE WHEN len({catalogue._TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents")
 def embed_documents(spark, sf_dir):
     made = embedding.embed(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

@@ -58,8 +58,11 @@ def validate(spark: SparkSession, path: str) -> str | None:
     return None
 
 
-def ingest(spark: SparkSession, store: Store, path: str, collection: str = "documents", **options) -> dict:
-    """Ingest the files below ``path`` into a collection and return the report, with details as a DataFrame."""
+def ingest(spark: SparkSession, store: Store, path: str, collection: str = "documents", stopped: Callable[[], bool] = lambda: False, **options) -> dict:
+    """Ingest the files below ``path`` into a collection and return the report, with details as a DataFrame.
+
+    ``stopped`` is asked before the collection is written: an interrupted run leaves it as it was.
+    """
     if (reason := validate(spark, path)) is not None:
         return {"status": "error", "error_type": "file", "message": reason, "collection": collection, "chunks_removed": 0, "file_details": spark.createDataFrame([], "path string, status string, chunks bigint, error string")}
     tag = store.metadata(collection).get("profile") if store.exists(collection) else None
@@ -67,6 +70,8 @@ def ingest(spark: SparkSession, store: Store, path: str, collection: str = "docu
     chunks, details = chunk_files(found, resolve_profile(tag), **options)
     before = store.count(collection)
     created = chunks.count()
+    if stopped():
+        return {"status": "interrupted", "collection": collection, "files_indexed": 0, "chunks_created": 0, "chunks_removed": 0, "file_details": details}
     if created:
         store.upsert(collection, chunks)
     counts = files.report_counts(details).first()

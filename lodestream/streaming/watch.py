@@ -7,13 +7,21 @@ follow each other within the debounce gap are one change, settled by its last ev
 from __future__ import annotations
 
 import logging
+import os
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from lodestream.scratch import drop_table, materialize
+from lodestream.sources import files
 
 DEBOUNCE = "2 seconds"
 #: Files whose last hash is kept, the ones changed longest ago going first.
 MAX_FILES = 50_000
+#: Files that one look at a folder hands on at most; the others wait for the next one.
+FILES_A_LOOK = 1000
 #: Connection errors in a row from which on the log says that the model server may be gone.
 MAX_ERRORS = 5
 SHUTDOWN_SECONDS = 30
@@ -87,9 +95,13 @@ class WatchSink:
         kept.write.mode("overwrite").parquet(f"{self.path}/{batch:010d}")
 
 
-def watch(events: DataFrame, sink: WatchSink, checkpoint: str, gap: str = DEBOUNCE, delay: str = "1 minute", trigger: dict | None = None):
-    """Start the loop on a stream of events; stop it with ``query.stop()``."""
-    bursts = debounced(events.withWatermark("ts", delay), gap)
+def watch(events: DataFrame, sink: WatchSink, checkpoint: str, gap: str = DEBOUNCE, delay: str | None = None, trigger: dict | None = None):
+    """Start the loop on a stream of events; stop it with ``query.stop()``.
+
+    A burst is settled once the watermark has passed its end: ``gap`` after its last event plus
+    ``delay``, which is how late events may come and as long as the gap unless it is given.
+    """
+    bursts = debounced(events.withWatermark("ts", delay or gap), gap)
     writer = bursts.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
@@ -106,3 +118,51 @@ def listing_events(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = a.join(b, "path", "full_outer")
     kind = F.when(F.col("ts_b").isNull(), "deleted").when(F.col("ts_a").isNull(), "created").when(~F.col("sha_a").eqNullSafe(F.col("sha_b")), "modified")
     return joined.withColumn("kind", kind).where("kind is not null").select(F.coalesce("ts_b", "ts_a").alias("ts"), "path", "kind", F.col("sha_b").alias("sha256"))
+
+
+def below(path: Column, root: str) -> Column:
+    """Whether a local path, its links followed, lies in ``root``; other file systems have no links."""
+    base = os.path.realpath(root.removeprefix("file://").removeprefix("file:"))
+
+    @F.pandas_udf("boolean")
+    def inside(paths: pd.Series) -> pd.Series:
+        local = paths.str.replace(r"^file:/+", "/", regex=True)
+        return pd.Series([not p.startswith("/") or os.path.realpath(p).startswith(base + os.sep) for p in local], dtype=bool)
+
+    return inside(path)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, ts, sha256) of the files below ``root`` that ingestion reads and that no link leads out of it."""
+    found = files.discover(spark, root)
+    found = found.where(~files.ignored(F.col("path"))).where(below(F.col("path"), root))
+    return files.content_hash(found).select("path", F.col("modified").alias("ts"), "sha256")
+
+
+class Watcher:
+    """Looks at a folder again and again and hands what has changed to a sink, ``most`` files at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, sink: WatchSink, most: int = FILES_A_LOOK):
+        self.spark, self.root, self.sink, self.most = spark, root, sink, most
+        self.seen = spark.createDataFrame([], "path string, ts timestamp, sha256 string")
+        self.batch = 0
+
+    def look(self) -> int:
+        """One look; the number of files whose changes were handed on."""
+        changes = listing_events(self.seen, listing(self.spark, self.root)).withColumn("ended", F.col("ts")).orderBy("ts", "path").limit(self.most)
+        changes = materialize(changes, "watch-events")
+        number = changes.count()
+        if number:
+            self.sink(changes, self.batch)
+            self.batch += 1
+            gone = changes.select("path")
+            now = changes.where("kind <> 'deleted'").select("path", "ts", "sha256")
+            self.seen = materialize(self.seen.join(gone, "path", "left_anti").unionByName(now), "watch-seen")
+        drop_table(self.spark, changes)
+        return number
+
+    def run(self, stopped: Callable[[], bool], seconds: float = 2.0) -> None:
+        """Look until ``stopped`` says so; the look in flight ends first."""
+        while not stopped():
+            if not self.look():
+                time.sleep(seconds)

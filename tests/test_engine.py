@@ -55,6 +55,10 @@ def test_ingest_search_list_delete(spark, engine, folder):
     assert engine.delete_documents()["chunks_removed"] == 1 and engine.delete_documents()["status"] == "error"
 
 
+def test_interrupted_ingestion_writes_nothing(engine, folder):
+    assert engine.ingest_documents(str(folder), stopped=lambda: True)["status"] == "interrupted" and not engine.store.exists("documents")
+
+
 def test_no_file_goes_unreported(engine, tmp_path):
     root = tmp_path / "build" / "/".join("abcdefghijkl")
     for name in ("x.md", "node_modules/y.txt", "/".join("abcdefghijklmn") + "/z.txt", "w.exe"):

@@ -220,6 +220,13 @@ def test_metrics_of_one_query(spark):
     assert (gained.gained, gained.lost) == (1, 1)
 
 
+def test_paired_bootstrap(spark):
+    one = spark.createDataFrame([(i, 1.0 + i % 3) for i in range(60)], "query_id long, mrr double")
+    other = spark.createDataFrame([(i, 0.5 + i % 3 + (i % 2) * 0.2) for i in range(50)], "query_id long, mrr double")
+    got = evaluate.bootstrap_difference(one, other, "query_id", "mrr", resamples=2000).first()
+    assert got.mean == pytest.approx(0.4) and 0.36 < got.low < 0.4 < got.high < 0.44
+
+
 def test_means_samples_and_intervals(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "kind string, hit double")
     assert {r.kind: r.hit for r in evaluate.grouped_means(rows, "kind", ["hit"]).collect()} == pytest.approx({"a": 0.5, "b": 1, "all": 2 / 3}, abs=1e-6)
@@ -439,6 +446,26 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert sink.errors == 0 and [r.path for r in sink._state(101).collect()] == ["b"]
 
 
+def test_watcher_hands_on_changes_and_follows_no_link_out(spark, tmp_path):
+    root, outside = tmp_path / "in", tmp_path / "secret.txt"
+    root.mkdir()
+    outside.write_text("not yours")
+    (root / "a.txt").write_text("one")
+    (root / "b.md").write_text("two")
+    (root / "skip.tmp").write_text("x")
+    (root / "link.txt").symlink_to(outside)
+    done = []
+    sink = watch.WatchSink(spark, f"file://{tmp_path}/state", lambda rows: done.append(("up", sorted(p.rsplit("/", 1)[1] for p in ids(rows, "path")))), lambda rows: done.append(("gone", sorted(p.rsplit("/", 1)[1] for p in ids(rows, "path")))))
+    watcher = watch.Watcher(spark, str(root), sink, most=1)
+    assert [watcher.look() for _ in range(3)] == [1, 1, 0] and sorted(x for kind, x in done if kind == "up" and x) == [["a.txt"], ["b.md"]]
+    (root / "a.txt").write_text("one more")
+    (root / "b.md").unlink()
+    done.clear()
+    stops = iter([False] * 3 + [True])
+    watcher.run(lambda: next(stops), 0)
+    assert ("up", ["a.txt"]) in done and ("gone", ["b.md"]) in done
+
+
 def test_listing_differences(spark):
     a, b = events(spark, [(0, "x", "", "1"), (0, "y", "", "1")]), events(spark, [(5, "y", "", "2"), (5, "z", "", "3")])
     assert {(r.path, r.kind) for r in watch.listing_events(a, b).collect()} == {("x", "deleted"), ("y", "modified"), ("z", "created")}
