@@ -50,10 +50,11 @@ def build(sources: DataFrame, documents: DataFrame | None = None) -> dict:
     stem = lambda p: Path(p).stem
     communities = [{"label": "/".join(map(stem, g.files[:3])), "files": g.files, "edges": inner.get(g.community, 0)} for g in groups]
     hubs = codegraph.hubs(codegraph.in_degrees(nodes, edges)).orderBy(F.desc("in_degree"), "node").collect()
-    links = [] if documents is None else docgraph.cross_links(extracted.select("path", "exports"), documents).orderBy("relation", "code", "doc").collect()
+    found = None if documents is None else docgraph.cross_links(extracted.select("path", "exports"), documents).cache()
+    links = [] if found is None else found.orderBy("relation", "code", "doc").limit(LINKS_SHOWN).collect()  # documents are no bounded side
     return {
         "types": {r.content_type: r.n for r in counts.orderBy(F.desc("n"), "content_type").collect()}, "communities": communities,
-        "hubs": [{"file": h.node, "in_degree": h.in_degree} for h in hubs], "cross_links": [{"code": x.code, "doc": str(x.doc), "relation": x.relation} for x in links],
+        "hubs": [{"file": h.node, "in_degree": h.in_degree} for h in hubs], "cross_links": [{"code": x.code, "doc": str(x.doc), "relation": x.relation} for x in links], "all_links": 0 if found is None else found.count(),
     }
 
 
@@ -68,7 +69,7 @@ def render(found: dict) -> str:
     if found["hubs"]:
         lines += ["", "## Hubs", *(f"- {h['file']} (imported by {h['in_degree']})" for h in found["hubs"][:HUBS_SHOWN])]
     if found["cross_links"]:
-        rest = len(found["cross_links"]) - LINKS_SHOWN
+        rest = found.get("all_links", 0) - LINKS_SHOWN
         lines += ["", "## Cross-links", *(f"- {x['code']} - {x['doc']} ({x['relation']})" for x in found["cross_links"][:LINKS_SHOWN]), *([f"- and {rest} more"] if rest > 0 else [])]
     return "\n".join(lines)
 
