@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes that one pass of the kernels works on; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
+#: The same for kernels that keep many numbers for each byte or word.
+SMALL_PASS = 1 << 18
 
 _U = np.uint64
 _BASE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -116,7 +118,7 @@ class SpanHash:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, PASS_BYTES + 1)
+            size = max(n, SMALL_PASS + 1)
             with np.errstate(over="ignore"):
                 steps = np.full(size, self.base, dtype=_U)
                 steps[0] = 1

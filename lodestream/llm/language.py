@@ -53,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, offsets = kernel.buffers(b.column(1))
         langs = b.column(0).to_pylist()
-        for i, j in kernel.passes(offsets):
+        for i, j in kernel.passes(offsets, kernel.SMALL_PASS):
             data = kernel.lower_ascii(raw[offsets[i] : offsets[j]])
             starts, ends, first = kernel.spans(data, offsets[i : j + 1] - offsets[i], _LETTER)
             for r in range(i, j):
@@ -155,7 +155,7 @@ def _predict(model: LanguageModel, text_at: int, uniform: bool):
             texts = b.column(text_at)
             raw, offsets = kernel.buffers(texts)
             names, scores = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-            for i, j in kernel.passes(offsets):
+            for i, j in kernel.passes(offsets, kernel.SMALL_PASS):
                 if not model.names:
                     continue
                 data, at = kernel.lower_ascii(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]

@@ -79,7 +79,7 @@ def _key_rows(min_chars: int):
         for b in batches:
             raw, offsets = kernel.buffers(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in kernel.passes(offsets):
+            for i, j in kernel.passes(offsets, kernel.SMALL_PASS):
                 k1, k2, n, first = keys(raw, offsets[i : j + 1])
                 row = np.repeat(np.arange(i, j), np.diff(first))
                 keep = n >= min_chars
@@ -313,7 +313,7 @@ def _rebuild(text_at: int):
             raw, offsets = kernel.buffers(column)
             kept, n_lines, n_dropped = column.to_pylist(), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             has = lost.is_valid().to_numpy(zero_copy_only=False)
-            for i, j in kernel.passes(offsets):
+            for i, j in kernel.passes(offsets, kernel.SMALL_PASS):
                 if not has[i:j].any():
                     breaks = np.concatenate([[0], np.cumsum(raw[offsets[i] : offsets[j]] == 10)])
                     n_lines[i:j] = np.diff(breaks[offsets[i : j + 1] - offsets[i]]) + 1

@@ -74,7 +74,7 @@ class ShingleSets:
 def sets_of(column: pa.Array, shingle: int) -> list[np.ndarray]:
     raw, offsets = kernel.buffers(column)
     make = ShingleSets(shingle)
-    return [x for i, j in kernel.passes(offsets) for x in make(raw, offsets[i : j + 1])]
+    return [x for i, j in kernel.passes(offsets, kernel.SMALL_PASS) for x in make(raw, offsets[i : j + 1])]
 
 
 def _sketches(shingle: int):
@@ -84,7 +84,7 @@ def _sketches(shingle: int):
         make = ShingleSets(shingle)
         for b in batches:
             raw, offsets = kernel.buffers(b.column(1))
-            for i, j in kernel.passes(offsets):
+            for i, j in kernel.passes(offsets, kernel.SMALL_PASS):
                 n, one, two, sketch = [], [], [], []
                 with np.errstate(over="ignore"):
                     for values in make(raw, offsets[i : j + 1]):
