@@ -85,8 +85,9 @@ def words(text: Column) -> Column:
 
 def templates(spark: SparkSession, texts: list[tuple[str, str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
     """(template, label, base, text, named): phrases count as they stand (base), texts where a span is verified."""
-    rows = [(i, label, base, text, named) for i, (label, text, named, base) in enumerate([(a, b, b, True) for a, b in phrases] + [(*t, False) for t in texts])]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, text string, named string")
+    rows = [(a, b, b, True) for a, b in phrases] + [(*t, False) for t in texts]
+    made = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("base"), F.lit(text).alias("text"), F.lit(named).alias("named")) for i, (label, text, named, base) in enumerate(rows)]
+    return spark.range(1).select(F.inline(F.array(*made)))
 
 
 def _grams(held: Column, n: Column | int) -> Column:
