@@ -17,8 +17,9 @@
    all their members that are not connected with each other meet, in parts of two blocks. Two texts
    in several common lists meet only in the one with the smallest key. The sketches tell which members
    of a part may link at all; only these get their texts, and the part compares their full sets where
-   they lie and gives out a spanning forest of the links it finds. So rows stay in proportion to the
-   members, whatever the number of pairs.
+   they lie and gives out a spanning forest of the links it finds. Blocks are dealt by component, and
+   blocks of one component don't meet, so rows stay in proportion to the members where nearly all are
+   connected; they grow with the square of a list only where its members stay apart.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestream.llm import kernel
 from lodestream.llm.components import connected_components
@@ -401,6 +402,31 @@ def long_lists(rows: DataFrame, split: DataFrame, made: Workspace) -> DataFrame:
     return made.table(rows.join(keys, "key").select("key", "rep", "n"), "nd-in-long")
 
 
+def in_parts(known: DataFrame, made: Workspace) -> DataFrame:
+    """(key, rep, n, label, own, others) of the members of lists with more than one label: their block, and the blocks that it has to meet.
+
+    A label with half a block of members or more has blocks of its own, and blocks of one label don't
+    meet; members of small labels share blocks, which meet all. So a list of which all but a few members
+    are connected is sent once or twice, and one of two large components is sent once for each block of
+    the other one. Only a list whose members stay apart meets in all pairs of blocks.
+    """
+    weight = F.greatest(F.col("members") / BLOCK, F.col("values") / BLOCK_VALUES)
+    groups = known.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("values"))
+    groups = made.table(groups.withColumn("blocks", F.when(weight > 0.5, F.ceil(weight)).otherwise(0).cast("int")), "nd-groups")
+    small = lambda c: F.coalesce(F.sum(F.when(F.col("blocks") == 0, F.col(c))), F.lit(0))
+    shared = F.ceil(F.greatest(small("members") / BLOCK, small("values") / BLOCK_VALUES)).cast("int")
+    sizes = groups.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.sum("blocks").cast("int").alias("pure"), shared.alias("shared")).where("one <> other")
+    sizes = made.table(sizes.select("key", "pure", "shared"), "nd-sizes")
+    before = F.sum("blocks").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))  # a row for half a block of members at least
+    large = made.table(groups.where("blocks > 0").join(sizes.select("key"), "key").select("key", "label", "blocks", F.coalesce(before, F.lit(0)).cast("int").alias("start")), "nd-large")
+    dealt = known.join(sizes, "key").join(large, ["key", "label"], "left")
+    place = lambda n: F.pmod(F.xxhash64("rep", "key"), n).cast("int")
+    own = F.when(F.col("blocks").isNotNull(), F.col("start") + place(F.col("blocks"))).otherwise(F.col("pure") + place(F.greatest("shared", F.lit(1))))
+    every = F.sequence(F.lit(0), F.col("pure") + F.col("shared") - 1)
+    others = F.when(F.col("blocks").isNull(), every).otherwise(F.filter(every, lambda x: (x < F.col("start")) | (x >= F.col("start") + F.col("blocks"))))
+    return dealt.select("key", "rep", "n", "label", own.alias("own"), others.alias("others"))
+
+
 def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, done: DataFrame, shingle: int, percent: int, made: Workspace) -> DataFrame:
     """(a, b): links that, with those known, connect whatever links of members of a long list connect.
 
@@ -408,16 +434,13 @@ def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, don
     """
     label = done.select(F.col("node").alias("rep"), "component")
     known = made.table(in_long.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "nd-labels")
-    sizes = known.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")
-    sizes = made.table(sizes.select("key", blocks.alias("blocks")), "nd-sizes")
-    dealt = known.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    dealt = in_parts(known, made)
     with_sketch = made.table(dealt.join(reps.select("rep", "sketch"), "rep"), "nd-dealt", "lz4")
-    met = with_sketch.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = with_sketch.withColumn("other", F.explode("others"))
     met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("lower"), "rep", "label", "n", "sketch")
     laid = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     suspects = made.table(laid.mapInArrow(_suspects(percent), "key bigint, low int, high int, lower boolean, rep bigint, label bigint"), "nd-suspects")
-    made.drop(known, sizes, with_sketch)
+    made.drop(known, with_sketch)
     compared = suspects.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "low", "high", "lower", "rep", "label", "text")
     laid = compared.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return made.table(laid.mapInArrow(_forests(shingle, percent), "a bigint, b bigint"), "nd-forests")

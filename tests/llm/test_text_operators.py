@@ -240,8 +240,45 @@ def test_sides_of_a_long_list_meet_once(spark, monkeypatch):
     assert all(tree[i] == tree[j] for i, j in linked)
 
 
-def test_links_between_large_groups_of_distinct_texts(spark):
+def laid_out(spark, rows):
+    """Members of each part (key, low, high) of a list's (key, rep, n, label), and the rows that are sent."""
+    with Workspace(spark) as space:
+        known = space.table(spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, label bigint"), "known")
+        dealt = near_dedup.in_parts(known, space).collect()
+    parts = collections.defaultdict(lambda: (set(), set()))
+    for r in dealt:
+        for other in r.others:
+            parts[r.key, min(r.own, other), max(r.own, other)][r.own > other].add((r.rep, r.label))
+    return parts, sum(len(r.others) for r in dealt)
+
+
+def test_a_stray_in_a_long_list_costs_no_square(spark):
+    rows = [(7, i, 100, 0 if i else 99) for i in range(20_000)] + [(8, i, 10, 5) for i in range(3000)]  # list 8 is connected
+    parts, sent = laid_out(spark, rows)
+    assert sent <= 2 * 20_000 and {key for key, *_ in parts} == {7}
+    assert laid_out(spark, [(1, i, 100, i % 2) for i in range(20_000)])[1] <= 6 * 20_000
+
+
+def test_unlike_members_of_a_list_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    random.seed(6)
+    labels = [0] * 50 + [1] * 30 + [2] * 5 + [3] * 4 + [4] * 3 + list(range(10, 40))
+    rows = [(k, i, 10, x) for k in (1, 2) for i, x in enumerate(labels)] + [(3, 5, 10, 1), (3, 6, 10, 2)]
+    random.shuffle(rows)
+    parts, _ = laid_out(spark, rows)
+    met = collections.Counter()
+    for (key, low, high), (first, second) in parts.items():
+        pairs = itertools.combinations(sorted(first), 2) if low == high else itertools.product(first, second)
+        met.update((key, min(a, b), max(a, b)) for (a, x), (b, y) in pairs if x != y)
+    by_key = collections.defaultdict(list)
+    for key, i, _, x in rows:
+        by_key[key].append((i, x))
+    assert met == collections.Counter((key, a, b) for key, held in by_key.items() for (a, x), (b, y) in itertools.combinations(sorted(held), 2) if x != y)
+
+
+def test_links_between_large_groups_of_distinct_texts(spark, monkeypatch):
     """Two groups whose members lie in long lists only, joined by one link between two outer members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
     random.seed(8)
     texts = []
     for g in range(6):
