@@ -32,4 +32,4 @@ CHUNKING = Registry("chunking strategy", **{n: f"lodestream.operators.chunking:{
 RETRIEVAL = Registry("retrieval strategy", dense="lodestream.operators.retrieval:dense_topk", bm25="lodestream.operators.retrieval:bm25_topk", native_sparse="lodestream.operators.retrieval:native_sparse", fusion="lodestream.operators.retrieval:hybrid", reranker="lodestream.operators.retrieval:rerank")
 METADATA = Registry("metadata strategy", keyword="lodestream.operators.metadata:by_keywords", llm="lodestream.operators.metadata:by_model", disabled="lodestream.operators.metadata:disabled")
 EMBEDDING = Registry("embedder", hashing="lodestream.operators.embedding:hashing")
-PDF = Registry("PDF reader", liteparse="lodestream.sources.pdf:liteparse", pypdfium2="lodestream.sources.pdf:pypdfium2", pypdf="lodestream.sources.pdf:pypdf")
+PDF = Registry("PDF reader", liteparse="lodestream.sources.pdf:liteparse", pypdfium2="lodestream.sources.pdf:pypdfium2", pypdf="lodestream.sources.pdf:pypdf", builtin="lodestream.sources.pdf:builtin")

@@ -546,9 +546,34 @@ def bm25_contribution(spark, sf_dir):
     return evaluate.contribution(ranking, other, _relevant(spark, sf_dir), 10)
 
 
-@query()
+_RESAMPLED = """, v AS (SELECT row_number() OVER (ORDER BY x) - 1 AS number, x FROM values), c AS (SELECT count(*) AS n FROM v),
+    t AS (SELECT b, CAST('0x' || md5('42:' || b || ':' || j)[:15] AS BIGINT) % n AS number, n FROM c, range(10000) r(b), LATERAL (SELECT unnest(range(n)) AS j)),
+    m AS (SELECT b, sum(x) / any_value(n) AS mean FROM t JOIN v USING (number) GROUP BY b), s AS (SELECT list(mean ORDER BY mean) AS means FROM m)
+    SELECT round((SELECT avg(x) FROM v), 9) AS mean, round(means[251], 9) AS low, round(means[9751], 9) AS high FROM s"""
+
+
+@query(f"{_RANKED}, values AS (SELECT mrr AS x FROM ({_METRICS})) {_RESAMPLED}")
 def eval_bootstrap(spark, sf_dir):
-    return evaluate.bootstrap_mean(evaluate.hit_mrr_recall(_ranking(spark, sf_dir), _relevant(spark, sf_dir), 10), "mrr")
+    out = evaluate.bootstrap_mean(evaluate.hit_mrr_recall(_ranking(spark, sf_dir), _relevant(spark, sf_dir), 10), "mrr")
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+_REVERSED = "rv AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM rk)"
+
+
+def _reversed(ranking: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return ranking.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"))))
+
+
+@query(f"{_RANKED}, {_REVERSED}, one AS ({_METRICS}), other AS ({_METRICS.replace('rk k', 'rv k')}), values AS (SELECT one.recall - other.recall AS x FROM one JOIN other USING (query_id)) {_RESAMPLED}")
+def eval_bootstrap_difference(spark, sf_dir):
+    """How much more the nearest ten of fifty recall than the ten last, paired by query."""
+    ranking, relevant = _ranking(spark, sf_dir), _relevant(spark, sf_dir)
+    one, other = (evaluate.hit_mrr_recall(r, relevant, 10) for r in (ranking, _reversed(ranking)))
+    out = evaluate.bootstrap_difference(one, other, "query_id", "recall")
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @query()

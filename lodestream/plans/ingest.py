@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestream.operators import chunking, embedding
 from lodestream.operators.policy import Profile, resolve_profile
 from lodestream.operators.registry import METADATA
-from lodestream.scratch import materialize
+from lodestream.scratch import drop_table, materialize
 from lodestream.sources import files
 from lodestream.sources.store import Store
 
@@ -24,12 +24,16 @@ def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embed
     """Chunks in the store's columns, and (path, status, chunks, error) of every file of ``found``.
 
     ``types`` (path, group, label, is_text) are a detector's; files that it doesn't name, or all
-    without one, go by ending. Files outside the scan's scope have no type and are cut by the fallback.
+    without one, go by ending. Files of binary types are skipped, whatever their ending. Files outside
+    the scan's scope have no type and are cut by the fallback.
     """
     supported, skipped = files.split_supported(found)
-    texts = materialize(files.read_texts(supported), "ingest-texts")
     kinds = files.with_types(supported) if types is None else files.detected(supported, types).join(supported.select("path", "relative"), "path")
     kinds = kinds.select("path", F.when(files.in_scope(F.col("relative")), F.col("content_type")).alias("content_type"))
+    binary = kinds.where(F.startswith("content_type", F.lit("binary"))).select("path", F.lit("skipped").alias("status"), F.lit("binary file").alias("reason"))
+    skipped = skipped.select("path", "status", "reason").unionByName(binary)
+    supported = supported.join(binary, "path", "left_anti")
+    texts = materialize(files.read_texts(supported), "ingest-texts")
     typed = texts.where("error is null").join(kinds, "path", "left").withColumnRenamed("path", "file_path")
     known = METADATA.get(mode if mode in METADATA.available() else "keyword")(typed, text_col="text", **options)
     if profile.taxonomy == "file_type":
@@ -44,7 +48,9 @@ def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embed
     chunks = materialize(embedding.embed(named.where(F.trim("text") != ""), "text", embedder=embedder), "ingest-chunks")
     sizes = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
     status = F.when(F.col("error").isNull(), "indexed").otherwise("failed")
-    details = texts.select("path", status.alias("status"), "error").join(sizes, "path", "left").select("path", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
+    read = materialize(texts.select("path", status.alias("status"), "error"), "ingest-status")
+    drop_table(texts.sparkSession, texts)
+    details = read.join(sizes, "path", "left").select("path", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
     return chunks, details.unionByName(skipped.select("path", "status", F.lit(0).cast("bigint").alias("chunks"), F.col("reason").alias("error")))
 
 

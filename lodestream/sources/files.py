@@ -176,7 +176,7 @@ def read_pptx(content: bytes) -> list[tuple[str | None, str]]:
 
 
 def read_pdf(content: bytes) -> list[tuple[str | None, str]]:
-    """The pages that the first installed PDF reader gives."""
+    """The pages that the first installed PDF reader gives, the engine's own if there is none."""
     return [(str(i), text) for i, text in PDF.get(pdf.choose())(content)]
 
 

@@ -60,17 +60,30 @@ class WatchSink:
         self.errors = 0
         self.most = most
 
-    def _state(self, before: int) -> DataFrame:
+    def _written(self) -> list[int]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        written = [int(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
-        known = [b for b in sorted(written, reverse=True) if b < before and self._exists(b)][:1]
-        return self.spark.read.parquet(f"{self.path}/{known[0]:010d}") if known else self.spark.createDataFrame([], "path string, sha256 string, changed bigint")
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def last(self, before: int | None = None) -> int | None:
+        """The last batch that is done, or done before another one."""
+        return next((b for b in self._written() if (before is None or b < before) and self._exists(b)), None)
+
+    def _state(self, before: int) -> DataFrame:
+        known = self.last(before)
+        return self.spark.createDataFrame([], "path string, sha256 string, changed bigint") if known is None else self.spark.read.parquet(f"{self.path}/{known:010d}")
 
     def _exists(self, batch: int) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch:010d}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def forget(self, batch: int) -> None:
+        """A batch's tables go; only those of the last one are read again."""
+        for name in (f"{batch:010d}", f"seen-{batch:010d}"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         if self._exists(batch):
             return
@@ -106,10 +119,30 @@ def watch(events: DataFrame, sink: WatchSink, checkpoint: str, gap: str = DEBOUN
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def shut_down(query, seconds: int = SHUTDOWN_SECONDS) -> bool:
-    """Stop a running loop: the batch in flight may end within the time; whether it did."""
+def shut_down(query, seconds: float = SHUTDOWN_SECONDS, forced: Callable[[], bool] = lambda: False) -> bool:
+    """Stop a running loop: the batch in flight may end within the time, unless ``forced`` says so before; whether it did."""
+    progress = lambda: p.batchId if (p := query.lastProgress) else None
+    until, before, ended = time.monotonic() + seconds, progress(), False
+    while not ended and time.monotonic() < until and not forced():
+        ended = not query.isActive or not query.status["isTriggerActive"] or progress() != before
+        time.sleep(0 if ended else 0.05)
     query.stop()
-    return query.awaitTermination(seconds) is not False
+    return query.awaitTermination(seconds) is not False and ended
+
+
+def run_until_signal(query, seconds: float = SHUTDOWN_SECONDS) -> bool:
+    """Wait for the query's end; the first SIGINT or SIGTERM lets the batch in flight end, the second stops at once."""
+    import signal
+
+    seen: list[int] = []
+    before = {s: signal.signal(s, lambda number, frame: seen.append(number)) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        while query.isActive and not seen:
+            query.awaitTermination(0.2)
+        return shut_down(query, seconds, lambda: len(seen) > 1) if seen else True
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
 
 
 def listing_events(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -139,26 +172,45 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.content_hash(found).select("path", F.col("modified").alias("ts"), "sha256")
 
 
+_SEEN = "path string, ts timestamp, size bigint, sha256 string"
+
+
 class Watcher:
-    """Looks at a folder again and again and hands what has changed to a sink, ``most`` files at a time."""
+    """Looks at a folder again and again and hands what has changed to a sink, ``most`` files at a time.
+
+    What was seen is a table beside the sink's, written before its batch and in force once that batch is
+    done; batches are numbered on from the sink's last one. So a new watcher with the same sink goes on
+    where the last one ended, whenever that was. Contents are hashed only where size or time differ.
+    """
 
     def __init__(self, spark: SparkSession, root: str, sink: WatchSink, most: int = FILES_A_LOOK):
         self.spark, self.root, self.sink, self.most = spark, root, sink, most
-        self.seen = spark.createDataFrame([], "path string, ts timestamp, sha256 string")
-        self.batch = 0
+
+    def _seen(self, batch: int | None) -> DataFrame:
+        return self.spark.createDataFrame([], _SEEN) if batch is None else self.spark.read.schema(_SEEN).parquet(f"{self.sink.path}/seen-{batch:010d}")
 
     def look(self) -> int:
         """One look; the number of files whose changes were handed on."""
-        changes = listing_events(self.seen, listing(self.spark, self.root)).withColumn("ended", F.col("ts")).orderBy("ts", "path").limit(self.most)
-        changes = materialize(changes, "watch-events")
-        number = changes.count()
+        last = self.sink.last()
+        seen = self._seen(last)
+        found = files.discover(self.spark, self.root)
+        now = found.where(~files.ignored(F.col("path"))).where(below(F.col("path"), self.root)).select("path", F.col("modified").alias("ts_now"), F.col("size").alias("size_now"))
+        both = seen.join(now, "path", "full_outer").where(~(F.col("ts").eqNullSafe(F.col("ts_now")) & F.col("size").eqNullSafe(F.col("size_now"))))
+        some = materialize(both.orderBy(F.coalesce("ts_now", "ts"), "path").limit(self.most), "watch-events")
+        number = some.count()
         if number:
-            self.sink(changes, self.batch)
-            self.batch += 1
-            gone = changes.select("path")
-            now = changes.where("kind <> 'deleted'").select("path", "ts", "sha256")
-            self.seen = materialize(self.seen.join(gone, "path", "left_anti").unionByName(now), "watch-seen")
-        drop_table(self.spark, changes)
+            paths = [r.path for r in some.where("ts_now IS NOT NULL").select("path").collect()]  # no more than ``most``
+            hashed = files.content_hash(self.spark.read.format("binaryFile").load(paths)).select("path", F.col("sha256").alias("sha_now")) if paths else self.spark.createDataFrame([], "path string, sha_now string")
+            kind = F.when(F.col("ts_now").isNull(), "deleted").when(F.col("ts").isNull(), "created").otherwise("modified")
+            changes = materialize(some.join(hashed, "path", "left").withColumn("kind", kind), "watch-changes")
+            batch = 0 if last is None else last + 1
+            kept = changes.where("kind <> 'deleted'").select("path", F.col("ts_now").alias("ts"), F.col("size_now").alias("size"), F.col("sha_now").alias("sha256"))
+            seen.join(changes.select("path"), "path", "left_anti").unionByName(kept).write.mode("overwrite").parquet(f"{self.sink.path}/seen-{batch:010d}")
+            self.sink(changes.select("path", "kind", F.col("sha_now").alias("sha256"), F.coalesce("ts_now", "ts").alias("ended")), batch)
+            if last is not None:
+                self.sink.forget(last)
+            drop_table(self.spark, changes)
+        drop_table(self.spark, some)
         return number
 
     def run(self, stopped: Callable[[], bool], seconds: float = 2.0) -> None:

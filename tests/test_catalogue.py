@@ -40,7 +40,8 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in engine.queries() if n not in engine.oracle_sql() and not n.startswith(("op", "pipeline"))))
 def test_query_runs(spark, name):
-    assert engine.queries()[name](spark, SF).count() >= (0 if name == "bridges" else 1)
+    rows = engine.queries()[name](spark, SF).collect()  # all columns, which a count would prune
+    assert len(rows) >= (0 if name == "bridges" else 1)
 
 
 def test_entry(spark):

@@ -135,5 +135,4 @@ def test_registries_and_readers():
     assert pdf.choose("auto", lambda n: n == "pypdf" or None) == "pypdf" and pdf.choose("pypdfium2") == "pypdfium2"
     with pytest.raises(ValueError):
         pdf.choose("other")
-    with pytest.raises(LookupError):
-        pdf.choose("auto", lambda n: None)
+    assert pdf.choose("auto", lambda n: None) == "builtin" and PDF.get("builtin") is pdf.builtin

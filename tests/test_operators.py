@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import zipfile
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lodestream.operators import chunking, codegraph, docgraph, evaluate, retrieval
+from lodestream.operators import chunking, codegraph, docgraph, evaluate, numbering, retrieval
 from lodestream.operators.policy import SearchSettings
 from lodestream.sources import files
 from lodestream.sources.store import ConcurrentWrite, DimensionMismatch, MissingCollection, Store
@@ -227,6 +228,23 @@ def test_paired_bootstrap(spark):
     assert got.mean == pytest.approx(0.4) and 0.36 < got.low < 0.4 < got.high < 0.44
 
 
+@pytest.mark.parametrize("values", [[], [0.25], [0.0, 1.0], [0.5, 0.0, 1.0, 0.5, 0.2], [float(i % 7) for i in range(40)]])
+def test_bootstrap_equals_draws_one_by_one(spark, values):
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = evaluate.bootstrap_mean(table, "v", resamples=200, seed=5).first()
+    ordered, n = sorted(values), len(values)
+    draw = lambda b, j: ordered[int(hashlib.md5(f"5:{b}:{j}".encode()).hexdigest()[:15], 16) % n]
+    means = sorted(sum(draw(b, j) for j in range(n)) / n for b in range(200)) if n else [0.0] * 200
+    assert (got.mean, got.low, got.high) == pytest.approx((sum(values) / n if n else 0.0, means[5], means[195]))
+
+
+def test_numbers_are_dense(spark):
+    table = spark.createDataFrame([(i % 5, i) for i in range(200)], "a long, b long").repartition(7)
+    rows = numbering.numbered(table, ["a", "b"]).collect()
+    assert [r.number for r in sorted(rows, key=lambda r: (r.a, r.b))] == list(range(200))
+    assert numbering.numbered(table.limit(0), ["a"]).count() == 0
+
+
 def test_means_samples_and_intervals(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "kind string, hit double")
     assert {r.kind: r.hit for r in evaluate.grouped_means(rows, "kind", ["hit"]).collect()} == pytest.approx({"a": 0.5, "b": 1, "all": 2 / 3}, abs=1e-6)
