@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestream.plans import tables
+from lodestream.operators import dense_index, sparse_blocks
+from lodestream.plans import catalogue, tables
 from lodestream.plans.catalogue import query
 from lodestream.scratch import shared_dir
 from lodestream.sources import pdf
@@ -130,3 +131,31 @@ def watch_keyed(spark, sf_dir):
     out.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(keyed.CHANGES).parquet(f"{folder}/changes")
     return done.select("path", "kind", "sha256", F.unix_millis("started").alias("started_ms"), F.unix_millis("ended").alias("ended_ms"), "n_events")
+
+
+# Indexes: the same rows as whole scans give.
+
+
+@query(catalogue.SQL["dense_topk"])
+def dense_index_topk(spark, sf_dir):
+    found = dense_index.dense_topk(tables.dense_cells(spark, sf_dir), tables.query_vector(spark, sf_dir), 10)
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(catalogue.SQL["dense_topk_filtered"])
+def dense_index_filtered(spark, sf_dir):
+    found = dense_index.dense_topk(tables.dense_cells(spark, sf_dir), tables.query_vector(spark, sf_dir), 10, {"label": 2})
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(catalogue.SQL["dense_batch_topk"])
+def dense_index_batch(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query, through the index."""
+    queries = tables.vectors(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense_index.dense_batch_topk(tables.dense_cells(spark, sf_dir), queries, 5)
+
+
+@query(catalogue.SQL["bm25_topk"])
+def bm25_block_topk(spark, sf_dir):
+    found = sparse_blocks.bm25_topk(tables.block_index(spark, sf_dir), tables.query_text(spark, sf_dir), 10)
+    return found.select("chunk_id", F.round("score", 6).alias("score"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.functions import text
-from lodestream.operators import retrieval
+from lodestream.operators import dense_index, retrieval, sparse_blocks
 from lodestream.scratch import shared_dir
 
 
@@ -40,19 +41,33 @@ def query_text(spark: SparkSession, sf_dir: str) -> str:
     return table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()["text"]
 
 
-_INDEXES: dict[tuple, retrieval.SparseIndex] = {}
+_INDEXES: dict[tuple, object] = {}
 
 
-def sparse_index(spark: SparkSession, sf_dir: str) -> retrieval.SparseIndex:
-    """The sparse index of the documents; built once a session for the files as they are."""
-    docs = table(spark, sf_dir, "documents")
-    stamps = docs.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
-    key = (spark.sparkContext.applicationId, *sorted(map(tuple, stamps)))
+def _once(spark: SparkSession, table_: DataFrame, tag: str, build: Callable[[str], object]):
+    """What ``build`` makes in a folder of its own, once a session for a table's files as they are."""
+    stamps = table_.select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, tag, *sorted(map(tuple, stamps)))
     if key not in _INDEXES:
-        _INDEXES[key] = retrieval.build_index(chunks(spark, sf_dir), f"{shared_dir(spark)}/lodestream/sparse-{uuid.uuid4().hex}")
+        _INDEXES[key] = build(f"{shared_dir(spark)}/lodestream/{tag}-{uuid.uuid4().hex}")
     return _INDEXES[key]
 
 
+def sparse_index(spark: SparkSession, sf_dir: str) -> retrieval.SparseIndex:
+    """The sparse index of the documents."""
+    return _once(spark, table(spark, sf_dir, "documents"), "sparse", lambda path: retrieval.build_index(chunks(spark, sf_dir), path))
+
+
+def block_index(spark: SparkSession, sf_dir: str) -> sparse_blocks.BlockIndex:
+    """The sparse index of the documents in blocks with their largest weights."""
+    return _once(spark, table(spark, sf_dir, "documents"), "blocks", lambda path: sparse_blocks.build(sparse_index(spark, sf_dir), path))
+
+
+def dense_cells(spark: SparkSession, sf_dir: str) -> dense_index.DenseIndex:
+    """The dense index of the vectors."""
+    return _once(spark, table(spark, sf_dir, "embeddings"), "dense", lambda path: dense_index.build(vectors(spark, sf_dir), path))
+
+
 def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with the metadata that the document graph joins on: long words are the keywords."""
     docs = table(spark, sf_dir, "documents")
