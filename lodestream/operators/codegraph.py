@@ -134,7 +134,12 @@ def louvain(nodes: list, edges: list[tuple], seed: int = 0) -> dict:
     weight: list[dict[int, float]] = [{} for _ in nodes]
     for a, b in {(min(index[a], index[b]), max(index[a], index[b])) for a, b in edges if a != b}:
         weight[a][b] = weight[b][a] = 1.0
-    member = list(range(len(nodes)))
+    return dict(zip(nodes, louvain_of(weight, seed), strict=True))
+
+
+def louvain_of(weight: list[dict[int, float]], seed: int = 0) -> list[int]:
+    """The community of each node of a symmetric table of weights; a node's own entry is the weight of the edges inside it."""
+    member = list(range(len(weight)))
     rng = np.random.default_rng(seed)
     while True:
         n = len(weight)
@@ -157,7 +162,7 @@ def louvain(nodes: list, edges: list[tuple], seed: int = 0) -> dict:
         names = {c: k for k, c in enumerate(dict.fromkeys(own))}
         member = [names[own[m]] for m in member]
         if not ever:
-            return dict(zip(nodes, member, strict=True))
+            return member
         merged: list[dict[int, float]] = [{} for _ in names]
         for i, row in enumerate(weight):
             for j, w in row.items():

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestream.operators import dense_index, sparse_blocks
+from lodestream.functions import text
+from lodestream.operators import dense_index, docgraph, largegraph, sparse_blocks
 from lodestream.plans import catalogue, tables
 from lodestream.plans.catalogue import query
 from lodestream.scratch import shared_dir
@@ -159,3 +160,36 @@ def dense_index_batch(spark, sf_dir):
 def bm25_block_topk(spark, sf_dir):
     found = sparse_blocks.bm25_topk(tables.block_index(spark, sf_dir), tables.query_text(spark, sf_dir), 10)
     return found.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+# Graphs of any size.
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT unnest({catalogue._TOKENS.format("text")}) AS pattern FROM benchmark), d AS (SELECT DISTINCT unnest({catalogue._TOKENS.format("text")}) AS word FROM documents)
+    SELECT pattern, count(*) AS words FROM b, d WHERE contains(word, pattern) GROUP BY 1"""
+)
+def substring_words(spark, sf_dir):
+    """The distinct words of documents that contain each word of a benchmark item."""
+    words = lambda name, column: tables.table(spark, sf_dir, name).select(F.explode(text.tokens(F.col("text"))).alias(column))
+    found = docgraph.substring_pairs(words("benchmark", "pattern"), words("documents", "text"))
+    return found.groupBy("pattern").agg(F.count("*").alias("words"))
+
+
+@query(
+    """WITH c AS (SELECT lang || '/' || source AS category, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) - 1 AS community FROM c)
+    SELECT doc_id AS node, community FROM documents JOIN o ON category = lang || '/' || source"""
+)
+def category_communities(spark, sf_dir):
+    """Communities of the documents linked by their category, by parallel moves: the categories themselves."""
+    edges = docgraph.category_edges(tables.graph_chunks(spark, sf_dir))
+    return largegraph.communities(edges, small=100)
+
+
+@query()
+def doc_communities(spark, sf_dir):
+    """Communities of the whole document graph, with their most frequent category."""
+    nodes = tables.graph_chunks(spark, sf_dir).join(tables.vectors(spark, sf_dir), "chunk_id", "left")
+    members = largegraph.communities(docgraph.build(nodes, 0.35), nodes.select(F.col("chunk_id").alias("node")))
+    named = docgraph.representative_category(members.join(nodes.select(F.col("chunk_id").alias("node"), "category"), "node").withColumnRenamed("node", "chunk_id"))
+    return members.groupBy("community").agg(F.count("*").alias("chunks")).join(named, "community", "left")
