@@ -5,8 +5,9 @@ Strategies are registered by name; each is a function from a DataFrame to a Data
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,8 +16,10 @@ from lodestream.sources.files import kind_of
 
 CHUNK_SIZE, CHUNK_OVERLAP, MARKDOWN_SIZE = 512, 100, 1024
 _CHARS_PER_TOKEN = 4
-_WORD = re.compile(r"(\S+)(\s*)")
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
+#: White space is that of ASCII.
+_SPACE = " \t\n\v\f\r"
+_WORD = re.compile(r"(\S+)(\s*)", re.ASCII)
+_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$", re.ASCII)
 _PIECE = T.ArrayType(T.StructType([T.StructField("chunk", T.StringType()), T.StructField("header_path", T.StringType())]))
 
 
@@ -52,13 +55,13 @@ def split_headings(text: str) -> list[tuple[str, str]]:
     sections, path, lines, fenced = [], [], [], False
 
     def close() -> None:
-        body = "\n".join(lines).strip()
+        body = "\n".join(lines).strip(_SPACE)
         if body:
             sections.append(("/".join(t for _, t in path), body))
         lines.clear()
 
     for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
+        if line.lstrip(_SPACE).startswith("```"):
             fenced = not fenced
         m = None if fenced else _HEADING.match(line)
         if m:
@@ -72,23 +75,94 @@ def split_headings(text: str) -> list[tuple[str, str]]:
     return sections
 
 
-def _chunks(rows: DataFrame, split, text_col: str) -> DataFrame:
-    @F.pandas_udf(_PIECE)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: [{"chunk": c, "header_path": h} for h, c in split(t or "")])
+_FENCE = r"^\s*+```"
+_TITLE = r"(?s)^(#{1,6})\s+(.*?)\s*#*\s*$"
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _int(value: Column) -> Column:
+    return value.cast("int")
 
-    cut = rows.select("*", F.posexplode(pieces(F.col(text_col))).alias("chunk_index", "__piece"))
+
+def sentence_chunks(text: Column, size: int, overlap: int) -> Column:
+    """``split_sentences`` as an expression, packed by a fold over the sentences' numbers of words.
+
+    White space becomes one line end where a sentence ends and one space elsewhere, since both split fast.
+    """
+    most = size * _CHARS_PER_TOKEN * 2
+    cut = lambda w: F.transform(F.sequence(F.lit(0), _int((F.char_length(w) - 1) / most)), lambda i: F.substr(w, i * most + 1, F.lit(most)))
+    words = lambda s: _let(F.split(s, " ", -1), lambda ws: F.when(F.char_length(s) <= most, ws).otherwise(F.flatten(F.transform(ws, cut))))
+    lengths = lambda n: F.transform(F.sequence(F.lit(0), _int((n - 1) / size)), lambda i: F.least(F.lit(size), n - i * size))
+
+    def step(state: Column, n: Column) -> Column:
+        held = state["to"] - state["from"]
+        kept = F.greatest(F.least(F.lit(overlap), F.lit(size) - n, held), F.lit(0))
+        full = F.struct((state["to"] - kept).alias("from"), (state["to"] + n).alias("to"), kept.alias("carried"), F.array_append(state["out"], F.struct(state["from"].alias("from"), state["to"].alias("to"))).alias("out"))
+        more = F.struct(state["from"].alias("from"), (state["to"] + n).alias("to"), state["carried"].alias("carried"), state["out"].alias("out"))
+        return F.when((held > 0) & (held + n > size), full).otherwise(more)
+
+    def last(state: Column) -> Column:
+        held = state["to"] - state["from"]
+        own = (held > 0) & ((held > state["carried"]) | (F.size(state["out"]) == 0))
+        return F.when(own, F.array_append(state["out"], F.struct(state["from"].alias("from"), state["to"].alias("to")))).otherwise(state["out"])
+
+    start = F.struct(F.lit(0).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("carried"), F.array().cast("array<struct<from: int, to: int>>").alias("out"))
+    packed = lambda u: F.aggregate(F.flatten(F.transform(u, lambda x: lengths(F.size(x)))), start, step, last)
+    joined = lambda u: _let(F.flatten(u), lambda ws: F.transform(packed(u), lambda x: F.array_join(F.slice(ws, x["from"] + 1, x["to"] - x["from"]), " ")))
+    lines = F.btrim(F.regexp_replace(text, r"(?<=[.!?])\s++|[^\S\n]*+\n\s*+", "\n"), F.lit(_SPACE))
+    odd = lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(x)) for x in ("  ", "\t", "\v", "\f", "\r")))
+    whole = _let(lines, lambda t: F.when(odd(t), F.regexp_replace(t, r"[^\S\n]++", " ")).otherwise(t))
+    of = lambda t: _let(F.transform(F.split(t, "\n", -1), words), joined)
+    return _let(whole, lambda t: F.when(F.length(t) > 0, of(t)).otherwise(F.array().cast("array<string>")))
+
+
+def heading_sections(text: Column) -> Column:
+    """``split_headings`` as an expression, array<struct<header, body>>: a fold over the lines with the stack of open headings."""
+
+    def closed(state: Column, to: Column) -> Column:
+        section = F.struct(F.array_join(F.transform(state["path"], lambda h: h["title"]), "/").alias("header"), state["from"].alias("from"), to.alias("to"))
+        return F.array_append(state["out"], section)
+
+    def step(state: Column, line: Column) -> Column:
+        fenced = F.when(F.regexp_like(line["text"], F.lit(_FENCE)), ~state["fenced"]).otherwise(state["fenced"])
+        level = F.length(F.regexp_extract(line["text"], _TITLE, 1))
+        title = F.struct(level.alias("level"), F.regexp_extract(line["text"], _TITLE, 2).alias("title"))
+        path = F.array_append(F.filter(state["path"], lambda h: h["level"] < level), title)
+        opened = F.struct(path.alias("path"), fenced.alias("fenced"), line["at"].alias("from"), closed(state, line["at"]).alias("out"))
+        same = F.struct(state["path"].alias("path"), fenced.alias("fenced"), state["from"].alias("from"), state["out"].alias("out"))
+        return F.when(~fenced & (level > 0), opened).otherwise(same)
+
+    start = F.struct(F.array().cast("array<struct<level: int, title: string>>").alias("path"), F.lit(False).alias("fenced"), F.lit(0).alias("from"), F.array().cast("array<struct<header: string, from: int, to: int>>").alias("out"))
+
+    def sections(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("at")))
+        cut = F.aggregate(numbered, start, step, lambda state: closed(state, F.size(lines)))
+        body = lambda x: F.regexp_replace(F.array_join(F.slice(lines, x["from"] + 1, x["to"] - x["from"]), "\n"), r"^\s++|\s++\z", "")
+        return F.filter(F.transform(cut, lambda x: F.struct(x["header"].alias("header"), body(x).alias("body"))), lambda x: x["body"] != "")
+
+    return _let(F.split(text, "\n", -1), sections)
+
+
+def _cut(rows: DataFrame, pieces: Column) -> DataFrame:
+    # an inner explode would get a filter that works the pieces out a second time
+    cut = rows.select("*", F.posexplode_outer(pieces).alias("chunk_index", "__piece")).where("chunk_index IS NOT NULL")
     return cut.select(*rows.columns, "chunk_index", "__piece.chunk", "__piece.header_path")
 
 
 def sentence(rows: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text_col: str = "text") -> DataFrame:
-    return _chunks(rows, lambda t: [(None, c) for c in split_sentences(t, size, overlap)], text_col)
+    """Whole sentences up to the size, as ``split_sentences`` cuts them; all of it in the JVM."""
+    piece = lambda c: F.struct(c.alias("chunk"), F.lit(None).cast("string").alias("header_path"))
+    return _cut(rows, F.transform(sentence_chunks(F.coalesce(text_col, F.lit("")), size, overlap), piece))
 
 
 def markdown(rows: DataFrame, size: int = MARKDOWN_SIZE, overlap: int = CHUNK_OVERLAP, text_col: str = "text") -> DataFrame:
-    """Sections by heading first, then sentences, so that no chunk exceeds the size."""
-    return _chunks(rows, lambda t: [(h, c) for h, s in split_headings(t) for c in split_sentences(s, size, overlap)], text_col)
+    """Sections by heading first, then sentences, so that no chunk exceeds the size; all of it in the JVM."""
+    of = lambda x: F.transform(sentence_chunks(x["body"], size, overlap), lambda c: F.struct(c.alias("chunk"), x["header"].alias("header_path")))
+    return _cut(rows, F.flatten(F.transform(heading_sections(F.coalesce(text_col, F.lit(""))), of)))
 
 
 #: How a definition at the outermost level begins, by family of languages.

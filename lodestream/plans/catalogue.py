@@ -431,12 +431,41 @@ def heading_prepend(spark, sf_dir):
     return rows.select("chunk_id", chunking.prepend_heading(F.col("text"), F.col("file_path")).alias("chunk"))
 
 
-@query()
+_BLANK = r"[ \t\v\f\r]"
+
+
+def _packed_sql(size: int, overlap: int) -> str:
+    """Common table expressions from ``bodies`` (id, section, body) to ``packed`` (id, section, number, chunk)."""
+    return rf"""split AS (SELECT id, section, string_split(trim(regexp_replace(regexp_replace(regexp_replace(body, '([.!?])\s+', '\1' || chr(10), 'g'), '{_BLANK}*\n\s*', chr(10), 'g'), '{_BLANK}+', ' ', 'g'), ' ' || chr(10)), chr(10)) AS s FROM bodies),
+    sentences AS (SELECT id, section, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM split WHERE s <> ['']),
+    words AS (SELECT id, section, flatten(list(string_split(sentence, ' ') ORDER BY i)) AS w FROM sentences GROUP BY ALL),
+    parts AS (SELECT id, section, i, len(string_split(sentence, ' ')) AS n, unnest(range(0, len(string_split(sentence, ' ')), {size})) AS start FROM sentences),
+    units AS (SELECT id, section, list({{'n': least({size}, n - start), 'low': 0::BIGINT, 'high': 0::BIGINT, 'carried': 0::BIGINT, 'given': []::STRUCT(low BIGINT, high BIGINT)[]}} ORDER BY i, start) AS u FROM parts GROUP BY ALL),
+    folded AS (SELECT id, section, list_reduce(u, lambda a, x: CASE WHEN a.high > a.low AND a.high - a.low + x.n > {size}
+        THEN {{'n': 0::BIGINT, 'low': a.high - greatest(least({overlap}, {size} - x.n, a.high - a.low), 0), 'high': a.high + x.n, 'carried': greatest(least({overlap}, {size} - x.n, a.high - a.low), 0), 'given': list_append(a.given, {{'low': a.low, 'high': a.high}})}}
+        ELSE {{'n': 0::BIGINT, 'low': a.low, 'high': a.high + x.n, 'carried': a.carried, 'given': a.given}} END, {{'n': 0::BIGINT, 'low': 0::BIGINT, 'high': 0::BIGINT, 'carried': 0::BIGINT, 'given': []::STRUCT(low BIGINT, high BIGINT)[]}}) AS f FROM units),
+    closed AS (SELECT id, section, CASE WHEN f.high > f.low AND (f.high - f.low > f.carried OR len(f.given) = 0) THEN list_append(f.given, {{'low': f.low, 'high': f.high}}) ELSE f.given END AS given FROM folded),
+    placed AS (SELECT id, section, unnest(range(len(given))) AS number, unnest(given) AS g FROM closed),
+    packed AS (SELECT id, section, number, array_to_string(w[g.low + 1 : g.high], ' ') AS chunk FROM placed JOIN words USING (id, section))"""
+
+
+@query(f"WITH RECURSIVE bodies AS (SELECT doc_id AS id, 0 AS section, coalesce(text, '') AS body FROM documents), {_packed_sql(512, 100)} SELECT id AS chunk_id, CAST(number AS INTEGER) AS chunk_index, chunk FROM packed")
 def chunk_sentences(spark, sf_dir):
     return chunking.sentence(tables.chunks(spark, sf_dir).select("chunk_id", "text")).select("chunk_id", "chunk_index", "chunk")
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE t AS (SELECT doc_id AS id, string_split('# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || text, chr(10)) AS s FROM documents),
+    lines AS (SELECT id, unnest(s) AS line, unnest(range(len(s))) AS pos FROM t),
+    fenced AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) % 2 = 1 AS inside FROM lines),
+    marked AS (SELECT *, CASE WHEN NOT inside AND regexp_matches(line, '^#{{1,6}}\s+') THEN length(regexp_extract(line, '^#{{1,6}}')) END AS level FROM fenced),
+    numbered AS (SELECT *, count(level) OVER (PARTITION BY id ORDER BY pos) AS section FROM marked),
+    heads AS (SELECT id, section, level, regexp_extract(line, '^(#{{1,6}})\s+(.*?)\s*#*\s*$', 2) AS title FROM numbered WHERE level IS NOT NULL),
+    above AS (SELECT h.id, h.section, max(p.section) AS parent FROM heads h LEFT JOIN heads p ON p.id = h.id AND p.section < h.section AND p.level < h.level GROUP BY ALL),
+    paths AS (SELECT h.id, h.section, title AS header_path FROM heads h JOIN above a USING (id, section) WHERE parent IS NULL UNION ALL SELECT h.id, h.section, p.header_path || '/' || h.title FROM heads h JOIN above a USING (id, section) JOIN paths p ON p.id = h.id AND p.section = a.parent),
+    bodies AS (SELECT id, section, string_agg(line, chr(10) ORDER BY pos) AS body FROM numbered GROUP BY ALL), {_packed_sql(1024, 100)}
+    SELECT id AS chunk_id, CAST(row_number() OVER (PARTITION BY id ORDER BY section, number) - 1 AS INTEGER) AS chunk_index, header_path, chunk FROM packed JOIN paths USING (id, section)"""
+)
 def chunk_markdown(spark, sf_dir):
     rows = tables.chunks(spark, sf_dir).select("chunk_id", F.concat(F.lit("# "), "file_path", F.lit("\n\n## "), "category", F.lit("\n"), "text").alias("text"))
     return chunking.markdown(rows).select("chunk_id", "chunk_index", "header_path", "chunk")
