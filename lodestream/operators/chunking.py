@@ -6,8 +6,10 @@ Strategies are registered by name; each is a function from a DataFrame to a Data
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -183,19 +185,77 @@ LANGUAGES = {
 }
 
 
+_C = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_QUOTED = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
+_LONG = r'"{3}(?:\\.|[^\\])*?(?:"{3}|\Z)'
+#: Comments and literals, in which brackets and definitions don't count, by family.
+_LITERALS = {
+    "python": rf"{_LONG}|'{{3}}(?:\\.|[^\\])*?(?:'{{3}}|\Z)|{_QUOTED}|#[^\n]*",
+    "script": rf"{_C}|{_QUOTED}|`(?:\\.|[^`\\])*(?:`|\Z)",
+    "managed": rf'{_C}|{_LONG}|@"(?:""|[^"])*"|{_QUOTED}',
+    "native": rf'{_C}|R"(?P<mark>[^(\s]*)\(.*?\)(?P=mark)"|{_QUOTED}',
+    "go": rf"{_C}|{_QUOTED}|`[^`]*(?:`|\Z)",
+    "rust": rf'{_C}|r(?P<mark>#*)".*?"(?P=mark)|"(?:\\.|[^"\\])*"|\'(?:\\[^\n]+?|[^\'\\\n])\'',
+    "ruby": r'(?m:(?:^|(?<=\s))#[^\n]*)|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'',
+    "shell": r'(?m:(?:^|(?<=\s))#[^\n]*)|"(?:\\.|[^"\\])*"|\'[^\']*\'',
+}
+#: Families whose nesting shows in the indentation; in the others brackets tell.
+_INDENTED = {"python", "ruby", "shell"}
+
+
+def _nesting(text: str, lines: list[str], family: str) -> list[int | None]:
+    """How deep each line begins; None for one that begins inside a literal, a comment or, where indentation tells, brackets."""
+    starts = list(itertools.accumulate((len(x) + 1 for x in lines), initial=0))[:-1]
+    depths: list[int | None] = []
+    depth = 0
+    for m in re.finditer(rf"{_LITERALS[family]}|[(){{}}\[\]]", text, re.S):
+        while len(depths) < len(starts) and starts[len(depths)] <= m.start():
+            depths.append(depth)
+        if len(m[0]) == 1 and m[0] in "([{":
+            depth += 1
+        elif len(m[0]) == 1 and m[0] in ")]}":
+            depth = max(0, depth - 1)
+        while len(depths) < len(starts) and starts[len(depths)] < m.end():
+            depths.append(None)
+    depths += [depth] * (len(starts) - len(depths))
+    if family in _INDENTED:
+        return [len(x) - len(x.lstrip()) if d == 0 else None for x, d in zip(lines, depths, strict=True)]
+    return depths
+
+
 def _code_blocks(text: str, size: int, language: str = "python") -> list[str]:
-    """Definitions at the outermost level together until the size is reached; decorators stay with theirs."""
-    begins = re.compile(_BEGINS[LANGUAGES[language]])
-    blocks, current, held = [], [], False
-    for line in text.split("\n"):
-        top = bool(line) and not line[0].isspace() and bool(begins.match(line))
-        if top and not held and current and len("\n".join(current)) >= size * _CHARS_PER_TOKEN // 2:
-            blocks.append("\n".join(current))
-            current = []
-        held = top and line[0] in "@[#"
-        current.append(line)
-    blocks.append("\n".join(current))
-    return [b for b in blocks if b.strip()]
+    """Definitions of one level together until half the size is reached; decorators stay with theirs.
+
+    What is beyond twice the size is cut at the definitions inside it, and so on. A definition inside
+    a literal, a comment or an argument list is none.
+    """
+    family, lines = LANGUAGES[language], text.split("\n")
+    begins, depth = re.compile(_BEGINS[family]), _nesting(text, lines, family)
+    found = [i for i, x in enumerate(lines) if depth[i] is not None and begins.match(x.lstrip())]
+    near = lambda a, b: depth[a] == depth[b] and lines[a].lstrip()[0] in "@[#" and all(depth[i] is None for i in range(a + 1, b))
+    found = [b for a, b in zip([None, *found], found) if a is None or not near(a, b)]  # noqa: B905
+    ends = list(itertools.accumulate((len(x) + 1 for x in lines), initial=0))
+    enough, most = size * _CHARS_PER_TOKEN // 2, 2 * size * _CHARS_PER_TOKEN
+
+    def cut(first: int, last: int, inside: bool) -> Iterator[tuple[int, int]]:
+        inner = [i for i in found if first + inside <= i < last]
+        marks = [i for i in inner if depth[i] == min(depth[j] for j in inner)] if inner else []
+        begun = first
+        for start, end in itertools.pairwise([first, *(i for i in marks if i > first), last]):
+            if start > begun and ends[start] - ends[begun] > enough:
+                yield begun, start
+                begun = start
+            if ends[end] - ends[start] > most and (marks or not inside):
+                deeper = list(cut(start, end, True)) if start in found or inside else [(start, end)]
+                if len(deeper) > 1:
+                    if begun < start:
+                        yield begun, start
+                    yield from deeper
+                    begun = end
+        if begun < last:
+            yield begun, last
+
+    return [b for s, e in cut(0, len(lines), False) if (b := "\n".join(lines[s:e])).strip()]
 
 
 def language_of(content_type: Column, file_path: Column) -> Column:
@@ -205,7 +265,7 @@ def language_of(content_type: Column, file_path: Column) -> Column:
 
 
 def code(rows: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text_col: str = "text") -> DataFrame:
-    """Blocks of definitions by the file's language; a block beyond twice the size, or another language, falls back to sentences."""
+    """Blocks of definitions by the file's language; a block that stays beyond twice the size, or another language, falls back to sentences."""
 
     def split(text: str, language: str | None) -> list[str]:
         most = 2 * size * _CHARS_PER_TOKEN

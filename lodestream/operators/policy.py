@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column, functions as F
+
 from lodestream.functions import text
 
 RERANK_POOL = 100
@@ -83,6 +85,17 @@ def rerank_decision(query: str, explicit: bool | None = None, profile: Profile |
     return (False, f"technical query ({fraction:.2f})") if fraction >= cutoff else (True, f"semantic query ({fraction:.2f})")
 
 
+def reranked(query: Column, cutoff: float = TECHNICAL_CUTOFF) -> Column:
+    """The decision by the kind of query, the last of ``rerank_decision``'s, for a table of queries."""
+    return text.technical_fraction(query) < cutoff
+
+
+def pool(top_k: Column, rerank: Column, count: Column) -> Column:
+    """``fetch_pool`` without an override, for a table of requests."""
+    wanted = F.when(rerank, F.greatest(F.lit(RERANK_POOL), 3 * top_k)).otherwise(top_k)
+    return F.greatest(F.lit(1), F.least(wanted, count))
+
+
 def model_files(model: str, machine: str) -> list[str]:
     """Files of a scoring model to try, best first: quantised ones where they run on this machine."""
     name = model.lower()

@@ -224,10 +224,12 @@ def rerank_policy(spark, sf_dir):
     return tables.table(spark, sf_dir, "conversations").groupBy(decided.alias("rerank")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, r AS rerank, CAST(n AS INTEGER) AS n, CAST(greatest(1, least(CASE WHEN r THEN greatest(100, 3 * k) ELSE k END, n)) AS INTEGER) AS pool FROM (SELECT unnest([1, 5, 10, 50]) AS k), (SELECT unnest([true, false]) AS r), (SELECT unnest([0, 3, 60, 1000]) AS n)")
+@query("SELECT source, n, CAST(k AS INTEGER) AS k, r AS rerank, greatest(1, least(CASE WHEN r THEN greatest(100, 3 * k) ELSE k END, n)) AS pool FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1), (SELECT unnest([1, 5, 10, 50]) AS k), (SELECT unnest([true, false]) AS r)")
 def fetch_k_grid(spark, sf_dir):
-    grid = [(k, r, n, policy.fetch_pool(k, r, n)) for k in (1, 5, 10, 50) for r in (True, False) for n in (0, 3, 60, 1000)]
-    return spark.createDataFrame(grid, "k int, rerank boolean, n int, pool int")
+    """Pools of several requests to each source as a collection."""
+    sizes = tables.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    asked = sizes.select("source", "n", F.explode(F.array(*map(F.lit, (1, 5, 10, 50)))).alias("k")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("rerank"))
+    return asked.withColumn("pool", policy.pool(F.col("k"), F.col("rerank"), F.col("n")))
 
 
 # Collections.

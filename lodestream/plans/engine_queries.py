@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestream.functions import text
@@ -115,12 +114,7 @@ def first_values(spark, sf_dir):
 @query("SELECT conv_id, turn, f < 0.3 AS rerank FROM " + catalogue._FRACTION)
 def rerank_decisions(spark, sf_dir):
     """The search policy's decision for every conversation turn as a query."""
-
-    def decide(batches):
-        for rows in batches:
-            yield pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "rerank": [policy.rerank_decision(t or "")[0] for t in rows["text"]]})
-
-    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(decide, "conv_id long, turn long, rerank boolean")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", policy.reranked(F.col("text")).alias("rerank"))
 
 
 # Files.
@@ -178,9 +172,9 @@ def content_hash_dedup(spark, sf_dir):
 
 
 def _stored(spark, sf_dir) -> Store:
-    """A store with one collection of the documents' numbers, sources, languages and vectors."""
+    """A store with one collection of the documents, their sources, languages and vectors."""
     store = Store(spark, _folder(spark, "store"))
-    rows = tables.embedded_chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), F.left("text", F.lit(40)).alias("text"), "embedding", "file_path", "category")
+    rows = tables.embedded_chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", "embedding", "file_path", "category")
     store.create("c", {"profile": "documents"}, buckets=8)
     store.upsert("c", rows)
     return store
@@ -241,7 +235,7 @@ def store_statistics(spark, sf_dir):
     return _stored(spark, sf_dir).statistics()
 
 
-@query(f"WITH t AS (SELECT {catalogue._TOKENS.format('left(text, 40)')} AS toks FROM documents) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(len(toks)), 9) AS avgdl, CAST(sum(len(list_distinct(toks))) AS BIGINT) AS postings FROM t")
+@query(f"WITH t AS (SELECT {catalogue._TOKENS.format('text')} AS toks FROM documents) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(len(toks)), 9) AS avgdl, CAST(sum(len(list_distinct(toks))) AS BIGINT) AS postings FROM t")
 def sparse_index(spark, sf_dir):
     """The index that a store's writes keep."""
     index = _stored(spark, sf_dir).index("c")
@@ -454,7 +448,11 @@ def watch_listing(spark, sf_dir):
 # Policy.
 
 
-@query("SELECT * FROM (VALUES ('rerank', 'True', 'False', false), ('hybrid', 'False', 'True', false), ('chunk_fallback', 'sentence', 'code', true), ('taxonomy', 'content', 'file_type', true)) v(lever, before, after, reindex)")
+@query("SELECT source AS collection, chunks, lever, before, after, reindex AND chunks > 0 AS reindex FROM (SELECT source, count(*) AS chunks FROM documents GROUP BY 1), (VALUES ('rerank', 'True', 'False', false), ('hybrid', 'False', 'True', false), ('chunk_fallback', 'sentence', 'code', true), ('taxonomy', 'content', 'file_type', true)) v(lever, before, after, reindex)")
 def profile_change(spark, sf_dir):
+    """What another profile changes for each source as a collection, and which of its chunks have to be made again."""
     changes = policy.profile_change(policy.PROFILES["documents"], policy.PROFILES["codebase"])
-    return spark.createDataFrame([(c["lever"], str(c["old"]), str(c["new"]), c["reindex"]) for c in changes], "lever string, before string, after string, reindex boolean")
+    levers = F.array(*(F.struct(F.lit(c["lever"]).alias("lever"), F.lit(str(c["old"])).alias("before"), F.lit(str(c["new"])).alias("after"), F.lit(c["reindex"]).alias("reindex")) for c in changes))
+    sizes = tables.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("chunks"))
+    rows = sizes.select("collection", "chunks", F.explode(levers).alias("x")).select("collection", "chunks", "x.*")
+    return rows.withColumn("reindex", F.col("reindex") & (F.col("chunks") > 0))

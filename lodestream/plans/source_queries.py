@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lodestream.functions import text
-from lodestream.operators import dense_index, docgraph, largegraph, sparse_blocks
+from lodestream.operators import chunking, dense_index, docgraph, largegraph, sparse_blocks
 from lodestream.plans import catalogue, tables
 from lodestream.plans.catalogue import query
 from lodestream.scratch import shared_dir
@@ -193,3 +193,24 @@ def doc_communities(spark, sf_dir):
     members = largegraph.communities(docgraph.build(nodes, 0.35), nodes.select(F.col("chunk_id").alias("node")))
     named = docgraph.representative_category(members.join(nodes.select(F.col("chunk_id").alias("node"), "category"), "node").withColumnRenamed("node", "chunk_id"))
     return members.groupBy("community").agg(F.count("*").alias("chunks")).join(named, "community", "left")
+
+
+# Code by structure.
+
+_CODE_SIZE = 8192
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+    u AS (SELECT doc_id, list({{'held': 'def f' || i || '(a=")def no():"):' || chr(10) || '    # (' || line, 'given': []::VARCHAR[]}} ORDER BY i) AS us FROM l GROUP BY doc_id),
+    f AS (SELECT doc_id, list_reduce(us, lambda a, x: CASE WHEN length(a.held) + 1 > {_CODE_SIZE} * 2 THEN {{'held': x.held, 'given': list_append(a.given, a.held)}} ELSE {{'held': a.held || chr(10) || x.held, 'given': a.given}} END) AS r FROM u),
+    b AS (SELECT doc_id, list_append(r.given, r.held) AS blocks FROM f)
+    SELECT doc_id, CAST(unnest(range(len(blocks))) AS INTEGER) AS chunk_index, sha256(unnest(blocks)) AS chunk_sha256 FROM b"""
+)
+def chunk_code(spark, sf_dir):
+    """Every line of a document as the comment of a function, with brackets and a definition inside a literal and the comment."""
+    function = lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit('(a=")def no():"):\n    # ('), x)
+    source = F.array_join(F.transform(F.split("text", "\n", -1), function), "\n")
+    docs = tables.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = docs.select("doc_id", F.concat(F.col("source"), F.lit(".py")).alias("file_path"), F.lit("code/python").alias("content_type"), source.alias("text"))
+    return chunking.code(rows, size=_CODE_SIZE).select("doc_id", "chunk_index", F.sha2("chunk", 256).alias("chunk_sha256"))

@@ -99,3 +99,20 @@ def test_model_files():
 @given(st.text(alphabet="aZ_./`1 E", max_size=20))
 def test_fraction_is_a_share(query):
     assert 0 <= policy.technical_fraction(query) <= 1 and not math.isnan(policy.technical_fraction(query))
+
+
+def test_labels_around_values(spark):
+    cases = {
+        '**Title:** **"Foo bar"**\n\nBecause': "Foo bar", "keywords : a, b": "a, b", "  ** Summary ** :\n\n text * ": "text", "Title: x\n\nTitle: y": "x", "\n\nTitle: x": "x", "\n\nplain": "",
+        "Subtitle: x": "Subtitle: x", "a: b": "a: b", "* *'quoted'* *": "quoted", "no label": "no label", "": "", "title": "title", "KEYWORD:": "", "** \"value\" **": "value",
+    }
+    for raw, value in cases.items():
+        assert one(spark, text.strip_label(F.col("r")), r=raw) == value
+
+
+def test_policy_columns_equal_the_functions(spark):
+    rows = [(k, r, n) for k in (1, 5, 50) for r in (True, False) for n in (0, 3, 60, 1000)]
+    table = spark.createDataFrame(rows, "k int, r boolean, n int").withColumn("pool", policy.pool(F.col("k"), F.col("r"), F.col("n")))
+    assert [(x.k, x.r, x.n, x.pool) for x in table.collect()] == [(*x, policy.fetch_pool(*x)) for x in rows]
+    for query in ("how are roses watered", "fix `HTTPError` in api.py", "", "a b_c d"):
+        assert one(spark, policy.reranked(F.col("q")), q=query) == policy.rerank_decision(query)[0]
