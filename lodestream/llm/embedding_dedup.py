@@ -199,9 +199,9 @@ class _Side:
 
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The cell in which pairs of rows (n, tables, 1 + probes) are counted: in the first table where
-    they meet, the smaller of the home cells that both are in."""
-    out, left = np.empty(len(a), np.int64), np.ones(len(a), bool)
+    they meet, the smaller of the home cells that both are in; the greatest number where there is none."""
     top = np.iinfo(np.int64).max
+    out, left = np.full(len(a), top), np.ones(len(a), bool)
     for t in range(a.shape[1]):
         one = np.where((b[:, t] == a[:, t, :1]).any(axis=1), a[:, t, 0], top)
         two = np.where((a[:, t] == b[:, t, :1]).any(axis=1), b[:, t, 0], top)

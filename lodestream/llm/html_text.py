@@ -243,7 +243,7 @@ def level_of(pages: np.ndarray, of: np.ndarray | int) -> np.ndarray:
     return out
 
 
-_LAID = "host string, window bigint, level int, sig bigint, stream binary"
+_LAID = "host string, window bigint, level int, met int, sig bigint, stream binary"
 
 
 def _array(values, kind: pa.DataType, n: int) -> pa.Array:
@@ -253,16 +253,17 @@ def _array(values, kind: pa.DataType, n: int) -> pa.Array:
 def _chunks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From sorted (host, sig, stream) rows: windows with their level for hosts that are here in whole;
-        for others candidates, of level null, and the streams of their distinct pages.
+        for others candidates, of level null, with the pages of the chunk that they are on, and the streams of
+        their distinct pages, with the chunk's number of pages.
 
         The first and the last host may go on in other partitions.
         """
         host, last, streams, sigs, cut = None, None, [], [], True
 
-        def rows(window=None, level=None, sig=None, stream=None) -> pa.RecordBatch:
+        def rows(window=None, level=None, met=None, sig=None, stream=None) -> pa.RecordBatch:
             n = len(window if window is not None else sig)
-            columns = [(window, pa.int64()), (level, pa.int32()), (sig, pa.int64()), (stream, pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), *(_array(v, t, n) for v, t in columns)], names=["host", "window", "level", "sig", "stream"])
+            columns = [(window, pa.int64()), (level, pa.int32()), (met, pa.int32()), (sig, pa.int64()), (stream, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), *(_array(v, t, n) for v, t in columns)], names=["host", "window", "level", "met", "sig", "stream"])
 
         def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             if whole:
@@ -271,8 +272,9 @@ def _chunks(most: int):
                 yield rows(windows[level > 0].view(np.int64), level[level > 0])
             else:
                 windows, pages = suffix_windows(streams, least=1)
-                yield rows(windows[pages >= SOME[0] * len(streams)].view(np.int64))
-                yield rows(sig=sigs, stream=[x.tobytes() for x in streams])
+                some = pages >= SOME[0] * len(streams)
+                yield rows(windows[some].view(np.int64), met=pages[some])
+                yield rows(met=[len(streams)] * len(streams), sig=sigs, stream=[x.tobytes() for x in streams])
 
         for b in batches:
             for h, sig, stream in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -363,11 +365,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string())], names=b.schema.names[:-2])
 
 
+def candidate_windows(laid: DataFrame) -> DataFrame:
+    """(host, window) of cut hosts that can be boilerplate.
+
+    A window that a tenth of a host's pages hold is on a tenth of the pages of one of its chunks. In
+    a short chunk, of ten pages or less, a single page is a tenth, so any window is. But what makes
+    the bound has pages to spare, by its standard deviations: unless the host's short chunks are more
+    than these and a tenth of their pages, it is on a tenth of the other chunks' pages as well. There
+    a window has to be on two pages of a chunk, and a host's windows are some times its pages' mean
+    length; only hosts of a few pages a partition keep all windows of their short chunks.
+    """
+    share, z = SOME
+    short = F.col("met") <= int(1 / share)
+    chunks = F.coalesce(F.sum(F.when(short, 1 / F.col("met"))), F.lit(0.0))  # each page its part of a chunk
+    spare = z * (share * (1 - share)) ** 0.5 * F.sqrt(F.count("*")) + share * F.count_if(short)
+    hosts = laid.where("stream IS NOT NULL").groupBy("host").agg((chunks <= spare + 1e-6).alias("few"))
+    found = laid.where("window IS NOT NULL AND level IS NULL").join(hosts, "host")
+    return found.where((F.col("met") > 1) | ~F.col("few")).select("host", "window")
+
+
 def boilerplate(streams: DataFrame, made: Workspace) -> DataFrame:
     """(host, window, level) from (host, sig, stream): the windows that enough of a host's distinct pages hold."""
     laid = streams.repartitionByRange("host", "sig").sortWithinPartitions("host", "sig")
     laid = made.table(laid.mapInArrow(_chunks(CHUNK), _LAID), "html-windows")
-    candidates = made.table(laid.where("window is not null and level is null").groupBy("host").agg(F.collect_set("window").alias("windows")), "html-candidates")
+    candidates = made.table(candidate_windows(laid).groupBy("host").agg(F.collect_set("window").alias("windows")), "html-candidates")
     pages = laid.where("stream is not null").select("host", "stream")
     counted = made.table(pages.join(candidates, "host").select("host", "stream", "windows").mapInArrow(_recount, "host string, window bigint, pages bigint"), "html-counts")
     sizes = counted.where("window is null").groupBy("host").agg(F.sum("pages").alias("all"))

@@ -31,12 +31,13 @@ _CLASSES = 96
 _NAMES = r"passwords?|passwd|pwd|passphrase|pass|secrets?|tokens?|keys?|auth|credentials?"
 _END = r"\s{0,3}[:=]\s{0,3}[\"']?"
 _NAMED = rf"(?i:{_NAMES})(?:[A-Z0-9_-][\w-]*+)?[\"']?{_END}"
-_ANY = r"(?<![\w.-])[A-Za-z_][\w.-]{0,63}+\s{0,3}=\s{0,3}[\"']?"
-_LOGIN = r"(?<=://)[^\s/:@\"'<>]{0,64}+:"
+_ANY = r"(?<![\w.-])[A-Za-z_][\w.-]*+\s{0,3}=\s{0,3}[\"']?"
+_LOGIN = r"(?<=://)[^\s/:@\"'<>]*+:"
 _BODY = r"[^\s\"'<>&;,]"
 _MIXED = r"(?=[^\s\"'<>&;,0-9]*+[0-9])(?=[^\s\"'<>&;,A-Za-z]*+[A-Za-z])"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_ARMOUR = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_BLOCK = rf"-----BEGIN {_ARMOUR}(?:(?:(?!-----)[\s\S])*+-----END {_ARMOUR})?"
 CANDIDATE = rf"{_BLOCK}|{_LOGIN}[^\s/@\"'<>]{{3,}}+(?=@)|{_NAMED}{_BODY}{{6,}}+|{_ANY}{_MIXED}{_BODY}{{8,}}+|{_RUN}"
 #: What of a candidate isn't its value, for assignments and for logins.
 _ASSIGNED = rf"^(?:{_NAMED}(?={_BODY}{{6}})|{_ANY}(?={_MIXED}{_BODY}{{8}}))"
@@ -132,7 +133,7 @@ def features(evidence: Evidence, value: Column, before: Column, after: Column, p
         "letter_digit": _count(value, "[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])") / n,
         "case_change": _count(value, "[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
         "symbol": _count(value, "[^A-Za-z0-9]") / n,
-        "distinct": F.size(F.array_distinct(F.slice(F.split(value, ""), 1, 64))).cast("double") / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / F.least(n, F.lit(64.0)),
         "hex": F.when(F.regexp_like(value, F.lit("^[0-9a-fA-F]+$")), 1.0).otherwise(0.0),
         "vowel_run": _count(value, "[b-df-hj-np-tv-xz][aeiou][b-df-hj-np-tv-xz]") * 3 / n,
         "covered": F.aggregate(plain, F.lit(0.0), lambda a, w: a + F.length(w)) / n,
@@ -222,7 +223,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """One row for each candidate: id_col, start, rule, value, score, is_secret.
 
     ``start`` is the value's first code point, from 0, in the whole text; ``value`` is what is
-    assigned, without name and quotes; ``score`` is the forest's share for a secret. Defined results:
+    assigned, without name and quotes, or a key block with its body, if it has an end; ``score`` is the forest's share for a secret. Defined results:
     null and empty texts have no candidates; a null path counts as an empty one, a null id is given
     out as null; equal candidates of a text are each found where they stand; repeated rows are
     scanned alike; very long texts with very many candidates are cut once, from start to end, and their

@@ -677,3 +677,13 @@ def test_suffix_windows_count_streams():
     windows, pages = html_text.suffix_windows(streams, 4)
     wanted = kernel.grams(np.array([2, 3, 4, 5], np.uint64), 4)
     assert windows.tolist() == wanted.tolist() and pages.tolist() == [3]
+
+
+@pytest.mark.parametrize(("pages", "partitions"), [(9, 1), (520, 1), (520, 3), (20_000, 211)])
+def test_unlike_pages_of_a_cut_host_give_no_candidates(spark, pages, partitions):
+    rng = np.random.default_rng(pages)
+    rows = [("h", int(rng.integers(1 << 62)), rng.integers(1, 60_000, 60).astype("<u2").tobytes()) for _ in range(pages)]
+    table = spark.createDataFrame(rows, "host string, sig bigint, stream binary")
+    laid = table.repartitionByRange(partitions, "host", "sig").sortWithinPartitions("host", "sig").mapInArrow(html_text._chunks(html_text.CHUNK), html_text._LAID).cache()
+    assert html_text.candidate_windows(laid).count() == 0
+    assert laid.where("stream IS NOT NULL").count() == pages
