@@ -13,6 +13,7 @@ side passes through the driver; it sees the cells alone, at most ``MAX_CELLS``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from lodestream.functions import vector
 from lodestream.operators.retrieval import DIGITS, filtered
-from lodestream.scratch import Workspace
+from lodestream.scratch import Workspace, drop_path, shared_dir
 
 #: Cells at most, and vectors that the centres are learnt from: a hash sample of about so many. Every vector is in the index.
 MAX_CELLS, SAMPLE = 4096, 50_000
@@ -104,14 +105,14 @@ def build(chunks: DataFrame, path: str, id_col: str = "chunk_id", vector_col: st
     finite = F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = chunks.where(finite)
     with Workspace(spark) as made:
-        plain = made.table(usable.withColumn("v", F.col(vector_col).cast("array<double>")), "dense-rows", "lz4")
+        plain = made.table(usable.withColumn("__vector", F.col(vector_col).cast("array<double>")), "dense-rows", "lz4")
         n = plain.count()
         if not n:
             raise ValueError("no vectors to build an index of")
-        centres = _centres(plain.select("v"), n, cells or int(min(MAX_CELLS, max(1, n**0.5))))
-        others = [f for f in plain.schema.fields if f.name != "v"]
+        centres = _centres(plain.select(F.col("__vector").alias("v")), n, cells or int(min(MAX_CELLS, max(1, n**0.5))))
+        others = [f for f in plain.schema.fields if f.name != "__vector"]
         schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType()), *others])
-        dealt = plain.select("v", *(f.name for f in others)).mapInArrow(_assigned(centres), schema)
+        dealt = plain.select("__vector", *(f.name for f in others)).mapInArrow(_assigned(centres), schema)
         dealt.repartitionByRange("cell", "r").sortWithinPartitions("cell", "r").write.parquet(f"{path}/rows")
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     kind = plain.schema[id_col].dataType
@@ -217,24 +218,33 @@ def _best(k: int, kinds: list[pa.DataType]):
     return run
 
 
-def _met(index: DenseIndex, sent: DataFrame, k: int, made: Workspace) -> DataFrame:
-    """(query_id, id, distance): for each query, its k nearest of each block that it meets."""
+def _meetings(index: DenseIndex, sent: DataFrame, made: Workspace) -> DataFrame:
+    """(ids, vectors, query_ids, query_vectors): each block with about a block of the queries that are sent to it."""
     sent = made.table(sent, "dense-sent", "lz4")
     ranges_ = made.table(index.blocks.select("cell", "part", F.col("low").alias("b_low"), F.col("high").alias("b_high")), "dense-ranges")
     pairs = sent.join(ranges_, "cell").where((F.col("low") <= F.col("b_high")) & (F.col("high") >= F.col("b_low")))
     pairs = made.table(pairs.select("part", "query_id", "query_vector"), "dense-pairs", "lz4")
     times = pairs.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("times"))
     dealt = pairs.join(times, "part").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("times")))
-    asked = dealt.groupBy("part", "deal").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query_vector").alias("query_vectors"))  # about a block
-    both = asked.join(index.blocks.select("part", "ids", "vectors"), "part").select("ids", "vectors", "query_ids", "query_vectors")
-    query_kind, id_kind = (both.schema[c].dataType.elementType for c in ("query_ids", "ids"))
+    asked = dealt.groupBy("part", "deal").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query_vector").alias("query_vectors"))
+    return asked.join(index.blocks.select("part", "ids", "vectors"), "part").select("ids", "vectors", "query_ids", "query_vectors")
+
+
+def _met(index: DenseIndex, sent: DataFrame, k: int, made: Workspace) -> DataFrame:
+    """(query_id, id, distance, rank): for each query, its k nearest of the blocks that it meets."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    both = _meetings(index, sent, made)
+    query_kind, id_kind = (both.schema[c].dataType.elementType for c in ("query_ids", "ids"))
     found = both.mapInArrow(_best(k, [to_arrow_type(query_kind), to_arrow_type(id_kind)]), T.StructType([T.StructField("query_id", query_kind), T.StructField("id", id_kind), T.StructField("distance", T.DoubleType())]))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _sent_schema(id_kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("query_id", id_kind), T.StructField("query_vector", T.ArrayType(T.DoubleType()))])
+
+
 def dense_batch_topk(index: DenseIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, distance) for each of ``queries`` (query_id, query_vector), as ``retrieval.dense_batch_topk`` gives them.
 
@@ -242,12 +252,67 @@ def dense_batch_topk(index: DenseIndex, queries: DataFrame, k: int) -> DataFrame
     centre as it does; where these blocks hold fewer than k rows, there is no bound and it meets all blocks.
     """
     with Workspace(index.rows.sparkSession) as made:
-        kinds = queries.schema
         plain = queries.where(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-        schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), kinds["query_id"], T.StructField("query_vector", T.ArrayType(T.DoubleType()))])
+        schema = _sent_schema(queries.schema["query_id"].dataType)
         bounds = _met(index, plain.mapInArrow(_sent(index.cells, k), schema), k, made).where(F.col("rank") == k).select("query_id", F.sqrt("distance").alias("t"))
         bounds = made.table(bounds, "dense-bounds")
         bounded = plain.join(bounds, "query_id", "left").select("query_id", "query_vector", F.coalesce("t", F.lit(float("inf"))).alias("t"))
         out = made.table(_met(index, bounded.mapInArrow(_sent(index.cells, None), schema), k, made), "dense-batch")
         made.keep(out)
     return out.select("query_id", "rank", F.col("id").alias(index.id_col), "distance")
+
+
+def _alike(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, query_ids = b.column(0)[i].values, b.column(2)[i].values
+                rows, queries = np.frombuffer(b.column(1)[i].as_py()).reshape(len(ids), -1), np.array(b.column(3)[i].as_py(), float)
+                cosine = queries @ rows.T
+                query, row = np.nonzero(cosine >= threshold)
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), ids.take(pa.array(row)), pa.array(cosine[query, row])], ["src", "dst", "weight"])
+
+    return run
+
+
+def similar_pairs(chunks: DataFrame, threshold: float, id_col: str = "chunk_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
+    """(src, dst, weight): all pairs, src < dst, with a cosine of ``threshold``, above 0, or more.
+
+    Unit vectors with such a cosine are no farther apart than the square root of 2 - 2 * threshold, so
+    each vector meets only the blocks whose distance to their cell's centre lets them be that near.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold above 0 is needed")
+    spark = chunks.sparkSession
+    norm = vector.norm(F.col("v"))
+    rows = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    units = rows.withColumn("n", norm).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    with Workspace(spark) as made:
+        units = made.table(units, "dense-units", "lz4")
+        kind = units.schema["id"].dataType
+        if not units.limit(1).count():
+            return spark.createDataFrame([], T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("weight", T.DoubleType())]))
+        path = f"{shared_dir(spark)}/lodestream/dense-{uuid.uuid4().hex}"
+        index = build(units, path, "id", "v", cells)
+        far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+        asked = index.rows.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"), F.lit(far).alias("t"))
+        sent = asked.mapInArrow(_sent(index.cells, None), _sent_schema(kind))
+        found = _meetings(index, sent, made).mapInArrow(_alike(threshold), T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("weight", T.DoubleType())]))
+        out = made.table(found.where("src < dst"), "dense-pairs-found")
+        made.keep(out)
+        drop_path(spark, path)
+    return out
+
+
+def share_met(index: DenseIndex, far: float) -> float:
+    """Of all meetings of a vector with a block, the share that a distance leaves; for vectors of the index itself."""
+    spans = index.blocks.select("cell", "low", "high").collect()  # a row for about a thousand vectors
+    away = np.sqrt(np.maximum(((index.cells.centres[:, None] - index.cells.centres[None]) ** 2).sum(axis=2), 0))
+    met = total = 0
+    for x in spans:
+        for y in spans:
+            # the least distance between a point of a shell around one centre and a point of a shell around another
+            gap = max(away[x.cell, y.cell] - x.high - y.high, x.low - away[x.cell, y.cell] - y.high, y.low - away[x.cell, y.cell] - x.high)
+            met += gap <= far
+            total += 1
+    return met / total

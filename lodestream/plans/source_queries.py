@@ -156,6 +156,13 @@ def dense_index_batch(spark, sf_dir):
     return dense_index.dense_batch_topk(tables.dense_cells(spark, sf_dir), queries, 5)
 
 
+@query(catalogue.SQL["similarity_edges"])
+def similarity_join(spark, sf_dir):
+    """The pairs of ``similarity_edges``, with blocks left out that can't be near enough."""
+    found = dense_index.similar_pairs(tables.vectors(spark, sf_dir), 0.35)
+    return found.select("src", "dst", F.lit("similar").alias("relation"), F.round("weight", 9).alias("weight"))
+
+
 @query(catalogue.SQL["bm25_topk"])
 def bm25_block_topk(spark, sf_dir):
     found = sparse_blocks.bm25_topk(tables.block_index(spark, sf_dir), tables.query_text(spark, sf_dir), 10)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import dense_index, retrieval, sparse_blocks
+from lodestream.operators import dense_index, docgraph, retrieval, sparse_blocks
 
 # Dense.
 
@@ -63,6 +63,15 @@ def test_blocks_hold_one_cell_each(dense):
     assert all(r.n <= dense_index.BLOCK and r.bytes == 64 * r.n and r.low <= r.high for r in rows) and len({r.part for r in rows}) == len(rows) and sum(r.n for r in rows) == 4500
 
 
+def test_similar_pairs_equal_the_block_join(spark, clustered, dense):
+    some = clustered.where("chunk_id < 600 OR chunk_id BETWEEN 3000 AND 3020").unionByName(spark.createDataFrame([(9000, [0.0] * 8, "zero")], clustered.schema))
+    got = {(r.src, r.dst): r.weight for r in dense_index.similar_pairs(some, 0.99, cells=12).collect()}
+    want = {(r.src, r.dst): r.weight for r in docgraph.similarity_edges(some, 0.99).collect()}
+    assert got == pytest.approx(want, abs=1e-8) and len(got) > 1000
+    assert dense_index.share_met(dense, 2.0) < 0.2
+    assert dense_index.similar_pairs(some.limit(0), 0.9).count() == 0
+
+
 # Sparse.
 
 
