@@ -11,11 +11,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestream.operators import codegraph, docgraph
+from lodestream.operators import codegraph, docgraph, largegraph
 from lodestream.sources import files
 
 CACHE = "codebase-map.json"
-FILES_SHOWN, LINKS_SHOWN, HUBS_SHOWN = 4, 15, 10
+FILES_SHOWN, LINKS_SHOWN, HUBS_SHOWN, ENDINGS_SHOWN, FOUND_SHOWN, TOPICS_SHOWN = 4, 15, 10, 4, 10, 20
 
 
 def inside(path: str, root: str) -> Path:
@@ -35,9 +35,27 @@ def commit_of(path: Path) -> str | None:
     return found.stdout.strip() if found.returncode == 0 else None
 
 
-def build(sources: DataFrame, documents: DataFrame | None = None) -> dict:
-    """Counts, communities, hubs and cross-links of (path, source) files and document chunks."""
+def _listed(rows: DataFrame, *columns: str) -> tuple[list[dict], int]:
+    """The first rows by path, as many as are shown, and the number of all."""
+    shown = rows.select(*columns).orderBy("path").limit(FOUND_SHOWN).collect()
+    return [r.asDict() for r in shown], rows.count()
+
+
+def build(sources: DataFrame, documents: DataFrame | None = None, types: DataFrame | None = None, doc_edges: DataFrame | None = None) -> dict:
+    """Counts, communities, hubs and cross-links of (path, source) files and document chunks.
+
+    ``types`` (path, group, label, is_text) are a detector's: they tell binaries from texts, and
+    texts that aren't what their ending says. ``doc_edges`` (src, dst) is the documents' graph.
+    """
     counts, entries = files.inventory(sources.select("path"))
+    if types is not None:
+        entries = files.detected(entries.select("path"), types)
+        counts = entries.groupBy("content_type").agg(F.count("*").alias("n"))
+    entries = entries.cache()
+    endings = entries.select("content_type", files.suffix(F.col("path")).alias("end")).where(F.length("end") > 1).groupBy("content_type").agg(F.slice(F.array_sort(F.collect_set("end")), 1, ENDINGS_SHOWN).alias("ends"))
+    label = F.split_part("content_type", F.lit("/"), F.lit(2)).alias("label")
+    binaries, all_binaries = _listed(entries.where(~F.col("is_text")).withColumn("label", label), "path", "label")
+    wrong, all_wrong = ([], 0) if types is None else _listed(files.mismatches(entries), "path", "found")
     code = entries.where(F.startswith("content_type", F.lit("code/"))).join(sources, "path").withColumn("language", F.split_part("content_type", F.lit("/"), F.lit(2)))
     extracted = codegraph.extract(code).cache()
     imports = codegraph.import_edges(extracted)
@@ -52,7 +70,14 @@ def build(sources: DataFrame, documents: DataFrame | None = None) -> dict:
     hubs = codegraph.hubs(codegraph.in_degrees(nodes, edges)).orderBy(F.desc("in_degree"), "node").collect()
     found = None if documents is None else docgraph.cross_links(extracted.select("path", "exports"), documents).cache()
     links = [] if found is None else found.orderBy("relation", "code", "doc").limit(LINKS_SHOWN).collect()  # documents are no bounded side
+    topics = []
+    if documents is not None and doc_edges is not None:
+        topic = largegraph.communities(doc_edges, documents.select(F.col("chunk_id").alias("node"))).withColumnRenamed("node", "chunk_id")
+        named = docgraph.representative_category(topic.join(documents.select("chunk_id", "category"), "chunk_id"))
+        sizes = topic.groupBy("community").agg(F.count("*").alias("chunks")).join(named, "community", "left")
+        topics = [r.asDict() for r in sizes.orderBy("community").limit(TOPICS_SHOWN).collect()]
     return {
+        "endings": {r.content_type: r.ends for r in endings.collect()}, "binaries": binaries, "all_binaries": all_binaries, "mismatches": wrong, "all_mismatches": all_wrong, "topics": topics,
         "types": {r.content_type: r.n for r in counts.orderBy(F.desc("n"), "content_type").collect()}, "communities": communities,
         "hubs": [{"file": h.node, "in_degree": h.in_degree} for h in hubs], "cross_links": [{"code": x.code, "doc": str(x.doc), "relation": x.relation} for x in links], "all_links": 0 if found is None else found.count(),
     }
@@ -60,12 +85,20 @@ def build(sources: DataFrame, documents: DataFrame | None = None) -> dict:
 
 def render(found: dict) -> str:
     """Markdown, with long lists cut."""
-    lines = ["# Codebase map", "", "## File types", *(f"- {t}: {n}" for t, n in found["types"].items())]
+    more = lambda rows, n: [f"- and {n - len(rows)} more"] if n > len(rows) else []
+    ends = lambda t: f" ({', '.join('*' + x for x in e)})" if (e := found.get("endings", {}).get(t)) else ""
+    lines = ["# Codebase map", "", "## File types", *(f"- {t}: {n}{ends(t)}" for t, n in found["types"].items())]
+    if rows := found.get("binaries"):
+        lines += ["", "### Binary files", *(f"- {x['path']} ({x['label']})" for x in rows), *more(rows, found["all_binaries"])]
+    if rows := found.get("mismatches"):
+        lines += ["", "### Not what the ending says", *(f"- {x['path']}: {x['found']}" for x in rows), *more(rows, found["all_mismatches"])]
     if found["communities"]:
         lines += ["", "## Code communities"]
         for c in found["communities"]:
-            more = f", and {len(c['files']) - FILES_SHOWN} more" if len(c["files"]) > FILES_SHOWN else ""
-            lines.append(f"- {c['label']} ({len(c['files'])} files, {c['edges']} edges): {', '.join(c['files'][:FILES_SHOWN])}{more}")
+            rest = f", and {len(c['files']) - FILES_SHOWN} more" if len(c["files"]) > FILES_SHOWN else ""
+            lines.append(f"- {c['label']} ({len(c['files'])} files, {c['edges']} edges): {', '.join(c['files'][:FILES_SHOWN])}{rest}")
+    if found.get("topics"):
+        lines += ["", "## Document communities", *(f"- {x['category'] or 'Topic ' + str(x['community'] + 1)} ({x['chunks']} chunks)" for x in found["topics"])]
     if found["hubs"]:
         lines += ["", "## Hubs", *(f"- {h['file']} (imported by {h['in_degree']})" for h in found["hubs"][:HUBS_SHOWN])]
     if found["cross_links"]:

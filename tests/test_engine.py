@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestream.api import Engine
 from lodestream.operators import embedding, metadata
+from lodestream.operators.policy import resolve_profile
 from lodestream.operators.registry import CHUNKING, EMBEDDING, METADATA, PDF, RETRIEVAL
 from lodestream.plans import codemap, ingest
-from lodestream.sources import pdf
+from lodestream.sources import files, pdf
 
 
 @pytest.fixture
@@ -95,6 +96,30 @@ def test_codebase_map(spark, engine, tmp_path):
     assert engine.get_codebase_map("/", root=str(tmp_path))["error_type"] == "validation"
 
 
+def test_map_of_types_binaries_and_topics(spark):
+    sources = spark.createDataFrame([("a/x.py", "import a.y"), ("a/r.md", ""), ("a/s.markdown", ""), ("a/pic.png", None), ("a/odd.txt", "x"), *((f"b/{i:02d}.exe", None) for i in range(12)), ("a/plain", "y")], "path string, source string")
+    documents = spark.createDataFrame([(i, "document/text", "roses" if i < 6 else "", [], "d/x.md") for i in range(9)], "chunk_id long, content_type string, category string, keywords array<string>, file_path string")
+    edges = spark.createDataFrame([(i, j) for g in (range(6), range(6, 9)) for i in g for j in g if i < j], "src long, dst long")
+    text = codemap.render(codemap.build(sources, documents, doc_edges=edges))
+    assert "document/markdown: 2 (*.markdown, *.md)" in text and "- a/pic.png (png)" in text and "- b/08.exe (exe)\n- and 3 more" in text
+    assert "- roses (6 chunks)\n- Topic 2 (3 chunks)" in text and "ending says" not in text
+    types = spark.createDataFrame([("a/odd.txt", "code", "rust", True), ("a/x.py", "binary", "elf", False)], "path string, group string, label string, is_text boolean")
+    text = codemap.render(codemap.build(sources, types=types))
+    assert "### Not what the ending says\n- a/odd.txt: rust" in text and "- a/x.py (elf)" in text and "code/rust: 1 (*.txt)" in text
+
+
+def test_detected_binaries_are_skipped(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.md", "d.exe"):
+        (tmp_path / name).write_text("some words")
+    found = files.discover(spark, str(tmp_path))
+    path = {r.relative: r.path for r in found.select("relative", "path").collect()}
+    types = spark.createDataFrame([(path["a.txt"], "binary", "elf", False), (path["c.md"], "document", "markdown", True)], "path string, group string, label string, is_text boolean")
+    chunks, details = ingest.chunk_files(found, resolve_profile(None), types=types)
+    got = {r.path: (r.status, r.chunks, r.error) for r in details.collect()}
+    assert got == {path["a.txt"]: ("skipped", 0, "binary file"), path["b.txt"]: ("indexed", 1, None), path["c.md"]: ("indexed", 1, None), path["d.exe"]: ("skipped", 0, "unsupported extension .exe")}
+    assert {r.file_path for r in chunks.collect()} == {path["b.txt"], path["c.md"]}
+
+
 def test_model_metadata_retries_and_falls_back(spark):
     docs = spark.createDataFrame([("a good text",), ("a bad text",), (None,)], "text string")
 
