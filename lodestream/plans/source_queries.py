@@ -61,7 +61,7 @@ def as_pdf(pages: list[list[tuple[float, float, str]]], packed: bool = True) ->
         at = [sum(len(b) + 1 for b in bodies[:k]) for k in range(len(bodies))]
         head = " ".join(f"{n} {a}" for n, a in zip(plain, at, strict=True)).encode() + b" "
         streams[holder] = _stream(f"/Type /ObjStm /N {len(plain)} /First {len(head)}", head + b" ".join(bodies) + b" ", True)
-    for number, body in ({} if packed else plain).items() | streams.items():
+    for number, body in (streams if packed else plain | streams).items():
         places[number] = len(data)
         data += f"{number} 0 obj\n".encode() + body + b"\nendobj\n"
     size, start = holder + (2 if packed else 0), len(data)

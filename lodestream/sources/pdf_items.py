@@ -136,7 +136,7 @@ class Document:
     """The objects of a file."""
 
     def __init__(self, data: bytes):
-        self.data, self.places, self.trailer, self.held = data, {}, {}, {}
+        self.data, self.places, self.trailer, self.held, self.searched = data, {}, {}, {}, False
         try:
             self._cross_references()
             if not isinstance(self.get(self.get(self.trailer.get("Root"))["Pages"]), dict):
@@ -193,6 +193,7 @@ class Document:
 
     def _search(self) -> None:
         """Objects by their headers, the last one of a number; those of object streams that no header names."""
+        self.searched = True
         self.places, self.held = {int(m[1]): (m.start(), None) for m in _OBJECT.finditer(self.data)}, {}
         self.trailer = {}
         for m in re.finditer(rb"trailer", self.data):
@@ -242,7 +243,13 @@ class Document:
                 self.held[number] = None  # what refers to itself is nothing
                 place, inside = self.places.get(number, (None, None))
                 if place is not None:
-                    self.held[number] = self._at(place, number) if inside is None else self._inside(inside, number)
+                    try:
+                        self.held[number] = self._at(place, number) if inside is None else self._inside(inside, number)
+                    except (ValueError, StopIteration):
+                        if self.searched:
+                            raise
+                        self._search()  # one wrong entry: none is trusted
+                        return self.get(value)
             value = self.held[number]
         return None
 

@@ -36,6 +36,9 @@ def test_damaged_tables_are_searched():
     whole = as_pdf(PAGES, False)
     for broken in (whole.replace(b"startxref", b"startxxxx"), whole[: whole.rindex(b"xref\n0")], whole.replace(b"0000000", b"0000001")):
         assert pdf_items.items(broken) == pdf_items.items(whole)
+    for number in range(1, 9):  # one wrong entry at a time
+        place = b"%010d 00000 n" % whole.index(b"%d 0 obj" % number)
+        assert pdf_items.items(whole.replace(place, b"%010d 00000 n" % 3)) == pdf_items.items(whole)
     packed = as_pdf(PAGES, True)
     assert pdf_items.items(packed[: packed.rindex(b"startxref")]) == pdf_items.items(packed)
 
