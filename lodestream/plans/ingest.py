@@ -20,12 +20,17 @@ from lodestream.sources import files
 from lodestream.sources.store import Store
 
 
-def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embedder: Callable[[list[str]], np.ndarray] = embedding.hashing, types: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+class Interrupted(Exception):
+    """Ingestion was asked to stop."""
+
+
+def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embedder: Callable[[list[str]], np.ndarray] = embedding.hashing, types: DataFrame | None = None, stopped: Callable[[], bool] = lambda: False, **options) -> tuple[DataFrame, DataFrame]:
     """Chunks in the store's columns, and (path, status, chunks, error) of every file of ``found``.
 
     ``types`` (path, group, label, is_text) are a detector's; files that it doesn't name, or all
     without one, go by ending. Files of binary types are skipped, whatever their ending. Files outside
-    the scan's scope have no type and are cut by the fallback.
+    the scan's scope have no type and are cut by the fallback. ``stopped`` is asked when the texts are
+    read, before they are classified, cut and embedded.
     """
     supported, skipped = files.split_supported(found)
     kinds = files.with_types(supported) if types is None else files.detected(supported, types).join(supported.select("path", "relative"), "path")
@@ -34,6 +39,9 @@ def chunk_files(found: DataFrame, profile: Profile, mode: str = "keyword", embed
     skipped = skipped.select("path", "status", "reason").unionByName(binary)
     supported = supported.join(binary, "path", "left_anti")
     texts = materialize(files.read_texts(supported), "ingest-texts")
+    if stopped():
+        drop_table(texts.sparkSession, texts)
+        raise Interrupted
     typed = texts.where("error is null").join(kinds, "path", "left").withColumnRenamed("path", "file_path")
     known = METADATA.get(mode if mode in METADATA.available() else "keyword")(typed, text_col="text", **options)
     if profile.taxonomy == "file_type":
@@ -67,17 +75,25 @@ def validate(spark: SparkSession, path: str) -> str | None:
 def ingest(spark: SparkSession, store: Store, path: str, collection: str = "documents", stopped: Callable[[], bool] = lambda: False, **options) -> dict:
     """Ingest the files below ``path`` into a collection and return the report, with details as a DataFrame.
 
-    ``stopped`` is asked before the collection is written: an interrupted run leaves it as it was.
+    ``stopped`` is asked before the files are read, before their texts are cut and embedded, and before
+    the collection is written: an interrupted run leaves it as it was.
     """
+    nothing = spark.createDataFrame([], "path string, status string, chunks bigint, error string")
+    interrupted = {"status": "interrupted", "collection": collection, "files_indexed": 0, "chunks_created": 0, "chunks_removed": 0}
     if (reason := validate(spark, path)) is not None:
-        return {"status": "error", "error_type": "file", "message": reason, "collection": collection, "chunks_removed": 0, "file_details": spark.createDataFrame([], "path string, status string, chunks bigint, error string")}
+        return {"status": "error", "error_type": "file", "message": reason, "collection": collection, "chunks_removed": 0, "file_details": nothing}
     tag = store.metadata(collection).get("profile") if store.exists(collection) else None
     found = files.discover(spark, path)
-    chunks, details = chunk_files(found, resolve_profile(tag), **options)
+    try:
+        if stopped():
+            raise Interrupted
+        chunks, details = chunk_files(found, resolve_profile(tag), stopped=stopped, **options)
+    except Interrupted:
+        return interrupted | {"file_details": nothing}
     before = store.count(collection)
     created = chunks.count()
     if stopped():
-        return {"status": "interrupted", "collection": collection, "files_indexed": 0, "chunks_created": 0, "chunks_removed": 0, "file_details": details}
+        return interrupted | {"file_details": details}
     if created:
         store.upsert(collection, chunks)
     counts = files.report_counts(details).first()

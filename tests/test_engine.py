@@ -60,6 +60,14 @@ def test_interrupted_ingestion_writes_nothing(engine, folder):
     assert engine.ingest_documents(str(folder), stopped=lambda: True)["status"] == "interrupted" and not engine.store.exists("documents")
 
 
+@pytest.mark.parametrize("asked", [1, 2, 3])
+def test_ingestion_stops_at_each_step(engine, folder, asked):
+    answers = iter([False] * (asked - 1) + [True])
+    report = engine.ingest_documents(str(folder), stopped=lambda: next(answers))
+    assert report["status"] == "interrupted" and not engine.store.exists("documents") and next(answers, None) is None
+    assert (report["file_details"].count() > 0) == (asked == 3)
+
+
 def test_no_file_goes_unreported(engine, tmp_path):
     root = tmp_path / "build" / "/".join("abcdefghijkl")
     for name in ("x.md", "node_modules/y.txt", "/".join("abcdefghijklmn") + "/z.txt", "w.exe"):
