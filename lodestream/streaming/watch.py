@@ -18,8 +18,6 @@ from lodestream.scratch import drop_table, materialize
 from lodestream.sources import files
 
 DEBOUNCE = "2 seconds"
-#: Files whose last hash is kept, the ones changed longest ago going first.
-MAX_FILES = 50_000
 #: Files that one look at a folder hands on at most; the others wait for the next one.
 FILES_A_LOOK = 1000
 #: Connection errors in a row from which on the log says that the model server may be gone.
@@ -52,10 +50,11 @@ class WatchSink:
     """Applies micro-batches of debounced changes: upserts first read the content, deletes remove it.
 
     The last hash of each file is a table of the sink, written as a new version by each batch; a
-    batch that is delivered again finds its changes done and leaves everything as it is.
+    batch that is delivered again finds its changes done and leaves everything as it is. With ``most``
+    only so many files stay known, the ones changed longest ago going first; these count as new again.
     """
 
-    def __init__(self, spark: SparkSession, state_path: str, upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None], most: int = MAX_FILES):
+    def __init__(self, spark: SparkSession, state_path: str, upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None], most: int | None = None):
         self.spark, self.path, self.upsert, self.delete = spark, state_path.rstrip("/"), upsert, delete
         self.errors = 0
         self.most = most
@@ -104,7 +103,9 @@ class WatchSink:
             raise
         changed = latest.select("path")
         now = latest.where("kind <> 'deleted'").select("path", "sha256", F.lit(batch).cast("bigint").alias("changed"))
-        kept = known.join(changed, "path", "left_anti").unionByName(now).orderBy(F.desc("changed"), "path").limit(self.most)
+        kept = known.join(changed, "path", "left_anti").unionByName(now)
+        if self.most is not None:
+            kept = kept.orderBy(F.desc("changed"), "path").limit(self.most)
         kept.write.mode("overwrite").parquet(f"{self.path}/{batch:010d}")
 
 

@@ -187,3 +187,12 @@ def test_shutdown_lets_the_batch_in_flight_end(spark, tmp_path):
     query = start("b")
     wait_for(lambda: query.status["isTriggerActive"])
     assert not watch.shut_down(query, forced=lambda: True)
+
+
+def test_sink_keeps_every_file(spark, tmp_path):
+    n, applied = 50_001, []
+    rows = spark.range(n).select(F.col("id").cast("string").alias("path"), F.lit("modified").alias("kind"), F.lit("x").alias("sha256"), F.lit(0).alias("ended"))
+    sink = watch.WatchSink(spark, f"file://{tmp_path}/state", lambda df: applied.append(df.count()), lambda df: None)
+    sink(rows, 0)
+    sink(rows, 1)  # all contents are known
+    assert applied == [n, 0] and sink._state(2).count() == n
