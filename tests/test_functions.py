@@ -17,6 +17,11 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
+def test_upper_keeps_the_length(spark):
+    assert one(spark, text.upper(F.col("t")), t="Straße ŉ𝒳 ﬁx") == "STRAßE ŉ𝒳 ﬁX"
+    assert one(spark, text.upper(F.col("t")), t="über") == "ÜBER" and one(spark, text.upper(F.col("t")), t="") == ""
+
+
 def test_tokens_drop_stop_words_and_keep_repeats(spark):
     assert one(spark, text.tokens(F.col("t")), t="The café of the_end, café 2x") == ["café", "the_end", "café", "2x"]
     assert text.tokens_of("The café of the_end, café 2x") == ["café", "the_end", "café", "2x"]
