@@ -395,11 +395,21 @@ def _forests(shingle: int, percent: int):
     return run
 
 
-def long_lists(rows: DataFrame, split: DataFrame, made: Workspace) -> DataFrame:
-    """(key, rep, n) of the lists that don't give all their pairs: those of more than SHORT_LIST, and those in several partitions."""
-    long_keys = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST).select("key")
-    keys = made.table(long_keys.unionByName(split).distinct(), "nd-long")
-    return made.table(rows.join(keys, "key").select("key", "rep", "n"), "nd-in-long")
+def long_lists(rows: DataFrame, split: DataFrame, made: Workspace, done: DataFrame | None = None) -> DataFrame:
+    """(key, rep, n) of the lists that don't give all their pairs: those of more than SHORT_LIST, and those in several partitions.
+
+    A list whose members ``done`` (node, component) connects has nothing left to find and is left out.
+    """
+    known = rows.withColumn("label", F.col("rep"))
+    if done is not None:
+        label = done.select(F.col("node").alias("rep"), "component")
+        known = made.table(rows.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "nd-labels", "lz4")
+    lists = known.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    keys = lists.join(split.withColumn("split", F.lit(True)), "key", "left").where((F.col("size") > SHORT_LIST) | F.col("split"))
+    out = made.table(known.join(made.table(keys.select("key"), "nd-long"), "key").select("key", "rep", "n"), "nd-in-long")
+    if done is not None:
+        made.drop(known)
+    return out
 
 
 def in_parts(known: DataFrame, made: Workspace) -> DataFrame:
@@ -430,7 +440,8 @@ def in_parts(known: DataFrame, made: Workspace) -> DataFrame:
 def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, done: DataFrame, shingle: int, percent: int, made: Workspace) -> DataFrame:
     """(a, b): links that, with those known, connect whatever links of members of a long list connect.
 
-    ``done`` has the components known so far (node, component), ``texts`` (id, text) of all members.
+    ``done`` has the components known so far (node, component), ``texts`` (id, text) of all members at
+    least; those that sketches rule out aren't fetched.
     """
     label = done.select(F.col("node").alias("rep"), "component")
     known = made.table(in_long.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "nd-labels")
@@ -441,6 +452,8 @@ def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, don
     laid = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     suspects = made.table(laid.mapInArrow(_suspects(percent), "key bigint, low int, high int, lower boolean, rep bigint, label bigint"), "nd-suspects")
     made.drop(known, with_sketch)
+    ids = made.table(suspects.select(F.col("rep").alias("id")).distinct(), "nd-suspect-ids")
+    texts = made.table(texts.join(ids, "id", "left_semi"), "nd-suspect-texts")
     compared = suspects.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "low", "high", "lower", "rep", "label", "text")
     laid = compared.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return made.table(laid.mapInArrow(_forests(shingle, percent), "a bigint, b bigint"), "nd-forests")
@@ -484,16 +497,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = made.table(classes.select("fp1", "fp2", "n", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch"), (F.col("last") != F.col("first.doc")).alias("copied")), "nd-reps", "lz4")
         rows = made.table(reps.select("rep", "n", "sketch").mapInArrow(_list_rows, "key bigint, rep bigint, n bigint"), "nd-lists")
         pairs, split = candidate_pairs(rows, reps, percent, made)
-        in_long = long_lists(rows, split, made)
-        made.drop(rows)
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(in_long.select(F.col("rep").alias("id"))).distinct()
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         # a merge join whatever the size of ids: the cost stays in proportion to the texts
-        texts = made.table(plain.where("doc is not null").withColumnRenamed("doc", "id").join(ids.hint("merge"), "id", "left_semi"), "nd-texts")
+        whole = plain.where("doc is not null").withColumnRenamed("doc", "id")
+        texts = made.table(whole.join(ids.hint("merge"), "id", "left_semi"), "nd-texts")
         # the best partner of each text, then what is not connected yet, then the long lists
         best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
         done = connected_components(_verified(best, texts, None, shingle, percent, made))
         done = _joined(done, _verified(pairs.join(best, ["a", "b"], "left_anti"), texts, done, shingle, percent, made))
-        done = _joined(done, search_long_lists(in_long, reps, texts, done, shingle, percent, made))
+        made.drop(texts)
+        in_long = long_lists(rows, split, made, done)
+        made.drop(rows)
+        done = _joined(done, search_long_lists(in_long, reps, whole, done, shingle, percent, made))
         known = reps.select("fp1", "fp2", "n", "rep", "copied").join(done, reps["rep"] == done["node"], "left")
         known = made.table(known.where("copied or component is not null").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id")), "nd-known")
         drop_table(docs.sparkSession, done)

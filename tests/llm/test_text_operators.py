@@ -218,6 +218,14 @@ def test_one_link_between_two_large_groups(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, shingle=2).collect() if r.doc_id is not None} == brute
 
 
+def test_connected_long_lists_are_left_out(spark):
+    lists = spark.createDataFrame([(k, i, 9) for k in (1, 2) for i in range(40)] + [(2, 77, 9), (3, 1, 9), (3, 99, 9), (4, 1, 9), (4, 99, 9)], "key bigint, rep bigint, n bigint")
+    done = spark.createDataFrame([(i, 0) for i in range(40)], "node bigint, component bigint")
+    with Workspace(spark) as space:
+        found = near_dedup.long_lists(lists, spark.createDataFrame([(3,)], "key bigint"), space, done)
+        assert sorted((r.key, r.rep) for r in found.collect()) == [*((2, i) for i in [*range(40), 77]), (3, 1), (3, 99)]
+
+
 def test_sides_of_a_long_list_meet_once(spark, monkeypatch):
     random.seed(4)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
