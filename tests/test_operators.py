@@ -128,6 +128,18 @@ def graph_nodes(spark):
     return spark.createDataFrame(rows, "chunk_id long, content_type string, category string, keywords array<string>, header_path string, embedding array<double>")
 
 
+def test_pairs_of_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(docgraph, "BLOCK", 2)
+    rows = [(i, f"c{i % 3}", "/".join("xyz"[: 1 + i % 3])) for i in range(20)] + [(3, "c1", "x/w")]
+    nodes = spark.createDataFrame(rows, "chunk_id long, category string, header_path string")
+    pairs = lambda df: sorted((r.src, r.dst) for r in df.collect())
+    category = docgraph.category_edges(nodes)
+    assert pairs(category) == sorted((a, b) for a, x, _ in rows for b, y, _ in rows if x == y and a < b)
+    assert pairs(docgraph.heading_edges(nodes)) == sorted({(a, b) for a, _, x in rows for b, _, y in rows if y.startswith(x + "/") and a != b})
+    for edges in (category, docgraph.heading_edges(nodes.limit(20))):  # pairs are neither sorted nor sent
+        assert "src" not in "".join(x for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Aggregate" in x)
+
+
 def test_document_graph(spark, monkeypatch):
     nodes = docgraph.documents_only(graph_nodes(spark))
     pairs = lambda df: sorted((r.src, r.dst) for r in df.collect())
