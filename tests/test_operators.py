@@ -499,3 +499,23 @@ def test_watcher_hands_on_changes_and_follows_no_link_out(spark, tmp_path):
 def test_listing_differences(spark):
     a, b = events(spark, [(0, "x", "", "1"), (0, "y", "", "1")]), events(spark, [(5, "y", "", "2"), (5, "z", "", "3")])
     assert {(r.path, r.kind) for r in watch.listing_events(a, b).collect()} == {("x", "deleted"), ("y", "modified"), ("z", "created")}
+
+
+def test_relevance_by_group_is_that_of_its_pairs(spark):
+    rng = random.Random(5)
+    docs = [(i, rng.choice([0, 1, 2, None]) if i else 9, n, i % 3) for i in range(60) for n in rng.sample(range(4), rng.choice([1, 2]))]
+    table = spark.createDataFrame(docs, "doc long, `group` int, nugget_id int, grade int")
+    queries = table.where("doc % 5 = 0").select(F.col("doc").alias("query_id"), "group").distinct()
+    by_group = evaluate.Grouped(queries, table)
+    pairs = queries.join(table, "group").where("query_id <> doc")
+    ranking = spark.createDataFrame([(q, r, d) for q in range(0, 60, 5) for r, d in enumerate(rng.sample(range(60), 20), 1)], "query_id long, rank int, doc long")
+    once = table.dropDuplicates(["doc"])
+    graded = evaluate.Grouped(queries, once), queries.join(once, "group").where("query_id <> doc")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for k in (1, 3, 10):
+        assert rows(evaluate.hit_mrr_recall(ranking, by_group, k)) == rows(evaluate.hit_mrr_recall(ranking, pairs, k))
+        assert rows(evaluate.coverage(ranking, by_group, k)) == rows(evaluate.coverage(ranking, pairs, k))
+        assert rows(evaluate.alpha_dcg(ranking, by_group, k)) == rows(evaluate.alpha_dcg(ranking, pairs, k))
+        assert rows(evaluate.ideal_alpha_dcg(by_group, k)) == rows(evaluate.ideal_alpha_dcg(pairs, k))
+        assert rows(evaluate.ndcg(ranking, graded[0], k)) == rows(evaluate.ndcg(ranking, graded[1], k))
+        assert rows(evaluate.contribution(ranking, ranking.withColumn("rank", 21 - F.col("rank")), by_group, k)) == rows(evaluate.contribution(ranking, ranking.withColumn("rank", 21 - F.col("rank")), pairs, k))
