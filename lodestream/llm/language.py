@@ -84,7 +84,7 @@ class LanguageModel:
             return cls([], np.zeros((BUCKETS, 0), np.float32))
         share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_per_language / n)))), F.col("lang"))
         unit = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-        counted = rows.where(unit < share).select("lang", "text").mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        counted = rows.where(unit < share).select("lang", "text").mapInArrow(kernel.tidied(_count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         table = counted.toArrow()  # as many rows as languages times buckets
         names = sorted(set(table.column("lang").to_pylist()))
         counts = np.zeros((BUCKETS, len(names)))
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", unif
     """
     docs = docs.drop("__lang", "__score")
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_predict(model, docs.columns.index(text_col), uniform), schema)
+    return docs.mapInArrow(kernel.tidied(_predict(model, docs.columns.index(text_col), uniform)), schema)
 
 
 def held_out(id_col: str = "doc_id"):

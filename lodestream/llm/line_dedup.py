@@ -96,7 +96,7 @@ def _key_rows(min_chars: int):
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(k1, k2, doc): each key of ``min_chars`` code points or more and each document holding it."""
     pairs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    return pairs.mapInArrow(_key_rows(min_chars), f"{_KEYS}, doc bigint")
+    return pairs.mapInArrow(kernel.tidied(_key_rows(min_chars)), f"{_KEYS}, doc bigint")
 
 
 def _shared(refs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _filters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _build_filters(shared: DataFrame, shards: int) -> DataFrame:
     keyed = shared.select(_shard(shards), "k1")
-    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_filters_of, _FILTERS)
+    return keyed.repartition("shard").sortWithinPartitions("shard").mapInArrow(kernel.tidied(_filters_of), _FILTERS)
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ class LineIndex:
         blobs = self.filters.join(F.broadcast(salts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter")
         blobs = blobs.select("shard", "salt", F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"), F.lit(None).cast("bigint").alias("doc"), "filter")
         rows = dealt.select("shard", "salt", "k1", "k2", "doc", "filter").unionByName(blobs)
-        return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("k1").isNotNull()).mapInArrow(_probe, f"{_KEYS}, doc bigint")
+        return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("k1").isNotNull()).mapInArrow(kernel.tidied(_probe), f"{_KEYS}, doc bigint")
 
     def drop(self) -> None:
         """Remove the tables of an index that hasn't changed."""
@@ -350,7 +350,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index.drop()
     joined = docs.join(lost, F.col(id_col).cast("bigint") == F.col("__lodestream_doc"), "left").drop("__lodestream_doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    return joined.mapInArrow(_rebuild(docs.columns.index(text_col)), schema)
+    return joined.mapInArrow(kernel.tidied(_rebuild(docs.columns.index(text_col))), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

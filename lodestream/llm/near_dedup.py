@@ -214,7 +214,7 @@ def _verify(shingle: int, percent: int):
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, percent), "a bigint, b bigint")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(kernel.tidied(_verify(shingle, percent)), "a bigint, b bigint")
 
 
 def _least(percent: int) -> float:
@@ -226,7 +226,7 @@ def _least(percent: int) -> float:
 def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int, made: Workspace) -> tuple[DataFrame, DataFrame]:
     """(a, b, estimate) of the pairs that lists and sketches leave, and the keys of lists in several partitions; rows is the lists, reps has rep and sketch."""
     laid = rows.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
-    found = made.table(laid.mapInArrow(_pairs_of_lists(percent), "key bigint, a bigint, b bigint"), "nd-found")
+    found = made.table(laid.mapInArrow(kernel.tidied(_pairs_of_lists(percent)), "key bigint, a bigint, b bigint"), "nd-found")
     # the first members of the parts of a list that lies in several partitions meet the very first
     parts = found.where("key is not null").select("key", F.col("a").alias("b"), F.col("b").alias("n")).distinct()
     firsts = made.table(parts.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("parts")).where("parts > 1"), "nd-split")
@@ -236,7 +236,7 @@ def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int, made: Worksp
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     used = made.table(reps.select("rep", "sketch").join(ids, "rep", "left_semi"), "nd-used", "lz4")
     joined = pairs.join(used.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(used.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    out = made.table(joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= _least(percent)), "nd-candidates")
+    out = made.table(joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(kernel.tidied(_estimate), "a bigint, b bigint, estimate double").where(F.col("estimate") >= _least(percent)), "nd-candidates")
     made.drop(used, pairs)
     return out, firsts.select("key")
 
@@ -406,7 +406,7 @@ def long_lists(rows: DataFrame, split: DataFrame, made: Workspace, done: DataFra
         known = made.table(rows.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "nd-labels", "lz4")
     lists = known.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
     keys = lists.join(split.withColumn("split", F.lit(True)), "key", "left").where((F.col("size") > SHORT_LIST) | F.col("split"))
-    out = made.table(known.join(made.table(keys.select("key"), "nd-long"), "key").select("key", "rep", "n"), "nd-in-long")
+    out = made.table(known.join(made.table(keys.select("key"), "nd-long"), "key", "left_semi").select("key", "rep", "n"), "nd-in-long")
     if done is not None:
         made.drop(known)
     return out
@@ -428,7 +428,7 @@ def in_parts(known: DataFrame, made: Workspace) -> DataFrame:
     sizes = groups.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.sum("blocks").cast("int").alias("pure"), shared.alias("shared")).where("one <> other")
     sizes = made.table(sizes.select("key", "pure", "shared"), "nd-sizes")
     before = F.sum("blocks").over(Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))  # a row for half a block of members at least
-    large = made.table(groups.where("blocks > 0").join(sizes.select("key"), "key").select("key", "label", "blocks", F.coalesce(before, F.lit(0)).cast("int").alias("start")), "nd-large")
+    large = made.table(groups.where("blocks > 0").join(sizes.select("key"), "key", "left_semi").select("key", "label", "blocks", F.coalesce(before, F.lit(0)).cast("int").alias("start")), "nd-large")
     dealt = known.join(sizes, "key").join(large, ["key", "label"], "left")
     place = lambda n: F.pmod(F.xxhash64("rep", "key"), n).cast("int")
     own = F.when(F.col("blocks").isNotNull(), F.col("start") + place(F.col("blocks"))).otherwise(F.col("pure") + place(F.greatest("shared", F.lit(1))))
@@ -450,13 +450,13 @@ def search_long_lists(in_long: DataFrame, reps: DataFrame, texts: DataFrame, don
     met = with_sketch.withColumn("other", F.explode("others"))
     met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("lower"), "rep", "label", "n", "sketch")
     laid = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    suspects = made.table(laid.mapInArrow(_suspects(percent), "key bigint, low int, high int, lower boolean, rep bigint, label bigint"), "nd-suspects")
+    suspects = made.table(laid.mapInArrow(kernel.tidied(_suspects(percent)), "key bigint, low int, high int, lower boolean, rep bigint, label bigint"), "nd-suspects")
     made.drop(known, with_sketch)
     ids = made.table(suspects.select(F.col("rep").alias("id")).distinct(), "nd-suspect-ids")
     texts = made.table(texts.join(ids, "id", "left_semi"), "nd-suspect-texts")
     compared = suspects.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "low", "high", "lower", "rep", "label", "text")
     laid = compared.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return made.table(laid.mapInArrow(_forests(shingle, percent), "a bigint, b bigint"), "nd-forests")
+    return made.table(laid.mapInArrow(kernel.tidied(_forests(shingle, percent)), "a bigint, b bigint"), "nd-forests")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, done: DataFrame | None, shingle: int, percent: int, made: Workspace) -> DataFrame:
@@ -492,10 +492,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     with Workspace(docs.sparkSession) as made:
         plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-        sketched = made.table(plain.mapInArrow(_sketches(shingle), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary"), "nd-sketches", "lz4")
+        sketched = made.table(plain.mapInArrow(kernel.tidied(_sketches(shingle)), "doc bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary"), "nd-sketches", "lz4")
         classes = sketched.where("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc", "sketch")).alias("first"), F.max("doc").alias("last"))
         reps = made.table(classes.select("fp1", "fp2", "n", F.col("first.doc").alias("rep"), F.col("first.sketch").alias("sketch"), (F.col("last") != F.col("first.doc")).alias("copied")), "nd-reps", "lz4")
-        rows = made.table(reps.select("rep", "n", "sketch").mapInArrow(_list_rows, "key bigint, rep bigint, n bigint"), "nd-lists")
+        rows = made.table(reps.select("rep", "n", "sketch").mapInArrow(kernel.tidied(_list_rows), "key bigint, rep bigint, n bigint"), "nd-lists")
         pairs, split = candidate_pairs(rows, reps, percent, made)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         # a merge join whatever the size of ids: the cost stays in proportion to the texts

@@ -695,3 +695,22 @@ def test_unlike_pages_of_a_cut_host_give_no_candidates(spark, pages, partitions)
     laid = table.repartitionByRange(partitions, "host", "sig").sortWithinPartitions("host", "sig").mapInArrow(html_text._chunks(html_text.CHUNK), html_text._LAID).cache()
     assert html_text.candidate_windows(laid).count() == 0
     assert laid.where("stream IS NOT NULL").count() == pages
+
+
+def test_a_task_gives_its_free_memory_back(monkeypatch):
+    from lodestream.llm import kernel
+
+    class Pool:
+        given = 0
+
+        def release_unused(self):
+            self.given += 1
+
+    pool = Pool()
+    monkeypatch.setattr(kernel.pa, "default_memory_pool", lambda: pool)
+    task = kernel.tidied(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and pool.given == 1
+    stopped = task(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert pool.given == 2
