@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestream.functions import text
 from lodestream.operators.numbering import numbered
-from lodestream.operators.retrieval import DIGITS, SparseIndex, idf, term_weight
+from lodestream.operators.retrieval import DIGITS, SparseIndex, _listed, _rows, _sizes, idf, term_weight
 from lodestream.scratch import Workspace
 
 #: Chunks of one range.
@@ -40,17 +40,34 @@ def build(index: SparseIndex, path: str, block: int = BLOCK) -> BlockIndex:
     A row holds at most ``block`` postings. Terms that a large part of the chunks holds are many rows,
     laid out by range over (term, range).
     """
-    spark = index.rows.sparkSession
-    with Workspace(spark) as made:
-        numbers = numbered(index.rows.select("id").distinct(), ["id"]).select("id", F.expr(f"number div {block}").alias("range"))
-        sizes = index.statistics()
-        sizes.coalesce(1).write.parquet(f"{path}/sizes")
-        sizes = spark.read.parquet(f"{path}/sizes")
-        index.rows.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-        part = term_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl"))
-        rows = index.rows.join(numbers, "id").crossJoin(F.broadcast(sizes.select("avgdl")))  # one row
-        grouped = rows.groupBy("term", "range").agg(F.max(part).alias("most"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings"))
-        made.table(grouped, "sparse-blocks", "lz4").repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+    numbers = _ranges(index.rows.select("id").distinct(), block)
+    return _written(index.rows.join(numbers, "id"), index.statistics(), path)
+
+
+def build_from(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", block: int = BLOCK) -> BlockIndex:
+    """The same from chunks that have no sparse index: ranges are given to whole chunks, so each posting is sent once."""
+    with Workspace(chunks.sparkSession) as made:
+        listed = made.table(_listed(chunks, id_col, text_col), "sparse-terms", "lz4")
+        with_terms = listed.where(F.size("p") > 0)
+        numbers = _ranges(with_terms.select("id").distinct(), block)
+        sizes = SparseIndex(listed, _sizes(listed)).statistics()
+        return _written(_rows(with_terms.join(numbers, "id"), "range"), sizes, path)
+
+
+def _ranges(ids: DataFrame, block: int) -> DataFrame:
+    return numbered(ids, ["id"]).select("id", F.expr(f"number div {block}").alias("range"))
+
+
+def _written(rows: DataFrame, sizes: DataFrame, path: str) -> BlockIndex:
+    """The block index of postings (id, term, tf, dl, range). They are dealt by range over (term, range) and grouped where they lie."""
+    spark = rows.sparkSession
+    sizes.coalesce(1).write.parquet(f"{path}/sizes")
+    average = F.broadcast(spark.read.parquet(f"{path}/sizes").select("avgdl"))  # one row
+    part = term_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    dealt = rows.select("term", "range", "id", "tf", "dl").repartitionByRange("term", "range").crossJoin(average)
+    grouped = dealt.groupBy("term", "range").agg(F.max(part).alias("most"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings"))
+    grouped.sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+    spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
     return load(spark, path)
 
 

@@ -104,3 +104,14 @@ def test_blocks_of_a_frequent_term_are_skipped(sparse):
     plan = sparse_blocks.plan(blocks, "rare w0 common", 5)
     of = collections.Counter(r.read for r in plan.collect())
     assert of[False] > 2 * of[True] > 0
+
+
+def test_block_index_from_chunks_is_that_of_the_sparse_index(spark, tmp_path):
+    texts = [None, "", "the", *(" ".join(f"w{(i * j) % 13}" for j in range(i % 9)) for i in range(60))]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    one = sparse_blocks.build(retrieval.build_index(chunks, f"{tmp_path}/sparse"), f"{tmp_path}/one", block=8)
+    other = sparse_blocks.build_from(chunks, f"{tmp_path}/other", block=8)
+    for name in ("blocks", "terms", "sizes"):
+        rows = [sorted(map(str, getattr(x, name).collect())) for x in (one, other)]
+        assert rows[0] == rows[1] and rows[0]
+    assert other.blocks.select("term", "range").distinct().count() == other.blocks.count()
