@@ -388,7 +388,7 @@ def representative_category(spark, sf_dir):
 def attached_edges(spark, sf_dir):
     """Keyword edges without those that lead to texts of up to 1,000 characters."""
     kept = tables.table(spark, sf_dir, "documents").where("n_chars > 1000").select(F.col("doc_id").alias("chunk_id"))
-    return docgraph.attached(docgraph.keyword_edges(tables.graph_chunks(spark, sf_dir)), kept).select("src", "dst")
+    return docgraph.attached_keyword_edges(tables.graph_chunks(spark, sf_dir), kept).select("src", "dst")
 
 
 # The watch loop.
