@@ -7,8 +7,9 @@ cells until they hold k rows, whose k-th distance ``t`` is a bound, and then the
 with ``d - t <= r <= d + t``: conditions on (cell, r) that Parquet answers by row groups and pages.
 
 A set of queries does the same in blocks: vectors lie packed in blocks of one cell, queries are sent
-to the blocks that can hold one of their k nearest, and each meeting is a matrix product. Neither
-side passes through the driver; it sees the cells alone, at most ``MAX_CELLS``.
+to the blocks that can hold one of their k nearest, and each meeting is a matrix product. A
+similarity join sends blocks to groups of blocks. Neither side passes through the driver; it sees the
+cells alone, at most ``MAX_CELLS``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lodestream.scratch import Workspace, drop_path, shared_dir
 MAX_CELLS, SAMPLE = 4096, 50_000
 #: Vectors, and queries, of one block.
 BLOCK = 1024
+#: Vectors of one group of a similarity join at most, about; smaller tables have about so many groups.
+GROUP, GROUPS = 32 * BLOCK, 16
 #: What a distance may be off by, relative and absolute.
 SLACK = 1e-9, 1e-7
 
@@ -58,12 +61,17 @@ class DenseIndex:
     vector_col: str
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The rows of a list column, all of one length and without nulls."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(vectors), -1)
+
+
 def _assigned(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
                 part = b.slice(i, BLOCK)
-                held = np.array(part.column(0).to_pylist(), float)
+                held = _matrix(part.column(0))
                 squares = (held * held).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * held @ centres.T
                 cell = squares.argmin(axis=1)
                 r = np.sqrt(((held - centres[cell]) ** 2).sum(axis=1))
@@ -80,7 +88,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.diff(cell)) + 1
         ends = np.unique(np.concatenate([cuts, [len(cell)], *(np.arange(s, e, BLOCK) for s, e in zip([0, *cuts], [*cuts, len(cell)], strict=True))])).astype(int)
         for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            held = np.array(b.column(3).slice(s, e - s).to_pylist(), float)
+            held = _matrix(b.column(3).slice(s, e - s))
             ids = pa.array([b.column(2).slice(s, e - s)], pa.list_(b.schema.types[2]))
             yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + 1]), pa.array([at + number]), pa.array(r[s : s + 1]), pa.array(r[e - 1 : e]), ids, pa.array([held.tobytes()], pa.binary())], names)
             number += 1
@@ -112,7 +120,7 @@ def build(chunks: DataFrame, path: str, id_col: str = "chunk_id", vector_col: st
         centres = _centres(plain.select(F.col("__vector").alias("v")), n, cells or int(min(MAX_CELLS, max(1, n**0.5))))
         others = [f for f in plain.schema.fields if f.name != "__vector"]
         schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType()), *others])
-        dealt = plain.select("__vector", *(f.name for f in others)).mapInArrow(_assigned(centres), schema)
+        dealt = made.table(plain.select("__vector", *(f.name for f in others)).mapInArrow(_assigned(centres), schema), "dense-dealt", "lz4")
         dealt.repartitionByRange("cell", "r").sortWithinPartitions("cell", "r").write.parquet(f"{path}/rows")
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     kind = plain.schema[id_col].dataType
@@ -181,7 +189,7 @@ def _sent(cells: Cells, k: int | None):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                queries = np.array(part.column(1).to_pylist(), float)
+                queries = _matrix(part.column(1))
                 away = cells.distances(queries)
                 if k is None:
                     reach = _within(part.column(2).to_numpy())[:, None]
@@ -219,7 +227,10 @@ def _best(k: int, kinds: list[pa.DataType]):
 
 
 def _meetings(index: DenseIndex, sent: DataFrame, made: Workspace) -> DataFrame:
-    """(ids, vectors, query_ids, query_vectors): each block with about a block of the queries that are sent to it."""
+    """(ids, vectors, query_ids, query_vectors): each block with about a block of the queries that are sent to it.
+
+    Packed vectors are small as files, so Spark would broadcast them through the driver; hints rule that out.
+    """
     sent = made.table(sent, "dense-sent", "lz4")
     ranges_ = made.table(index.blocks.select("cell", "part", F.col("low").alias("b_low"), F.col("high").alias("b_high")), "dense-ranges")
     pairs = sent.join(ranges_, "cell").where((F.col("low") <= F.col("b_high")) & (F.col("high") >= F.col("b_low")))
@@ -262,15 +273,69 @@ def dense_batch_topk(index: DenseIndex, queries: DataFrame, k: int) -> DataFrame
     return out.select("query_id", "rank", F.col("id").alias(index.id_col), "distance")
 
 
-def _alike(threshold: float):
+def _groups(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: its first group and their number. Neighbouring small cells share one, a large cell has several."""
+    room = min(GROUP, max(BLOCK, -(-int(cells.n.sum()) // GROUPS)))
+    first, times, group, held = np.zeros(len(cells.n), int), np.maximum(1, -(-cells.n // room)), 0, 0
+    middle = cells.centres - cells.centres.mean(axis=0)
+    for c in np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable").tolist():
+        if held and held + cells.n[c] > room:
+            group, held = group + 1, 0
+        first[c] = group
+        group, held = (group + int(times[c]), 0) if times[c] > 1 else (group, held + int(cells.n[c]))
+    return first, times
+
+
+def _dealt(cells: Cells, far: float):
+    """Blocks (cell, part, low, high, ids, vectors) beside their group and the groups that a distance lets them meet."""
+    first, times = _groups(cells)
+    of_cell = [np.arange(f, f + t) for f, t in zip(first.tolist(), times.tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, part, low, high = (b.column(i).to_numpy() for i in range(4))
+            own = first[cell] + (part % 1_000_003) % times[cell]
+            away = cells.distances(cells.centres[cell]) - cells.radius
+            near = (away - high[:, None] <= far) & (low[:, None] - away - 2 * cells.radius <= far) & (cells.n > 0)
+            others = [np.unique(np.concatenate([of_cell[c] for c in np.flatnonzero(x)])) for x in near]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(others, pa.list_(pa.int32())), *b.columns], ["own", "others", *b.schema.names])
+
+    return run
+
+
+def _alike(threshold: float, centres: np.ndarray, far: float):
+    """(a, b, weight) of rows (left, right, own, cell, low, high, ids, vectors) that come in order of their first three columns.
+
+    The blocks of a pair's left group are held, those of the right one follow and meet them.
+    """
+
+    def meeting(x: tuple, y: tuple) -> Iterator[pa.RecordBatch]:
+        between = float(np.sqrt(((centres[x[0]] - centres[y[0]]) ** 2).sum()))
+        if max(between - x[2] - y[2], x[1] - between - y[2], y[1] - between - x[2]) > far:
+            return
+        cosine = (x[4] @ y[4].T).ravel()
+        at = np.flatnonzero(cosine >= threshold)
+        i, j = np.divmod(at, len(y[4]))
+        if x is y:
+            at, i, j = at[i < j], i[i < j], j[i < j]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([x[3].take(pa.array(i)), y[3].take(pa.array(j)), pa.array(cosine[at])], ["a", "b", "weight"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
         for b in batches:
+            lefts, rights, owns, cells, lows, highs = (b.column(i).to_pylist() for i in range(6))
             for i in range(b.num_rows):
-                ids, query_ids = b.column(0)[i].values, b.column(2)[i].values
-                rows, queries = np.frombuffer(b.column(1)[i].as_py()).reshape(len(ids), -1), np.array(b.column(3)[i].as_py(), float)
-                cosine = queries @ rows.T
-                query, row = np.nonzero(cosine >= threshold)
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), ids.take(pa.array(row)), pa.array(cosine[query, row])], ["src", "dst", "weight"])
+                if pair != (lefts[i], rights[i]):
+                    pair, held = (lefts[i], rights[i]), []
+                ids = b.column(6)[i].values
+                ids = ids.take(pa.array(np.arange(len(ids))))  # a copy, which doesn't keep its batch
+                block = cells[i], lows[i], highs[i], ids, np.frombuffer(b.column(7)[i].as_py()).reshape(len(ids), -1)
+                if owns[i] == lefts[i]:
+                    held.append(block)
+                if owns[i] == rights[i]:
+                    for x in held:
+                        yield from meeting(x, block)
 
     return run
 
@@ -278,15 +343,19 @@ def _alike(threshold: float):
 def similar_pairs(chunks: DataFrame, threshold: float, id_col: str = "chunk_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
     """(src, dst, weight): all pairs, src < dst, with a cosine of ``threshold``, above 0, or more.
 
-    Unit vectors with such a cosine are no farther apart than the square root of 2 - 2 * threshold, so
-    each vector meets only the blocks whose distance to their cell's centre lets them be that near.
+    Unit vectors with such a cosine are no farther apart than the square root of 2 - 2 * threshold.
+    Blocks are dealt to pairs of groups of neighbouring cells, each only to the groups that lie that
+    near, and inside a pair only blocks whose shells do are multiplied. So a vector is sent once for
+    each group, whatever bounds leave, and no pair of a vector with a block is a row. Pairs are made
+    where they are used; the index they come from stays in the shared folder.
     """
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed")
     spark = chunks.sparkSession
     norm = vector.norm(F.col("v"))
     rows = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = rows.withColumn("n", norm).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    unit = F.get(F.transform(F.array(norm), lambda n: F.transform("v", lambda x: x / n)), F.lit(0))  # one norm a vector, not one a component
+    units = rows.where(norm > 0).select("id", unit.alias("v"))
     with Workspace(spark) as made:
         units = made.table(units, "dense-units", "lz4")
         kind = units.schema["id"].dataType
@@ -294,14 +363,18 @@ def similar_pairs(chunks: DataFrame, threshold: float, id_col: str = "chunk_id",
             return spark.createDataFrame([], T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("weight", T.DoubleType())]))
         path = f"{shared_dir(spark)}/lodestream/dense-{uuid.uuid4().hex}"
         index = build(units, path, "id", "v", cells)
-        far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        asked = index.rows.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"), F.lit(far).alias("t"))
-        sent = asked.mapInArrow(_sent(index.cells, None), _sent_schema(kind))
-        found = _meetings(index, sent, made).mapInArrow(_alike(threshold), T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("weight", T.DoubleType())]))
-        out = made.table(found.where("src < dst"), "dense-pairs-found")
-        made.keep(out)
-        drop_path(spark, path)
-    return out
+        drop_path(spark, f"{path}/rows")
+    far = float(_within(np.sqrt(max(0.0, 2 - 2 * threshold))))
+    kinds = {f.name: f for f in index.blocks.schema.fields}
+    blocks = index.blocks.select("cell", "part", "low", "high", "ids", "vectors")
+    beside = T.StructType([T.StructField("own", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType())), *(kinds[c] for c in blocks.columns)])
+    sent = blocks.mapInArrow(_dealt(index.cells, far), beside).withColumn("other", F.explode("others"))
+    pairs = sent.select(F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "cell", "low", "high", "ids", "vectors")
+    first, times = _groups(index.cells)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * int((first + times).max()))  # a number, or few bytes would be taken for little work
+    dealt = pairs.repartition(tasks, "left", "right").sortWithinPartitions("left", "right", "own")
+    found = dealt.mapInArrow(_alike(threshold, index.cells.centres, far), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("weight", T.DoubleType())]))
+    return found.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight")
 
 
 def share_met(index: DenseIndex, far: float) -> float:

@@ -72,6 +72,17 @@ def test_similar_pairs_equal_the_block_join(spark, clustered, dense):
     assert dense_index.similar_pairs(some.limit(0), 0.9).count() == 0
 
 
+def test_similar_pairs_meet_by_groups_of_blocks(spark, clustered, monkeypatch):
+    """Small groups, one cell in several of them, and copies across groups; no row is a pair of a vector and a block."""
+    some = clustered.where("chunk_id < 700 OR chunk_id BETWEEN 3000 AND 3100")
+    monkeypatch.setattr(dense_index, "_meetings", None)
+    for limit, cells in ((100, 9), (200, 2)):
+        monkeypatch.setattr(dense_index, "BLOCK", limit)
+        monkeypatch.setattr(dense_index, "GROUP", limit)
+        got = {(r.src, r.dst): r.weight for r in dense_index.similar_pairs(some, 0.9, cells=cells).collect()}
+        assert got == pytest.approx({(r.src, r.dst): r.weight for r in docgraph.similarity_edges(some, 0.9).collect()}, abs=1e-8)
+
+
 # Sparse.
 
 
