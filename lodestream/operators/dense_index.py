@@ -233,12 +233,12 @@ def _meetings(index: DenseIndex, sent: DataFrame, made: Workspace) -> DataFrame:
     """
     sent = made.table(sent, "dense-sent", "lz4")
     ranges_ = made.table(index.blocks.select("cell", "part", F.col("low").alias("b_low"), F.col("high").alias("b_high")), "dense-ranges")
-    pairs = sent.join(ranges_, "cell").where((F.col("low") <= F.col("b_high")) & (F.col("high") >= F.col("b_low")))
+    pairs = sent.join(ranges_.hint("merge"), "cell").where((F.col("low") <= F.col("b_high")) & (F.col("high") >= F.col("b_low")))
     pairs = made.table(pairs.select("part", "query_id", "query_vector"), "dense-pairs", "lz4")
     times = pairs.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("times"))
-    dealt = pairs.join(times, "part").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("times")))
+    dealt = pairs.join(times.hint("merge"), "part").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("times")))
     asked = dealt.groupBy("part", "deal").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query_vector").alias("query_vectors"))
-    return asked.join(index.blocks.select("part", "ids", "vectors"), "part").select("ids", "vectors", "query_ids", "query_vectors")
+    return asked.join(index.blocks.select("part", "ids", "vectors").hint("merge"), "part").select("ids", "vectors", "query_ids", "query_vectors")
 
 
 def _met(index: DenseIndex, sent: DataFrame, k: int, made: Workspace) -> DataFrame:

@@ -83,6 +83,15 @@ def test_similar_pairs_meet_by_groups_of_blocks(spark, clustered, monkeypatch):
         assert got == pytest.approx({(r.src, r.dst): r.weight for r in docgraph.similarity_edges(some, 0.9).collect()}, abs=1e-8)
 
 
+def test_no_vectors_are_broadcast_to_meet(spark, clustered, dense):
+    from lodestream.scratch import Workspace
+
+    queries = clustered.where("chunk_id < 50").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    with Workspace(spark) as made:
+        sent = queries.mapInArrow(dense_index._sent(dense.cells, 5), dense_index._sent_schema(queries.schema["query_id"].dataType))
+        assert "Broadcast" not in dense_index._meetings(dense, sent, made)._jdf.queryExecution().executedPlan().toString()
+
+
 # Sparse.
 
 
