@@ -46,3 +46,8 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert engine.entry(spark).count() == 20
+
+
+def test_one_sparse_query_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr("lodestream.plans.tables.sparse_index", None)
+    assert len(engine.queries()["bm25_topk"](spark, "/root/testdata/sf0.001").collect()) == 10
