@@ -20,19 +20,45 @@ DIMENSIONS, BATCH = 256, 100
 QUERY_CACHE = 128
 
 
+#: Words whose hashes a process keeps at most.
+KEPT = 200_000
+
+
+class _Hashes(dict):
+    """By word, the places of its hash and its trigrams' as bytes of 32-bit numbers: one of four for (word or trigram, sign) a dimension."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> bytes:
+        import xxhash
+
+        if len(self) >= KEPT:
+            self.clear()
+        edged = f"^{word}$"
+        hashes = [xxhash.xxh64_intdigest(x) for x in (word, *(edged[i : i + 3] for i in range(len(word))))]
+        places = [h % self.dimensions + self.dimensions * ((0 if h >> 63 else 1) + (2 if i else 0)) for i, h in enumerate(hashes)]
+        self[word] = out = np.array(places, np.uint32).tobytes()
+        return out
+
+
+_hashes = lru_cache(4)(_Hashes)
+
+
 def hashing(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Unit vectors of signed word and trigram hashes; a text without words has a zero vector."""
-    import xxhash
+    """Unit vectors of signed word and trigram hashes; a text without words has a zero vector.
 
-    out = np.zeros((len(texts), dimensions), np.float32)
+    Each distinct word is hashed once in a process, up to ``KEPT`` of them; a text's vector counts the places.
+    """
+    out, known = np.zeros((len(texts), dimensions), np.float32), _hashes(dimensions)
     for row, t in zip(out, texts, strict=True):
-        for word in text.tokens_of(t or ""):
-            for weight, part in [(1.0, word), *((0.3, f"^{word}$"[i : i + 3]) for i in range(len(word)))]:
-                h = xxhash.xxh64_intdigest(part)
-                row[h % dimensions] += weight if h >> 63 else -weight
-        length = np.linalg.norm(row)
+        places = np.frombuffer(b"".join([known[w] for w in text.tokens_of(t or "")]), np.uint32)
+        word, no_word, part, no_part = np.bincount(places, minlength=4 * dimensions).reshape(4, dimensions)
+        held = word - no_word + 0.3 * (part - no_part)
+        length = np.linalg.norm(held)
         if length:
-            row /= length
+            row[:] = held / length
     return out
 
 
@@ -42,7 +68,7 @@ def embed(rows: DataFrame, text_col: str, vector_col: str = "embedding", embedde
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            parts = [list(v) for i in range(0, len(texts), batch) for v in embedder(texts.iloc[i : i + batch].fillna("").tolist())]
+            parts = [np.asarray(v, np.float32) for i in range(0, len(texts), batch) for v in embedder(texts.iloc[i : i + batch].fillna("").tolist())]
             yield pd.Series(parts)
 
     return rows.withColumn(vector_col, vectors(F.col(text_col)))

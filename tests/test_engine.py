@@ -144,6 +144,23 @@ def test_model_metadata_retries_and_falls_back(spark):
     assert metadata.categories_of(metadata.by_keywords(docs)) == []
 
 
+def test_each_word_is_hashed_once(monkeypatch):
+    import xxhash
+
+    calls, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: calls.append(x) or digest(x))
+    monkeypatch.setattr(embedding, "KEPT", 3)
+    texts = ["quince quince medlar", "medlar quince sorb damson quince", "the"]
+    got = embedding.hashing(texts, 32)
+    want = np.zeros((3, 32))
+    for row, t in zip(want, texts, strict=True):
+        for w in [w for w in t.split() if w != "the"]:
+            for weight, part in [(1.0, w), *((0.3, f"^{w}$"[i : i + 3]) for i in range(len(w)))]:
+                row[digest(part) % 32] += weight if digest(part) >> 63 else -weight
+    want[:2] /= np.linalg.norm(want[:2], axis=1)[:, None]
+    assert got == pytest.approx(want, abs=1e-6) and calls.count("medlar") == 1 and calls.count("sorb") == 1
+
+
 def test_embedders(spark):
     a, b, c, none = embedding.hashing(["red roses", "roses red", "compilers", ""])
     assert a @ b > 0.99 > 0.3 > a @ c and not none.any()
