@@ -15,10 +15,11 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestream.operators.retrieval import SparseIndex, build_index, where_column
+from lodestream.operators.retrieval import SparseIndex, build_index, unpacked, where_column
 
 SCHEMA = "chunk_id string, text string, embedding array<float>, file_path string, file_name string, content_type string, category string, keywords string, header_path string, page_label string, extra map<string,string>"
 _POSTINGS, _SIZES = "term string, id string, tf bigint, dl bigint", "n bigint, tokens bigint"
+_PACKED = "term string, ids array<string>, tfs array<bigint>, dls array<bigint>"
 #: Buckets of a collection, set when it is created.
 BUCKETS = 64
 
@@ -155,7 +156,11 @@ class Store:
         rows = sizes = None
         for folder, kept in folders.items():
             at = f"{self.root}/{name}/data/{folder}"
-            part = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{at}/postings").where(F.col("bucket").isin(*kept)).drop("bucket")
+            packed = self._path(f"{name}/data/{folder}/packed")
+            if self._fs(packed).exists(packed):
+                part = unpacked(self.spark.read.schema(f"{_PACKED}, bucket int").parquet(f"{at}/packed").where(F.col("bucket").isin(*kept)).drop("bucket"))
+            else:  # written before postings were packed
+                part = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{at}/postings").where(F.col("bucket").isin(*kept)).drop("bucket")
             size = self.spark.read.schema(f"{_SIZES}, bucket int").parquet(f"{at}/sizes").where(F.col("bucket").isin(*kept)).drop("bucket")
             rows, sizes = (part, size) if rows is None else (rows.unionByName(part), sizes.unionByName(size))
         return SparseIndex(rows, sizes)
@@ -180,11 +185,13 @@ class Store:
         self.create(name)
         state = self._begin(name)
         dim = state["dim"]
-        sizes = [r[0] for r in rows.where("embedding is not null").select(F.size("embedding").alias("d")).distinct().limit(2).collect()]
+        new = self.spark.createDataFrame([], SCHEMA).unionByName(rows, allowMissingColumns=True)
+        length = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+        held = new.groupBy(self._bucket(state["buckets"]).alias("bucket")).agg(F.min(length).alias("least"), F.max(length).alias("most")).collect()  # as many as buckets
+        sizes = sorted({d for r in held for d in (r["least"], r["most"]) if d is not None})
         if len(sizes) > 1 or dim is not None and sizes and sizes[0] != dim:
             raise DimensionMismatch(f"{name} has vectors of length {dim}, not {sizes}")
-        new = self.spark.createDataFrame([], SCHEMA).unionByName(rows, allowMissingColumns=True)
-        touched = {r[0] for r in new.select(self._bucket(state["buckets"])).distinct().collect()}  # as many as buckets
+        touched = {r["bucket"] for r in held}
         old = self._table(SCHEMA, self._folders(name, "chunks", touched))
         self._write(name, state | {"dim": dim if dim is not None else sizes[0] if sizes else None}, replace_sources(old, new), touched)
 

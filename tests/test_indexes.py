@@ -119,6 +119,19 @@ def test_blocks_give_the_same_best_rows(texts, sparse, query, k):
     assert listed(sparse_blocks.bm25_topk(blocks, query, k)) == listed(want)
 
 
+def test_index_stores_postings_by_term_not_one_by_one(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "PACKED", 100)
+    chunks = texts.where("chunk_id < 400 OR chunk_id >= 3000").withColumn("part", F.when(F.col("chunk_id") % 5 > 0, F.col("chunk_id") % 5))
+    index = retrieval.build_index(chunks, f"{tmp_path}/index", by="part")
+    want = retrieval.postings(chunks).join(chunks.select(F.col("chunk_id").alias("id"), "part"), "id")
+    rows = [sorted(map(str, x.select("term", "id", "tf", "dl", "part").collect())) for x in (index.rows, want)]
+    assert rows[0] == rows[1] and spark.read.parquet(f"{tmp_path}/index/packed").count() < len(rows[0]) * 0.8
+    sizes = chunks.groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert sorted((str(r.part), r.n) for r in index.sizes.collect()) == sorted((str(r.part), r.n) for r in sizes)
+    assert index.statistics().first().avgdl == retrieval.corpus_statistics(chunks).first().avgdl
+    assert retrieval.build_index(chunks.limit(0), f"{tmp_path}/none").rows.count() == 0
+
+
 def test_blocks_of_a_frequent_term_are_skipped(sparse):
     _, blocks = sparse
     plan = sparse_blocks.plan(blocks, "rare w0 common", 5)
