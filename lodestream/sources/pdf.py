@@ -21,6 +21,8 @@ ORDER = ["liteparse", "pypdfium2", "pypdf"]
 OWN = "builtin"
 #: Version of the bounding boxes' layout: left, top, right, bottom from the page's left upper corner.
 BBOX_VERSION = 1
+#: Runs of text that are handed on at once, and what one file has beyond that.
+ITEMS = 10_000
 
 
 def available(probe: Callable[[str], object] = find_spec) -> list[str]:
@@ -52,13 +54,18 @@ def read_items(files: DataFrame) -> DataFrame:
     schema = "path string, page int, position int, x double, y double, width double, height double, text string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
         for rows in batches:
+            out = []
             for path, content in zip(rows["path"], rows["content"], strict=True):
                 try:
-                    out = [(path, *item, None) for item in pdf_items.items(bytes(content))]
+                    out += [(path, *item, None) for item in pdf_items.items(bytes(content))]
                 except Exception as e:  # whatever a damaged file leads to is that file's error
-                    out = [(path, *[None] * 7, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                    out.append((path, *[None] * 7, f"{type(e).__name__}: {e}"))
+                if len(out) >= ITEMS:
+                    yield pd.DataFrame(out, columns=names).astype({"page": "Int32", "position": "Int32"})
+                    out = []
+            yield pd.DataFrame(out, columns=names).astype({"page": "Int32", "position": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, schema)
 

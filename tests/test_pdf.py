@@ -103,3 +103,14 @@ def test_files_are_read_without_a_package(spark):
     rows = [("a.pdf", as_pdf(PAGES)), ("b.pdf", b"%PDF-1.4 broken")]
     got = {r.path: r for r in files.read_texts(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert [(p.label, p.text) for p in got["a.pdf"].pages] == [(str(i), t) for i, t in pdf.builtin(as_pdf(PAGES))] and got["b.pdf"].error and got["b.pdf"].text is None
+
+
+def test_each_code_of_a_font_is_looked_up_once(monkeypatch):
+    from lodestream.plans.source_queries import as_pdf
+    from lodestream.sources import pdf_items
+
+    calls, of = [], pdf_items.Font._of
+    monkeypatch.setattr(pdf_items.Font, "_of", lambda self, c: calls.append(c) or of(self, c))
+    found = pdf_items.items(as_pdf([[(72, 700, "abba"), (72, 600, "caba ")], [(72, 700, "ab \u4e00b")]]))
+    assert [x.text for x in found] == ["abba", "caba ", "ab \u4e00b"] and [x.width for x in found] == [20, 25, 25]
+    assert sorted(calls) == sorted([*map(ord, "abc "), *map(ord, "ab \u4e00")])
