@@ -519,3 +519,13 @@ def test_relevance_by_group_is_that_of_its_pairs(spark):
         assert rows(evaluate.ideal_alpha_dcg(by_group, k)) == rows(evaluate.ideal_alpha_dcg(pairs, k))
         assert rows(evaluate.ndcg(ranking, graded[0], k)) == rows(evaluate.ndcg(ranking, graded[1], k))
         assert rows(evaluate.contribution(ranking, ranking.withColumn("rank", 21 - F.col("rank")), by_group, k)) == rows(evaluate.contribution(ranking, ranking.withColumn("rank", 21 - F.col("rank")), pairs, k))
+
+
+def test_alpha_ndcg_is_a_share_of_the_ideal(spark):
+    ranking = spark.createDataFrame([(q, r, d) for q in (1, 2, 3) for r, d in enumerate("xaybz", 1)], "query_id long, rank int, doc string")
+    nuggets = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "b"), (1, 2, "q"), (2, 1, "w"), (3, None, "x")], "query_id long, nugget_id int, doc string")
+    got = {r.query_id: r.alpha_ndcg for r in evaluate.alpha_ndcg(ranking, nuggets, 5).collect()}
+    ideal = 2 + 0.5 / math.log2(3) + 0.5 / math.log2(4)
+    assert got == {1: pytest.approx((1 / math.log2(3) + 1.5 / math.log2(5)) / ideal), 2: 0, 3: 0}
+    best = spark.createDataFrame([(1, r, d) for r, d in enumerate("baq", 1)], "query_id long, rank int, doc string")
+    assert {r.query_id: r.alpha_ndcg for r in evaluate.alpha_ndcg(best, nuggets, 5).collect()} == {1: 1, 2: 0, 3: 0}
